@@ -26,26 +26,36 @@ def _name(*parts: Column) -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
-def _doubled(name: str, half: int, join: Callable[[Column, Column], Column]) -> Column:
-    """Of runs twice as long, from the array ``name`` of runs of ``half`` lines; null where a document ends before."""
-    return F.transform(name, lambda x, i: join(x, F.get(F.col(name), i + half)))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _doubled(first: Column, levels: int, join: Callable[[Column, Column], Column], none: Column) -> Column:
+    """Arrays for runs of 1, 2, 4, ... lines, from the one for single lines; ``none`` where a document ends before."""
+
+    def step(found: Column, half: Column) -> Column:
+        return _let(F.element_at(found, -1), lambda last: F.concat(found, F.array(F.transform(last, lambda x, i: F.coalesce(join(x, F.get(last, i + half)), none)))))
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(levels))), F.array(first), step) if levels else F.array(first)
 
 
 def _shortest(sums: Column, i: Column, min_words: int, levels: int, sign: int) -> Column:
-    """How many lines from line i on (sign 1) or up to it (sign -1) the shortest run of ``min_words`` words has; null if all are too few."""
+    """(start, n) of the shortest run of ``min_words`` words from line i on (sign 1) or up to it (sign -1); null if there are too few."""
 
     def step(state: Column, k: Column) -> Column:
         size = F.pow(F.lit(2), k).cast("int")
         first = i + state["n"] if sign > 0 else i - state["n"] - size + 1
         more = F.when(first >= 0, F.get(F.get(sums, k), first))
-        fits = state["words"] + more < min_words
-        return F.when(fits, F.struct((state["n"] + size).alias("n"), (state["words"] + more).alias("words"))).otherwise(state)
+        return _let(state["words"] + more, lambda words: F.when(words < min_words, F.struct((state["n"] + size).alias("n"), words.alias("words"))).otherwise(state))
+
+    def whole(below: Column) -> Column:
+        last = i + below["n"] * sign
+        full = F.when(last >= 0, F.get(F.get(sums, F.lit(0)), last)) + below["words"] >= min_words
+        return F.when(full, F.struct((i if sign > 0 else last).cast("int").alias("start"), (below["n"] + 1).cast("int").alias("n")))
 
     start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("words"))
-    below = F.aggregate(F.array(*map(F.lit, range(levels, -1, -1))), start, step)
-    last = i + below["n"] * sign
-    full = F.when(last >= 0, F.get(F.get(sums, F.lit(0)), last)) + below["words"] >= min_words
-    return F.when(full, below["n"] + 1)
+    return _let(F.aggregate(F.array(*map(F.lit, range(levels, -1, -1))), start, step), whole)
 
 
 def line_runs(docs: DataFrame, *, min_words: int) -> DataFrame:
@@ -54,20 +64,12 @@ def line_runs(docs: DataFrame, *, min_words: int) -> DataFrame:
     at = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     at = at.select("doc_id", F.xxhash64("text").alias("version"), F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)).alias("lines"))
     at = at.select("doc_id", "version", F.transform("lines", lambda x: _name(x)).alias("n0"), F.transform("lines", lambda x: F.size(F.split(F.btrim(x, F.lit(SPACE)), r"[\x20\x09-\x0D]+")).cast("long")).alias("w0"))
-    for k in range(1, levels + 1):
-        at = at.withColumns({f"n{k}": _doubled(f"n{k - 1}", 1 << (k - 1), _name), f"w{k}": _doubled(f"w{k - 1}", 1 << (k - 1), lambda a, b: a + b)})
-    at = at.select("doc_id", "version", F.array(*(f"n{k}" for k in range(levels + 1))).alias("names"), F.array(*(f"w{k}" for k in range(levels + 1))).alias("sums"))
-    names, sums = F.col("names"), F.col("sums")
-
-    def run(i: Column, sign: int) -> Column:
-        n = _shortest(sums, i, min_words, levels, sign)
-        return F.struct((i if sign > 0 else i - n + 1).cast("int").alias("start"), n.cast("int").alias("n"))
-
-    lines = F.get(sums, F.lit(0))
-    sized = at.select("doc_id", "version", "names", F.array_distinct(F.concat(F.transform(lines, lambda _, i: run(i, 1)), F.transform(lines, lambda _, i: run(i, -1)))).alias("runs"))
-    found = sized.select("doc_id", "version", "names", F.explode("runs").alias("run")).where("run.n is not null").select("doc_id", "version", "names", "run.start", "run.n")
+    at = at.select("doc_id", "version", _doubled(F.col("n0"), levels, _name, F.lit(b"")).alias("names"), _doubled(F.col("w0"), levels, lambda a, b: a + b, F.lit(1 << 50)).alias("sums"))
+    sums = F.col("sums")
+    runs = F.flatten(F.transform(F.get(sums, F.lit(0)), lambda _, i: F.array(_shortest(sums, i, min_words, levels, 1), _shortest(sums, i, min_words, levels, -1))))
+    found = at.select("doc_id", "version", "names", F.explode(F.array_distinct(runs)).alias("run")).where("run.n is not null").select("doc_id", "version", "names", "run.start", "run.n")
     k = F.length(F.bin("n")) - 1
-    level = F.get(names, k)
+    level = F.get("names", k)
     size = F.pow(F.lit(2), k).cast("int")
     return found.select("doc_id", "version", "start", "n", _name(F.encode(F.col("n").cast("string"), "utf-8"), F.get(level, F.col("start")), F.get(level, F.col("start") + F.col("n") - size)).alias("name"))
 
