@@ -17,6 +17,7 @@ SPACE = " \t\n\x0b\x0c\r"
 #: A word, as a pattern that Java and Python read alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_folder: list[str] = []
 
 
@@ -42,9 +43,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/viewloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/viewloom/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # once the table is written, nothing needs the shuffle files of its making
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:

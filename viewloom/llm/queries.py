@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from viewloom.llm.common import read_table
 from viewloom.llm.decontamination import contamination
 from viewloom.llm.language_id import language_id
 from viewloom.llm.line_dedup import line_dedup
+from viewloom.llm.piece_encoding import piece_encoding
 from viewloom.llm.quality import quality
 from viewloom.llm.simhash_dedup import simhash_components
+from viewloom.llm.suffix_dedup import suffix_dedup
+from viewloom.llm.surrogates import pseudonymised
 from viewloom.llm.token_counts import token_counts
 from viewloom.llm.toxicity import toxicity
 
@@ -32,6 +36,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encoding(read_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "lossless")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents"))
 
@@ -40,10 +48,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(read_table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
