@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from viewloom.functions.selectors import field_selector, label_selector
 from viewloom.model import parse
 from viewloom.operators.resolve import bound, unresolved, walked
+from viewloom.operators.rules import evaluated
 from viewloom.plans.engine import publish, views
 from viewloom.sinks.series import MemorySink, TableSink, exposition, header
 from viewloom.sources.objects import LOG, current, dry_run, log_from_json, ready, samples
@@ -134,7 +135,8 @@ def test_json_objects_and_readiness(spark):
     assert {(r.kind, r.name) for r in log.collect()} == {("Node", "n"), ("", "")}
     assert {r.r for r in df.select(ready(F.try_parse_json("value")).alias("r")).collect()} == {True, False}
     bare = spark.createDataFrame([("Deployment", "s", "d", "u", "1", "ADDED", 1, '{"metadata":{"name":"d"}}')], LOG)
-    assert current(bare).select(F.try_variant_get("object", "$.apiVersion", "string").alias("v")).first().v == "apps/v1"
+    rule = parse("rules: [{name: r, anchor: Deployment, labels: {k: {path: kind}, v: {path: apiVersion}}}]").rules[0]
+    assert found(evaluated(rule, current(bare))) == {("s/d", "Deployment", "apps/v1")}
 
 
 def _random_log(rng, n):

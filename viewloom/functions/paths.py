@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from viewloom.functions.text import number_text
+from viewloom.functions.text import let, number_text
 
 _TOKEN = re.compile(r"(?P<dot>\.)|(?P<name>[A-Za-z_][A-Za-z0-9_-]*)|\[(?P<sub>[^\]]*)\]")
 _INTEGER = re.compile(r"\s*([+-]?\d+)")
@@ -136,6 +136,15 @@ def first_text(found: Column) -> Column:
     return F.get(F.filter(F.transform(found, text_of), lambda t: t.isNotNull() & (t != "")), F.lit(0))
 
 
+def first_at(value: Column, steps: list[Step]) -> Column:
+    """The first non-empty text of a path. Without a wildcard there is at most one match, which one lookup finds."""
+    if any(isinstance(s, Wildcard) for s in steps):
+        return first_text(matches(value, steps))
+    if any(isinstance(s, Index) and s.at < 0 for s in steps):
+        return F.lit(None).cast("string")
+    return let(F.try_variant_get(value, "$" + "".join(map(_quoted, steps)), "variant"), text_of)
+
+
 def first_of(values: list[Column], default: str) -> Column:
     """The first of several texts that is neither missing nor empty, or the default."""
     return F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(default))
@@ -144,4 +153,4 @@ def first_of(values: list[Column], default: str) -> Column:
 def compiled(path: str) -> Callable[[Column], Column]:
     """The first non-empty text of a path, as a function of the VARIANT column that it is evaluated on."""
     steps = parse_path(path)
-    return lambda value: first_text(matches(value, steps))
+    return lambda value: first_at(value, steps)

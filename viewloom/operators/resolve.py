@@ -10,6 +10,8 @@ from viewloom.model import KINDS, TOP_KINDS
 #: The longest chain that is followed (fixed value).
 MAX_HOPS = 8
 DEFAULT_HOPS = 3
+#: Columns that hold the key of an object's controller.
+PARENT = ["parent_kind", "parent_ns", "parent_name"]
 
 
 def controller(refs: Column) -> Column:
@@ -18,13 +20,9 @@ def controller(refs: Column) -> Column:
     return F.coalesce(F.get(marked, F.lit(0)), F.get(refs, F.lit(0)))
 
 
-def owner_refs(value: Column) -> Column:
-    """Owner references of a VARIANT object."""
-    refs = F.try_variant_get(value, "$.metadata.ownerReferences", "array<variant>")
-    return F.transform(
-        F.coalesce(refs, F.array().cast("array<variant>")),
-        lambda r: F.struct(F.try_variant_get(r, "$.kind", "string").alias("kind"), F.try_variant_get(r, "$.name", "string").alias("name"), F.try_variant_get(r, "$.controller", "boolean").alias("controller")),
-    )
+def owner_refs(text: Column) -> Column:
+    """Owner references of an object's JSON, as an array of (kind, name, controller)."""
+    return F.from_json(text, "metadata struct<ownerReferences: array<struct<kind: string, name: string, controller: boolean>>>")["metadata"]["ownerReferences"]
 
 
 def lookup_namespace(kind: Column, namespace: Column) -> Column:
@@ -32,26 +30,31 @@ def lookup_namespace(kind: Column, namespace: Column) -> Column:
     return F.when(kind == "Node", "").otherwise(namespace)
 
 
-def with_parent(state: DataFrame) -> DataFrame:
-    """State with the key of each object's controller (parent_kind, parent_ns, parent_name), null where there is none.
+def with_parent(log: DataFrame) -> DataFrame:
+    """A change log with the key of each object's controller (PARENT), null where there is none.
 
-    Owners of unsupported kinds end the walk.
+    Owners of unsupported kinds end the walk. This comes before versions are reduced to the latest, so that joins and
+    their filters meet plain columns and parse nothing.
     """
-    found = state.withColumn("__ref", controller(owner_refs(F.col("object"))))
+    found = log.withColumn("__ref", controller(owner_refs(F.col("object"))))
     kind = F.when(F.col("__ref")["kind"].isin(*KINDS), F.col("__ref")["kind"])
-    return found.withColumns({"parent_kind": kind, "parent_name": F.when(kind.isNotNull(), F.col("__ref")["name"]), "parent_ns": F.when(kind.isNotNull(), lookup_namespace(kind, F.col("namespace")))}).drop("__ref")
+    return found.withColumns({"parent_kind": kind, "parent_ns": F.when(kind.isNotNull(), lookup_namespace(kind, F.col("namespace"))), "parent_name": F.when(kind.isNotNull(), F.col("__ref")["name"])}).drop("__ref")
 
 
-def walked(state: DataFrame, anchor_kind: str, *, hops: int = DEFAULT_HOPS) -> DataFrame:
+def walked(state: DataFrame, anchor_kind: str, *, hops: int = DEFAULT_HOPS, payload: Column | None = None) -> DataFrame:
     """Anchors of a kind with what each hop of the walk finds: columns h0 (the anchor) to h<hops>.
 
-    Each is a struct (kind, namespace, name, uid, object, parent...), null from the first miss on. Every hop is a left
-    equi-join on kind, namespace and name; the optimizer chooses how. ``hops`` bounds cycles.
+    Each is a struct (kind, namespace, name, uid, object, parent...), null from the first miss on. ``payload`` takes the
+    object's place, so that joins carry no more than what is read of it. Every hop is a left equi-join on kind, namespace
+    and name, whose right side holds only kinds that some object names as its controller's; the optimizer chooses how.
+    ``hops`` bounds cycles.
     """
-    linked = with_parent(state)
-    fields = ["kind", "namespace", "name", "uid", "object", "parent_kind", "parent_ns", "parent_name"]
-    packed = linked.select(F.col("kind").alias("__k"), lookup_namespace(F.col("kind"), F.col("namespace")).alias("__ns"), F.col("name").alias("__n"), F.struct(*fields).alias("__o"))
-    rows = linked.where(F.col("kind") == anchor_kind).select("kind", "namespace", "name", F.struct(*fields).alias("h0"))
+    fields = ["kind", "namespace", "name", "uid", (F.col("object") if payload is None else payload).alias("object"), "parent_kind", "parent_ns", "parent_name"]
+    rows = state.where(F.col("kind") == anchor_kind).select("kind", "namespace", "name", F.struct(*fields).alias("h0"))
+    if not hops:
+        return rows
+    named = state.where("parent_kind is not null").select(F.col("parent_kind").alias("kind")).distinct()  # a row for each kind at most
+    packed = state.join(F.broadcast(named), "kind", "left_semi").select(F.col("kind").alias("__k"), lookup_namespace(F.col("kind"), F.col("namespace")).alias("__ns"), F.col("name").alias("__n"), F.struct(*fields).alias("__o"))
     for hop in range(1, min(hops, MAX_HOPS) + 1):
         before = F.col(f"h{hop - 1}")
         on = (F.col("__k") == before["parent_kind"]) & (F.col("__ns") == before["parent_ns"]) & (F.col("__n") == before["parent_name"])
@@ -64,7 +67,7 @@ def _chain(rows: DataFrame) -> list[Column]:
 
 
 def bound(rows: DataFrame) -> dict[str, Column]:
-    """The object of each source on walked rows: anchor, ownerController, topController, and one for each kind.
+    """The object (or payload) of each source on walked rows: anchor, ownerController, topController, and one for each kind.
 
     The top controller is the deepest one of a top kind, the anchor included; a kind's object is the last on the chain.
     """

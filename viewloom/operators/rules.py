@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.functions.paths import first_of, first_text, item_matches, matches, parse_path
+from viewloom.functions.paths import Field, first_at, first_of, first_text, item_matches, matches, parse_path
 from viewloom.functions.text import object_key
-from viewloom.model import Extract, Rule
+from viewloom.model import API_VERSIONS, Extract, Rule
 from viewloom.operators.resolve import DEFAULT_HOPS, bound, walked
 
 
-def _text(extract: Extract, rule: Rule, sources: dict[str, Column]) -> Column:
-    source, steps = rule.resolved(extract.source), parse_path(extract.path)
-    if source == "item":
-        return first_text(item_matches(sources["item"], steps))
-    return first_text(matches(sources[source], steps))
-
-
-def label(name: str, rule: Rule, sources: dict[str, Column]) -> Column:
-    """A label's text: never null, the default where all paths miss."""
-    extract = rule.labels[name]
-    return first_of([_text(e, rule, sources) for e in extract.every()], extract.on_missing)
+def _text(path: str) -> Column:
+    """A path's first text on an object; kind and apiVersion are known even if the object does not say them."""
+    steps = parse_path(path)
+    found = first_at(F.col("object"), steps)
+    if steps == [Field("kind")]:
+        return F.coalesce(F.nullif(found, F.lit("")), F.col("kind"))
+    if steps == [Field("apiVersion")]:
+        versions = F.create_map(*(F.lit(x) for pair in API_VERSIONS.items() for x in pair))
+        return F.coalesce(F.nullif(found, F.lit("")), F.try_element_at(versions, F.col("kind")))
+    return found
 
 
 def hops_of(rule: Rule, hops: int) -> int:
@@ -32,16 +31,26 @@ def hops_of(rule: Rule, hops: int) -> int:
 def evaluated(rule: Rule, state: DataFrame, *, hops: int = DEFAULT_HOPS) -> DataFrame:
     """The rule's rows: anchor_key, its labels in order as non-null strings, and value 1; distinct for each anchor.
 
-    An anchor whose array to expand is empty or missing has no row.
+    An anchor whose array to expand is empty or missing has no row. Each path is read where its object is scanned: the
+    walk carries texts, not objects.
     """
-    rows = walked(state, rule.anchor, hops=hops_of(rule, hops))
+    extracts = [e for n in rule.label_names() for e in rule.labels[n].every()]
+    paths = list(dict.fromkeys(e.path for e in extracts if rule.resolved(e.source) != "item"))
+    texts = [_text(p).alias(f"t{k}") for k, p in enumerate(paths)]
+    items = matches(F.col("object"), parse_path(rule.for_each)) if rule.for_each else F.lit(None)
+    items = F.when(F.col("kind") == rule.anchor, items) if rule.for_each else items
+    rows = walked(state, rule.anchor, hops=hops_of(rule, hops), payload=F.struct(items.alias("items"), *texts))
     sources = bound(rows)
-    used = {s: c for s, c in sources.items() if s in rule.sources() | {"anchor"}}
-    rows = rows.select(object_key(F.col("namespace"), F.col("name")).alias("__key"), *(c.alias(f"__{s}") for s, c in used.items()))
-    at = {s: F.col(f"__{s}") for s in used}
+    used = sorted({rule.resolved(e.source) for e in extracts} - {"item"})
+    rows = rows.select(object_key(F.col("namespace"), F.col("name")).alias("anchor_key"), sources["anchor"]["items"].alias("__items"), *(sources[s].alias(f"__{s}") for s in used))
     if rule.for_each:
-        rows = rows.withColumn("__item", F.explode(matches(at["anchor"], parse_path(rule.for_each))))
-        at["item"] = F.col("__item")
-    names = rule.label_names()
-    plan = rows.select(F.col("__key").alias("anchor_key"), *(label(n, rule, at).alias(n) for n in names))
-    return plan.dropDuplicates(["anchor_key", *names]).withColumn("value", F.lit(1.0))
+        rows = rows.withColumn("__item", F.explode("__items"))
+
+    def text(extract: Extract) -> Column:
+        source = rule.resolved(extract.source)
+        if source == "item":
+            return first_text(item_matches(F.col("__item"), parse_path(extract.path)))
+        return F.col(f"__{source}")[f"t{paths.index(extract.path)}"]
+
+    labels = [first_of([text(e) for e in rule.labels[n].every()], rule.labels[n].on_missing).alias(n) for n in rule.label_names()]
+    return rows.select("anchor_key", *labels).dropDuplicates(["anchor_key", *rule.label_names()]).withColumn("value", F.lit(1.0))

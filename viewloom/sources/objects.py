@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewloom.functions.selectors import field_selector, label_selector, object_fields, object_labels
-from viewloom.model import API_VERSIONS, Config, Watched
+from viewloom.model import Config, Watched
+from viewloom.operators.resolve import with_parent
 from viewloom.operators.state import KEY, latest
 
 #: Columns of a change log.
@@ -35,14 +36,6 @@ def log_from_json(objects: DataFrame, column: str = "value", seq: str | None = N
     return objects.select(get("$.kind").alias("kind"), get("$.metadata.namespace").alias("namespace"), get("$.metadata.name").alias("name"), get("$.metadata.uid").alias("uid"), get("$.metadata.resourceVersion").alias("rv"), F.lit("ADDED").alias("op"), (F.col(seq) if seq else F.lit(0)).cast("bigint").alias("seq"), F.col(column).alias("object"))
 
 
-def enriched(text: Column, kind: Column) -> Column:
-    """An object's JSON with kind and apiVersion filled in where they are empty."""
-    versions = F.create_map(*(F.lit(x) for pair in API_VERSIONS.items() for x in pair))
-    meta = F.to_json(F.struct(kind.alias("kind"), F.try_element_at(versions, kind).alias("apiVersion")))
-    bare = F.coalesce(F.get_json_object(text, "$.kind"), F.lit("")) == ""
-    return F.when(bare & text.startswith("{"), F.concat(F.substring(meta, F.lit(1), F.length(meta) - 1), F.when(F.trim(text).rlike(r"^\{\s*\}$"), "").otherwise(","), F.substring(F.trim(text), F.lit(2), F.length(text)))).otherwise(text)
-
-
 def selected(state: DataFrame, watched: Watched) -> DataFrame:
     """Objects of a watched kind that its scope and selectors let through; ``object`` is VARIANT."""
     rows = state.where(F.col("kind") == watched.kind)
@@ -56,13 +49,13 @@ def selected(state: DataFrame, watched: Watched) -> DataFrame:
 
 
 def current(log: DataFrame, config: Config | None = None) -> DataFrame:
-    """Current state of a change log: kind, namespace, name, uid, rv, seq, and object as VARIANT.
+    """Current state of a change log: its columns but op, object as VARIANT, and the key of each object's controller.
 
     The last version of each key counts; deleted ones go, then those that are not watched.
     """
     kinds = sorted(config.watched_kinds()) if config else None
     rows = log.where(F.col("kind").isin(*kinds)) if kinds else log
-    last = latest(rows, KEY, "seq").where("op <> 'DELETED'").withColumn("object", F.try_parse_json(enriched(F.col("object"), F.col("kind")))).drop("op")
+    last = latest(with_parent(rows), KEY, "seq").where("op <> 'DELETED'").withColumn("object", F.try_parse_json("object")).drop("op")
     return reduce(DataFrame.unionByName, (selected(last, w) for w in config.watched())) if config else last
 
 

@@ -13,13 +13,14 @@ from pyspark.sql.streaming import StreamingQuery
 from viewloom.functions.text import object_key
 from viewloom.model import Config
 from viewloom.operators.incremental import affected, replaced, union
-from viewloom.operators.resolve import DEFAULT_HOPS
+from viewloom.operators.resolve import DEFAULT_HOPS, with_parent
 from viewloom.operators.rules import evaluated
 from viewloom.operators.state import KEY, latest
 from viewloom.plans.engine import index
-from viewloom.sources.objects import LOG, enriched, selected
+from viewloom.sources.objects import LOG, selected
 
-_PRIOR = "kind string, namespace string, name string, uid string, rv string, seq bigint, object string"
+_PRIOR = "kind string, namespace string, name string, uid string, rv string, seq bigint, object string, parent_kind string, parent_ns string, parent_name string"
+_CHANGES = LOG + ", parent_kind string, parent_ns string, parent_name string"
 _DEPS = "anchor_key string, anchor_kind string, parent_uid string, wanted struct<kind:string,namespace:string,name:string>"
 
 
@@ -55,7 +56,7 @@ class Maintainer:
         return self._read(f"series/{metric}", self._schema(rule.label_names()), self.version())
 
     def _watched(self, rows: DataFrame) -> DataFrame:
-        parsed = rows.withColumn("object", F.try_parse_json(enriched(F.col("object"), F.col("kind"))))
+        parsed = rows.withColumn("object", F.try_parse_json("object"))
         return union([selected(parsed, w) for w in self.config.watched()])
 
     def apply(self, log: DataFrame) -> None:
@@ -63,8 +64,8 @@ class Maintainer:
         before = self.version()
         now = before + 1
         prior = self._read("state", _PRIOR, before)
-        last = latest(log.where(F.col("kind").isin(*self.config.watched_kinds())), KEY, "seq")
-        last = self._write("changes", last, now, LOG)
+        last = latest(with_parent(log.where(F.col("kind").isin(*self.config.watched_kinds()))), KEY, "seq")
+        last = self._write("changes", last, now, _CHANGES)
         known = prior.select(*KEY, F.col("rv").alias("__rv"), F.col("seq").alias("__seq"))
         new = last.join(known, KEY, "left").where("__seq is null or seq > __seq").where("op = 'DELETED' or __rv is null or rv is null or rv = '' or rv <> __rv").drop("__rv", "__seq")
         state = replaced(prior, new.select(*KEY), new.where("op <> 'DELETED'").drop("op"), KEY)
