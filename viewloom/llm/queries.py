@@ -12,7 +12,7 @@ from viewloom.llm.decontamination import contamination
 from viewloom.llm.language_id import language_id
 from viewloom.llm.line_dedup import line_dedup
 from viewloom.llm.piece_encoding import piece_encoding
-from viewloom.llm.quality import quality
+from viewloom.llm.quality import COMMON, quality
 from viewloom.llm.simhash_dedup import simhash_components
 from viewloom.llm.suffix_dedup import suffix_dedup
 from viewloom.llm.surrogates import pseudonymised
@@ -45,7 +45,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(read_table(spark, sf_dir, "documents"))
+    return quality(read_table(spark, sf_dir, "documents")).drop("chars_distance", "common_distance")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +60,44 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(read_table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
 
 
+_LINE_DEDUP = r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS p, unnest(lines) AS line FROM d),
+own AS (SELECT doc_id, p, line, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS j, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+seq AS (SELECT doc_id, list(line ORDER BY j) AS lines, list(words ORDER BY j) AS words FROM own GROUP BY doc_id),
+starts AS (SELECT *, unnest(range(len(lines))) AS a FROM seq),
+runs AS (SELECT *, unnest(range(1, least(25, len(lines) - a) + 1)) AS n FROM starts),
+long AS (SELECT doc_id, a, n, lines[a + 1:a + n] AS run FROM runs WHERE list_sum(words[a + 1:a + n]) >= 25),
+again AS (SELECT doc_id, a, n FROM (SELECT doc_id, a, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS k FROM long) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, a + n)) AS j FROM again),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.p) AS text FROM l LEFT JOIN own ON own.doc_id = l.doc_id AND own.p = l.p LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.j = own.j WHERE gone.j IS NULL GROUP BY l.doc_id),
+sizes AS (SELECT doc_id, count(*) AS n FROM own GROUP BY doc_id),
+losses AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT x.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(losses.n, 0) AS BIGINT) AS n_removed, CASE WHEN x.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
+FROM documents x LEFT JOIN kept ON kept.doc_id = x.doc_id LEFT JOIN sizes ON sizes.doc_id = x.doc_id LEFT JOIN losses ON losses.doc_id = x.doc_id"""
+
+_QUALITY = r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+runs AS (SELECT doc_id, i, words[i:i + 4] AS run FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM runs) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, words, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, length(text) AS size,
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(text, '[^.,;:!?''"()-]', '', 'g')) AS marks, length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) AS wide
+  FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id),
+c AS (SELECT doc_id, lang, n_words, 'chars' AS h, unnest(range(7)) AS k, unnest([size - word_chars, word_chars - n_symbols - upper - digits - marks - wide, upper, wide, marks, digits, n_symbols]) AS n FROM m),
+k AS (SELECT doc_id, lang, n_words, 'common' AS h, unnest(range(len(COMMON_WORDS) + 1)) AS k, unnest(list_append(list_transform(COMMON_WORDS, lambda c: len(list_filter(words, lambda x: x = c))), len(list_filter(words, lambda x: NOT list_contains(COMMON_WORDS, x))))) AS n FROM m),
+a AS (SELECT doc_id, lang, h, k, CAST(n AS DOUBLE) AS n FROM (SELECT * FROM c UNION ALL SELECT * FROM k) WHERE n_words >= 50),
+r AS (SELECT lang, h, k, sum(n) AS n FROM a GROUP BY 1, 2, 3),
+p AS (SELECT doc_id, a.h, a.n / sum(a.n) OVER (PARTITION BY doc_id, a.h) AS x, r.n / sum(r.n) OVER (PARTITION BY doc_id, a.h) AS y FROM a JOIN r ON a.lang = r.lang AND a.h = r.h AND a.k = r.k),
+j AS (SELECT doc_id, h, sqrt(greatest(0, sum((CASE WHEN x > 0 THEN x * log2(x / ((x + y) / 2)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(y / ((x + y) / 2)) ELSE 0 END) / 2))) AS js FROM p GROUP BY 1, 2),
+far AS (SELECT doc_id, bool_or(js > CASE h WHEN 'chars' THEN 0.25 ELSE 0.6 END) AS far FROM j GROUP BY 1)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(far.far, false) AS kept
+FROM m LEFT JOIN far ON far.doc_id = m.doc_id""".replace("COMMON_WORDS", str(COMMON))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": _LINE_DEDUP, "op7_quality_rules": _QUALITY}
