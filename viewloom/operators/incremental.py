@@ -11,9 +11,9 @@ from viewloom.functions.text import object_key
 from viewloom.operators.resolve import DEFAULT_HOPS, parent_uids, unresolved, walked
 
 
-def dependencies(state: DataFrame, kind: str, *, hops: int = DEFAULT_HOPS) -> DataFrame:
+def dependencies(state: DataFrame, kind: str, *, hops: int = DEFAULT_HOPS, only: DataFrame | None = None) -> DataFrame:
     """(anchor_key, anchor_kind, parent_uid, wanted): a row for each object an anchor depends on, and one for a parent not there yet."""
-    rows = walked(state, kind, hops=hops)
+    rows = walked(state, kind, hops=hops, only=only)
     key = object_key(F.col("namespace"), F.col("name")).alias("anchor_key")
     known = rows.select(key, F.explode(parent_uids(rows)).alias("parent_uid")).withColumn("wanted", F.lit(None).cast("struct<kind:string,namespace:string,name:string>"))
     missing = rows.select(key, F.lit(None).cast("string").alias("parent_uid"), unresolved(rows).alias("wanted")).where("wanted is not null") if hops else None

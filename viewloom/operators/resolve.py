@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from viewloom.functions.text import object_key
 from viewloom.model import KINDS, TOP_KINDS
 
 #: The longest chain that is followed (fixed value).
@@ -41,16 +42,19 @@ def with_parent(log: DataFrame) -> DataFrame:
     return found.withColumns({"parent_kind": kind, "parent_ns": F.when(kind.isNotNull(), lookup_namespace(kind, F.col("namespace"))), "parent_name": F.when(kind.isNotNull(), F.col("__ref")["name"])}).drop("__ref")
 
 
-def walked(state: DataFrame, anchor_kind: str, *, hops: int = DEFAULT_HOPS, payload: Column | None = None) -> DataFrame:
+def walked(state: DataFrame, anchor_kind: str, *, hops: int = DEFAULT_HOPS, payload: Column | None = None, only: DataFrame | None = None) -> DataFrame:
     """Anchors of a kind with what each hop of the walk finds: columns h0 (the anchor) to h<hops>.
 
     Each is a struct (kind, namespace, name, uid, object, parent...), null from the first miss on. ``payload`` takes the
     object's place, so that joins carry no more than what is read of it. Every hop is a left equi-join on kind, namespace
     and name, whose right side holds only kinds that some object names as its controller's; the optimizer chooses how.
-    ``hops`` bounds cycles.
+    ``hops`` bounds cycles; ``only`` (anchor_key) leaves other anchors out before the walk.
     """
     fields = ["kind", "namespace", "name", "uid", (F.col("object") if payload is None else payload).alias("object"), "parent_kind", "parent_ns", "parent_name"]
-    rows = state.where(F.col("kind") == anchor_kind).select("kind", "namespace", "name", F.struct(*fields).alias("h0"))
+    anchors = state.where(F.col("kind") == anchor_kind)
+    if only is not None:
+        anchors = anchors.withColumn("anchor_key", object_key(F.col("namespace"), F.col("name"))).join(only, "anchor_key", "left_semi")
+    rows = anchors.select("kind", "namespace", "name", F.struct(*fields).alias("h0"))
     if not hops:
         return rows
     named = state.where("parent_kind is not null").select(F.col("parent_kind").alias("kind")).distinct()  # a row for each kind at most

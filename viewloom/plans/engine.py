@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from viewloom.model import KINDS, OWNER_KINDS, Config
+from viewloom.model import KINDS, Config
 from viewloom.operators.incremental import dependencies, union
 from viewloom.operators.resolve import DEFAULT_HOPS
 from viewloom.operators.rules import evaluated, hops_of
@@ -28,13 +29,15 @@ def publish(config: Config, state: DataFrame, sink: SeriesSink, *, hops: int = D
         sink.write(config.metric(rule), evaluated(rule, state, hops=hops))
 
 
-def index(config: Config, state: DataFrame, *, hops: int = DEFAULT_HOPS) -> DataFrame:
-    """What the anchors of all rules depend on."""
-    deepest = {kind: max((hops_of(r, hops) for r in config.rules if r.anchor == kind), default=0) for kind in KINDS}
-    used = [k for k in KINDS if any(r.anchor == k for r in config.rules)]
-    return union([dependencies(state, k, hops=deepest[k]) for k in used])
+def index(config: Config, state: DataFrame, *, hops: int = DEFAULT_HOPS, only: DataFrame | None = None) -> DataFrame:
+    """What the anchors of all rules, or those of ``only`` (anchor_kind, anchor_key), depend on."""
+    parts = []
+    for kind in [k for k in KINDS if any(r.anchor == k for r in config.rules)]:
+        own = None if only is None else only.where(F.col("anchor_kind") == kind).select("anchor_key")
+        parts.append(dependencies(state, kind, hops=max(hops_of(r, hops) for r in config.rules if r.anchor == kind), only=own))
+    return union(parts)
 
 
 def readers(config: Config) -> dict[str, list[str]]:
     """For each kind, the metrics that its objects can change without being their anchors."""
-    return {k: [config.metric(r) for r in config.rules if k in r.read_kinds()] for k in KINDS if k in set(OWNER_KINDS) | set(KINDS)}
+    return {k: [config.metric(r) for r in config.rules if k in r.read_kinds()] for k in KINDS}

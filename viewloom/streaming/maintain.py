@@ -76,15 +76,11 @@ class Maintainer:
         deps = self._read("deps", _DEPS, before)
         anchors = touched.select(F.col("kind").alias("anchor_kind"), object_key(F.col("namespace"), F.col("name")).alias("anchor_key"))
         hit = self._write("hit", affected(deps, touched).unionByName(anchors).distinct(), now, "anchor_kind string, anchor_key string")
-        self._write("deps", index(self.config, live, hops=self.hops), now, _DEPS)
-        key = object_key(F.col("namespace"), F.col("name"))
+        fresh = index(self.config, live, hops=self.hops, only=hit)
+        self._write("deps", replaced(deps, hit, fresh, ["anchor_kind", "anchor_key"]), now, _DEPS)
         for rule in self.config.rules:
             own = hit.where(F.col("anchor_kind") == rule.anchor).select("anchor_key")
-            # anchors that did not change are left out of the walk; owners of all kinds stay
-            other = live.where(F.col("kind") != rule.anchor)
-            marked = live.where(F.col("kind") == rule.anchor).withColumn("anchor_key", key).join(own, "anchor_key", "left_semi").drop("anchor_key")
-            source = live if rule.anchor in rule.sources() | rule.read_kinds() else other.unionByName(marked)
-            rows = evaluated(rule, source, hops=self.hops).join(own, "anchor_key", "left_semi")
+            rows = evaluated(rule, live, hops=self.hops, only=own)
             what, schema = f"series/{self.config.metric(rule)}", self._schema(rule.label_names())
             self._write(what, replaced(self._read(what, schema, before), own, rows, "anchor_key"), now, schema)
         self._done(now)
