@@ -7,6 +7,8 @@ distance. Everything is DataFrame and SQL functions, within rows but for the ref
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,19 +66,27 @@ def measured(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str | Non
     )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _shares(counts: Column) -> Column:
+    total = F.aggregate(counts, F.lit(0.0), lambda a, y: a + y)
+    return _let(F.nullif(total, F.lit(0.0)), lambda t: F.transform(counts, lambda x: x / t))
+
+
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance, to base 2, of two histograms (arrays of counts); null if one is empty."""
-    def total(x: Column) -> Column:
-        return F.nullif(F.aggregate(x, F.lit(0.0), lambda a, y: a + y), F.lit(0.0))
 
     def term(x: Column, m: Column) -> Column:
         return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 
-    def both(x: Column, y: Column) -> Column:
-        return F.struct(x.alias("x"), y.alias("y"))
+    def halves(s: Column) -> Column:
+        return _let((s["x"] + s["y"]) / 2, lambda m: (term(s["x"], m) + term(s["y"], m)) / 2)
 
-    shares = F.zip_with(F.transform(p, lambda x: x / total(p)), F.transform(q, lambda x: x / total(q)), both)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(shares, F.lit(0.0), lambda a, s: a + (term(s["x"], (s["x"] + s["y"]) / 2) + term(s["y"], (s["x"] + s["y"]) / 2)) / 2)))
+    shares = F.zip_with(_shares(p), _shares(q), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(shares, F.lit(0.0), lambda a, s: a + halves(s))))
 
 
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", min_words: int = 50, most_chars: float = 0.25, most_common: float = 0.6) -> DataFrame:
