@@ -25,6 +25,10 @@ START = "▁"
 STRETCH = 40
 #: Probability of a character that the vocabulary lacks, alike in all languages.
 UNKNOWN = 1e-7
+#: Base of the hashes of substrings.
+_BASE = 0x9E3779B97F4A7C15
+#: Slots of the hash table of pieces.
+_SLOTS = 1 << 18
 
 _workers: dict = {}
 
@@ -42,6 +46,30 @@ class Vocabulary:
         self.size = len(self.ids)
         self.longest = max(map(len, self.ids), default=1)
         self.words = regex.compile(r"\p{L}+").findall
+        # an open hash table of the pieces' hashes, to look up many substrings at once
+        self.powers = np.array([pow(_BASE, k, 1 << 64) for k in range(STRETCH + 2)], np.uint64)
+        self.inverse = np.array([pow(_BASE, -k, 1 << 64) for k in range(STRETCH + 2)], np.uint64)
+        self.keys, self.places = np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, -1, np.int32)
+        for piece, n in self.ids.items():
+            if len(piece) <= STRETCH + 1:
+                key = self.hashes([piece])[0, 0, -1]
+                slot = int(key & np.uint64(_SLOTS - 1))
+                while self.places[slot] >= 0:
+                    slot = (slot + 1) % _SLOTS
+                self.keys[slot], self.places[slot] = key, n
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        """Hashes of the substrings of words of one length: (words, start, length - 1); those beyond the end mean nothing."""
+        n = len(words[0])
+        codes = np.array(words, f"<U{n}").view("<u4").reshape(len(words), n).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            codes = (codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            sums = np.zeros((len(words), n + 1), np.uint64)
+            np.cumsum((codes ^ (codes >> np.uint64(29))) * self.powers[:n], axis=1, out=sums[:, 1:])
+            starts = np.arange(n)
+            ends = np.minimum(starts[:, None] + np.arange(1, min(n, self.longest) + 1), n)
+            found = (sums[:, ends] - sums[:, :n, None]) * self.inverse[:n, None]
+            return (found ^ (found >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
 
     def words_of(self, text: str) -> list[str]:
         """Lower-cased runs of letters, long ones in stretches."""
@@ -53,14 +81,24 @@ class Vocabulary:
     def lattice(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
         """For words of one length, marked with START: piece ids by (end, length); -1 is none, ``size`` unknown."""
         marked = [START + w for w in words]
-        get, n = self.ids.get, len(marked[0])
+        n = len(marked[0])
+        hashes = self.hashes(marked)
+        flat = hashes.ravel()
+        slots = (flat & np.uint64(_SLOTS - 1)).astype(np.int32)
+        ids = self.places[slots]
+        left = np.nonzero((ids >= 0) & (self.keys[slots] != flat))[0]  # slots that hold another piece
+        while len(left):
+            slots[left] = (slots[left] + 1) % _SLOTS
+            ids[left] = self.places[slots[left]]
+            left = left[(ids[left] >= 0) & (self.keys[slots[left]] != flat[left])]
+        ids = ids.reshape(hashes.shape)
+        ids[:, :, 0] = np.where(ids[:, :, 0] < 0, self.size, ids[:, :, 0])
+        some = (ids >= 0).any(axis=0)
         arcs = {}
         for end in range(1, n + 1):
             for length in range(1, min(end, self.longest) + 1):
-                none = self.size if length == 1 else -1
-                ids = np.fromiter((get(w[end - length : end], none) for w in marked), np.int64, len(marked))
-                if (ids >= 0).any():
-                    arcs[end, length] = ids
+                if some[end - length, length - 1]:
+                    arcs[end, length] = ids[:, end - length, length - 1]
         return arcs
 
 
@@ -84,8 +122,8 @@ def word_scores(vocabulary: Vocabulary, words: list[str], probs: np.ndarray) ->
     """Log likelihoods of words, (words, languages)."""
     out = np.zeros((len(words), probs.shape[1]))
     for n, at in _by_length(words).items():
-        for k in range(0, len(at), 4096):
-            own = at[k : k + 4096]
+        for k in range(0, len(at), 1024):
+            own = at[k : k + 1024]
             arcs = vocabulary.lattice([words[i] for i in own])
             out[own] = np.log(np.maximum(_forward(arcs, n + 1, probs, len(own))[-1], 1e-300))
     return out
@@ -171,7 +209,7 @@ class Scorer:
         self.scores = np.zeros((1024, len(languages)))
 
     def learn(self, words: set[str]) -> None:
-        new = list(words - self.places.keys())
+        new = [w for w in words if w not in self.places]
         need = len(self.places) + len(new)
         if need > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros((need, len(self.languages)))])
@@ -179,6 +217,8 @@ class Scorer:
         self.places.update(zip(new, range(len(self.places), need), strict=True))
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
+        if not self.languages:
+            return ["und"] * len(texts), [0.0] * len(texts)
         names, scores = [], []
         for at in range(0, len(texts), 64):
             part = [self.vocabulary.words_of((t or b"").decode("utf-8", "replace")) for t in texts[at : at + 64]]
@@ -188,7 +228,7 @@ class Scorer:
                     self.places = {}
                 self.learn(every)
             for words in part:
-                if not words or not self.languages:
+                if not words:
                     names.append("und")
                     scores.append(0.0)
                     continue
