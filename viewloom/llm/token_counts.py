@@ -2,13 +2,13 @@
 
 Two tiers, both on the map side, so that no pre-token is ever shuffled:
 
-1. a compact hash table ``pre-token -> number of tokens`` of the frequent pre-tokens, at most ``frequent`` entries,
-   made on the driver and broadcast;
+1. a compact hash table ``pre-token -> number of tokens`` of the pre-tokens of the most frequent words, found by bounded
+   sketches over all texts, made on the driver and broadcast (``frequent`` words at most);
 2. a cache in each Python worker, which outlives tasks and has a bound; its misses are encoded in batches by the
    tokenizer's own library.
 
-Which pre-tokens are frequent is a guess that only saves time: lengths always come from the library, so the counts do
-not depend on it. It is taken from a bounded sample of the texts (``sample_rows``).
+Which words are frequent is an estimate that only saves time: lengths always come from the library, so the counts do
+not depend on it.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ SPECIAL = "<|endoftext|>"
 #: Pre-tokens longer than this many characters are encoded, but not kept.
 LONGEST_KEPT = 64
 
+#: Groups of tasks whose sketches are merged.
+GROUPS = 64
+
 _workers: dict = {}
 
 
@@ -73,23 +76,25 @@ class Lengths:
         return total
 
 
-def frequent_lengths(docs: DataFrame, path: str, frequent: int, sample_rows: int) -> dict[str, int]:
-    """The first tier: lengths of the ``frequent`` most common pre-tokens of at most ``sample_rows`` texts.
+def frequent_lengths(docs: DataFrame, path: str, frequent: int, tracked: int) -> dict[str, int]:
+    """The first tier: lengths of the pre-tokens of about the ``frequent`` most common words of all texts.
 
-    Each text gives at most 16 kB to this table, which saves time and never changes a count.
+    Words are counted by sketches of bounded size, one for each task and then one for each of GROUPS groups of tasks, whose
+    most common words are added up here; only sketches are exchanged.
     """
     import regex
 
+    words = docs.select(F.explode(F.split("text", "[ \n]")).alias("word")).where((F.col("word") != "") & (F.length("word") <= LONGEST_KEPT))
+    parts = words.groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("part")).agg(F.expr(f"approx_top_k(word, {frequent}, {tracked})").alias("top"))
+    counts: Counter = Counter()
+    for (top,) in parts.select("top").toLocalIterator():  # GROUPS times ``frequent`` words at most
+        counts.update({r["item"]: r["count"] for r in top})
     split = regex.compile(PRE_TOKEN).findall
-    seen: Counter = Counter()
-    for (text,) in docs.where(F.col("text").isNotNull()).select(F.substring("text", 1, 16384)).limit(sample_rows).toLocalIterator():
-        seen.update(w for w in split(text) if len(w) <= LONGEST_KEPT)
-    lengths = Lengths(path, {}, 0)
-    words = [w for w, _ in seen.most_common(frequent)]
-    return {w: len(e.ids) for w, e in zip(words, lengths.encode(words, add_special_tokens=False), strict=True)}
+    found = list({p for word, _ in counts.most_common(frequent) for w in (word, " " + word) for p in split(w)})
+    return {w: len(e.ids) for w, e in zip(found, Lengths(path, {}, 0).encode(found, add_special_tokens=False), strict=True)}
 
 
-def token_counts(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", limit: int = 512, frequent: int = 20_000, sample_rows: int = 1_000, kept: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", limit: int = 512, frequent: int = 5_000, tracked: int = 20_000, kept: int = 400_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), a row for each row of ``docs``.
 
     A null text counts as empty: no bytes, no tokens, not over the limit. Rows with a null or repeated id are counted
@@ -98,7 +103,7 @@ def token_counts(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", id_co
     """
     path = tokenizer_file(tokenizer)
     texts = texts_of(docs, id_col, text_col)
-    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(texts, path, frequent, sample_rows))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(texts, path, frequent, tracked))
     mark = uuid.uuid4().hex  # workers outlive queries
 
     def count(ids: list, texts: list) -> list:
