@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from viewloom.llm.common import runs, stored, texts_of
 
@@ -42,6 +43,9 @@ STRETCH = 1 << 20
 #: Grams with more block contents than this are looked up window by window.
 CROWD = 20_000
 
+#: Blocks that a task holds to find copies among them.
+COMBINED = 400_000
+
 _BASE = 0x9E3779B97F4A7C15
 _workers: dict = {}
 
@@ -123,39 +127,59 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def block_rows(docs: DataFrame) -> DataFrame:
-    """(gram, whole, doc_id, at) of (doc_id, text, version); ``at`` packs first window, version, windows and the anchor's distance."""
-    from pyspark.sql.types import LongType, StructField, StructType
+    """(gram, whole, doc_id, at) of (doc_id, text, version).
 
+    ``at`` packs first window, version, windows and the anchor's distance. Of blocks of the same gram and bytes that a
+    task meets among COMBINED, all but the first are copies for sure: their ``at`` is inverted, and their gram, which they
+    need not meet others by, is exchanged for a spread one. So however common a block is, few of its rows come together.
+    """
     schema = StructType([StructField("gram", LongType()), StructField("whole", LongType()), docs.schema["doc_id"], StructField("at", LongType())])
     out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
+            texts, versions = batch.column(1).cast(pa.binary()), batch.column(2).to_numpy()
             parts: list[bytes] = []
             owners: list[tuple[int, int]] = []  # (row, first byte)
-            held = 0
-            texts = batch.column(1).cast(pa.binary())
-            versions = batch.column(2).to_numpy()
+            size = 0
             for row in range(batch.num_rows):
                 text = texts[row].as_py()
                 for base in range(0, max(1, len(text) - LENGTH + 1), STRETCH):
                     parts.append(text[base : base + STRETCH + LENGTH - 1])
                     owners.append((row, base))
-                    held += len(parts[-1])
-                    if held >= 1 << 19:
-                        yield rows(batch, parts, owners, versions)
-                        parts, owners, held = [], [], 0
+                    size += len(parts[-1])
+                    if size >= 1 << 19:
+                        held.append(rows(batch.column(0), parts, owners, versions))
+                        parts, owners, size = [], [], 0
             if parts:
-                yield rows(batch, parts, owners, versions)
-
-    def rows(batch, parts, owners, versions):
+                held.append(rows(batch.column(0), parts, owners, versions))
+            if sum(len(h[0]) for h in held) >= COMBINED:
+                yield combined(held)
+                held = []
+        if held:
+            yield combined(held)
+
+    def rows(ids, parts, owners, versions):
         ends = np.cumsum([len(p) for p in parts])
         first, n, place, gram, whole = blocks(b"".join(parts), ends)
         part = np.searchsorted(ends, first, "right")
         starts = np.concatenate(([0], ends[:-1]))
         row, base = np.array(owners, np.int64).T
         at = ((first - starts[part] + base[part]) << 28) | (versions[row[part]].astype(np.int64) << 12) | ((n - 1) << 6) | (place - first)
-        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(whole), batch.column(0).take(pa.array(row[part])), pa.array(at)], schema=out)
+        return gram, whole, at, ids.take(pa.array(row[part]))
+
+    def combined(held):
+        gram, whole, at = (np.concatenate([h[k] for h in held]) for k in range(3))
+        ids = pa.chunked_array([h[3] for h in held]).combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        rank = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        order = np.lexsort((at, rank, whole, gram))
+        same = np.concatenate(([False], _same(gram[order]) & _same(whole[order])))
+        again = same & np.concatenate(([False], _same(at[order]) & _same(rank[order])))  # one row of ``docs`` that stands twice
+        order, same = order[~again], same[~again]
+        spread = np.where(same, at[order] ^ (rank[order] << 7), gram[order])
+        return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.where(same, 0, whole[order])), ids.take(pa.array(order)), pa.array(np.where(same, ~at[order], at[order]))], schema=out)
 
     return docs.mapInArrow(run, schema)
 
@@ -173,6 +197,13 @@ def sifted(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
+            marked = table.column("at").to_numpy() < 0
+            if marked.any():
+                known = table.filter(pa.array(marked)).combine_chunks()
+                yield pa.RecordBatch.from_arrays([known.column("gram").chunk(0), known.column("doc_id").chunk(0), pa.array(~known.column("at").to_numpy()), pa.array(np.ones(known.num_rows, bool))], schema=out)
+            table = table.filter(pa.array(~marked)).combine_chunks()
+            if not table.num_rows:
+                continue
             before = held is not None
             if before:
                 table = pa.concat_tables([held["last"], held["first"], table]).combine_chunks()
@@ -189,16 +220,15 @@ def sifted(rows: DataFrame) -> DataFrame:
             near = _same(gram[firsts])
             crowd = np.concatenate(([before and held["crowd"]], near)) | np.concatenate((near, [False]))
             shown = firsts[:-1][crowd[:-1]]
-            out = np.concatenate([copies, shown])
-            yield table.select(["gram", "doc_id", "at"]).take(pa.array(out)).append_column("copy", pa.array(np.arange(len(out)) < len(copies))).combine_chunks().to_batches()[0] if len(out) else empty
+            taken = np.concatenate([copies, shown])
+            yield table.select(["gram", "doc_id", "at"]).take(pa.array(taken)).append_column("copy", pa.array(np.arange(len(taken)) < len(copies))).combine_chunks().to_batches()[0] if len(taken) else empty
             held = {"last": table.slice(table.num_rows - 1), "first": table.slice(int(firsts[-1]), 1), "crowd": bool(crowd[-1])}
         if held is not None and held["crowd"]:
             yield held["first"].select(["gram", "doc_id", "at"]).append_column("copy", pa.array([False])).combine_chunks().to_batches()[0]
 
-    from pyspark.sql.types import BooleanType, StructField, StructType
-
-    schema = StructType([rows.schema["gram"], rows.schema["doc_id"], rows.schema["at"], StructField("copy", BooleanType())])
-    empty = pa.RecordBatch.from_arrays([pa.array([], f.type) for f in to_arrow_schema(schema)], schema=to_arrow_schema(schema))
+    schema = StructType([*(rows.schema[c] for c in ("gram", "doc_id", "at")), StructField("copy", BooleanType())])
+    out = to_arrow_schema(schema)
+    empty = pa.RecordBatch.from_arrays([pa.array([], f.type) for f in out], schema=out)
     return rows.repartition("gram").sortWithinPartitions("gram", "whole", "doc_id", "at").mapInArrow(run, schema)
 
 
