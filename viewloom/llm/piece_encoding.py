@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,16 @@ STRETCHES = re.compile(r"\n| +[^ \n]*|[^ \n]+").findall
 #: Longer stretches are encoded, but not kept.
 LONGEST_KEPT = 48
 
+_MASK = (1 << 64) - 1
+#: The score of two symbols that no piece joins; lower scores are better.
+_NONE = float("inf")
 _workers: dict = {}
 
 
 class Codec:
     """Encodes and decodes with one model; keeps encoded stretches up to a bound."""
 
-    def __init__(self, path: str, dropout: float, seed: int, kept: int = 300_000):
+    def __init__(self, path: str, dropout: float, seed: int, kept: int = 400_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -47,16 +52,61 @@ class Codec:
         self.raw = [p.replace(SPACE_MARK, " ").encode() for p in pieces]
         for b, i in enumerate(self.byte_ids):
             self.raw[i] = bytes([b])
+        self.joins = {a + b for p in self.ids for a, b in pairwise(p)}  # neighbours that some piece holds
         self.limit = int(dropout * 2**64)
         self.seed, self.kept = seed, kept
-        self.caches: dict[int, dict[str, bytes]] = {}
-
-    def skipped(self, left: str, right: str, place: int, variant: int) -> bool:
-        """Whether a candidate merge is dropped."""
-        return xxhash.xxh64_intdigest(f"{left}\0{right}\0{place}\0{variant}", self.seed) < self.limit
+        self.caches: dict[int, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+
+    def skipped(self, key: int, piece: str, place: int) -> bool:
+        """Whether the candidate merge to ``piece`` at ``place`` is dropped; ``key`` is the keyed hash of stretch and variant."""
+        x = (key + self.ids[piece] * 0x9E3779B97F4A7C15 + place * 0xD6E8FEB86659FD93) & _MASK
+        x = ((x ^ (x >> 31)) * 0x94D049BB133111EB) & _MASK
+        return x ^ (x >> 29) < self.limit
+
+    def divided(self, text: str, variant: int, new: dict[str, bytes], old: dict[str, bytes]) -> bytes:
+        """Ids of one stretch, divided where no piece reaches over, since its parts are met more often."""
+        if text.lstrip(" ").isalpha():  # mostly joined throughout
+            return self.stretch(text, variant)
+        marked, joins = text.replace(" ", SPACE_MARK), self.joins
+        cuts = [k for k, pair in enumerate(pairwise(marked), 1) if pair[0] + pair[1] not in joins]
+        if not cuts or len(text) > LONGEST_KEPT or SPACE_MARK in text:
+            return self.stretch(text, variant)
+        out = []
+        for first, last in pairwise([0, *cuts, len(text)]):
+            part = text[first:last]
+            ids = new.get(part) or old.get(part)
+            if ids is None:
+                ids = new[part] = self.stretch(part, variant)
+            out.append(ids)
+        return b"".join(out)
 
     def stretch(self, text: str, variant: int) -> bytes:
-        """Ids of one stretch, as 32-bit integers. Marks of spaces that stand in the text itself go to bytes."""
+        """Ids of one stretch, as 32-bit integers."""
+        key = xxhash.xxh64_intdigest(f"{variant}\0{text}", self.seed) if self.limit else 0
+        if len(text) > LONGEST_KEPT or SPACE_MARK in text:
+            return self.long_stretch(text, key)
+        get, skipped = self.scores.get, self.limit and self.skipped
+        symbols = list(text.replace(" ", SPACE_MARK))
+        scores = [get(a + b, _NONE) for a, b in pairwise(symbols)]
+        while scores and (best := min(scores)) is not _NONE:
+            i = scores.index(best)  # the leftmost of equals
+            piece = symbols[i] + symbols[i + 1]
+            if skipped and skipped(key, piece, 64 * i + len(scores)):
+                scores[i] = _NONE
+                continue
+            symbols[i : i + 2] = [piece]
+            del scores[i]
+            if i < len(scores):
+                scores[i] = get(piece + symbols[i + 1], _NONE)
+            if i:
+                scores[i - 1] = get(symbols[i - 1] + piece, _NONE)
+        out = list(map(self.ids.get, symbols))
+        if None in out:
+            out = [x for s, i in zip(symbols, out, strict=True) for x in ([i] if i is not None else [self.byte_ids[b] for b in s.encode()])]
+        return array("i", out).tobytes()
+
+    def long_stretch(self, text: str, key: int) -> bytes:
+        """The same with an agenda that suits any length. Marks of spaces that stand in the text itself go to bytes."""
         symbols: list[str | None] = [SPACE_MARK if c == " " else c for c in text]
         n = len(symbols)
         literal = {i for i, c in enumerate(text) if c == SPACE_MARK}
@@ -73,7 +123,7 @@ class Codec:
             _, i, left, right = heapq.heappop(agenda)
             if symbols[i] is not left or (j := after[i]) >= n or symbols[j] is not right:
                 continue  # one of the two has changed
-            if limit and self.skipped(left, right, i, variant):
+            if limit and self.skipped(key, left + right, i):
                 continue
             symbols[i], symbols[j] = left + right, None
             after[i] = k = after[j]
@@ -103,19 +153,17 @@ class Codec:
         """Ids of a whole text; none for an empty one."""
         if not text:
             return np.zeros(0, np.int32)
-        cache = self.caches.setdefault(variant, {})
+        new, old = self.caches.setdefault(variant, ({}, {}))
         parts = STRETCHES(" " + text)
-        found = list(map(cache.get, parts))
+        found = list(map(new.get, parts))
         if None in found:
-            if len(cache) * len(self.caches) > self.kept:
-                cache.clear()
+            if len(new) > self.kept // len(self.caches):  # what was not met since the last time goes
+                new, old = self.caches[variant] = ({}, new)
             for i, part in enumerate(parts):
                 if found[i] is None:
-                    ids = cache.get(part)
-                    if ids is None:
-                        ids = self.stretch(part, variant)
-                        if len(part) <= LONGEST_KEPT:
-                            cache[part] = ids
+                    ids = new.get(part) or old.get(part) or self.divided(part, variant, new, old)
+                    if len(part) <= LONGEST_KEPT:
+                        new[part] = ids
                     found[i] = ids
         return np.frombuffer(b"".join(found), "<i4")
 
