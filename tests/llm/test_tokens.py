@@ -44,3 +44,32 @@ def test_pieces_with_dropout(docs_of, maker):
     assert all(r.n_tokens == len(r.ids or []) for r in got)
     assert sorted(map(repr, ((r.doc_id, r.text) for r in piece_decoding(encoded).collect()))) == sorted(map(repr, rows))
     assert piece_encoding(docs_of([])).count() == 0
+
+
+def test_every_occurrence_has_draws_of_its_own(maker):
+    codec = Codec(tokenizer_file("piece_bpe_32k.model"), 0.1, 7)
+    rng = maker.rng
+
+    def drawn(text):  # candidate by candidate
+        symbols, skipped = list(text.replace(" ", "▁")), set()
+        while True:
+            found = [(codec.scores[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if a + b in codec.scores and i not in skipped]
+            if not found:
+                return tuple(symbols)
+            _, i = min(found)
+            if rng.random() < 0.1:
+                skipped.add(i)
+            else:
+                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+                skipped = {k if k < i else k - 1 for k in skipped if k not in (i - 1, i, i + 1)}
+
+    n = 8000
+    for word in ("of", "the", "house", "(end),"):
+        whole = codec.cut(" " + word)
+        each = [tuple(codec.raw[x].decode() for x in codec.encode(word, k).tolist()) for k in range(n)]
+        want = [tuple(s.replace("▁", " ") for s in drawn(" " + word)) for _ in range(n)]
+        assert whole[0] and abs(sum(len(x) == len(whole[1]) // 4 for x in each) / n - sum(len(x) == len(whole[1]) // 4 for x in want) / n) < 0.03
+        for cut in {*each, *want}:
+            assert abs(each.count(cut) - want.count(cut)) < 6 * (each.count(cut) + want.count(cut) + 1) ** 0.5, (word, cut)
+        inside = codec.encode(" ".join([word] * n)).tolist()  # and within one document
+        assert abs(len(inside) / sum(map(len, want)) - 1) < 0.03

@@ -1,18 +1,21 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 Pieces come from a public BPE model with byte fallback. As in the model's own encoder, candidate merges wait on an
-agenda, best score first and the leftmost of equals; a candidate that comes up is skipped if a keyed hash of the seed,
-the variant, the two pieces and the place says so. A skipped candidate returns only when a neighbour has changed. A
-document's variant is a hash of its id, so the same word is cut in several ways over the corpus, always the same way for
-the same seed. Without dropout the result is the model's own encoding.
+agenda, best score first and the leftmost of equals; each candidate that comes up is skipped with the chance of dropout.
+A skipped candidate returns only when a neighbour has changed. Draws are keyed by the seed, the document's id and the
+place in the document, so every occurrence of a word is cut by draws of its own, always the same ones for the same seed.
+Without dropout the result is the model's own encoding.
 
 No piece reaches over a space that follows other characters, or holds a line feed, so stretches between them are encoded
-on their own and kept in a bounded cache.
+on their own. What a stretch becomes depends only on which of its candidates, by order of coming up, are skipped; that
+is kept in a bounded cache. A draw tells how many candidates pass before the next one skipped (a geometric number), so an
+occurrence takes one draw more than it has skips, and those that are long are encoded candidate by candidate.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from array import array
 from itertools import pairwise
@@ -29,6 +32,8 @@ SPACE_MARK = "▁"
 STRETCHES = re.compile(r"\n| +[^ \n]*|[^ \n]+").findall
 #: Longer stretches are encoded, but not kept.
 LONGEST_KEPT = 48
+#: Stretches of a text that are encoded together.
+TOGETHER = 1 << 16
 
 _MASK = (1 << 64) - 1
 #: The score of two symbols that no piece joins; lower scores are better.
@@ -39,7 +44,7 @@ _workers: dict = {}
 class Codec:
     """Encodes and decodes with one model; keeps encoded stretches up to a bound."""
 
-    def __init__(self, path: str, dropout: float, seed: int, kept: int = 400_000):
+    def __init__(self, path: str, dropout: float, seed: int, kept: int = 200_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -54,46 +59,67 @@ class Codec:
             self.raw[i] = bytes([b])
         self.joins = {a + b for p in self.ids for a, b in pairwise(p)}  # neighbours that some piece holds
         self.limit = int(dropout * 2**64)
+        self.log_pass = math.log1p(-dropout) if dropout < 1 else -math.inf
         self.seed, self.kept = seed, kept
-        self.caches: dict[int, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+        self.new: dict = {}
+        self.old: dict = {}
 
     def skipped(self, key: int, piece: str, place: int) -> bool:
-        """Whether the candidate merge to ``piece`` at ``place`` is dropped; ``key`` is the keyed hash of stretch and variant."""
+        """Whether the candidate merge to ``piece`` at ``place`` of a long stretch is dropped; ``key`` is that of the stretch."""
         x = (key + self.ids[piece] * 0x9E3779B97F4A7C15 + place * 0xD6E8FEB86659FD93) & _MASK
         x = ((x ^ (x >> 31)) * 0x94D049BB133111EB) & _MASK
         return x ^ (x >> 29) < self.limit
 
-    def divided(self, text: str, variant: int, new: dict[str, bytes], old: dict[str, bytes]) -> bytes:
-        """Ids of one stretch, divided where no piece reaches over, since its parts are met more often."""
+    def passing(self, key: int, turn: int, first: int, n: int) -> list[int]:
+        """For ``n`` places of the document with ``key``, from ``first`` on: how many candidates pass before one is skipped, for the draw ``turn``."""
+        x = np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((key + turn * 0xD6E8FEB86659FD93) & _MASK)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) + 1
+        return np.minimum(np.log(u * 2.0**-53) / self.log_pass, 1e9).astype(np.int64).tolist()
+
+    def cut(self, text: str, skips: tuple[int, ...] = ()) -> tuple[int, bytes]:
+        """How many candidates come up in a stretch when those numbered ``skips`` are skipped, and its ids."""
+        name = (text, skips) if skips else text
+        found = self.new.get(name) or self.old.get(name)
+        if found is None:
+            found = self.divided(text, skips)
+        if len(self.new) > self.kept:  # what was not met since the last time goes
+            self.new, self.old = {}, self.new
+        self.new[name] = found
+        return found
+
+    def divided(self, text: str, skips: tuple[int, ...]) -> tuple[int, bytes]:
+        """The same, divided where no piece reaches over, since the parts are met more often."""
         if text.lstrip(" ").isalpha():  # mostly joined throughout
-            return self.stretch(text, variant)
+            return self.stretch(text, skips)
         marked, joins = text.replace(" ", SPACE_MARK), self.joins
         cuts = [k for k, pair in enumerate(pairwise(marked), 1) if pair[0] + pair[1] not in joins]
-        if not cuts or len(text) > LONGEST_KEPT or SPACE_MARK in text:
-            return self.stretch(text, variant)
-        out = []
+        if not cuts:
+            return self.stretch(text, skips)
+        out, before, left = [], 0, list(skips)
         for first, last in pairwise([0, *cuts, len(text)]):
-            part = text[first:last]
-            ids = new.get(part) or old.get(part)
-            if ids is None:
-                ids = new[part] = self.stretch(part, variant)
+            own: tuple[int, ...] = ()
+            n, ids = self.cut(text[first:last])
+            while left and left[0] - before < n:
+                own += (left.pop(0) - before,)
+                n, ids = self.cut(text[first:last], own)
+            before += n
             out.append(ids)
-        return b"".join(out)
-
-    def stretch(self, text: str, variant: int) -> bytes:
-        """Ids of one stretch, as 32-bit integers."""
-        key = xxhash.xxh64_intdigest(f"{variant}\0{text}", self.seed) if self.limit else 0
-        if len(text) > LONGEST_KEPT or SPACE_MARK in text:
-            return self.long_stretch(text, key)
-        get, skipped = self.scores.get, self.limit and self.skipped
+        return before, b"".join(out)
+
+    def stretch(self, text: str, skips: tuple[int, ...]) -> tuple[int, bytes]:
+        """The same, undivided; ids are 32-bit integers."""
+        get, n = self.scores.get, 0
         symbols = list(text.replace(" ", SPACE_MARK))
         scores = [get(a + b, _NONE) for a, b in pairwise(symbols)]
         while scores and (best := min(scores)) is not _NONE:
             i = scores.index(best)  # the leftmost of equals
-            piece = symbols[i] + symbols[i + 1]
-            if skipped and skipped(key, piece, 64 * i + len(scores)):
+            n += 1
+            if n - 1 in skips:
                 scores[i] = _NONE
                 continue
+            piece = symbols[i] + symbols[i + 1]
             symbols[i : i + 2] = [piece]
             del scores[i]
             if i < len(scores):
@@ -103,10 +129,10 @@ class Codec:
         out = list(map(self.ids.get, symbols))
         if None in out:
             out = [x for s, i in zip(symbols, out, strict=True) for x in ([i] if i is not None else [self.byte_ids[b] for b in s.encode()])]
-        return array("i", out).tobytes()
+        return n, array("i", out).tobytes()
 
     def long_stretch(self, text: str, key: int) -> bytes:
-        """The same with an agenda that suits any length. Marks of spaces that stand in the text itself go to bytes."""
+        """Ids with an agenda that suits any length. Marks of spaces that stand in the text itself go to bytes."""
         symbols: list[str | None] = [SPACE_MARK if c == " " else c for c in text]
         n = len(symbols)
         literal = {i for i, c in enumerate(text) if c == SPACE_MARK}
@@ -149,23 +175,34 @@ class Codec:
                 out.append(piece)
         return np.array(out, "<i4").tobytes()
 
-    def encode(self, text: str, variant: int = 0) -> np.ndarray:
-        """Ids of a whole text; none for an empty one."""
+    def encode(self, text: str, document: object = 0) -> np.ndarray:
+        """Ids of a whole text, by the draws of ``document``; none for an empty one."""
         if not text:
             return np.zeros(0, np.int32)
-        new, old = self.caches.setdefault(variant, ({}, {}))
         parts = STRETCHES(" " + text)
-        found = list(map(new.get, parts))
-        if None in found:
-            if len(new) > self.kept // len(self.caches):  # what was not met since the last time goes
-                new, old = self.caches[variant] = ({}, new)
-            for i, part in enumerate(parts):
-                if found[i] is None:
-                    ids = new.get(part) or old.get(part) or self.divided(part, variant, new, old)
-                    if len(part) <= LONGEST_KEPT:
-                        new[part] = ids
-                    found[i] = ids
-        return np.frombuffer(b"".join(found), "<i4")
+        key = xxhash.xxh64_intdigest(str(document), self.seed) if self.limit else 0
+        out: list[bytes] = []
+        for first in range(0, len(parts), TOGETHER):
+            self.encode_parts(parts[first : first + TOGETHER], key, first, out)
+        return np.frombuffer(b"".join(out), "<i4")
+
+    def encode_parts(self, parts: list[str], key: int, first: int, out: list[bytes]) -> None:
+        """Adds the ids of stretches, of which the first is at place ``first`` of the document with ``key``."""
+        turns = [self.passing(key, 0, first, len(parts)) if self.limit else [_NONE] * len(parts)]
+        for i, (part, found, passed) in enumerate(zip(parts, map(self.new.get, parts), turns[0], strict=True)):
+            if found is None:
+                if len(part) > LONGEST_KEPT or SPACE_MARK in part:
+                    out.append(self.long_stretch(part, xxhash.xxh64_intdigest(f"{key}\0{first + i}", self.seed)))
+                    continue
+                found = self.cut(part)
+            skips: tuple[int, ...] = ()
+            while passed < found[0]:
+                skips += (passed,)
+                found = self.cut(part, skips)
+                if len(skips) == len(turns):
+                    turns.append(self.passing(key, len(skips), first, len(parts)))
+                passed += 1 + turns[len(skips)][i]
+            out.append(found[1])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids, without the space that encoding put before it."""
@@ -181,14 +218,14 @@ def _codec(path: str, dropout: float, seed: int) -> Codec:
     return _workers[key]
 
 
-def piece_encoding(docs: DataFrame, *, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 7, variants: int = 4) -> DataFrame:
+def piece_encoding(docs: DataFrame, *, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 7) -> DataFrame:
     """(doc_id, ids, n_tokens, lossless), a row for each row of ``docs``.
 
     ``lossless`` says that decoding the ids gave back the text byte for byte. A null text has null ids, no tokens and is
     lossless; an empty one has no ids. With ``dropout`` 0 the ids are those of the model's own encoder, but that a space
-    mark in the text itself goes to bytes, to come back as it was. The variant of a document is a hash of its id (a null
-    id's too) modulo ``variants``. Texts of any length are encoded whole. Equal rows get equal results; other columns
-    are left out; an empty table gives an empty result.
+    mark in the text itself goes to bytes, to come back as it was. Draws are keyed by a document's id (a null id's too)
+    and the place in it. Texts of any length are encoded whole. Equal rows get equal results; other columns are left
+    out; an empty table gives an empty result.
     """
     path = tokenizer_file(model)
 
@@ -200,7 +237,7 @@ def piece_encoding(docs: DataFrame, *, model: str = "piece_bpe_32k.model", id_co
                 found.append(None)
                 lossless.append(True)
                 continue
-            own = codec.encode(text.decode("utf-8", "replace"), xxhash.xxh64_intdigest(str(doc_id), seed) % variants if dropout else 0)
+            own = codec.encode(text.decode("utf-8", "replace"), doc_id)
             found.append(own)
             lossless.append(codec.decode(own) == text)
         return [ids, pa.array(found, pa.list_(pa.int32())), [0 if x is None else len(x) for x in found], lossless]
