@@ -155,3 +155,23 @@ def test_surrogates(docs_of):
     assert texts[6] is None and texts[7] == "" and texts[8] == "clean 12 text 3.14"
     assert pseudonymised(docs_of([])).count() == 0
     assert {r.text for r in pseudonymised(docs_of(rows[:1]), key="other").collect()} != {first}
+
+
+def test_surrogates_by_entity(docs_of):
+    rows = [
+        (1, "4944339490429605 and 4944 3394 9042 9605; Bob@X.org, bob@x.org; +1 (386) 555-3733, +1 386 555 3733; DE89370400440532013000 DE89 3704 0044 0532 0130 00"),
+        (2, "Mr John Smith came. Mr Smith left; John Smith, not Johnny Smith, and Dr Smith stayed."),
+        (3, "Mr Lee met Mrs Lee and Mrs Anna Lee"), (4, "Dr. John Smith, 4944-3394-9042-9605"), (5, "Mr Smith alone"),
+    ]
+    texts = {r.doc_id: (r.text, r.n_entities) for r in pseudonymised(docs_of(rows)).collect()}
+    a, b, c, d, e, f, g, h = re.fullmatch(r"(\d{16}) and (\d{4} \d{4} \d{4} \d{4}); ([A-Z][a-z]{2}@[A-Z]\.org), ([a-z]{3}@[a-z]\.org); (\+1 \(\d{3}\) \d{3}-\d{4}), (\+1 \d{3} \d{3} \d{4}); (DE\d{20}) (DE\d\d(?: \d{4}){4} \d\d)", texts[1][0]).groups()
+    digits = lambda t: re.sub(r"\D", "", t)
+    assert a == digits(b) and luhn(a) and c.lower() == d and digits(e) == digits(f) and g == h.replace(" ", "") and texts[1][1] == 8
+    full, title, untitled, doctor = re.fullmatch(r"Mr (\w+ \w+) came\. Mr (\w+) left; (\w+ \w+), not Johnny Smith, and Dr (\w+) stayed\.", texts[2][0]).groups()
+    assert full == untitled != "John Smith" and title == doctor == full.split()[1] and full.split()[0][-1] == "n" and texts[2][1] == 4
+    he, she, anna = re.fullmatch(r"Mr (\w+) met Mrs (\w+) and Mrs (\w+ \w+)", texts[3][0]).groups()
+    assert he[-1] == "n" and he != she == anna.split()[1] and anna.split()[0][-1] == "a"
+    assert texts[4][0] == f"Dr. {full}, {'-'.join(b.split())}" and "Smith" not in texts[5][0] and texts[5][1] == 1
+    two = {r.text for r in pseudonymised(docs_of([(1, "Mr Lee met Mrs Lee")])).collect()}.pop()
+    he, she = re.fullmatch(r"Mr (\w+) met Mrs (\w+)", two).groups()
+    assert he[-1] == "n" and she[-1] == "a" and he != she

@@ -1,13 +1,17 @@
 """Personal data and secrets replaced by keyed surrogates.
 
-1. One pattern finds entities; its kind and a canonical value name an entity, so that every mention of it, in any
-   document, is the same one.
-2. Each entity draws a surrogate from a keyed hash of kind, value and attempt: of the same format (digits for digits,
+1. One pattern finds mentions. Kind, canonical value and gender name an entity, so that every mention of it, in any
+   document, is the same one: e-mail addresses in lower case, cards and telephone numbers by their digits, IBANs without
+   spaces. Within a document a title with one word of just one full name that suits is that person, and a full name
+   that has a title somewhere is found without one too. A title that tells no gender takes that of the same name in the
+   document, or else in all documents, if there is just one.
+2. Each entity draws a surrogate from a keyed hash of kind, value, gender and attempt: of the same format (digits for digits,
    letters of the same script and case for letters, valid check digits, octets of the same length), and for names of the
    same gender and script.
 3. Collision checks: surrogates that two entities drew, that an earlier entity holds, or that are some entity's own
    value are drawn again, until all are distinct.
-4. Mentions are exchanged where they stand; what lies between them stays byte for byte.
+4. Mentions are exchanged where they stand, each in its own format (spaces, punctuation, case, one word of a name); what
+   lies between them stays byte for byte.
 
 Everything is DataFrame and SQL functions.
 """
@@ -16,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewloom.llm.common import stored
@@ -65,7 +69,7 @@ def _pick(letters: str, v: Column) -> Column:
     return F.substring(F.lit(letters), F.pmod(v, F.lit(len(letters))).cast("int") + 1, F.lit(1))
 
 
-def _alike(value: Column, hexed: Column, keep: int = 0) -> Column:
+def _alike(value: Column, hexed: Column, keep: int | Column = 0) -> Column:
     """Other characters of the same class, but for the first ``keep``."""
 
     def other(c: Column, i: Column) -> Column:
@@ -146,39 +150,85 @@ def _name(value: Column, gender: Column, hexed: Column) -> Column:
     return F.when(value.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
 
+def _canonical(kind: Column, value: Column) -> Column:
+    """What all mentions of an entity share."""
+    return (
+        F.when(kind == "email", F.lower(value)).when(kind == "phone", F.regexp_replace(value, "[^+0-9]", ""))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(value, "[^0-9]", "")).when(kind == "iban", F.regexp_replace(value, " ", "")).otherwise(value)
+    )
+
+
+def _rendered(kind: Column, value: Column, entity: Column, surrogate: Column) -> Column:
+    """An entity's surrogate in the format of the mention ``value``."""
+    drawn_ = _letters(F.when(kind == "email", surrogate).otherwise(F.regexp_replace(surrogate, r"\+", "")))
+
+    def cased(c: Column, i: Column) -> Column:
+        new = F.coalesce(F.get(drawn_, i), F.lit(""))
+        return F.when(c.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
+
+    def step(a: Column, c: Column) -> Column:
+        takes = c.rlike("[0-9A-Z]")
+        return F.struct(F.concat(a["s"], F.when(takes, F.coalesce(F.get(drawn_, a["k"]), F.lit(""))).otherwise(c)).alias("s"), (a["k"] + takes.cast("int")).alias("k"))
+
+    spread = F.aggregate(_letters(value), F.struct(F.lit("").alias("s"), F.lit(0).alias("k")), step)["s"]
+    return F.when(value == entity, surrogate).when(kind == "email", F.array_join(F.transform(_letters(value), cased), "")).when(kind.isin("phone", "card", "ssn", "iban"), spread).otherwise(surrogate)
+
+
+def _persons(names: DataFrame) -> DataFrame:
+    """Mentions of names with the ``entity`` and ``gender`` of the person and the word ``part`` of the name that they hold, 0 for all."""
+    own = Window.partitionBy("__id", "__version")
+    told = F.collect_set(F.nullif("gender", F.lit("")))
+    names = names.join(names.groupBy("value").agg(told.alias("anywhere")), "value").withColumn("here", told.over(Window.partitionBy("__id", "__version", "value")))
+    one = lambda xs: F.when(F.size(xs) == 1, F.get(xs, F.lit(0)))
+    known = F.when(F.col("gender") != "", F.col("gender")).otherwise(F.coalesce(one(F.col("here")), F.when(F.size("here") == 0, one(F.col("anywhere"))), F.lit("")))
+    names = names.withColumn("known", known)
+    full = F.col("value").contains(" ")
+    names = names.withColumn("fulls", F.collect_set(F.when(full, F.struct("value", F.col("known").alias("gender")))).over(own))
+
+    def suits(word: int) -> Column:
+        def test(x: Column) -> Column:
+            return (F.get(F.split(x["value"], " "), F.lit(word - 1)) == F.col("value")) & ((F.col("gender") == "") | (x["gender"] == "") | (x["gender"] == F.col("gender")))
+
+        return F.filter("fulls", test)
+
+    names = names.withColumns({"by2": suits(2), "by1": suits(1)})
+    part = F.when(full, 0).when(F.size("by2") == 1, 2).when((F.size("by2") == 0) & (F.size("by1") == 1), 1).otherwise(0)
+    names = names.withColumn("part", part)
+    of = F.when(F.col("part") == 2, F.get("by2", F.lit(0))).when(F.col("part") == 1, F.get("by1", F.lit(0)))
+    return names.select("__id", "__version", "__i", "kind", "before", "value", F.coalesce(of["value"], "value").alias("entity"), F.coalesce(of["gender"], "known").alias("gender"), F.lit(0).alias("keep"), "part")
+
+
 def drawn(entities: DataFrame, key: str) -> DataFrame:
-    """``entities`` (kind, value, gender, attempt) with a surrogate each."""
-    seed = F.concat_ws("\0", F.lit(key), "kind", "value", F.col("attempt").cast("string"))
+    """``entities`` (kind, value, gender, keep, attempt) with a surrogate each; ``keep`` characters of a telephone number stay."""
+    seed = F.concat_ws("\0", F.lit(key), "kind", "value", "gender", F.col("attempt").cast("string"))
     hexed = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\0more")), 512))
     rows = entities.withColumn("hexed", hexed)
     v, h, kind = F.col("value"), F.col("hexed"), F.col("kind")
     hexlike = F.array_join(F.transform(_letters(v), lambda c, i: _pick("0123456789abcdef", _bytes_of(h, i))), "")
-    phone = F.length(F.regexp_extract(v, r"\A(\+\d{1,3}(?=[ .(-]))?", 0))
-    keep_phone = F.concat(F.substring(v, F.lit(1), phone), _alike(F.substring(v, phone + 1, F.length(v)), h))
     domain = F.regexp_extract(v, r"(\.[^.@]+)\z", 1)
     email = F.concat(_alike(F.substring(v, F.lit(1), F.length(v) - F.length(domain)), h), domain)
     found = (
         F.when(kind == "email", email).when(kind == "secret", F.when(v.rlike(r"\A[0-9a-f]+\z"), hexlike).otherwise(_alike(v, h)))
         .when(kind == "access key", _alike(v, h, keep=4)).when(kind == "iban", _iban(_alike(v, h, keep=2)))
-        .when(kind == "phone", keep_phone).when(kind == "ssn", F.concat((F.lit(1) + F.pmod(_bytes_of(h, F.lit(127)), F.lit(5))).cast("string"), F.substring(_alike(v, h), 2, 20)))
+        .when(kind == "phone", _alike(v, h, keep=F.col("keep"))).when(kind == "ssn", F.concat((F.lit(1) + F.pmod(_bytes_of(h, F.lit(127)), F.lit(5))).cast("string"), F.substring(_alike(v, h), 2, 20)))
         .when(kind == "card", _card(_alike(v, h, keep=1))).when(kind == "ip", _ip(v, h, F.col("attempt"))).otherwise(_name(v, F.col("gender"), h))
     )
     return rows.withColumn("surrogate", found).drop("hexed")
 
 
 def surrogates(entities: DataFrame, key: str, *, rounds: int = 12) -> DataFrame:
-    """(kind, value, surrogate) for distinct (kind, value, gender): distinct surrogates, none of them a value in use."""
+    """(kind, value, gender, surrogate) for distinct (kind, value, gender): distinct surrogates, none of them a value in use."""
     todo = stored(entities.withColumn("attempt", F.lit(0)), "entities")
     values = todo.select(F.col("kind"), F.col("value").alias("surrogate"))
     done = None
     for _ in range(rounds):
         tried = drawn(todo, key)
         taken = values if done is None else values.unionByName(done.select("kind", "surrogate"))
-        # of those that drew the same, the one of the least value holds it, unless it is taken
-        holders = tried.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).join(taken, ["kind", "surrogate"], "left_anti")
-        held = stored(tried.join(holders.withColumn("holds", F.lit(True)), ["kind", "surrogate", "value"], "left"), "surrogates")
-        won = held.where("holds").select("kind", "value", "surrogate")
-        lost = held.where("holds is null").select("kind", "value", "gender", (F.col("attempt") + 1).alias("attempt"))
+        # of those that drew the same, the one of the least value and gender holds it, unless it is taken
+        holders = tried.groupBy("kind", "surrogate").agg(F.min(F.struct("value", "gender")).alias("of")).join(taken, ["kind", "surrogate"], "left_anti").select("kind", "surrogate", "of.*")
+        held = stored(tried.join(holders.withColumn("holds", F.lit(True)), ["kind", "surrogate", "value", "gender"], "left"), "surrogates")
+        won = held.where("holds").select("kind", "value", "gender", "surrogate")
+        lost = held.where("holds is null").select("kind", "value", "gender", "keep", (F.col("attempt") + 1).alias("attempt"))
         done = won if done is None else done.unionByName(won)
         if lost.isEmpty():
             return done
@@ -189,8 +239,9 @@ def surrogates(entities: DataFrame, key: str, *, rounds: int = 12) -> DataFrame:
 def pseudonymised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = "viewloom") -> DataFrame:
     """``docs`` with surrogates in ``text_col``, and n_entities (mentions exchanged) added.
 
-    A null or empty text has no mention and stays. Rows with null or repeated ids are treated like any other; equal
-    values get equal surrogates in all of them. Extra columns pass through; one named n_entities is replaced. An empty
+    A null or empty text has no mention and stays. Rows with null or repeated ids are treated like any other; mentions of
+    an entity get one surrogate in all of them, each in its own format. A full name without a title is exchanged where
+    the same text has it with a title; of several genders the least counts. Extra columns pass through; one named n_entities is replaced. An empty
     table gives an empty result. Titles of names and labels of secrets stay.
     """
     text = F.col(text_col)
@@ -202,12 +253,29 @@ def pseudonymised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     title = F.regexp_extract("mention", r"\A([^ .]+)", 1)
     gender = F.when((F.col("kind") == "name") & title.isin(TITLES["m"]), "m").when((F.col("kind") == "name") & title.isin(TITLES["f"]), "f").otherwise("")
     found = stored(found.select("__id", "__version", "__i", "kind", "before", value.alias("value"), gender.alias("gender")), "mentions")
-    entities = found.groupBy("kind", "value").agg(F.max("gender").alias("gender"))
-    named = found.join(surrogates(entities, key), ["kind", "value"])
-    lists = named.groupBy("__id", "__version").agg(F.array_sort(F.collect_set(F.struct("__i", F.concat("before", "surrogate").alias("new")))).alias("__new"))
+    code = F.length(F.regexp_extract("value", r"\A(\+\d{1,3}(?=[ .(-]))?", 0))  # of the country
+    plain = found.where("kind <> 'name'").select("__id", "__version", "__i", "kind", "before", "value", _canonical(F.col("kind"), F.col("value")).alias("entity"), "gender", F.when(F.col("kind") == "phone", code).otherwise(0).alias("keep"), F.lit(0).alias("part"))
+    found = stored(plain.unionByName(_persons(found.where("kind = 'name'"))), "persons")
+    entities = found.groupBy("kind", F.col("entity").alias("value"), "gender").agg(F.max("keep").alias("keep"))
+    named = found.join(surrogates(entities, key).withColumnRenamed("value", "entity"), ["kind", "entity", "gender"])
+    shown = F.when(F.col("part") > 0, F.get(F.split("surrogate", " "), F.col("part") - 1)).otherwise(_rendered(F.col("kind"), F.col("value"), F.col("entity"), F.col("surrogate")))
+    person = F.when((F.col("kind") == "name") & F.col("entity").contains(" "), F.struct(F.col("entity").alias("name"), F.col("gender"), F.col("surrogate").alias("new")))
+    lists = named.groupBy("__id", "__version").agg(F.array_sort(F.collect_set(F.struct("__i", F.concat("before", shown).alias("new")))).alias("__new"), F.array_sort(F.collect_set(person)).alias("__persons"))
     lists = lists.withColumnsRenamed({"__id": "__of", "__version": "__ofversion"})
     between = F.split(text, ANY, -1)
-    rebuilt = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.get("__new", i)["new"], F.lit("")))), "")
+
+    def bare(x: Column) -> Column:
+        return F.concat(F.lit(_EDGE), x["name"], F.lit(_END))
+
+    def renamed(part: Column) -> Column:
+        """With full names that have a title elsewhere in the text exchanged."""
+        return F.aggregate("__persons", part, lambda a, x: F.regexp_replace(a, bare(x), x["new"]))
+
+    several = F.size("__persons") > 0
+    rebuilt = F.array_join(F.transform(between, lambda part, i: F.concat(F.when(several, renamed(part)).otherwise(part), F.coalesce(F.get("__new", i)["new"], F.lit("")))), "")
+    names = F.array_distinct(F.transform("__persons", lambda x: F.struct(x["name"].alias("name"))))
+    untitled = F.aggregate(between, F.lit(0), lambda a, part: a + F.aggregate(names, F.lit(0), lambda b, x: b + F.regexp_count(part, bare(x))))
     changed = marked.join(lists, marked["__id"].eqNullSafe(F.col("__of")) & (F.col("__version") == F.col("__ofversion")))
-    changed = changed.withColumns({text_col: rebuilt, "n_entities": F.size("__new").cast("long")}).drop("__id", "__version", "__of", "__ofversion", "__new")
+    n_entities = F.size("__new") + F.when(several, untitled).otherwise(0)
+    changed = changed.withColumns({text_col: rebuilt, "n_entities": n_entities.cast("long")}).drop("__id", "__version", "__of", "__ofversion", "__new", "__persons")
     return changed.unionByName(docs.where(~has).withColumn("n_entities", F.lit(0).cast("long")))
