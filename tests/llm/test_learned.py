@@ -175,3 +175,21 @@ def test_surrogates_by_entity(docs_of):
     two = {r.text for r in pseudonymised(docs_of([(1, "Mr Lee met Mrs Lee")])).collect()}.pop()
     he, she = re.fullmatch(r"Mr (\w+) met Mrs (\w+)", two).groups()
     assert he[-1] == "n" and she[-1] == "a" and he != she
+
+
+def test_texts_shorter_than_the_item(spark, docs_of, maker):
+    items = [(k, maker.text(n)) for k, n in enumerate([59, 59, 6, 200])]
+    rows = [(10 * k + cut, " ".join(text.split()[: len(text.split()) - cut])) for k, (_, text) in enumerate(items) for cut in (0, 1, 2, 9)] + [(99, " ".join(items[3][1].split()[3:]))]
+    want = {}
+    for i, t in rows:
+        words = D.words_of(t.encode())
+        for item, text in items:
+            own = D.words_of(text.encode())
+            for s in range(max(0, len(words) - len(own)) + 1):
+                score = D.similarity(Counter(D.shingles_of(words[s : s + len(own)])), Counter(D.shingles_of(own)))
+                if score >= 0.8:
+                    want[i, item] = max(score, want.get((i, item), 0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in D.contamination(docs_of(rows), bench).collect()}
+    assert got.keys() == want.keys() and {(2, 0), (12, 1), (32, 3), (99, 3)} <= want.keys() and (9, 0) in want
+    assert all(np.isclose(got[k].similarity, want[k]) for k in want) and got[2, 0].window_words == 57 and got[2, 0].window_start == 0

@@ -1,6 +1,7 @@
 """Benchmark decontamination with SimHash over item-sized windows.
 
-For each benchmark item, every window of a document that has as many words as the item and shares at least one word
+For each benchmark item, every window of a document that has as many words as the item (of a shorter document, its whole
+text) and shares at least one word
 shingle with it (others have similarity zero) gets a SimHash fingerprint. A multi-index over blocks of the fingerprint
 finds every item fingerprint within the radius: if two differ in at most ``RADIUS`` bits, some block of 8 bits differs
 in at most RADIUS // 8 bits. Candidates that pass the full Hamming check are verified by exact weighted-shingle
@@ -133,7 +134,7 @@ class Index:
             starts: dict[int, set[int]] = defaultdict(set)  # of windows, by size
             for at in hits:
                 for size in {self.sizes[i] for i in self.owners[b" ".join(words[at : at + run])]}:
-                    starts[size].update(range(max(0, at - (size - run)), min(at, len(words) - size) + 1))
+                    starts[size].update(range(max(0, at - (size - run)), min(at, len(words) - size) + 1) if len(words) > size else (0,))
             for size, places in starts.items():
                 for item, score, start, bits in self.verified(words, size, run, np.array(sorted(places), np.int64)):
                     if item not in best or (-score, start) < (-best[item][0], best[item][1]):
@@ -141,7 +142,8 @@ class Index:
         return [(i, *found) for i, found in sorted(best.items())]
 
     def verified(self, words: list[bytes], size: int, run: int, starts: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
-        """Windows of ``size`` words and items of that size that are near by fingerprint and similar enough."""
+        """Windows of ``size`` words, or the whole of a shorter text, and items of that size that are near by fingerprint and similar enough."""
+        span = min(size, len(words))
         items = self.by_size[size]
         fps = np.array([self.fps[i] for i in items], np.uint64)
         near = _near_values()
@@ -151,10 +153,10 @@ class Index:
                 own = part[at : at + 2048]
                 if not len(own):
                     continue
-                first, last = int(own[0]), int(own[-1]) + size
+                first, last = int(own[0]), int(own[-1]) + span
                 local = [b" ".join(words[i : i + run]) for i in range(first, last - run + 1)]
                 sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(_signed(local), axis=0)])
-                marks = _pack(sums[own - first + size - run + 1] - sums[own - first])
+                marks = _pack(sums[own - first + span - run + 1] - sums[own - first])
                 candidates = np.zeros((len(own), len(items)), bool)
                 for b in range(BLOCKS):
                     candidates |= tables[b][(marks >> np.uint64(8 * b)).astype(np.uint8)]
@@ -162,7 +164,7 @@ class Index:
                 bits = np.bitwise_count(marks[w] ^ fps[i])
                 for a, b, d in zip(w[bits <= RADIUS].tolist(), i[bits <= RADIUS].tolist(), bits[bits <= RADIUS].tolist(), strict=True):
                     start, item = int(own[a]), int(items[b])
-                    score = similarity(Counter(local[start - first : start - first + size - run + 1]), self.counts[item])
+                    score = similarity(Counter(local[start - first : start - first + span - run + 1]), self.counts[item])
                     if score >= self.least:
                         yield item, score, start, d
 
@@ -185,8 +187,8 @@ def _blocks(benchmark: DataFrame, rows: int, most_bytes: int) -> Iterator[list[t
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.8, block_rows: int = 4096, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, item_id, similarity, window_start, window_words, differing_bits): a row for each document and item that it contains.
 
-    The window is the document's most similar one of the item's length, the first of equals; ``window_start`` counts
-    words. The benchmark is the stated query set: it is taken in blocks of at most ``block_rows`` items and about
+    The window is the document's most similar one of the item's length, the first of equals; the whole text is the one
+    window of a document shorter than the item. ``window_start`` counts words. The benchmark is the stated query set: it is taken in blocks of at most ``block_rows`` items and about
     ``block_bytes`` bytes, each broadcast and held against all whole texts. Null or wordless items and texts match
     nothing. An item of fewer than five words is one shingle and matches where all its words stand in a row. Repeated
     rows of ``docs`` give repeated results, repeated items likewise. Empty tables give an empty result; other columns
@@ -210,7 +212,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    rows += [(doc_id, index.ids[i], score, start, index.sizes[i], bits) for i, score, start, bits in index.matches(text)]
+                    rows += [(doc_id, index.ids[i], score, start, min(index.sizes[i], len(words_of(text))), bits) for i, score, start, bits in index.matches(text)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
