@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from viewloom.llm.common import read_table
 from viewloom.llm.decontamination import contamination
@@ -37,7 +36,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_encoding(read_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "lossless")
+    return piece_encoding(read_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ids", "lossless")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
