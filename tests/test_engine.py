@@ -169,6 +169,36 @@ def test_incremental_equals_recomputation(spark, tmp_path, seed):
             assert got.count() == df.count()
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_batches_in_any_order(spark, tmp_path, seed):
+    config, rng = parse(RULES), random.Random(seed)
+    rows = _random_log(rng, 24)
+    rng.shuffle(rows)
+    keeper = Maintainer(spark, config, f"file://{tmp_path}/views", buckets=3)
+    for k in range(0, 24, 8):
+        keeper.apply(log_of(spark, rows[k : k + 8]))
+        for metric, df in views(config, current(log_of(spark, rows[: k + 8]), config)).items():
+            assert found(Maintainer(spark, config, f"file://{tmp_path}/views", buckets=3).series(metric)) == found(df), (metric, k)
+    gone = thing("Pod", "late", status={"phase": "Run"})
+    keeper.apply(log_of(spark, [(gone, "DELETED", 102)]))
+    keeper.apply(log_of(spark, [(gone, "ADDED", 101)]))  # older than its deletion
+    assert keeper.series("info").where("anchor_key = 's/late'").isEmpty()
+    keeper.apply(log_of(spark, [(gone, "ADDED", 103, 101)]))
+    keeper.apply(log_of(spark, [(thing("Pod", "late", status={"phase": "Go"}), "MODIFIED", 104, 101)]))  # another content of the same version
+    assert keeper.series("info").where("anchor_key = 's/late'").first().phase == "Go"
+    assert len(keeper.folder.names("done")) == 2 and keeper.metrics().count() == keeper.version()
+
+
+def test_tables_outlive_their_sink(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "1"), ("b", "2")], "anchor_key string, x string")
+    for k in range(4):
+        sink = TableSink(spark, f"file://{tmp_path}")
+        sink.register("m", ["x"])
+        assert sink.read("m").count() == (2 if k else 0)
+        sink.write("m", rows if not k else sink.read("m"))
+    assert len(sink.folder.names("m")) == 2
+
+
 def test_stream(spark, tmp_path):
     config, rows = parse(RULES), _random_log(random.Random(5), 12)
     log_of(spark, rows).write.parquet(f"{tmp_path}/log")
@@ -177,4 +207,6 @@ def test_stream(spark, tmp_path):
     keeper.follow(stream, f"{tmp_path}/checkpoint").awaitTermination()
     for metric, df in views(config, current(log_of(spark, rows), config), hops=2).items():
         assert found(keeper.series(metric)) == found(df)
-    assert change_lines(log_of(spark, rows)).count() > 0
+    pod = lambda image, phase: thing("Pod", "p", spec={"containers": [{"name": "c", "image": image}]}, status={"phase": phase})
+    lines = change_lines(log_of(spark, [(pod("x", "Run"), "ADDED", 1, 7), (pod("x", "Run"), "MODIFIED", 2, 7), (pod("y", "Run"), "MODIFIED", 3, 8)])).collect()
+    assert {(r.seq, r.old, r.new) for r in lines} == {(1, None, "c:x Run 7"), (3, "c:x Run 7", "c:y Run 8")}

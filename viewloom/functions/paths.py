@@ -127,8 +127,13 @@ def item_matches(item: Column, steps: list[Step]) -> Column:
 
 def text_of(value: Column) -> Column:
     """A scalar's text; objects and arrays are JSON text; null is null."""
-    number = F.schema_of_variant(value).rlike("^(DOUBLE|FLOAT|DECIMAL)")
-    return F.when(number, number_text(F.try_variant_get(value, "$", "double"))).otherwise(F.try_variant_get(value, "$", "string"))
+
+    def text(plain: Column) -> Column:
+        # only what begins like a number can be one, and only those that have a fraction are written otherwise
+        number = F.substring(plain, 1, 1).between("-", "9") & F.schema_of_variant(value).rlike("^(DOUBLE|FLOAT|DECIMAL)")
+        return F.when(number, number_text(F.try_variant_get(value, "$", "double"))).otherwise(plain)
+
+    return let(F.try_variant_get(value, "$", "string"), text)
 
 
 def first_text(found: Column) -> Column:
@@ -145,6 +150,13 @@ def first_at(value: Column, steps: list[Step]) -> Column:
     return let(F.try_variant_get(value, "$" + "".join(map(_quoted, steps)), "variant"), text_of)
 
 
+def first_in_item(item: Column, steps: list[Step]) -> Column:
+    """The first non-empty text of a path in an item of an expanded array."""
+    if isinstance(steps[0], Field) and steps[0].name != "_":
+        return first_at(item, steps)  # finds nothing in an item that is no object
+    return first_text(item_matches(item, steps))
+
+
 def first_of(values: list[Column], default: str) -> Column:
     """The first of several texts that is neither missing nor empty, or the default."""
     return F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(default))

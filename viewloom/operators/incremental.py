@@ -34,9 +34,11 @@ def affected(deps: DataFrame, changed: DataFrame) -> DataFrame:
 
 def in_scope_of(anchors: DataFrame, parents: DataFrame) -> DataFrame:
     """Anchors in the namespace of a changed parent, or all if some parent has none: the fallback without an index."""
-    named = anchors.join(parents.where("namespace <> ''").select("namespace").distinct(), "namespace", "left_semi")
-    everywhere = parents.where("namespace = ''").limit(1).select(F.lit(True).alias("__all"))
-    return named.unionByName(anchors.join(F.broadcast(everywhere)).drop("__all")).distinct()  # at most one row is broadcast
+    places = parents.select("namespace").distinct()
+    everywhere = places.where("namespace = ''").limit(1)
+    if not everywhere.isEmpty():
+        return anchors.distinct()
+    return anchors.join(places, "namespace", "left_semi").distinct()
 
 
 def replaced(target: DataFrame, changed: DataFrame, rows: DataFrame, key: str | list[str]) -> DataFrame:

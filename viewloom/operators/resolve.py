@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from viewloom.functions.text import object_key
 from viewloom.model import KINDS, TOP_KINDS
+from viewloom.sources.places import written
 
 #: The longest chain that is followed (fixed value).
 MAX_HOPS = 8
-DEFAULT_HOPS = 3
+DEFAULT_HOPS = MAX_HOPS
 #: Columns that hold the key of an object's controller.
 PARENT = ["parent_kind", "parent_ns", "parent_name"]
 
@@ -42,32 +43,52 @@ def with_parent(log: DataFrame) -> DataFrame:
     return found.withColumns({"parent_kind": kind, "parent_ns": F.when(kind.isNotNull(), lookup_namespace(kind, F.col("namespace"))), "parent_name": F.when(kind.isNotNull(), F.col("__ref")["name"])}).drop("__ref")
 
 
+def _chains(owners: DataFrame, hops: int) -> DataFrame:
+    """(k, ns, n, chain): for each owner the objects from itself upwards, ``hops`` at most; the last one tells where the walk would go on.
+
+    Chains are doubled: those of 2^k objects go on with the chain of the object that their last one names. So eight hops
+    take three joins among owners at most, fewer if no chain goes on, and the anchors, of which there are most, are
+    joined once.
+    """
+    chains = written(owners.select("k", "ns", "n", F.array("self").alias("chain")), "owners")
+    length = 1
+    while length < hops:
+        last = F.element_at("chain", -1)
+        # shorter ones have ended already: they name no owner, or one that is not there
+        keys = (F.size("chain") == length) & (F.col("__k") == last["parent_kind"]) & (F.col("__ns") == last["parent_ns"]) & (F.col("__n") == last["parent_name"])
+        more = chains.select(F.col("k").alias("__k"), F.col("ns").alias("__ns"), F.col("n").alias("__n"), F.col("chain").alias("__more"))
+        if chains.join(more.drop("__more"), keys, "left_semi").isEmpty():
+            break
+        joined = chains.join(more, keys, "left")
+        chains = written(joined.select("k", "ns", "n", F.slice(F.concat("chain", F.coalesce("__more", F.slice("chain", 1, 0))), 1, hops).alias("chain")), "chains")
+        length *= 2
+    return chains
+
+
 def walked(state: DataFrame, anchor_kind: str, *, hops: int = DEFAULT_HOPS, payload: Column | None = None, only: DataFrame | None = None) -> DataFrame:
-    """Anchors of a kind with what each hop of the walk finds: columns h0 (the anchor) to h<hops>.
+    """(kind, namespace, name, self, chain, hops): anchors of a kind with the objects that the walk finds, nearest first.
 
-    Each is a struct (kind, namespace, name, uid, object, parent...), null from the first miss on. ``payload`` takes the
-    object's place, so that joins carry no more than what is read of it. Every hop is a left equi-join on kind, namespace
-    and name, whose right side holds only kinds that some object names as its controller's; the optimizer chooses how.
-    ``hops`` bounds cycles; ``only`` (anchor_key) leaves other anchors out before the walk.
+    Each is a struct (kind, namespace, name, uid, object, parent...). ``payload`` takes the object's place, so that joins
+    carry no more than what is read of it. The chains of owners are written to the shared folder first; anchors come to
+    them by one left join. Objects of the anchors' own kind are owners only if some object names that kind as its
+    controller's. ``hops`` bounds cycles, at most MAX_HOPS; ``only`` (anchor_key) leaves other anchors out. ``state`` is
+    read several times, so it had better be a table.
     """
+    hops = min(hops, MAX_HOPS)
     fields = ["kind", "namespace", "name", "uid", (F.col("object") if payload is None else payload).alias("object"), "parent_kind", "parent_ns", "parent_name"]
     anchors = state.where(F.col("kind") == anchor_kind)
     if only is not None:
         anchors = anchors.withColumn("anchor_key", object_key(F.col("namespace"), F.col("name"))).join(only, "anchor_key", "left_semi")
-    rows = anchors.select("kind", "namespace", "name", F.struct(*fields).alias("h0"))
+    rows = anchors.select("kind", "namespace", "name", F.struct(*fields).alias("self"))
+    none = F.slice(F.array("self"), 1, 0)
     if not hops:
-        return rows
-    named = state.where("parent_kind is not null").select(F.col("parent_kind").alias("kind")).distinct()  # a row for each kind at most
-    packed = state.join(F.broadcast(named), "kind", "left_semi").select(F.col("kind").alias("__k"), lookup_namespace(F.col("kind"), F.col("namespace")).alias("__ns"), F.col("name").alias("__n"), F.struct(*fields).alias("__o"))
-    for hop in range(1, min(hops, MAX_HOPS) + 1):
-        before = F.col(f"h{hop - 1}")
-        on = (F.col("__k") == before["parent_kind"]) & (F.col("__ns") == before["parent_ns"]) & (F.col("__n") == before["parent_name"])
-        rows = rows.join(packed, on, "left").withColumnRenamed("__o", f"h{hop}").drop("__k", "__ns", "__n")
-    return rows
-
-
-def _chain(rows: DataFrame) -> list[Column]:
-    return [F.col(c) for c in sorted((c for c in rows.columns if c[:1] == "h" and c[1:].isdigit()), key=lambda c: int(c[1:]))]
+        return rows.withColumns({"chain": none, "hops": F.lit(0)})
+    only_above = state.where(F.col("parent_kind") == anchor_kind).isEmpty()
+    owners = state.where(F.col("kind") != anchor_kind) if only_above else state
+    owners = owners.select(F.col("kind").alias("k"), lookup_namespace(F.col("kind"), F.col("namespace")).alias("ns"), F.col("name").alias("n"), F.struct(*fields).alias("self"))
+    first = F.col("self")
+    joined = rows.join(_chains(owners, hops), (F.col("k") == first["parent_kind"]) & (F.col("ns") == first["parent_ns"]) & (F.col("n") == first["parent_name"]), "left")
+    return joined.select("kind", "namespace", "name", "self", F.coalesce("chain", none).alias("chain"), F.lit(hops).alias("hops"))
 
 
 def bound(rows: DataFrame) -> dict[str, Column]:
@@ -75,24 +96,22 @@ def bound(rows: DataFrame) -> dict[str, Column]:
 
     The top controller is the deepest one of a top kind, the anchor included; a kind's object is the last on the chain.
     """
-    chain = _chain(rows)
+    chain, own = F.col("chain"), F.col("self")
 
     def last(kinds: tuple[str, ...]) -> Column:
-        return F.coalesce(*(F.when(h["kind"].isin(*kinds), h["object"]) for h in reversed(chain)))
+        above = F.filter(chain, lambda h: h["kind"].isin(*kinds))
+        return F.when(F.size(above) > 0, F.element_at(above, -1)["object"]).when(own["kind"].isin(*kinds), own["object"])
 
-    owner = chain[1]["object"] if len(chain) > 1 else F.when(F.lit(False), chain[0]["object"])
-    return {"anchor": chain[0]["object"], "ownerController": owner, "topController": last(TOP_KINDS)} | {k: last((k,)) for k in KINDS}
+    return {"anchor": own["object"], "ownerController": F.get(chain, F.lit(0))["object"], "topController": last(TOP_KINDS)} | {k: last((k,)) for k in KINDS}
 
 
 def parent_uids(rows: DataFrame) -> Column:
     """Distinct, non-empty uids along the chain, the anchor's own included."""
-    return F.array_distinct(F.filter(F.array(*(h["uid"] for h in _chain(rows))), lambda u: u.isNotNull() & (u != "")))
+    return F.array_distinct(F.filter(F.concat(F.array(F.col("self")["uid"]), F.transform("chain", lambda h: h["uid"])), lambda u: u.isNotNull() & (u != "")))
 
 
 def unresolved(rows: DataFrame) -> Column:
-    """The key of the parent at which the walk missed, as (kind, namespace, name); null if it ended."""
-    chain = _chain(rows)
-    missing = []
-    for here, there in zip(chain, chain[1:], strict=False):
-        missing.append(F.when(here["parent_name"].isNotNull() & there["name"].isNull(), F.struct(here["parent_kind"].alias("kind"), here["parent_ns"].alias("namespace"), here["parent_name"].alias("name"))))
-    return F.coalesce(*missing) if missing else F.lit(None)
+    """The key of the parent at which the walk missed, as (kind, namespace, name); null if it ended, or went as far as it may."""
+    last = F.coalesce(F.try_element_at("chain", F.lit(-1)), F.col("self"))
+    key = F.struct(last["parent_kind"].alias("kind"), last["parent_ns"].alias("namespace"), last["parent_name"].alias("name"))
+    return F.when((F.size("chain") < F.col("hops")) & last["parent_name"].isNotNull(), key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.functions.paths import Field, first_at, first_of, first_text, item_matches, matches, parse_path
+from viewloom.functions.paths import Field, first_at, first_in_item, first_of, matches, parse_path
 from viewloom.functions.text import object_key
 from viewloom.model import API_VERSIONS, Extract, Rule
 from viewloom.operators.resolve import DEFAULT_HOPS, bound, walked
@@ -49,7 +49,7 @@ def evaluated(rule: Rule, state: DataFrame, *, hops: int = DEFAULT_HOPS, only: D
     def text(extract: Extract) -> Column:
         source = rule.resolved(extract.source)
         if source == "item":
-            return first_text(item_matches(F.col("__item"), parse_path(extract.path)))
+            return first_in_item(F.col("__item"), parse_path(extract.path))
         return F.col(f"__{source}")[f"t{paths.index(extract.path)}"]
 
     labels = [first_of([text(e) for e in rule.labels[n].every()], rule.labels[n].on_missing).alias(n) for n in rule.label_names()]

@@ -6,6 +6,8 @@ a region a Node. ``events`` is a change log of users, in which an error deletes.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,13 +16,15 @@ from pyspark.sql import functions as F
 from viewloom.functions.paths import compiled, first_of, matches, parse_path, text_of
 from viewloom.functions.selectors import field_selector, label_selector
 from viewloom.functions.text import metric_line, number_text, object_key, series_key
-from viewloom.model import parse
+from viewloom.model import KINDS, ConfigError, Watched, load, parse
 from viewloom.operators import incremental, measures, state
-from viewloom.operators.resolve import bound, controller, parent_uids, walked
+from viewloom.operators.resolve import bound, controller, lookup_namespace, parent_uids, walked, with_parent
 from viewloom.operators.rules import evaluated
-from viewloom.plans.engine import index, views_of_log
-from viewloom.sinks.series import exposition
-from viewloom.sources.objects import current, samples
+from viewloom.plans.engine import index, readers, state_of_log, views_of_log
+from viewloom.sinks.series import MemorySink, TableSink, exposition, page, snapshot_lines
+from viewloom.sources.objects import LOG, current, dry_run, in_order, log_from_json, lookup, read_log, ready_pods, samples, selected, stream_log
+from viewloom.sources.places import shared_folder, written
+from viewloom.streaming.maintain import Maintainer, change_lines
 
 RULES = """
 metricPrefix: "shop_"
@@ -120,7 +124,7 @@ def _view(metric: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walked(current(shop_log(spark, sf_dir)), "Pod", hops=2)
+    return walked(state_of_log(shop_log(spark, sf_dir)), "Pod")
 
 
 def _named_of(value: Column) -> Column:
@@ -156,7 +160,8 @@ _CATALOGUE["address_rule"] = (_view("shop_node_address"), "SELECT r_name AS anch
 
 @_query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag IN ('A', 'N')")
 def scan_scope(spark, d):
-    return _table(spark, d, "lineitem").where(F.col("l_returnflag").isin("A", "N")).select("l_orderkey", "l_linenumber", "l_quantity")
+    rows = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.lit("Pod").alias("kind"), F.col("l_returnflag").alias("namespace"))
+    return selected(rows, Watched("Pod", namespaces=("A", "N"))).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @_query("SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'Pod' AS kind FROM orders UNION ALL SELECT 'Node' FROM region) GROUP BY kind")
@@ -166,13 +171,14 @@ def scan_kind(spark, d):
 
 @_query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY'")
 def union_scopes(spark, d):
-    customer = _table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    return incremental.union([customer.where(F.col("c_mktsegment") == s) for s in ("BUILDING", "MACHINERY")])
+    customer = _table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.lit("ReplicaSet").alias("kind"), F.col("c_mktsegment").alias("namespace"))
+    return incremental.union([selected(customer, Watched("ReplicaSet", namespaces=(s,))) for s in ("BUILDING", "MACHINERY")]).select("c_custkey", "c_mktsegment")
 
 
-@_query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 7")
+@_query("SELECT kind, name FROM (SELECT 'Pod' AS kind, 'order-' || o_orderkey AS name FROM orders WHERE o_orderkey = 7 UNION ALL SELECT 'Node', r_name FROM region WHERE r_name = 'ASIA')")
 def point_lookup(spark, d):
-    return _table(spark, d, "orders").where("o_orderkey = 7").select("o_orderkey", "o_custkey")
+    keys = spark.createDataFrame([("Pod", "shop", "order-7"), ("Pod", "elsewhere", "order-7"), ("Node", "any", "ASIA"), ("Deployment", "shop", "none")], "kind string, namespace string, name string")
+    return lookup(shop_log(spark, d), keys).select("kind", "name")
 
 
 def _flags(name: str) -> Column:
@@ -222,9 +228,10 @@ def path_index(spark, d):
     return _table(spark, d, "embeddings").select("vec_id", (F.try_variant_get(F.get(matches(v, parse_path("embedding[2]")), F.lit(0)), "$", "double") > 0).alias("positive"))
 
 
-@_query("SELECT vec_id, list_filter(embedding, lambda x: x > 0)[1] AS first_positive FROM embeddings")
+@_query("SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS first FROM customer")
 def path_wildcard_first(spark, d):
-    return _table(spark, d, "embeddings").select("vec_id", F.get(F.filter("embedding", lambda x: x > 0), F.lit(0)).alias("first_positive"))
+    names = F.array(F.struct(F.lit("").alias("a")), F.struct(F.when(F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")).alias("a")), F.struct(F.col("c_name").alias("a")))
+    return _table(spark, d, "customer").select("c_custkey", compiled("list[*].a")(F.parse_json(F.to_json(F.struct(names.alias("list"))))).alias("first"))
 
 
 @_query("SELECT r_regionkey, lower(r_name) || ',' || r_regionkey AS addresses FROM region")
@@ -239,9 +246,12 @@ def path_map_wildcard(spark, d):
     return _table(spark, d, "region").select("r_regionkey", F.array_join(F.transform(matches(v, parse_path("m[*]")), text_of), ",").alias("vals"))
 
 
-@_query("SELECT vec_id, CAST(unnest(generate_series(0, len(embedding) - 1)) AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings")
+@_query("SELECT DISTINCT 'shop/' || n_name AS anchor_key, CAST(x AS VARCHAR) AS key FROM (SELECT n_name, unnest([n_nationkey, n_regionkey]) AS x FROM nation)")
 def foreach_explode(spark, d):
-    return _table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+    nation = _table(spark, d, "nation")
+    keys = F.struct(F.array("n_nationkey", "n_regionkey").alias("keys")).alias("spec")
+    log = _rows("Deployment", nation, F.col("n_name"), "shop", _meta(F.col("n_name"), F.col("n_name")), keys)
+    return views_of_log(parse("rules: [{name: keys, anchor: Deployment, forEach: 'spec.keys[*]', labels: {key: {source: item, path: _}}}]"), log)["keys"].drop("value")
 
 
 @_query("SELECT o_orderkey, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT o_orderkey, l_linenumber, l_returnflag, l_linestatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY 1")
@@ -284,9 +294,10 @@ def exposition_scan(spark, d):
     return samples(lines).select("metric", F.try_element_at("labels", F.lit("name")).alias("name"), "value")
 
 
-@_query("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+@_query("SELECT 'order-' || o_orderkey AS pod, 'customer-' || c_custkey AS owner FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def owner_one_hop(spark, d):
-    return _table(spark, d, "orders").join(_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
+    rows = walked(state_of_log(shop_log(spark, d)), "Pod", hops=1)
+    return rows.select(F.col("name").alias("pod"), _named_of(bound(rows)["ownerController"]).alias("owner"))
 
 
 @_query("SELECT 'order-' || o_orderkey AS pod, n_name AS top FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
@@ -304,8 +315,8 @@ def owner_chain_full(spark, d):
 
 @_query("SELECT 'order-' || o_orderkey AS pod, CASE WHEN c_custkey % 3 > 0 THEN 'customer-' || c_custkey END AS owner, CASE WHEN c_custkey % 3 > 0 THEN n_name END AS top FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def owner_missing(spark, d):
-    kept = current(shop_log(spark, d)).where("kind <> 'ReplicaSet' or cast(replace(name, 'customer-', '') as bigint) % 3 > 0")
-    rows = walked(kept, "Pod", hops=2)
+    kept = state_of_log(shop_log(spark, d)).where("kind <> 'ReplicaSet' or cast(replace(name, 'customer-', '') as bigint) % 3 > 0")
+    rows = walked(kept, "Pod")
     at = bound(rows)
     return rows.select(F.col("name").alias("pod"), _named_of(at["ownerController"]).alias("owner"), _named_of(at["topController"]).alias("top"))
 
@@ -337,7 +348,7 @@ def affected_anchors(spark, d):
 
 @_query("SELECT CAST((SELECT count(*) FROM orders) * 3 + (SELECT count(*) FROM region) AS BIGINT) AS n")
 def reverse_index(spark, d):
-    return index(parse(RULES), current(shop_log(spark, d)), hops=2).where("parent_uid is not null").agg(F.count("*").alias("n"))
+    return index(parse(RULES), state_of_log(shop_log(spark, d))).where("parent_uid is not null").agg(F.count("*").alias("n"))
 
 
 @_query("SELECT c_custkey, c_mktsegment AS namespace FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_custkey < 3)")
@@ -381,9 +392,9 @@ def old_new_pairs(spark, d):
     return state.versions(_events(spark, d).select("event_id", "user_id", "event_type"), ["user_id"], "event_id", ["event_type"])
 
 
-@_query("SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem")
+@_query("SELECT DISTINCT 'shop/order-' || l_orderkey AS anchor_key, l_returnflag || l_linestatus AS image FROM lineitem")
 def series_distinct(spark, d):
-    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").distinct()
+    return views_of_log(parse("rules: [{name: image, anchor: Pod, forEach: 'spec.containers[*]', labels: {image: {source: item, path: image}}}]"), shop_log(spark, d))["image"].drop("value")
 
 
 @_query("SELECT DISTINCT user_id FROM events")
@@ -425,9 +436,9 @@ def index_size(spark, d):
     return measures.index_size(_orders(spark, d))
 
 
-@_query("SELECT event_id, CASE WHEN event_type = 'view' THEN '200' WHEN event_type = 'error' THEN 'invalid' ELSE '0' END AS code FROM events")
+@_query("SELECT event_id, CASE WHEN event_type = 'view' THEN '200' WHEN event_type = 'error' THEN 'invalid' WHEN event_type = 'click' THEN '0' WHEN event_id % 2 = 0 THEN 'invalid' ELSE '-7' END AS code FROM events")
 def code_normalise(spark, d):
-    raw = F.when(F.col("event_type") == "view", "200").when(F.col("event_type") == "error", "5xx").when(F.col("event_type") == "click", "")
+    raw = F.when(F.col("event_type") == "view", "200").when(F.col("event_type") == "error", "5xx").when(F.col("event_type") == "click", "").when(F.col("event_id") % 2 == 0, "99999999999999999999").otherwise("-7")
     return _table(spark, d, "events").select("event_id", measures.status_code(raw).alias("code"))
 
 
@@ -449,13 +460,366 @@ def all_match_and_min(spark, d):
 
 @_query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def exists_match(spark, d):
-    return _table(spark, d, "customer").join(_table(spark, d, "orders").where("o_orderstatus = 'F'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
+    orders = _table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
+    return measures.exists_in(_table(spark, d, "customer").select("c_custkey"), orders, ["c_custkey"], F.col("o_orderstatus") == "F")
 
 
 @_query("SELECT 'shop/order-' || o_orderkey AS anchor_key, n_name AS top FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F'")
 def selected_rule(spark, d):
     config = parse("rules: [{name: r, anchor: Pod, labels: {top: {source: topController, path: metadata.name}}}]\nwatch: {resources: [{kind: Pod, scope: Namespaced, namespaces: [shop], fieldSelector: status.phase=F}, {kind: ReplicaSet, scope: Cluster}, {kind: Deployment, scope: Cluster}]}")
-    return evaluated(config.rules[0], current(shop_log(spark, d), config)).select("anchor_key", "top")
+    return evaluated(config.rules[0], state_of_log(shop_log(spark, d), config)).select("anchor_key", "top")
+
+
+def fleet_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as DaemonSets and parts as StatefulSets, with labels."""
+    supplier, part = _table(spark, sf_dir, "supplier"), _table(spark, sf_dir, "part")
+
+    def meta(name: Column, **labels: Column) -> Column:
+        return F.struct(name.alias("name"), F.lit("shop").alias("namespace"), F.struct(*(v.cast("string").alias(k) for k, v in labels.items())).alias("labels")).alias("metadata")
+
+    daemon, stateful = _named("supplier-", "s_suppkey"), _named("part-", "p_partkey")
+    sets = _rows("DaemonSet", supplier, daemon, "shop", meta(daemon, nation=F.col("s_nationkey"), even=F.when(F.col("s_suppkey") % 2 == 0, "yes")))
+    return sets.unionByName(_rows("StatefulSet", part, stateful, "shop", meta(stateful, size=F.col("p_size"))))
+
+
+_FLEET = "rules: [{{name: r, anchor: {0}, labels: {{n: {{path: metadata.name}}}}}}]\nwatch: {{resources: [{{kind: {0}, scope: Namespaced, labelSelector: '{1}'}}]}}"
+
+
+@_query("SELECT 'shop/supplier-' || s_suppkey AS anchor_key, 'supplier-' || s_suppkey AS n FROM supplier WHERE s_nationkey IN (1, 2, 3) AND s_suppkey % 2 <> 0")
+def scan_daemon_set(spark, d):
+    return views_of_log(parse(_FLEET.format("DaemonSet", "nation in (1,2,3),!even")), fleet_log(spark, d))["r"].drop("value")
+
+
+@_query("SELECT 'shop/part-' || p_partkey AS anchor_key, 'part-' || p_partkey AS n FROM part WHERE p_size <> 7")
+def scan_stateful_set(spark, d):
+    return views_of_log(parse(_FLEET.format("StatefulSet", "size!=7,size")), fleet_log(spark, d))["r"].drop("value")
+
+
+def _log_folder(spark: SparkSession, log: DataFrame) -> str:
+    path = f"{shared_folder(spark)}/viewloom/log-{uuid.uuid4().hex}"
+    log.select(*(c.split()[0] for c in LOG.split(", "))).write.parquet(path)
+    return path
+
+
+@_query("SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'DaemonSet' AS kind FROM supplier UNION ALL SELECT 'StatefulSet' FROM part) GROUP BY 1")
+def log_at_rest(spark, d):
+    return current(read_log(spark, _log_folder(spark, fleet_log(spark, d)))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT 'supplier-' || s_suppkey AS name FROM supplier WHERE s_suppkey % 2 = 0")
+def log_stream_selected(spark, d):
+    rows = stream_log(spark, _log_folder(spark, fleet_log(spark, d))).withColumn("object", F.try_parse_json("object"))
+    out = f"{shared_folder(spark)}/viewloom/stream-{uuid.uuid4().hex}"
+    found = selected(rows, Watched("DaemonSet", label_selector="even=yes")).select("name")
+    found.writeStream.option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(path=out, format="parquet").awaitTermination()
+    return spark.read.schema("name string").parquet(out)
+
+
+@_query("SELECT 'DaemonSet' AS kind, 'supplier-' || s_suppkey AS name, '' AS namespace FROM supplier")
+def json_objects(spark, d):
+    objects = _table(spark, d, "supplier").select(F.to_json(F.struct(F.lit("DaemonSet").alias("kind"), F.struct(_named("supplier-", "s_suppkey").alias("name")).alias("metadata"))).alias("value"))
+    return log_from_json(objects).select("kind", "name", "namespace")
+
+
+@_query("SELECT kind, CASE WHEN kind = 'Node' THEN '' ELSE 'shop' END AS namespace FROM (VALUES ('Pod'), ('Deployment'), ('StatefulSet'), ('DaemonSet'), ('ReplicaSet'), ('Node')) t(kind)")
+def namespace_key(spark, d):
+    return spark.createDataFrame([(k,) for k in KINDS], "kind string").select("kind", lookup_namespace(F.col("kind"), F.lit("shop")).alias("namespace"))
+
+
+@_query("SELECT * FROM (VALUES (0, 'Pod', true), (1, 'Deployment', false), (2, 'ReplicaSet', false), (3, 'Node', true)) t(place, kind, anchors)")
+def watched_kinds(spark, d):
+    config = parse(RULES)
+    rows = [(i, w.kind, any(r.anchor == w.kind for r in config.rules)) for i, w in enumerate(config.watched())]
+    return spark.createDataFrame(rows, "place int, kind string, anchors boolean")
+
+
+@_query("SELECT * FROM (VALUES ('Deployment', 'shop_pod_info'), ('StatefulSet', 'shop_pod_info'), ('DaemonSet', 'shop_pod_info'), ('ReplicaSet', 'shop_pod_info')) t(kind, metric)")
+def read_kinds(spark, d):
+    return spark.createDataFrame([(k, m) for k, metrics in readers(parse(RULES)).items() for m in metrics], "kind string, metric string")
+
+
+@_query("SELECT * FROM (VALUES ('shop_pod_info', 'One series for each order.', 'controller_kind,controller_name,namespace,owner_name,phase,pod,segment'), ('shop_container', 'Metadata of Pod objects by rule container.', 'container,first_image,image,pod'), ('shop_node_info', 'Metadata of Node objects by rule node_info.', 'node,system'), ('shop_node_address', 'Metadata of Node objects by rule node_address.', 'address,kind,node')) t(metric, help, labels)")
+def metric_schemas(spark, d):
+    with tempfile.NamedTemporaryFile("w", suffix=".yaml") as file:  # of the driver, which alone reads configurations
+        file.write(RULES)
+        file.flush()
+        config = load(file.name)
+    return spark.createDataFrame([(config.metric(r), r.help_text(), ",".join(r.label_names())) for r in config.rules], "metric string, help string, labels string")
+
+
+_RULE = "{{name: {name}, anchor: {anchor}, labels: {{{label}: {{path: {path}, source: {source}{more}}}}}{rest}}}"
+
+
+def _config(*rules: str, prefix: str = "", watch: str = "") -> str:
+    return f"metricPrefix: '{prefix}'\nrules: [{', '.join(rules)}]\nwatch: {{resources: [{watch}]}}"
+
+
+def _rule(name="r", anchor="Pod", label="a", path="metadata.name", source="anchor", more="", rest="") -> str:
+    return _RULE.format(name=name, anchor=anchor, label=label, path=path, source=source, more=more, rest=rest)
+
+
+#: Configurations and whether they pass; each case breaks one rule.
+_CASES = {
+    "good": (_config(_rule()), True), "no rules": ("rules: []", False), "not YAML": ("rules: [", False), "a list": ("[1]", False),
+    "no name": (_config(_rule(name="''")), False), "unknown anchor": (_config(_rule(anchor="Job")), False), "no labels": ("rules: [{name: r, anchor: Pod}]", False),
+    "label name": (_config(_rule(label="a-b")), False), "reserved label": (_config(_rule(label="__a")), False), "unknown source": (_config(_rule(source="boss")), False),
+    "item without forEach": (_config(_rule(source="item")), False), "item with forEach": (_config(_rule(source="item", rest=", forEach: 'spec.containers[*]'")), True),
+    "no path": (_config(_rule(path="''")), False), "bad path": (_config(_rule(path="'a.[x'")), False), "bad forEach": (_config(_rule(rest=", forEach: 'a]'")), False),
+    "nested fallbacks": (_config(_rule(more=", fallbacks: [{path: a, fallbacks: [{path: b}]}]")), False), "fallback": (_config(_rule(more=", fallbacks: [{path: a, source: ownerController}]")), True),
+    "relation": (_config(_rule(source="top", rest=", relations: [{name: top, via: topController}]")), True), "relation via item": (_config(_rule(rest=", relations: [{name: x, via: item}]")), False),
+    "relation via unknown": (_config(_rule(rest=", relations: [{name: x, via: Job}]")), False), "relation named like a kind": (_config(_rule(rest=", relations: [{name: Pod, via: Node}]")), False),
+    "relation without name": (_config(_rule(rest=", relations: [{name: '', via: Node}]")), False), "metric prefix": (_config(_rule(), prefix="9"), False), "metric name": (_config(_rule(name="a b")), False),
+    "metric twice": (_config(_rule(), _rule()), False), "unknown kind watched": (_config(_rule(), watch="{kind: Job, scope: Cluster}"), False), "kind watched twice": (_config(_rule(), watch="{kind: Pod, scope: Cluster}, {kind: Pod, scope: Cluster}"), False),
+    "scope": (_config(_rule(), watch="{kind: Pod, scope: Here}"), False), "namespaced Node": (_config(_rule(), watch="{kind: Pod, scope: Cluster}, {kind: Node, scope: Namespaced}"), False),
+    "namespaces of a cluster": (_config(_rule(), watch="{kind: Pod, scope: Cluster, namespaces: [a]}"), False), "anchor not watched": (_config(_rule(), watch="{kind: Node, scope: Cluster}"), False),
+    "source not watched": (_config(_rule(source="Node"), watch="{kind: Pod, scope: Cluster}"), False), "source watched": (_config(_rule(source="Node"), watch="{kind: Pod, scope: Cluster}, {kind: Node, scope: Cluster}"), True),
+}
+
+
+def _passes(run: Callable[[], object]) -> bool:
+    try:
+        run()
+    except (ConfigError, ValueError):
+        return False
+    return True
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(ok).lower()})" for n, (_, ok) in _CASES.items()) + ") t(name, ok)")
+def config_checks(spark, d):
+    return spark.createDataFrame([(n, _passes(lambda text=text: parse(text))) for n, (text, _) in _CASES.items()], "name string, ok boolean")
+
+
+@_query("SELECT * FROM (VALUES ('all kinds', 0), ('owners not watched', 1), ('selectors on Pods and owners', 1)) t(name, warnings)")
+def config_warnings(spark, d):
+    top = _rule(source="topController")
+    owners = ", ".join(f"{{kind: {k}, scope: Cluster, fieldSelector: metadata.name=x}}" for k in ("Pod", "ReplicaSet", "Deployment", "StatefulSet", "DaemonSet"))
+    found = {"all kinds": _config(top), "owners not watched": _config(top, watch="{kind: Pod, scope: Cluster}"), "selectors on Pods and owners": _config(top, watch=owners)}
+    return spark.createDataFrame([(n, len(list(parse(text).warnings()))) for n, text in found.items()], "name string, warnings int")
+
+
+@_query("SELECT * FROM (VALUES ('status.phase=F', true), ('spec.secret=x', false), ('status.phase', false)) t(selector, ok)")
+def selector_dry_run(spark, d):
+    state = current(shop_log(spark, d))
+
+    def run(text: str) -> bool:
+        return _passes(lambda: dry_run(state, parse(_config(_rule(), watch=f"{{kind: Pod, scope: Namespaced, fieldSelector: '{text}'}}"))))
+
+    return spark.createDataFrame([(t, run(t)) for t in ("status.phase=F", "spec.secret=x", "status.phase")], "selector string, ok boolean")
+
+
+def _tower(spark: SparkSession, d: str, height: int) -> DataFrame:
+    """For each nation a Pod whose Deployment stands ``height`` hops up, above ReplicaSets."""
+    nation = _table(spark, d, "nation").select("n_name", F.explode(F.sequence(F.lit(0), F.lit(height))).alias("h"))
+    kind = lambda h: F.when(h == 0, "Pod").when(h == height, "Deployment").otherwise("ReplicaSet")
+    name = lambda h: F.concat("n_name", F.lit("-"), h.cast("string"))
+    h = F.col("h")
+    owner = F.when(h < height, F.array(F.struct(kind(h + 1).alias("kind"), name(h + 1).alias("name"), F.lit(True).alias("controller"))))
+    meta = F.struct(name(h).alias("name"), owner.alias("ownerReferences"))
+    return nation.select(kind(h).alias("kind"), F.lit("shop").alias("namespace"), name(h).alias("name"), name(h).alias("uid"), F.lit("1").alias("rv"), F.lit("ADDED").alias("op"), F.lit(1).cast("bigint").alias("seq"), F.to_json(F.struct(meta.alias("metadata"))).alias("object"))
+
+
+@_query("SELECT 'shop/' || n_name || '-0' AS anchor_key, n_name || '-6' AS top FROM nation")
+def owner_chain_deep(spark, d):
+    return views_of_log(parse("rules: [{name: r, anchor: Pod, labels: {top: {source: topController, path: metadata.name}}}]"), _tower(spark, d, 6))["r"].drop("value")
+
+
+@_query("SELECT 'shop/' || n_name || '-0' AS anchor_key, n_name || '-8' AS deepest, 'none' AS top FROM nation")
+def owner_chain_cut(spark, d):
+    rule = "rules: [{name: r, anchor: Pod, labels: {top: {source: topController, path: metadata.name, onMissing: none}, deepest: {source: ReplicaSet, path: metadata.name}}}]"
+    return views_of_log(parse(rule), _tower(spark, d, 10))["r"].drop("value")
+
+
+@_query("SELECT n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'Deployment' END AS parent_kind FROM nation")
+def owner_kind_supported(spark, d):
+    nation = _table(spark, d, "nation")
+    kind = F.when(F.col("n_nationkey") % 2 == 0, "Deployment").otherwise("Job")
+    meta = F.struct(F.array(F.struct(kind.alias("kind"), F.lit("x").alias("name"))).alias("ownerReferences"))
+    return with_parent(nation.select("n_name", F.lit("shop").alias("namespace"), F.to_json(F.struct(meta.alias("metadata"))).alias("object"))).select("n_name", "parent_kind")
+
+
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    """A change log of users as Pods: an event is a new version, an error a delete that carries the last object."""
+    events = _table(spark, d, "events")
+    name = _named("user-", "user_id")
+    body = F.struct(F.struct(name.alias("name")).alias("metadata"), F.struct(F.array(F.struct(F.lit("c").alias("name"), F.col("event_type").alias("image"))).alias("containers")).alias("spec"), F.struct(F.when(F.col("event_id") % 2 == 0, "Running").otherwise("Pending").alias("phase")).alias("status"))
+    op = F.when(F.col("event_type") == "error", "DELETED").otherwise("MODIFIED")
+    return events.select(F.lit("Pod").alias("kind"), F.lit("shop").alias("namespace"), name.alias("name"), F.concat(F.lit("uid-"), name).alias("uid"), F.col("event_id").cast("string").alias("rv"), op.alias("op"), F.col("event_id").cast("bigint").alias("seq"), F.to_json(body).alias("object"))
+
+
+@_query("SELECT 'user-' || user_id AS name, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'")
+def tombstones(spark, d):
+    return current(_people(spark, d)).select("name", "seq")
+
+
+@_query("SELECT 'Pod' AS kind, 'shop' AS namespace, 'user-' || user_id AS name, event_id AS seq, lag(s) OVER (PARTITION BY user_id ORDER BY event_id) AS old, s AS new FROM (SELECT *, 'c:' || event_type || ' ' || CASE WHEN event_id % 2 = 0 THEN 'Running' ELSE 'Pending' END || ' ' || event_id AS s FROM events)")
+def change_log_lines(spark, d):
+    return change_lines(_people(spark, d))
+
+
+_STEPS = "rules: [{name: info, anchor: Pod, labels: {image: {path: 'spec.containers[0].image'}, phase: {path: status.phase}}}]\nwatch: {resources: [{kind: Pod, scope: Namespaced, fieldSelector: status.phase=Running}]}"
+_STEPS_SQL = "SELECT 'shop/user-' || user_id AS anchor_key, event_type AS image, 'Running' AS phase, CAST(1 AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error' AND event_id % 2 = 0"
+
+
+def _views_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/viewloom/views-{uuid.uuid4().hex}"
+
+
+@_query(_STEPS_SQL)
+def upkeep_series(spark, d):
+    """Batches in an order that is not that of the log: the last third first, then the others mixed."""
+    log = written(_people(spark, d), "log")
+    keeper = Maintainer(spark, parse(_STEPS), _views_folder(spark), buckets=8)
+    for batch in (F.col("seq") % 3 == 2, F.col("seq") % 3 == 0, F.col("seq") % 3 == 1):
+        keeper.apply(log.where(batch))
+    return keeper.series("info")
+
+
+@_query("SELECT CAST(b.k + 1 AS INTEGER) AS version, CAST(count(DISTINCT user_id) AS BIGINT) AS changed FROM events JOIN (VALUES (0, 2), (1, 0)) b(k, r) ON event_id % 3 = b.r GROUP BY 1")
+def upkeep_metrics(spark, d):
+    log = written(_people(spark, d), "log")
+    keeper = Maintainer(spark, parse(_STEPS), _views_folder(spark), buckets=8)
+    for batch in (F.col("seq") % 3 == 2, F.col("seq") % 3 == 0):
+        keeper.apply(log.where(batch))
+    return keeper.metrics().select("version", "changed")
+
+
+@_query(_STEPS_SQL)
+def upkeep_stream(spark, d):
+    """A snapshot first, then the rest of the log as a stream."""
+    log = written(_people(spark, d), "log")
+    folder = _views_folder(spark)
+    keeper = Maintainer(spark, parse(_STEPS), folder, buckets=8)
+    later = stream_log(spark, _log_folder(spark, log.where("seq % 2 = 1")))
+    keeper.follow(later, f"{folder}-checkpoint", snapshot=log.where("seq % 2 = 0")).awaitTermination()
+    return keeper.series("info")
+
+
+@_query("SELECT 'k' || c_custkey AS anchor_key, c_name AS name, '' AS missing, CAST(1 AS DOUBLE) AS value FROM customer WHERE c_custkey BETWEEN 10 AND 60 AND c_custkey <> 33 UNION ALL SELECT 'k33', 'new', '', CAST(1 AS DOUBLE)")
+def series_upsert_delete(spark, d):
+    rows = _table(spark, d, "customer").select(_named("k", "c_custkey").alias("anchor_key"), F.col("c_name").alias("name"), F.lit("x").alias("extra"), "c_custkey")
+    sink = MemorySink(spark)
+    sink.register("m", ["name", "missing"])
+    sink.write("m", rows.where("c_custkey < 50"))
+    sink.upsert("m", rows.where("c_custkey between 40 and 60"))
+    sink.delete("m", rows.where("c_custkey < 10"))
+    sink.replace("m", rows.where("c_custkey = 33"), rows.where("c_custkey = 33").withColumn("name", F.lit("new")))
+    return sink.read("m")
+
+
+@_query("SELECT 'k' || c_custkey AS anchor_key, c_name AS name, CAST(1 AS DOUBLE) AS value FROM customer WHERE c_custkey >= 20")
+def table_sink_restart(spark, d):
+    rows, folder = _table(spark, d, "customer").select(_named("k", "c_custkey").alias("anchor_key"), F.col("c_name").alias("name"), "c_custkey"), _views_folder(spark)
+    for step in range(4):  # each with a sink of its own, as after a restart
+        sink = TableSink(spark, folder)
+        sink.register("m", ["name"])
+        if step == 0:
+            sink.write("m", rows)
+        else:
+            sink.replace("m", rows.where(F.col("c_custkey") < 20).where(F.col("c_custkey") % 3 == step - 1), rows.limit(0))
+    return sink.read("m")
+
+
+@_query("""SELECT unnest(['# HELP shop_nation Nations.', '# TYPE shop_nation gauge']) AS line UNION ALL SELECT 'shop_nation{name="' || n_name || '"} 1' FROM nation""")
+def exposition_page(spark, d):
+    return page(_table(spark, d, "nation").select(F.col("n_name").alias("name")), "shop_nation", ["name"], "Nations.")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics text of nations and regions, with comments and blank lines."""
+    nation = _table(spark, d, "nation").select(F.concat(metric_line("nations", {"name": F.col("n_name"), "region": F.col("n_regionkey").cast("string")}), F.col("n_nationkey").cast("string")).alias("value"))
+    region = _table(spark, d, "region").select(metric_line("regions", {"name": F.col("r_name")}).alias("value"))
+    return nation.unionByName(region).unionByName(spark.createDataFrame([("# HELP nations x",), ("",)], "value string"))
+
+
+@_query("""SELECT 'regions' AS metric, 'regions{name="' || r_name || '"} 1' AS line FROM region""")
+def snapshot_allowed(spark, d):
+    return snapshot_lines(_lines(spark, d), ["regions", "others"])
+
+
+@_query("SELECT CAST(count(*) AS BIGINT) AS n FROM nation WHERE n_regionkey IN (1, 3) AND n_name <> 'x'")
+def matching_count(spark, d):
+    return measures.matching(samples(_lines(spark, d)), "nations", measures.with_labels(F.col("labels"), region=["1", "3"]))
+
+
+@_query("SELECT CAST('1' || n_nationkey AS DOUBLE) AS value FROM nation WHERE n_regionkey = 2 ORDER BY n_name LIMIT 1")
+def first_gauge(spark, d):
+    rows = samples(_lines(spark, d)).withColumn("name", F.try_element_at("labels", F.lit("name")))
+    return measures.first_gauge(rows, "nations", measures.with_labels(F.col("labels"), region="2"), "name")
+
+
+@_query("SELECT kind, namespace, name FROM (SELECT 'Deployment' AS kind, 'shop' AS namespace, n_name AS name FROM nation UNION ALL SELECT 'Node', '', r_name FROM region)")
+def ordered_keys(spark, d):
+    return in_order(shop_log(spark, d).where(F.col("kind").isin("Deployment", "Node")).select("kind", "namespace", "name"))
+
+
+@_query("SELECT 'shop' AS namespace, 'user-' || min(CAST(user_id AS VARCHAR)) AS name FROM events")
+def ready_pod(spark, d):
+    conditions = F.array(F.struct(F.lit("Ready").alias("type"), F.when(F.col("event_type").isNull(), "False").otherwise("True").alias("status")))
+    pods = _table(spark, d, "events").select(F.lit("Pod").alias("kind"), F.lit("shop").alias("namespace"), _named("user-", "user_id").alias("name"), F.parse_json(F.to_json(F.struct(F.struct(conditions.alias("conditions")).alias("status")))).alias("object"))
+    return ready_pods(pods)
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    """Events as requests: the type is the host, the method and code go by the id, and the value counts as milliseconds."""
+    k = F.col("event_id") % 4
+    method = F.when(k == 0, "get").when(k == 1, "Post").when(k == 2, "DELETE").otherwise("PATCH")
+    return _events(spark, d).select("event_id", method.alias("method"), F.when(k == 0, "").when(k == 1, "201").otherwise("x").alias("code"), F.col("event_type").alias("host"), (F.col("value") / 1000).alias("seconds"), F.lit(1).cast("bigint").alias("one"))
+
+
+@_query("SELECT code, method, event_type AS host, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN '0' WHEN 1 THEN '201' ELSE 'invalid' END AS code, CASE event_id % 4 WHEN 0 THEN 'get' WHEN 1 THEN 'Post' WHEN 2 THEN 'DELETE' ELSE 'PATCH' END AS method FROM events) GROUP BY 1, 2, 3")
+def request_counter(spark, d):
+    return measures.requests(_calls(spark, d), "code", "method", "host")
+
+
+_LE = [str(0.001 * 2**k) for k in range(14)]
+
+
+@_query(f"SELECT event_type AS host, le, CAST(n AS BIGINT) AS n FROM (SELECT event_type, unnest({[*_LE, '+Inf']}) AS le, unnest([{', '.join(f'count(*) FILTER (CAST(value AS DOUBLE) / 1000 <= CAST({b} AS DOUBLE))' for b in _LE)}, count(*)]) AS n FROM events GROUP BY 1)")
+def request_latency(spark, d):
+    return measures.latencies(_calls(spark, d), ["host"], "seconds")
+
+
+@_query("SELECT CAST(count(*) AS BIGINT) AS total FROM events WHERE event_id % 4 <> 0")
+def write_verbs(spark, d):
+    return measures.writes(_calls(spark, d), "method", "one")
+
+
+@_query("SELECT event_type, CAST(sum(user_id) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def histogram_totals(spark, d):
+    return measures.totals(_events(spark, d).withColumn("user_id", F.col("user_id").cast("bigint")), ["event_type"], "user_id")
+
+
+@_query("SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS depth FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click')")
+def queue_depth(spark, d):
+    events = _events(spark, d)
+    return measures.queue_depth(events, events.where("event_type = 'click'"), ["user_id"])
+
+
+@_query("SELECT CAST(count(*) FILTER (EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS BIGINT) AS indexed, CAST(count(*) FILTER (NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS BIGINT) AS fallback FROM customer")
+def index_lookups(spark, d):
+    return measures.index_lookups(_orders(spark, d), _table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("uid")))
+
+
+@_query("SELECT a.user_id, CAST(a.n - coalesce(b.n, 0) AS BIGINT) AS delta FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) a LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_id < 500 GROUP BY 1) b USING (user_id)")
+def resource_deltas(spark, d):
+    events = _events(spark, d)
+    return measures.deltas(measures.counts(events.where("event_id < 500"), ["user_id"]), measures.counts(events, ["user_id"]), ["user_id"], "n")
+
+
+@_query("SELECT o_orderkey, CAST(86400.5 AS DOUBLE) AS seconds, strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z' AS began FROM orders")
+def elapsed_seconds(spark, d):
+    began = F.col("o_orderdate").cast("timestamp")
+    return _table(spark, d, "orders").select("o_orderkey", measures.elapsed(began, began + F.expr("interval '1 00:00:00.5' day to second")).alias("seconds"), measures.stamp(began).alias("began"))
+
+
+@_query("SELECT CAST(o_orderkey AS VARCHAR) AS anchor_key FROM orders WHERE o_custkey % 5 = 0 UNION ALL SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE FALSE")
+def late_parent(spark, d):
+    """Anchors that missed their parent are found by its key, without a rescan."""
+    orders = _table(spark, d, "orders")
+    key = F.struct(F.lit("ReplicaSet").alias("kind"), F.lit("shop").alias("namespace"), _named("customer-", "o_custkey").alias("name"))
+    deps = orders.select(F.col("o_orderkey").cast("string").alias("anchor_key"), F.lit("Pod").alias("anchor_kind"), F.lit(None).cast("string").alias("parent_uid"), key.alias("wanted"))
+    added = _table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.lit("ReplicaSet").alias("kind"), F.lit("shop").alias("namespace"), _named("customer-", "c_custkey").alias("name"), F.lit("new").alias("uid"))
+    return incremental.affected(deps, added).select("anchor_key")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

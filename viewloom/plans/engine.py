@@ -11,6 +11,7 @@ from viewloom.operators.resolve import DEFAULT_HOPS
 from viewloom.operators.rules import evaluated, hops_of
 from viewloom.sinks.series import SeriesSink
 from viewloom.sources.objects import current
+from viewloom.sources.places import written
 
 
 def views(config: Config, state: DataFrame, *, hops: int = DEFAULT_HOPS) -> dict[str, DataFrame]:
@@ -18,8 +19,13 @@ def views(config: Config, state: DataFrame, *, hops: int = DEFAULT_HOPS) -> dict
     return {config.metric(rule): evaluated(rule, state, hops=hops) for rule in config.rules}
 
 
+def state_of_log(log: DataFrame, config: Config | None = None) -> DataFrame:
+    """The current state of a change log as a table: the log is reduced once for all rules and walks."""
+    return written(current(log, config), "state")
+
+
 def views_of_log(config: Config, log: DataFrame, *, hops: int = DEFAULT_HOPS) -> dict[str, DataFrame]:
-    return views(config, current(log, config), hops=hops)
+    return views(config, state_of_log(log, config), hops=hops)
 
 
 def publish(config: Config, state: DataFrame, sink: SeriesSink, *, hops: int = DEFAULT_HOPS) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from viewloom.functions.text import metric_line
 from viewloom.operators.incremental import replaced
+from viewloom.sources.places import Folder
 
 
 class SeriesSink(ABC):
@@ -69,26 +70,27 @@ class MemorySink(SeriesSink):
 
 
 class TableSink(SeriesSink):
-    """Keeps each version of a metric's series as Parquet; a version counts once its folder is complete."""
+    """Keeps versions of a metric's series as Parquet. A version counts once its folder is complete; all but the last two are deleted."""
 
     def __init__(self, spark: SparkSession, folder: str):
         super().__init__()
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self.versions: dict[str, int] = {}
+        self.spark, self.folder = spark, Folder(spark, folder)
 
-    def _path(self, metric: str) -> str:
-        return f"{self.folder}/{metric}/v{self.versions[metric]}"
+    def version(self, metric: str) -> int:
+        """The last complete version in the folder, whoever wrote it; 0 before any."""
+        return max((int(n[1:]) for n in self.folder.names(metric) if self.folder.exists(f"{metric}/{n}/_SUCCESS")), default=0)
 
     def read(self, metric: str) -> DataFrame:
         schema = ", ".join(["anchor_key string", *(f"`{n}` string" for n in self.labels[metric]), "value double"])
-        if metric not in self.versions:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._path(metric))
+        now = self.version(metric)
+        return self.spark.read.schema(schema).parquet(self.folder.path(f"{metric}/v{now}")) if now else self.spark.createDataFrame([], schema)
 
     def write(self, metric: str, rows: DataFrame) -> None:
-        after = self.versions.get(metric, 0) + 1
-        self.fixed(metric, rows).write.mode("overwrite").parquet(f"{self.folder}/{metric}/v{after}")
-        self.versions[metric] = after
+        now = self.version(metric) + 1
+        self.fixed(metric, rows).write.mode("overwrite").parquet(self.folder.path(f"{metric}/v{now}"))
+        for name in self.folder.names(metric):
+            if int(name[1:]) < now - 1:
+                self.folder.delete(f"{metric}/{name}")
 
 
 def exposition(rows: DataFrame, metric: str, labels: list[str]) -> DataFrame:
@@ -100,3 +102,16 @@ def header(metric: str, help_text: str) -> list[str]:
     """The comment lines before a metric's samples."""
     text = help_text.replace("\\", "\\\\").replace("\n", "\\n")
     return [f"# HELP {metric} {text}", f"# TYPE {metric} gauge"]
+
+
+def page(rows: DataFrame, metric: str, labels: list[str], help_text: str) -> DataFrame:
+    """(line): a metric's comment lines and samples, in the order that metrics text has them."""
+    top = rows.sparkSession.createDataFrame([(k, x) for k, x in enumerate(header(metric, help_text))], "part int, line string")
+    return top.unionByName(exposition(rows, metric, labels).withColumn("part", F.lit(2))).orderBy("part", "line").select("line")
+
+
+def snapshot_lines(lines: DataFrame, allowed: list[str], column: str = "value") -> DataFrame:
+    """(metric, line): the sample lines of metrics text whose metric is allowed, for printing."""
+    line = F.trim(column)
+    own = lines.where((line != "") & ~line.startswith("#")).select(F.regexp_extract(line, r"^([^{\s]+)", 1).alias("metric"), line.alias("line"))
+    return own.where(F.col("metric").isin(*allowed))

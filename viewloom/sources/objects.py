@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from viewloom.functions.selectors import field_selector, label_selector, object_fields, object_labels
 from viewloom.model import Config, Watched
-from viewloom.operators.resolve import with_parent
+from viewloom.operators.resolve import lookup_namespace, with_parent
 from viewloom.operators.state import KEY, latest
 
 #: Columns of a change log.
@@ -36,16 +36,21 @@ def log_from_json(objects: DataFrame, column: str = "value", seq: str | None = N
     return objects.select(get("$.kind").alias("kind"), get("$.metadata.namespace").alias("namespace"), get("$.metadata.name").alias("name"), get("$.metadata.uid").alias("uid"), get("$.metadata.resourceVersion").alias("rv"), F.lit("ADDED").alias("op"), (F.col(seq) if seq else F.lit(0)).cast("bigint").alias("seq"), F.col(column).alias("object"))
 
 
-def selected(state: DataFrame, watched: Watched) -> DataFrame:
-    """Objects of a watched kind that its scope and selectors let through; ``object`` is VARIANT."""
-    rows = state.where(F.col("kind") == watched.kind)
+def fits(watched: Watched) -> Column:
+    """Whether an object of a state (``object`` is VARIANT) is of a watched kind and let through by its scope and selectors."""
+    ok = F.col("kind") == watched.kind
     if watched.namespaces:
-        rows = rows.where(F.col("namespace").isin(*watched.namespaces))
+        ok &= F.col("namespace").isin(*watched.namespaces)
     if watched.label_selector:
-        rows = rows.where(label_selector(watched.label_selector, object_labels(F.col("object"))))
+        ok &= label_selector(watched.label_selector, object_labels(F.col("object")))
     if watched.field_selector:
-        rows = rows.where(field_selector(watched.field_selector, watched.kind, object_fields(F.col("object"))))
-    return rows
+        ok &= field_selector(watched.field_selector, watched.kind, object_fields(F.col("object")))
+    return ok
+
+
+def selected(state: DataFrame, *watched: Watched) -> DataFrame:
+    """Objects that any of ``watched`` lets through, by one predicate over one pass."""
+    return state.where(reduce(Column.__or__, map(fits, watched)))
 
 
 def current(log: DataFrame, config: Config | None = None) -> DataFrame:
@@ -56,7 +61,7 @@ def current(log: DataFrame, config: Config | None = None) -> DataFrame:
     kinds = sorted(config.watched_kinds()) if config else None
     rows = log.where(F.col("kind").isin(*kinds)) if kinds else log
     last = latest(with_parent(rows), KEY, "seq").where("op <> 'DELETED'").withColumn("object", F.try_parse_json("object")).drop("op")
-    return reduce(DataFrame.unionByName, (selected(last, w) for w in config.watched())) if config else last
+    return selected(last, *config.watched()) if config else last
 
 
 def dry_run(state: DataFrame, config: Config) -> None:
@@ -79,3 +84,19 @@ def ready(value: Column) -> Column:
     """Whether an object has a condition Ready that is True."""
     conditions = F.try_variant_get(value, "$.status.conditions", "array<variant>")
     return F.coalesce(F.exists(conditions, lambda c: (F.try_variant_get(c, "$.type", "string") == "Ready") & (F.try_variant_get(c, "$.status", "string") == "True")), F.lit(False))
+
+
+def lookup(state: DataFrame, keys: DataFrame) -> DataFrame:
+    """The objects of ``keys`` (kind, namespace, name); what is found under no namespace may be asked for by any."""
+    own = keys.select("kind", lookup_namespace(F.col("kind"), F.col("namespace")).alias("namespace"), "name").distinct()
+    return state.join(own, KEY, "left_semi")
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Objects or keys by kind, namespace and name."""
+    return rows.orderBy(*KEY)
+
+
+def ready_pods(state: DataFrame, most: int = 1) -> DataFrame:
+    """(namespace, name): the first ``most`` Pods by name whose condition Ready is True."""
+    return state.where((F.col("kind") == "Pod") & ready(F.col("object"))).select("namespace", "name").orderBy("namespace", "name").limit(most)

@@ -1,51 +1,82 @@
 """Views kept current from a stream of changes.
 
-Each micro-batch is one version: state, dependencies and series are written first, then a pointer names them, so a
-reader never sees half a batch and a batch that fails is done again from the version before.
+State, dependencies and series are tables in buckets by a hash of the key. A batch reads the changes, rewrites the buckets
+that they touch, and writes a manifest of which version each bucket has; then a pointer names the manifest, so a reader
+never sees half a batch and a batch that fails is done again from the version before. Buckets that no manifest of the last
+two versions names are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from viewloom.functions.text import object_key
-from viewloom.model import Config
-from viewloom.operators.incremental import affected, replaced, union
+from viewloom.model import KINDS, Config
+from viewloom.operators.incremental import affected, replaced
+from viewloom.operators.measures import index_lookups
 from viewloom.operators.resolve import DEFAULT_HOPS, with_parent
-from viewloom.operators.rules import evaluated
+from viewloom.operators.rules import evaluated, hops_of
 from viewloom.operators.state import KEY, latest
 from viewloom.plans.engine import index
-from viewloom.sources.objects import LOG, selected
+from viewloom.sources.objects import selected
+from viewloom.sources.places import Folder
 
-_PRIOR = "kind string, namespace string, name string, uid string, rv string, seq bigint, object string, parent_kind string, parent_ns string, parent_name string"
-_CHANGES = LOG + ", parent_kind string, parent_ns string, parent_name string"
+_STATE = "kind string, namespace string, name string, uid string, rv string, op string, seq bigint, digest bigint, object variant, parent_kind string, parent_ns string, parent_name string"
 _DEPS = "anchor_key string, anchor_kind string, parent_uid string, wanted struct<kind:string,namespace:string,name:string>"
+_MANIFEST = "what string, bucket int, version int"
+_METRICS = "version int, changed bigint, admitted bigint, indexed bigint, fallback bigint, anchors bigint"
 
 
 class Maintainer:
-    """Applies change logs to the views of a configuration, in a folder that all executors share."""
+    """Applies change logs to the views of a configuration, in a folder that all executors share.
 
-    def __init__(self, spark: SparkSession, config: Config, folder: str, *, hops: int = DEFAULT_HOPS):
-        self.spark, self.config, self.folder, self.hops = spark, config, folder.rstrip("/"), hops
+    The row of the largest seq counts for each key, in whatever order rows arrive: deleted keys stay as tombstones, so an
+    older row cannot bring them back. Dependencies hold, besides the uids along each anchor's chain, the key of a parent
+    that was looked for and missed, so a parent that arrives late finds its anchors by the index and no rescan of its
+    namespace is needed.
+    """
+
+    def __init__(self, spark: SparkSession, config: Config, folder: str, *, hops: int = DEFAULT_HOPS, buckets: int = 64):
+        self.spark, self.config, self.hops, self.buckets = spark, config, hops, buckets
+        self.folder = Folder(spark, folder)
 
     def version(self) -> int:
         """The last complete version; 0 before any. Pointers are folders, which the file system lists alike everywhere."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/done")
-        files = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        return max((int(s.getPath().getName()) for s in files.listStatus(path)), default=0) if files.exists(path) else 0
-
-    def _done(self, version: int) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/done/{version}")
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(path)
-
-    def _read(self, what: str, schema: str, version: int) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{what}/v{version}") if version else self.spark.createDataFrame([], schema)
-
-    def _write(self, what: str, rows: DataFrame, version: int, schema: str) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{what}/v{version}")
-        return self._read(what, schema, version)
+        return max(map(int, self.folder.names("done")), default=0)
+
+    def _manifest(self, version: int) -> dict[tuple[str, int], int]:
+        """The version of each bucket that has rows; at most a row for each table and bucket."""
+        if version < 1 or not self.folder.exists(f"manifest/v{version}"):
+            return {}
+        rows = self.spark.read.schema(_MANIFEST).parquet(self.folder.path(f"manifest/v{version}")).collect()
+        return {(r.what, r.bucket): r.version for r in rows}
+
+    def _bucket(self, kind: Column, key: Column) -> Column:
+        return F.pmod(F.xxhash64(kind, key), F.lit(self.buckets)).cast("int")
+
+    def _read(self, what: str, schema: str, manifest: dict, only: list[int] | None = None) -> DataFrame:
+        paths = [self.folder.path(f"{what}/v{v}/bucket={k}") for (w, k), v in manifest.items() if w == what and (only is None or k in only)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _write(self, what: str, rows: DataFrame, kind: Column, key: Column, version: int, touched: list[int], manifest: dict) -> None:
+        """Puts ``rows`` in place of the touched buckets."""
+        place = f"{what}/v{version}"
+        spread = rows.withColumn("bucket", self._bucket(kind, key))
+        spread.repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(self.folder.path(place))
+        for k in touched:
+            manifest.pop((what, k), None)
+            if self.folder.exists(f"{place}/bucket={k}"):
+                manifest[what, k] = version
+
+    def _touched(self, rows: DataFrame, kind: Column, key: Column) -> list[int]:
+        return sorted(r[0] for r in rows.select(self._bucket(kind, key)).distinct().collect())
+
+    def _kept(self, what: str, rows: DataFrame) -> DataFrame:
+        """A table that only this batch reads."""
+        rows.write.mode("overwrite").parquet(self.folder.path(f"batch/{what}"))
+        return self.spark.read.schema(rows.schema).parquet(self.folder.path(f"batch/{what}"))
 
     def _schema(self, labels: list[str]) -> str:
         return ", ".join(["anchor_key string", *(f"`{n}` string" for n in labels), "value double"])
@@ -53,40 +84,78 @@ class Maintainer:
     def series(self, metric: str) -> DataFrame:
         """The current rows of a metric."""
         rule = next(r for r in self.config.rules if self.config.metric(r) == metric)
-        return self._read(f"series/{metric}", self._schema(rule.label_names()), self.version())
+        return self._read(f"series/{metric}", self._schema(rule.label_names()), self._manifest(self.version()))
+
+    def metrics(self) -> DataFrame:
+        """For each version: changed keys, those admitted, parents that the index knew and did not know, anchors done again."""
+        names = self.folder.names("metrics")
+        return self.spark.read.schema(_METRICS).parquet(*(self.folder.path(f"metrics/{n}") for n in names)) if names else self.spark.createDataFrame([], _METRICS)
 
-    def _watched(self, rows: DataFrame) -> DataFrame:
-        parsed = rows.withColumn("object", F.try_parse_json("object"))
-        return union([selected(parsed, w) for w in self.config.watched()])
+    def moving_kinds(self) -> list[str]:
+        """Kinds whose changes can change a view: anchors, and any kind if a rule follows owners, since all can stand on a chain."""
+        walks = any(hops_of(r, self.hops) for r in self.config.rules)
+        return [k for k in KINDS if walks or any(r.anchor == k for r in self.config.rules)]
 
     def apply(self, log: DataFrame) -> None:
         """One batch of changes (columns of LOG): latest by key, then state, then what depends on it."""
         before = self.version()
-        now = before + 1
-        prior = self._read("state", _PRIOR, before)
-        last = latest(with_parent(log.where(F.col("kind").isin(*self.config.watched_kinds()))), KEY, "seq")
-        last = self._write("changes", last, now, _CHANGES)
-        known = prior.select(*KEY, F.col("rv").alias("__rv"), F.col("seq").alias("__seq"))
-        new = last.join(known, KEY, "left").where("__seq is null or seq > __seq").where("op = 'DELETED' or __rv is null or rv is null or rv = '' or rv <> __rv").drop("__rv", "__seq")
-        state = replaced(prior, new.select(*KEY), new.where("op <> 'DELETED'").drop("op"), KEY)
-        state = self._write("state", state, now, _PRIOR)
-        live = self._watched(state)
+        now, manifest = before + 1, self._manifest(before)
+        parsed = with_parent(log.where(F.col("kind").isin(*sorted(self.config.watched_kinds()))))
+        last = latest(parsed, KEY, "seq").withColumn("digest", F.xxhash64("object")).withColumn("object", F.when(F.col("op") != "DELETED", F.try_parse_json("object")))
+        last = self._kept("changes", last.select(*(c.split()[0] for c in _STATE.split(", "))))
+        kind, key = F.col("kind"), object_key(F.col("namespace"), F.col("name"))
+        buckets = self._touched(last, kind, key)
+        prior = self._read("state", _STATE, manifest, buckets)
+        known = prior.select(*KEY, F.col("op").alias("__op"), F.col("rv").alias("__rv"), F.col("seq").alias("__seq"), F.col("digest").alias("__digest"))
+        newer = last.join(known, KEY, "left").where("__seq is null or seq > __seq")
+        # a new version of the same content is taken into the state, but asks for no work
+        same = F.col("__rv").eqNullSafe(F.col("rv")) & (F.col("digest") == F.col("__digest")) & (F.col("op") != "DELETED") & (F.col("__op") != "DELETED")
+        new = self._kept("new", newer.withColumn("same", F.coalesce(same, F.lit(False))).drop("__op", "__rv", "__seq", "__digest"))
+        work = new.where(~F.col("same") & F.col("kind").isin(*self.moving_kinds()))
         # old and new versions of what changed: an object may leave a selector, change its owner or its uid
-        touched = prior.join(new, KEY, "left_semi").select(*KEY, "uid").unionByName(new.select(*KEY, "uid")).distinct()
-        deps = self._read("deps", _DEPS, before)
-        anchors = touched.select(F.col("kind").alias("anchor_kind"), object_key(F.col("namespace"), F.col("name")).alias("anchor_key"))
-        hit = self._write("hit", affected(deps, touched).unionByName(anchors).distinct(), now, "anchor_kind string, anchor_key string")
-        fresh = index(self.config, live, hops=self.hops, only=hit)
-        self._write("deps", replaced(deps, hit, fresh, ["anchor_kind", "anchor_key"]), now, _DEPS)
+        touched = self._kept("touched", prior.join(work, KEY, "left_semi").select(*KEY, "uid").unionByName(work.select(*KEY, "uid")).distinct())
+        self._write("state", replaced(prior, new.select(*KEY), new.drop("same"), KEY), kind, key, now, buckets, manifest)
+        live = selected(self._read("state", _STATE, manifest).where("op <> 'DELETED'"), *self.config.watched()).drop("op", "digest")
+        deps = self._read("deps", _DEPS, manifest)
+        anchors = touched.select(F.col("kind").alias("anchor_kind"), key.alias("anchor_key")).where(F.col("anchor_kind").isin(*{r.anchor for r in self.config.rules}))
+        hit = self._kept("hit", affected(deps, touched).unionByName(anchors).distinct())
+        counts = last.agg(F.count("*").alias("changed")).crossJoin(work.agg(F.count("*").alias("admitted"))).crossJoin(index_lookups(deps, touched)).crossJoin(hit.agg(F.count("*").alias("anchors")))  # a row each
+        counts.select(F.lit(now).alias("version"), "changed", "admitted", "indexed", "fallback", "anchors").write.mode("overwrite").parquet(self.folder.path(f"metrics/v{now}"))
+        akind, akey = F.col("anchor_kind"), F.col("anchor_key")
+        own = self._touched(hit, akind, akey)
+        if own:
+            fresh = index(self.config, live, hops=self.hops, only=hit)
+            self._write("deps", replaced(self._read("deps", _DEPS, manifest, own), hit, fresh, ["anchor_kind", "anchor_key"]), akind, akey, now, own, manifest)
         for rule in self.config.rules:
-            own = hit.where(F.col("anchor_kind") == rule.anchor).select("anchor_key")
-            rows = evaluated(rule, live, hops=self.hops, only=own)
-            what, schema = f"series/{self.config.metric(rule)}", self._schema(rule.label_names())
-            self._write(what, replaced(self._read(what, schema, before), own, rows, "anchor_key"), now, schema)
-        self._done(now)
-
-    def follow(self, log: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        """Applies a stream of changes, batch by batch; ``trigger`` is that of the stream writer."""
+            mine = hit.where(akind == rule.anchor).select("anchor_key")
+            own = self._touched(mine, F.lit(rule.anchor), akey)
+            if own:
+                what, schema = f"series/{self.config.metric(rule)}", self._schema(rule.label_names())
+                rows = evaluated(rule, live, hops=self.hops, only=mine)
+                self._write(what, replaced(self._read(what, schema, manifest, own), mine, rows, "anchor_key"), F.lit(rule.anchor), akey, now, own, manifest)
+        entries = [(w, k, v) for (w, k), v in manifest.items()]
+        self.spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(self.folder.path(f"manifest/v{now}"))
+        self.folder.make(f"done/{now}")
+        self._vacuum(now)
+
+    def _vacuum(self, now: int) -> None:
+        """Deletes what only versions before the last one had."""
+        used = {*self._manifest(now).items(), *self._manifest(now - 1).items()}
+        for (what, bucket), version in self._manifest(now - 2).items():
+            if ((what, bucket), version) not in used:
+                self.folder.delete(f"{what}/v{version}/bucket={bucket}")
+        self.folder.delete(f"manifest/v{now - 2}")
+        self.folder.delete(f"done/{now - 2}")
+        self.folder.delete("batch")
+
+    def follow(self, log: DataFrame, checkpoint: str, *, snapshot: DataFrame | None = None, **trigger) -> StreamingQuery:
+        """Applies a stream of changes, batch by batch; ``trigger`` is that of the stream writer.
+
+        ``snapshot`` is a change log at rest that comes first: the stream starts when its version is complete. A restart
+        that has a version already leaves it out.
+        """
+        if snapshot is not None and not self.version():
+            self.apply(snapshot)
 
         def batch(rows: DataFrame, _: int) -> None:
             self.apply(rows)
