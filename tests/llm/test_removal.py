@@ -56,6 +56,16 @@ def test_lines(docs_of, maker, least):
     assert "lang" in got.columns and line_dedup(docs_of([])).count() == 0
 
 
+def test_lines_of_a_very_long_text_and_clashing_names(spark, maker):
+    lines = [f"{a} {k % 7000}" for k, a in enumerate(maker.words(20_000))]
+    rows = [(1, "\n".join(lines), 1, "a"), (2, "\n".join(["own", *lines[:9_000], "end"]), 2, "b"), (3, "", 3, "c"), (4, None, 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long, gone string").selectExpr("*", "doc_id as n_lines", "'x' as `row`", "1 as `a.b`")
+    got = {r.doc_id: r for r in line_dedup(docs).collect()}
+    assert got[1].n_removed == 0 and got[1].n_lines == 20_000 and got[1].text == rows[0][1]
+    assert got[2].text == "own\nend" and got[2].n_removed == 9_000 and got[2]["__id"] == 2 and got[2].gone == "b" and got[2]["a.b"] == 1
+    assert got[3].text == "" and got[4].text is None and got[4].n_lines == 0
+
+
 def brute_bytes(rows):
     seen, out = set(), {}
     for i, t in sorted({(i, t) for i, t in rows if i is not None and t is not None}):
@@ -83,6 +93,26 @@ def test_bytes(docs_of, maker, monkeypatch, crowd, stretch, held):
     assert S.suffix_dedup(docs_of([])).count() == 0
 
 
+def test_equal_polynomial_hashes_do_not_fool(docs_of):
+    tail = "qoubxyvoqgerndydgkwenndkzmsprqinqbmxinfr"
+    rows = [(1, "djpibwdlfalemspyslognnkiouwpfarabkybzvrjwdfixxrbuzlyvsonlowz" + tail), (2, "bfuijegabmkhmeeusmgkgnpthxuamkklfjesomijcidgrkvmxoeflojpbrpi" + tail)]
+    assert [len(t) for _, t in rows] == [100, 100]
+    assert all(r.n_removed == 0 for r in S.suffix_dedup(docs_of(rows)).collect())
+
+
+def test_longest_previous_factors(maker):
+    for k in range(40):
+        text = "".join(maker.rng.choices("ab" if k % 2 else "abcd", k=maker.rng.randint(1, 80)))
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+
+        def common(i, j, text=text):
+            return next((n for n in range(len(text)) if text[i + n : i + n + 1] != text[j + n : j + n + 1] or i + n >= len(text)), len(text))
+
+        prefix = S.np.array([0] + [common(a, b) for a, b in zip(order, order[1:], strict=False)])
+        want = [max((common(i, j) for j in range(i)), default=0) for i in order]
+        assert S.longest_previous(S.np.array(order), prefix).tolist() == want
+
+
 def test_quality(docs_of, maker):
     rows = [(i, t, "en") for i, t in documents(maker)] + [(1, None, None), (None, maker.text(30), None), (40, "%%% " * 80 + maker.text(80), "en"), (41, "a b c d e f g " * 3, "de")]
     got = quality(docs_of(rows)).collect()

@@ -1,25 +1,26 @@
 """Removal of repeated byte strings by longest previous factors.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier. In the suffix array of the corpus that
-asks, for each suffix, whether its longest previous factor has LENGTH bytes: whether the previous or the next smaller
-position in suffix order lies in its interval of that common prefix. Most suffixes have no such interval, so the array
-is built where it matters:
+A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier: if the longest previous factor of some
+suffix has LENGTH bytes or more. Of all positions that come earlier in the text, the two that stand nearest to a suffix
+in suffix order, the previous and the next smaller position, have its longest earlier match; so the array follows from
+suffix order, common prefixes of neighbours and these two. Most suffixes match nothing, so it is built where it matters:
 
 1. Every window of LENGTH bytes has an anchor, the least hashed gram of ``GRAM`` bytes in it, so equal windows have
-   anchors at equal places. Consecutive windows of one anchor make a block. Blocks of the same gram and the same bytes
-   but for the first are repeated as a whole.
-2. Grams that only one block has repeat nowhere. Where a gram has blocks of several contents, the first of each goes to
-   step 3, with its bytes.
-3. The suffixes that start behind the gram are sorted, with their common prefixes, and so are the bytes before it, read
-   backwards. For each distance of a window's start from the gram, the two orders give the intervals of equal windows;
-   a window whose interval holds a smaller position is a later copy.
-4. A gram with very many block contents is looked up window by window instead, with map-side partial sums.
+   anchors at equal places. Consecutive windows of one anchor make a block. Hashes of grams only bring blocks together.
+2. Grams that only one block has repeat nowhere. Of blocks of the same gram and the same bytes (by a digest with a key
+   drawn for each run, so that no text can be made to fool it) all but the first are repeated as a whole.
+3. Where a gram has blocks of several contents, the suffixes of the first of each, where a window starts, are sorted by
+   their bytes; common prefixes of neighbours and the previous and next smaller positions give the longest previous
+   factors.
+4. A gram with more than ``CROWD`` block contents is looked up window by window instead, by SHA-256 and with map-side
+   partial sums, since no task could sort it.
 5. Each document is cut once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +34,9 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from viewloom.llm.common import runs, stored, texts_of
 
 LENGTH = 100
-GRAM = 40
+GRAM = 32
 #: Grams in a window.
 SPAN = LENGTH - GRAM + 1
-#: Bytes on each side of a gram that a window can reach.
-REACH = LENGTH - GRAM
 #: Texts are read in stretches of so many windows; a block is cut there, which changes no result.
 STRETCH = 1 << 20
 #: Grams with more block contents than this are looked up window by window.
@@ -79,11 +78,11 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Blocks of joined texts that end at ``ends``: (first window, windows, anchor, hash of the gram, hash of the block)."""
+    """Blocks of joined texts that end at ``ends``: (first window, windows, anchor, hash of the gram)."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none, none, none
+        return none, none, none, none
     values, powers, inverse = _tables(n + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
@@ -99,7 +98,7 @@ def blocks(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         cut[1:] = (least[1:] != least[:-1]) | ~inside[:-1]
         first = np.nonzero(cut & inside)[0]
         if not len(first):
-            return none, none, none, none, none
+            return none, none, none, none
         stops = np.nonzero(np.concatenate([cut | ~inside, [True]]))[0]
         last = stops[np.searchsorted(stops, first, "right")] - 1
         place = np.empty(len(first), np.int64)
@@ -117,8 +116,19 @@ def blocks(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, ...]:
                 more.append(np.stack([starts, np.append(starts[1:] - 1, last[k]), at[np.searchsorted(windows, starts)]]))
             last[late] = place[late]
             first, last, place = np.concatenate([np.stack([first, last, place]), *more], axis=1)
-        whole = (sums[last + LENGTH] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return first, last - first + 1, place, grams[place].view(np.int64), whole.view(np.int64)
+        return first, last - first + 1, place, grams[place].view(np.int64)
+
+
+def digests(data: bytes, first: np.ndarray, n: np.ndarray, key: bytes) -> np.ndarray:
+    """Keyed digests of the bytes of blocks."""
+    start, view = hashlib.sha256(key), memoryview(data)
+
+    def one(a: int, b: int) -> bytes:
+        own = start.copy()
+        own.update(view[a:b])
+        return own.digest()[:8]
+
+    return np.frombuffer(b"".join(map(one, first.tolist(), (first + n + LENGTH - 1).tolist())), np.int64)
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -126,7 +136,7 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).alias("version"))
 
 
-def block_rows(docs: DataFrame) -> DataFrame:
+def block_rows(docs: DataFrame, key: bytes) -> DataFrame:
     """(gram, whole, doc_id, at) of (doc_id, text, version).
 
     ``at`` packs first window, version, windows and the anchor's distance. Of blocks of the same gram and bytes that a
@@ -162,12 +172,13 @@ def block_rows(docs: DataFrame) -> DataFrame:
 
     def rows(ids, parts, owners, versions):
         ends = np.cumsum([len(p) for p in parts])
-        first, n, place, gram, whole = blocks(b"".join(parts), ends)
+        data = b"".join(parts)
+        first, n, place, gram = blocks(data, ends)
         part = np.searchsorted(ends, first, "right")
         starts = np.concatenate(([0], ends[:-1]))
         row, base = np.array(owners, np.int64).T
-        at = ((first - starts[part] + base[part]) << 28) | (versions[row[part]].astype(np.int64) << 12) | ((n - 1) << 6) | (place - first)
-        return gram, whole, at, ids.take(pa.array(row[part]))
+        at = ((first - starts[part] + base[part]) << 30) | (versions[row[part]].astype(np.int64) << 14) | ((n - 1) << 7) | (place - first)
+        return gram, digests(data, first, n, key), at, ids.take(pa.array(row[part]))
 
     def combined(held):
         gram, whole, at = (np.concatenate([h[k] for h in held]) for k in range(3))
@@ -178,7 +189,7 @@ def block_rows(docs: DataFrame) -> DataFrame:
         same = np.concatenate(([False], _same(gram[order]) & _same(whole[order])))
         again = same & np.concatenate(([False], _same(at[order]) & _same(rank[order])))  # one row of ``docs`` that stands twice
         order, same = order[~again], same[~again]
-        spread = np.where(same, at[order] ^ (rank[order] << 7), gram[order])
+        spread = np.where(same, at[order] ^ (rank[order] << 8), gram[order])
         return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.where(same, 0, whole[order])), ids.take(pa.array(order)), pa.array(np.where(same, ~at[order], at[order]))], schema=out)
 
     return docs.mapInArrow(run, schema)
@@ -232,43 +243,60 @@ def sifted(rows: DataFrame) -> DataFrame:
     return rows.repartition("gram").sortWithinPartitions("gram", "whole", "doc_id", "at").mapInArrow(run, schema)
 
 
-def later_windows(gram: np.ndarray, texts: list[bytes], n: np.ndarray, distance: np.ndarray) -> np.ndarray:
+def longest_previous(position: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """Longest previous factors in suffix order: ``position`` of each suffix, ``prefix`` that it shares with the one before.
+
+    The nearest smaller position on either side is found by jumps: from a neighbour that is no smaller to the one that
+    it has come to itself, with the least common prefix on the way.
+    """
+    n = len(position)
+
+    def side(position: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        at, low = np.arange(-1, n - 1), prefix.copy()
+        left = np.nonzero((at >= 0) & (position[at] > position))[0]
+        while len(left):
+            over = at[left]
+            low[left], at[left] = np.minimum(low[left], low[over]), at[over]
+            left = left[(at[left] >= 0) & (position[at[left]] > position[left])]
+        return np.where(at >= 0, low, 0)
+
+    back = np.append(prefix[1:], 0)[::-1]  # the same from the other end
+    return np.maximum(side(position, prefix), side(position[::-1], back)[::-1])
+
+
+def later_windows(gram: np.ndarray, texts: list[bytes], n: np.ndarray) -> np.ndarray:
     """(blocks, SPAN) whether each window of the blocks is a later copy of one of another block of the same gram.
 
-    Blocks are sorted by gram, then position; ``distance`` is from a block's start to its gram.
+    Blocks are sorted by gram, then position; each has ``n`` windows, from its first byte on. Windows whose hash stands
+    alone match nothing; the suffixes of all others are sorted as far as LENGTH bytes, equal ones by position.
     """
     size = len(texts)
-    width = REACH + (-REACH) % 8
-    after, back = np.zeros((size, width), np.uint8), np.zeros((size, width), np.uint8)
-    for k, (text, d) in enumerate(zip(texts, distance.tolist(), strict=True)):
-        tail = text[d + GRAM : d + GRAM + REACH]
-        after[k, : len(tail)] = np.frombuffer(tail, np.uint8)
-        head = text[max(0, d - REACH) : d][::-1]
-        back[k, : len(head)] = np.frombuffer(head, np.uint8)
-
-    def ordered(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The order of the gram's suffixes, and each one's common prefix with the one before it; -1 for another gram."""
-        words = side.view(">u8").astype(np.uint64)
-        order = np.lexsort((*words.T[::-1], gram))
-        prefix = np.full(size, -1)
-        unlike = side[order[1:]] != side[order[:-1]]
-        prefix[1:] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), width)
-        prefix[1:][gram[order[1:]] != gram[order[:-1]]] = -1
-        return order, prefix
-
-    (order_a, prefix_a), (order_b, prefix_b) = ordered(after), ordered(back)
+    ends = np.cumsum(n)
+    block = np.repeat(np.arange(size), n)
+    offset = np.arange(ends[-1]) - np.repeat(ends - n, n)
+    starts = np.cumsum([0, *map(len, texts[:-1])])[block] + offset
+    width = LENGTH + (-LENGTH) % 8
+    data = np.frombuffer(b"".join(texts) + bytes(width), np.uint8)
+    values, powers, inverse = _tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(values[data] * powers[: len(data)], out=sums[1:])
+    hashes = (sums[starts + LENGTH] - sums[starts]) * inverse[starts]
+    by_hash = np.argsort(hashes)
+    alike = _same(hashes[by_hash])
+    several = np.sort(by_hash[np.concatenate((alike, [False])) | np.concatenate(([False], alike))])
     found = np.zeros((size, SPAN), bool)
-    interval_a, interval_b = np.empty(size, np.int64), np.empty(size, np.int64)
-    for ahead in range(SPAN):  # bytes of the window before the gram
-        own = np.nonzero((distance >= ahead) & (distance - ahead < n))[0]
-        if len(own) < 2:
-            continue
-        interval_a[order_a] = np.cumsum(prefix_a < REACH - ahead)
-        interval_b[order_b] = np.cumsum(prefix_b < ahead)
-        both = interval_a[own] * (size + 1) + interval_b[own]
-        order = np.argsort(both, kind="stable")  # of equal windows, the smallest position comes first
-        late = own[order[1:][_same(both[order])]]
-        found[late, distance[late] - ahead] = True
+    if not len(several):
+        return found
+    block, offset, starts = block[several], offset[several], starts[several]
+    suffixes = np.lib.stride_tricks.sliding_window_view(data, width)[starts]
+    suffixes[:, LENGTH:] = 0
+    order = np.lexsort((*suffixes.view(">u8").astype(np.uint64).T[::-1], gram[block]))  # stable, so equal ones stay by position
+    unlike = suffixes[order[1:]] != suffixes[order[:-1]]
+    prefix = np.zeros(len(order), np.int64)
+    prefix[1:] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), LENGTH)
+    prefix[1:][gram[block[order[1:]]] != gram[block[order[:-1]]]] = 0
+    late = order[longest_previous(order, prefix) >= LENGTH]
+    found[block[late], offset[late]] = True
     return found
 
 
@@ -290,8 +318,8 @@ def _crowded(wanted: DataFrame) -> DataFrame:
             for row in range(batch.num_rows):
                 text = batch.column(2)[row].as_py().encode()
                 for x in batch.column(3)[row].as_py():
-                    first, n = x["at"] >> 28, ((x["at"] >> 6) & 63) + 1
-                    marks = [xxhash.xxh128_digest(text[s : s + LENGTH]) for s in range(first, first + n)]
+                    first, n = x["at"] >> 30, ((x["at"] >> 7) & 127) + 1
+                    marks = [hashlib.sha256(text[s : s + LENGTH]).digest() for s in range(first, first + n)]
                     yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), batch.column(0).slice(row, 1).take(pa.array([0] * n)), batch.column(1).slice(row, 1).take(pa.array([0] * n)), pa.array(range(first, first + n), pa.int64())], names=["mark", "doc_id", "version", "start"])
 
     windows = stored(wanted.mapInArrow(run, f"mark binary, doc_id {kind}, version long, start long"), "windows")
@@ -311,20 +339,20 @@ def _sorted_out(wanted: DataFrame) -> DataFrame:
                 for row in range(part.num_rows):
                     text = part.column(2)[row].as_py().encode()
                     for x in part.column(3)[row].as_py():
-                        first = x["at"] >> 28
+                        first = x["at"] >> 30
                         rows.append(row)
                         grams.append(x["gram"])
                         places.append(x["at"])
-                        parts.append(text[first : first + ((x["at"] >> 6) & 63) + LENGTH])
+                        parts.append(text[first : first + ((x["at"] >> 7) & 127) + LENGTH])
                 yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), part.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int64()), pa.array(parts, pa.binary())], names=["gram", "doc_id", "at", "bytes"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, "gram", 20_000):
+        for table in runs(batches, "gram", 8_000):
             at = table.column("at").to_numpy()
-            row, first, n = _spans(later_windows(table.column("gram").to_numpy(), table.column("bytes").to_pylist(), ((at >> 6) & 63) + 1, at & 63))
+            row, first, n = _spans(later_windows(table.column("gram").to_numpy(), table.column("bytes").to_pylist(), ((at >> 7) & 127) + 1))
             docs = table.column("doc_id").combine_chunks()
             docs = docs.chunk(0) if isinstance(docs, pa.ChunkedArray) else docs
-            yield pa.RecordBatch.from_arrays([docs.take(pa.array(row)), pa.array((at[row] >> 12) & 0xFFFF), pa.array((at[row] >> 28) + first), pa.array(n)], names=["doc_id", "version", "start", "n"])
+            yield pa.RecordBatch.from_arrays([docs.take(pa.array(row)), pa.array((at[row] >> 14) & 0xFFFF), pa.array((at[row] >> 30) + first), pa.array(n)], names=["doc_id", "version", "start", "n"])
 
     found = wanted.mapInArrow(cut, f"gram long, doc_id {kind}, at long, bytes binary")
     return found.repartition("gram").sortWithinPartitions("gram", "doc_id", "at").mapInArrow(match, f"doc_id {kind}, version long, start long, n long")
@@ -333,9 +361,9 @@ def _sorted_out(wanted: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, version, start, n): runs of n windows, by first byte, that are later copies; of (doc_id, text, version)."""
     known = docs.where("doc_id is not null and text is not null")
-    found = stored(sifted(block_rows(known)), "blocks")
-    version = F.shiftright("at", 12).bitwiseAND(0xFFFF)
-    copies = found.where("copy").select("doc_id", version.alias("version"), F.shiftright("at", 28).alias("start"), (F.shiftright("at", 6).bitwiseAND(63) + 1).alias("n"))
+    found = stored(sifted(block_rows(known, os.urandom(16))), "blocks")
+    version = F.shiftright("at", 14).bitwiseAND(0xFFFF)
+    copies = found.where("copy").select("doc_id", version.alias("version"), F.shiftright("at", 30).alias("start"), (F.shiftright("at", 7).bitwiseAND(127) + 1).alias("n"))
     first = found.where("not copy").select("gram", "doc_id", version.alias("version"), "at")
     crowds = first.groupBy("gram").count().where(F.col("count") > CROWD).select("gram", F.lit(True).alias("crowd"))
     crowds = stored(crowds, "crowds")
