@@ -9,7 +9,8 @@
    letters of the same script and case for letters, valid check digits, octets of the same length), and for names of the
    same gender and script.
 3. Collision checks: surrogates that two entities drew, that an earlier entity holds, or that are some entity's own
-   value are drawn again, until all are distinct.
+   value are drawn again, until all are distinct. From the fourth attempt on a draw is longer by one character (or octets
+   by digits, names by a syllable) for each attempt, so however many entities share a short format, there is room for all.
 4. Mentions are exchanged where they stand, each in its own format (spaces, punctuation, case, one word of a name); what
    lies between them stays byte for byte.
 
@@ -132,8 +133,8 @@ def _ip(value: Column, hexed: Column, attempt: Column) -> Column:
     return F.array_join(F.transform(F.split(value, r"\."), octet), ".")
 
 
-def _name(value: Column, gender: Column, hexed: Column) -> Column:
-    """As many words, of syllables of the same script; a given name ends as its gender's names do."""
+def _name(value: Column, gender: Column, hexed: Column, more: Column) -> Column:
+    """As many words, of syllables of the same script, ``more`` of them than usual; a given name ends as its gender's names do."""
     words = F.split(value, " ")
 
     def of(script: str) -> Column:
@@ -141,7 +142,7 @@ def _name(value: Column, gender: Column, hexed: Column) -> Column:
         end = F.when(gender == "m", _ENDINGS[script]["m"]).when(gender == "f", _ENDINGS[script]["f"]).otherwise(_ENDINGS[script][""])
 
         def word(_: Column, w: Column) -> Column:
-            body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.get(sounds, F.pmod(_bytes_of(hexed, w * 8 + k), F.lit(len(_SYLLABLES[script]))))), "")
+            body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3) + more), lambda k: F.get(sounds, F.pmod(_bytes_of(hexed, w * 32 + k), F.lit(len(_SYLLABLES[script]))))), "")
             given = (w == 0) & (F.size(words) > 1)
             return F.initcap(F.concat(body, F.when(given | (F.size(words) == 1), end).otherwise("")))
 
@@ -162,16 +163,15 @@ def _rendered(kind: Column, value: Column, entity: Column, surrogate: Column) ->
     """An entity's surrogate in the format of the mention ``value``."""
     drawn_ = _letters(F.when(kind == "email", surrogate).otherwise(F.regexp_replace(surrogate, r"\+", "")))
 
-    def cased(c: Column, i: Column) -> Column:
-        new = F.coalesce(F.get(drawn_, i), F.lit(""))
-        return F.when(c.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
+    def cased(new: Column, i: Column) -> Column:
+        return F.when(F.coalesce(F.get(_letters(value), i).rlike(r"\p{Lu}"), F.lit(False)), F.upper(new)).otherwise(new)
 
     def step(a: Column, c: Column) -> Column:
         takes = c.rlike("[0-9A-Z]")
         return F.struct(F.concat(a["s"], F.when(takes, F.coalesce(F.get(drawn_, a["k"]), F.lit(""))).otherwise(c)).alias("s"), (a["k"] + takes.cast("int")).alias("k"))
 
-    spread = F.aggregate(_letters(value), F.struct(F.lit("").alias("s"), F.lit(0).alias("k")), step)["s"]
-    return F.when(value == entity, surrogate).when(kind == "email", F.array_join(F.transform(_letters(value), cased), "")).when(kind.isin("phone", "card", "ssn", "iban"), spread).otherwise(surrogate)
+    spread = F.aggregate(_letters(value), F.struct(F.lit("").alias("s"), F.lit(0).alias("k")), step, lambda a: F.concat(a["s"], F.array_join(F.slice(drawn_, a["k"] + 1, 100), "")))
+    return F.when(value == entity, surrogate).when(kind == "email", F.array_join(F.transform(drawn_, cased), "")).when(kind.isin("phone", "card", "ssn", "iban"), spread).otherwise(surrogate)
 
 
 def _persons(names: DataFrame) -> DataFrame:
@@ -204,24 +204,36 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
     hexed = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\0more")), 512))
     rows = entities.withColumn("hexed", hexed)
     v, h, kind = F.col("value"), F.col("hexed"), F.col("kind")
+    more = F.greatest(F.col("attempt") - 3, F.lit(0))  # what a draw is longer by
+
+    def longer(letters: str) -> Column:
+        return F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda k: _pick(letters, _bytes_of(h, F.lit(96) + k))), "")).otherwise("")
+
     hexlike = F.array_join(F.transform(_letters(v), lambda c, i: _pick("0123456789abcdef", _bytes_of(h, i))), "")
     domain = F.regexp_extract(v, r"(\.[^.@]+)\z", 1)
-    email = F.concat(_alike(F.substring(v, F.lit(1), F.length(v) - F.length(domain)), h), domain)
+    local = F.regexp_extract(v, r"\A([^@]*)", 1)
+    host = F.substring(v, F.length(local) + 1, F.length(v) - F.length(local) - F.length(domain))
+    email = F.concat(_alike(local, h), longer("abcdefghijklmnopqrstuvwxyz"), _let(_alike(F.concat(local, host), h), lambda x: F.substring(x, F.length(local) + 1, F.length(x))), domain)
+    digits = longer("0123456789")
     found = (
-        F.when(kind == "email", email).when(kind == "secret", F.when(v.rlike(r"\A[0-9a-f]+\z"), hexlike).otherwise(_alike(v, h)))
-        .when(kind == "access key", _alike(v, h, keep=4)).when(kind == "iban", _iban(_alike(v, h, keep=2)))
-        .when(kind == "phone", _alike(v, h, keep=F.col("keep"))).when(kind == "ssn", F.concat((F.lit(1) + F.pmod(_bytes_of(h, F.lit(127)), F.lit(5))).cast("string"), F.substring(_alike(v, h), 2, 20)))
-        .when(kind == "card", _card(_alike(v, h, keep=1))).when(kind == "ip", _ip(v, h, F.col("attempt"))).otherwise(_name(v, F.col("gender"), h))
+        F.when(kind == "email", email).when(kind == "secret", F.concat(F.when(v.rlike(r"\A[0-9a-f]+\z"), hexlike).otherwise(_alike(v, h)), digits))
+        .when(kind == "access key", F.concat(_alike(v, h, keep=4), digits)).when(kind == "iban", _iban(F.concat(_alike(v, h, keep=2), digits)))
+        .when(kind == "phone", F.concat(_alike(v, h, keep=F.col("keep")), digits)).when(kind == "ssn", F.concat((F.lit(1) + F.pmod(_bytes_of(h, F.lit(127)), F.lit(5))).cast("string"), F.substring(_alike(v, h), 2, 20), digits))
+        .when(kind == "card", _card(F.concat(_alike(v, h, keep=1), digits))).when(kind == "ip", _ip(v, h, F.col("attempt"))).otherwise(_name(v, F.col("gender"), h, more))
     )
     return rows.withColumn("surrogate", found).drop("hexed")
 
 
-def surrogates(entities: DataFrame, key: str, *, rounds: int = 12) -> DataFrame:
-    """(kind, value, gender, surrogate) for distinct (kind, value, gender): distinct surrogates, none of them a value in use."""
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, value, gender, surrogate) for distinct (kind, value, gender): distinct surrogates, none of them a value in use.
+
+    Rounds go on until none is left. Since draws grow, each round from the fourth on has ten times the room of the one
+    before or more, so their number follows the logarithm of the entities of a format.
+    """
     todo = stored(entities.withColumn("attempt", F.lit(0)), "entities")
     values = todo.select(F.col("kind"), F.col("value").alias("surrogate"))
     done = None
-    for _ in range(rounds):
+    while True:
         tried = drawn(todo, key)
         taken = values if done is None else values.unionByName(done.select("kind", "surrogate"))
         # of those that drew the same, the one of the least value and gender holds it, unless it is taken
@@ -233,20 +245,22 @@ def surrogates(entities: DataFrame, key: str, *, rounds: int = 12) -> DataFrame:
         if lost.isEmpty():
             return done
         todo = lost
-    raise RuntimeError(f"no distinct surrogates after {rounds} rounds")
 
 
-def pseudonymised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = "viewloom") -> DataFrame:
+def pseudonymised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str) -> DataFrame:
     """``docs`` with surrogates in ``text_col``, and n_entities (mentions exchanged) added.
 
     A null or empty text has no mention and stays. Rows with null or repeated ids are treated like any other; mentions of
     an entity get one surrogate in all of them, each in its own format. A full name without a title is exchanged where
-    the same text has it with a title; of several genders the least counts. Extra columns pass through; one named n_entities is replaced. An empty
-    table gives an empty result. Titles of names and labels of secrets stay.
+    the same text has it with a title; of several genders the least counts. Titles of names and labels of secrets stay.
+    Whoever has ``key`` can tell which surrogate a guessed value gets, so it is to be kept secret; the same key gives the
+    same surrogates to the same entities of a table. Texts of any length are read whole. Extra columns pass through,
+    whatever their names; one named n_entities is replaced. An empty table gives an empty result.
     """
-    text = F.col(text_col)
+    rows = docs.select(F.struct("*").alias("row"), docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))  # so that no name can clash
+    text = F.col("text")
     has = F.coalesce(text.rlike(ANY), F.lit(False))
-    marked = docs.where(has).withColumns({"__id": F.col(id_col), "__version": F.xxhash64(text)})
+    marked = rows.where(has).withColumns({"__id": F.col("doc_id"), "__version": F.xxhash64(text)})
     found = marked.select("__id", "__version", F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("__i", "mention"))
     found = found.withColumn("kind", _kind(F.col("mention"))).withColumn("before", _before(F.col("mention"), F.col("kind")))
     value = F.substring(F.col("mention"), F.length("before") + 1, F.length("mention"))
@@ -277,5 +291,7 @@ def pseudonymised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     untitled = F.aggregate(between, F.lit(0), lambda a, part: a + F.aggregate(names, F.lit(0), lambda b, x: b + F.regexp_count(part, bare(x))))
     changed = marked.join(lists, marked["__id"].eqNullSafe(F.col("__of")) & (F.col("__version") == F.col("__ofversion")))
     n_entities = F.size("__new") + F.when(several, untitled).otherwise(0)
-    changed = changed.withColumns({text_col: rebuilt, "n_entities": n_entities.cast("long")}).drop("__id", "__version", "__of", "__ofversion", "__new", "__persons")
-    return changed.unionByName(docs.where(~has).withColumn("n_entities", F.lit(0).cast("long")))
+    changed = changed.select("row", rebuilt.alias("text"), n_entities.cast("long").alias("n_entities"))
+    whole = changed.unionByName(rows.where(~has).select("row", "text", F.lit(0).cast("long").alias("n_entities")))
+    same = [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c != "n_entities"]
+    return whole.select(*same, "n_entities")
