@@ -35,7 +35,7 @@ STRETCHES = re.compile(r"\n| +[^ \n]*|[^ \n]+").findall
 #: The agenda of a longer stretch is a heap; that of others is a row of scores, of which the least is looked for.
 WIDEST = 256
 #: Stretches of a batch that are encoded together.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 17
 
 #: The rank of two symbols that no piece joins.
 _NONE = np.int32(2**31 - 1)
@@ -79,7 +79,7 @@ class Merges:
 class Codec:
     """Encodes and decodes with one model; keeps encoded stretches up to a bound."""
 
-    def __init__(self, path: str, dropout: float, seed: int, kept: int = 300_000):
+    def __init__(self, path: str, dropout: float, seed: int, kept: int = 100_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -105,7 +105,7 @@ class Codec:
         self.symbol[ord(" ")], self.symbol[ord(SPACE_MARK)] = place.get(SPACE_MARK, self.strange), self.strange  # a mark in the text itself goes to bytes
         splits = [(place[p[:k]], place[p[k:]], order[self.scores[p]], place[p]) for p in self.ids for k in range(1, len(p)) if p[:k] in place and p[k:] in place]
         self.merges = Merges(*map(list, zip(*splits, strict=True))) if splits else Merges([], [], [], [])
-        self.merge = {(a, b): (r, m) for a, b, r, m in splits}
+        self.plain: dict[int, int] = {}  # the same for single pairs, if a long stretch asks for it
         self.dropout = dropout
         self.log_pass = math.log1p(-dropout) if 0 < dropout < 1 else -math.inf
         self.seed, self.kept = seed, kept
@@ -196,12 +196,14 @@ class Codec:
 
     def cut_long(self, text: str, key: np.uint64, place: int) -> np.ndarray:
         """Ids of a stretch of any length at a place of a document, with a heap."""
+        if not self.plain:
+            some = self.merges.keys >= 0
+            self.plain = dict(zip(self.merges.keys[some].tolist(), ((self.merges.ranks[some].astype(np.int64) << 32) | self.merges.made[some]).tolist(), strict=True))
+        known = self.plain.get
         symbols = self.symbol[np.frombuffer(text.encode("utf-32-le"), "<u4")].tolist()
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        get = self.merge.get
-        agenda = [(*found, i, a, b) for i, (a, b) in enumerate(pairwise(symbols)) if (found := get((a, b)))]
-        agenda = [(rank, i, a, b, made) for rank, made, i, a, b in agenda]
+        agenda = [(found >> 32, i, a, b, found & 0xFFFFFFFF) for i, (a, b) in enumerate(pairwise(symbols)) if (found := known(a << 32 | b)) is not None]
         heapq.heapify(agenda)
         keys, places = np.array([key]), np.array([place])
         came, turn = 0, 0
@@ -219,10 +221,10 @@ class Codec:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if found := get((made, symbols[k])):
-                    heapq.heappush(agenda, (found[0], i, made, symbols[k], found[1]))
-            if (h := before[i]) >= 0 and (found := get((symbols[h], made))):
-                heapq.heappush(agenda, (found[0], h, symbols[h], made, found[1]))
+                if (found := known(made << 32 | symbols[k])) is not None:
+                    heapq.heappush(agenda, (found >> 32, i, made, symbols[k], found & 0xFFFFFFFF))
+            if (h := before[i]) >= 0 and (found := known(symbols[h] << 32 | made)) is not None:
+                heapq.heappush(agenda, (found >> 32, h, symbols[h], made, found & 0xFFFFFFFF))
         out: list[int] = []
         for c, s in zip(text, symbols, strict=True):
             if s != self.gone:
@@ -235,7 +237,7 @@ class Codec:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         groups = np.where(sizes <= 24, -(-sizes // 4) * 4, 2 ** np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
         for n in np.unique(groups).tolist():
-            own, step = np.nonzero(groups == n)[0], max(16, (1 << 20) // n)
+            own, step = np.nonzero(groups == n)[0], max(16, (1 << 19) // n)
             for lo in range(0, len(own), step):
                 part = own[lo : lo + step]
                 yield part, self.cut([texts[k] for k in part.tolist()], *(c[part] for c in columns), **options)
@@ -376,7 +378,7 @@ def piece_encoding(docs: DataFrame, *, model: str = "piece_bpe_32k.model", id_co
         return [ids, lists, pa.array(counts, pa.int64()), lossless]
 
     texts = texts_of(docs, id_col, text_col)
-    return over_texts(texts, encode, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, lossless boolean", size=1024)
+    return over_texts(texts, encode, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, lossless boolean", size=512)
 
 
 def piece_decoding(encoded: DataFrame, *, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
