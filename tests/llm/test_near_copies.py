@@ -43,3 +43,24 @@ def test_against_all_pairs(docs_of, maker, monkeypatch):
         assert sorted(repr(tuple(r)) for r in got) == want
     assert sorted(repr(r.doc_id) for r in corpus_pipeline.drop_near_copies(None, docs_of(rows), "").collect()) == sorted(repr(i) for k, (i, _) in enumerate(rows) if i is None or i == names[find(k)])
     assert N.near_copy_components(docs_of([])).count() == 0
+
+
+def test_ring_filter_is_the_hamming_radius(maker):
+    rng = N.np.random.default_rng(5)
+    x = rng.integers(0, 1 << 63, (20_000, 2), dtype=N.np.uint64)
+    for _ in range(2):  # sparser and sparser
+        x &= rng.integers(0, 1 << 63, x.shape, dtype=N.np.uint64)
+        whole = N.np.bitwise_count(x).sum(axis=1)
+        for radius in (12, 24, 48):
+            assert (N.ring_holds(x, radius) == (whole <= radius)).all()
+        assert 0 < (whole <= 24).sum()
+
+
+def test_similar_sets_stay_within_the_radius(maker):
+    rng = N.np.random.default_rng(6)
+    for n in (4, 8, 40, 400):
+        for _ in range(200):
+            both = rng.integers(0, 1 << 63, 2 * n, dtype=N.np.uint64)
+            a, b = both[: n + n // 4], both[:n]  # similarity of 0.8 at least
+            x = N.np.array([N.wide_fingerprint(a)], N.np.uint64) ^ N.np.array([N.wide_fingerprint(b)], N.np.uint64)
+            assert N.ring_holds(x, N.RADIUS)[0]

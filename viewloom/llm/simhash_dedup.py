@@ -76,6 +76,39 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return over_texts(texts, lambda ids, t: [ids, pa.array(fingerprint_batch(t, shingle).view("<i8"))], f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+def wide_fingerprint(values: np.ndarray) -> tuple[int, int]:
+    """A SimHash of 128 bits over distinct 64-bit hashes, as two words: their own bits, and those of a second mixing."""
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(values), 1 << 14):
+        part = values[at : at + (1 << 14)]
+        mixed = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        both = np.stack([part, mixed ^ (mixed >> np.uint64(31))], axis=1)
+        ones += np.unpackbits(both.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return tuple(np.packbits(2 * ones > len(values), bitorder="little").view("<u8").tolist())
+
+
+def ring_holds(x: np.ndarray, radius: int) -> np.ndarray:
+    """For XORed fingerprints of two words, (pairs, 2): whether chains around some segment keep to their budgets, and the whole to ``radius``.
+
+    Eight segments of 16 bits stand on a ring. If at most ``radius`` bits differ in all, there is a segment from which on
+    every chain of l segments differs in at most l * radius / 8 bits. Chains of one and two segments are looked at for
+    every pair, longer ones and the whole for those that are left.
+    """
+    diff = np.bitwise_count(np.ascontiguousarray(x).view(np.uint16)).astype(np.int16).reshape(len(x), 8)
+    budget = radius * np.arange(1, 9)
+    two = diff + np.roll(diff, -1, axis=1)
+    ok = ((diff * 8 <= budget[0]) & (two * 8 <= budget[1])).any(axis=1)
+    at = np.nonzero(ok)[0]
+    ring = np.cumsum(np.concatenate([diff[at], diff[at]], axis=1), axis=1, dtype=np.int16)
+    ring = np.concatenate([np.zeros((len(at), 1), np.int16), ring], axis=1)
+    holds = np.zeros(len(at), bool)
+    for start in range(8):
+        holds |= ((ring[:, start + 1 : start + 9] - ring[:, start : start + 1]) * 8 <= budget).all(axis=1)
+    ok[at] = holds
+    return ok
+
+
 def chains_hold(x: np.ndarray, radius: int) -> np.ndarray:
     """For XORed fingerprints: whether some segment starts chains that all keep to their budgets."""
     diff = np.stack([np.bitwise_count(x & _bits(*s)) for s in SEGMENTS], axis=-1).astype(np.int16)
@@ -188,8 +221,9 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps the document of its least id.
 
-    Rows with a null id stay, for nothing names them.
+    Rows with a null id stay, for nothing names them; repeated rows stay or go together. All columns pass through,
+    whatever their names. An empty table gives an empty result.
     """
     classes = simhash_components(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("of")).distinct()
+    return docs.join(gone, docs[id_col] == gone["of"], "left_anti")
