@@ -1,11 +1,13 @@
 """Toxicity by weak supervision.
 
-1. Voters: seed lexicons, patterns, and lexicons of words and word beginnings induced from labelled rows.
-2. A generative label model takes the voters (and the given labels, as one voter more) as noisy views of a hidden truth.
-   Expectation and maximisation estimates how often each voter fires on toxic and on other texts; correlations of
-   voters, given the truth, lower the weight of voters that say the same thing.
-3. A linear classifier learns the posterior labels from which of a bounded set of features a text has; it scores all
-   texts. Nothing but the text enters a score.
+1. Voters: seed lexicons in four languages, patterns, and many small lexicons of words and word beginnings that labelled
+   rows suggest. Each says of a text whether it speaks for toxic.
+2. A generative label model takes the votes as views of a hidden truth. Its parameters are, for each voter, how often it
+   fires on toxic and on other texts (its accuracies), and how that changes with the vote of the voter that it is most
+   correlated with, given the truth (a tree over all voters). Expectation and maximisation fits them on votes alone; given labels
+   calibrate where it starts and how common toxic texts are, but they cast no vote.
+3. A linear classifier learns the posterior labels from which features and patterns a text has; it scores all texts.
+   Nothing but the text enters a score.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.common import held_out, over_texts, stored, texts_of
+from viewloom.llm.common import dropped, held_out, over_texts, stored, texts_of
 
 #: Seed lexicons in the four languages of the corpus.
 SEEDS = {
@@ -38,6 +40,8 @@ PATTERNS = {
     "exclamation": re.compile(r"!{4,}"),
 }
 WORDS = re.compile(r"[^\W\d_]+").findall
+#: Ids of sampled rows that are sent to all executors; beyond, texts are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Lengths of word beginnings that serve as features.
 BEGINNINGS = (4, 5, 6)
 
@@ -76,47 +80,115 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -50, 50))))
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, weight: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, dict]:
-    """Posterior probability of toxic for rows with ``votes`` (rows, voters) of 0 and 1, and ``given`` labels as a voter.
-
-    Returns it with what was estimated: firing rates by truth, and each voter's effective weight.
+@dataclass
+class LabelModel:
+    """A tree-structured generative model of votes: ``fires[j, y, v]`` is the chance that voter j fires on texts of truth y when its parent voted v."""
+
+    prior: float
+    parent: np.ndarray
+    fires: np.ndarray
+
+    def log_likelihoods(self, votes: np.ndarray) -> np.ndarray:
+        """(rows, 2) log probability of votes and truth."""
+        above = np.where(self.parent >= 0, votes[:, self.parent], 0)
+        own = np.arange(votes.shape[1])
+        out = np.log([1 - self.prior, self.prior])
+        each = [np.where(votes > 0, p, 1 - p) for p in (self.fires[own, y, above] for y in (0, 1))]
+        return np.stack([np.log(p).sum(axis=1) for p in each], axis=1) + out
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        both = self.log_likelihoods(votes)
+        return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -50, 50)))
+
+
+def correlated(votes: np.ndarray, weight: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """The parent of each voter in the tree of most mutual information given the truth; -1 for the first."""
+    m = votes.shape[1]
+    gain = np.zeros((m, m))
+    x = votes.astype(float)
+    for w in (weight * posterior, weight * (1 - posterior)):
+        n = w.sum() + 1e-9
+        both = (x * w[:, None]).T @ x / n
+        one = np.diag(both).copy()
+        for a, pa in ((1, one), (0, 1 - one)):
+            for b, pb in ((1, one), (0, 1 - one)):
+                joint = {(1, 1): both, (1, 0): one[:, None] - both, (0, 1): one[None, :] - both, (0, 0): 1 - one[:, None] - one[None, :] + both}[a, b]
+                joint, apart = np.clip(joint, 1e-12, 1), np.clip(pa[:, None] * pb[None, :], 1e-12, 1)
+                gain += n * joint * np.log(joint / apart)
+    parent, best = np.full(m, -1), np.full(m, -np.inf)
+    left = set(range(1, m))
+    at = 0
+    while left:  # the next voter is the one most correlated with those in the tree
+        others = np.array(sorted(left))
+        better = others[gain[at, others] > best[others]]
+        best[better], parent[better] = gain[at, better], at
+        at = int(others[best[others].argmax()])
+        left.remove(at)
+    return parent
+
+
+def fitted(votes: np.ndarray, weight: np.ndarray, posterior: np.ndarray, parent: np.ndarray, prior: float | None, backing: float = 5.0) -> LabelModel:
+    """The most likely parameters when the truth is known as far as ``posterior``; rare cases lean on the voter's rate without its parent."""
+    m = votes.shape[1]
+    above = np.where(parent >= 0, votes[:, parent], 0)
+    fires = np.zeros((m, 2, 2))
+    for y, w in enumerate((weight * (1 - posterior), weight * posterior)):
+        rate = (w @ votes + 0.5) / (w.sum() + 1)
+        for v in (0, 1):
+            own = (above == v) * w[:, None]
+            fires[:, y, v] = ((own * votes).sum(axis=0) + (backing + 1e-9) * rate) / (own.sum(axis=0) + backing + 1e-9)
+    share = float((weight * posterior).sum() / weight.sum()) if prior is None else prior
+    return LabelModel(float(np.clip(share, 1e-3, 1 - 1e-3)), parent, np.clip(fires, 1e-5, 1 - 1e-5))
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, weight: np.ndarray, prior: float | None = None, rounds: int = 25) -> tuple[np.ndarray, LabelModel]:
+    """The posterior probability of toxic for rows of ``votes`` (rows, voters) of 0 and 1, and the model.
+
+    ``start`` is a first guess of the truth, which only the first round reads. With ``prior`` the share of toxic texts
+    is known. The tree settles in the first rounds.
     """
-    every = np.column_stack([votes, given]).astype(float)
-    posterior = np.where(given > 0, 0.9, 0.05)
-    total = weight.sum()
-    for _ in range(rounds):
-        w1, w0 = weight * posterior, weight * (1 - posterior)
-        prior = np.clip(w1.sum() / total, 1e-3, 1 - 1e-3)
-        fires1 = np.clip((w1 @ every + 0.5) / (w1.sum() + 1), 1e-4, 1 - 1e-4)
-        fires0 = np.clip((w0 @ every + 0.5) / (w0.sum() + 1), 1e-4, 1 - 1e-4)
-        rest = every - (posterior[:, None] * fires1 + (1 - posterior)[:, None] * fires0)  # what the truth leaves unexplained
-        cov = (rest * weight[:, None]).T @ rest / total
-        spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        corr = np.clip(cov / np.outer(spread, spread), 0, 1)
-        effect = 1 / corr.sum(1).clip(1)  # correlated voters share one vote
-        hit, miss = np.log(fires1 / fires0), np.log((1 - fires1) / (1 - fires0))
-        odds = np.log(prior / (1 - prior)) + (every * hit + (1 - every) * miss) @ effect
-        posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return posterior, {"fires_toxic": fires1, "fires_other": fires0, "effect": effect, "correlation": corr, "prior": prior}
-
-
-def linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 400, ridge: float = 3e-4) -> tuple[np.ndarray, float]:
+    votes = votes.astype(np.int64)
+    posterior, parent = start.astype(float), None
+    for k in range(rounds):
+        if k < 5:
+            parent = correlated(votes, weight, posterior)
+        model = fitted(votes, weight, posterior, parent, prior)
+        posterior = model.posterior(votes)
+    return posterior, model
+
+
+class Marks:
+    """A sparse matrix of 0 and 1, by the row and column of each 1."""
+
+    def __init__(self, rows: int, columns: int, own: list[list[int]]):
+        self.shape = rows, columns
+        self.row = np.repeat(np.arange(rows), list(map(len, own)))
+        self.column = np.array([c for x in own for c in x], np.int64)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], self.shape[0])
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, g[self.row], self.shape[1])
+
+
+def linear(x: Marks, target: np.ndarray, weight: np.ndarray, rounds: int = 400, ridge: float = 3e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels, by accelerated gradient steps."""
     n = weight.sum()
-    v = np.ones(x.shape[1])
+    v, size = np.ones(x.shape[1]), 1.0
     for _ in range(15):  # the largest curvature bounds the step
-        v = x.T @ (weight * (x @ v)) / n
+        v = x.back(weight * x.times(v)) / n
         size = float(np.linalg.norm(v))
         v /= max(size, 1e-12)
     step = 1 / (0.3 * size + 0.3 + ridge)
-    w = np.zeros(x.shape[1], np.float64)
+    w = np.zeros(x.shape[1])
     rate = np.clip((weight @ target) / n, 1e-3, 1 - 1e-3)
     b = float(np.log(rate / (1 - rate)))
     look, look_b, before, before_b = w.copy(), b, w.copy(), b
     for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ look + look_b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x.times(look) + look_b, -30, 30)))
         gap = weight * (p - target)
-        w = look - step * ((x.T @ gap) / n + ridge * look)
+        w = look - step * (x.back(gap) / n + ridge * look)
         b = look_b - step * float(gap.sum() / n)
         t = (k - 1) / (k + 2)
         look, look_b = w + t * (w - before), b + t * (b - before_b)
@@ -134,39 +206,56 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
     share = [min(1.0, rows / 2 / n[t]) for t in (0, 1)]
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     own = F.when(F.col("toxic") == 1, F.lit(share[1])).otherwise(F.lit(share[0]))
-    chosen = known.where(place < own).withColumn("weight", 1 / own)  # about `rows` of them, so they may be broadcast
-    return stored(texts_of(docs, id_col, text_col).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
+    chosen = known.where(place < own).withColumn("weight", 1 / own)
+    if chosen.count() <= BROADCAST_ROWS:  # three numbers each, or a short id
+        chosen = F.broadcast(chosen)
+    return stored(texts_of(docs, id_col, text_col).where(F.col("text").isNotNull()).join(chosen, "doc_id"), "toxicity-sample")
 
 
-def induce(sample: DataFrame, most: int) -> list[tuple[str, float, float]]:
-    """(feature, weighted toxic rows, weighted other rows) of features that speak for toxic, strongest first."""
+def induce(sample: DataFrame) -> list[str]:
+    """Features that speak for toxic, strongest first: in five toxic rows or more, four times as common there as in others, by four standard deviations."""
 
     def count(batches):
         found: Counter = Counter()
         for batch in batches:
-            for text, toxic, weight in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for text, toxic in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 for f in features(text):
-                    found[f, toxic] += weight
+                    found[f, toxic] += 1
             if len(found) > 400_000:
                 yield table(found)
                 found.clear()
         yield table(found)
 
     def table(found):
-        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([t for _, t in found], pa.int32()), pa.array(list(found.values()), pa.float64())], names=["feature", "toxic", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([t for _, t in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["feature", "toxic", "n"])
+
+    size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    both = [F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)) for t in (1, 0)]
+    sums = sample.select("text", "toxic").mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(both[0].alias("pos"), both[1].alias("neg")).where("pos >= 5")
+    n1, n0 = max(1, size.get(1, 0)), max(1, size.get(0, 0))
+    r1, r0 = F.col("pos") / n1, F.col("neg") / n0
+    sums = sums.withColumn("sure", (r1 - r0) / F.sqrt(r1 * (1 - r1) / n1 + r0 * (1 - r0) / n0 + 1e-12)).where((r1 > 4 * r0) & (F.col("sure") > 4))
+    return [r.feature for r in sums.orderBy(F.desc("sure"), "feature").select("feature").collect()]
 
-    sums = sample.select("text", "toxic", "weight").mapInArrow(count, "feature string, toxic int, n double").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0.0)).alias("neg"))
-    rated = sums.where("pos >= 3 and pos > 4 * neg").withColumn("force", F.col("pos") * F.log((F.col("pos") + 0.5) / (F.col("neg") + 0.5)))
-    return [(r.feature, r.pos, r.neg) for r in rated.orderBy(F.desc("force"), "feature").limit(most).collect()]
+
+def voters_of(names: list[str], induced: list[str]) -> dict[str, list[int]]:
+    """The columns of each voter: seed words of a topic dealt into four lexicons, patterns, and induced features dealt into lexicons of about four."""
+    place = {f: i for i, f in enumerate(names)}
+    voters = {f"{topic} {k + 1}": [place[w] for w in words[k::4]] for topic, words in SEEDS.items() for k in range(4)}
+    voters |= {name: [len(place) + k] for k, name in enumerate(PATTERNS)}
+    for kind, own in (("words", [f for f in induced if not f.endswith("*")]), ("beginnings", [f for f in induced if f.endswith("*")])):
+        lexicons = min(16, -(-len(own) // 4))
+        voters |= {f"induced {kind} {k + 1}": [place[f] for f in own[k::lexicons]] for k in range(lexicons)}
+    return voters
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = 16_000, most: int = 480) -> tuple[Model, dict]:
-    """The classifier, and what the label model estimated for each voter."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = 16_000) -> tuple[Model, dict]:
+    """The classifier, and for each voter that ever fires how often it does on toxic and on other texts, by the label model."""
     sample = training_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=rows)
     if sample is None:
         return Model(), {}
-    found = induce(sample, most)
-    names = list(dict.fromkeys([f for f, _, _ in found] + [w for words in SEEDS.values() for w in words]))
+    induced = induce(sample)
+    names = list(dict.fromkeys([*induced, *(w for words in SEEDS.values() for w in words)]))
     place = {f: i for i, f in enumerate(names)}
     patterns = list(PATTERNS)
 
@@ -176,38 +265,39 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             own = [sorted([place[f] for f in place.keys() & features(t)] + [len(place) + k for k, p in enumerate(patterns) if PATTERNS[p].search(t)]) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["at", "toxic", "weight"])
 
-    got = sample.select("text", "toxic", "weight").mapInArrow(marks, "at array<int>, toxic int, weight double").collect()
+    got = sample.select("text", "toxic", "weight").mapInArrow(marks, "at array<int>, toxic int, weight double").collect()  # about `rows` rows
+    dropped(sample)
     if len({r["toxic"] for r in got}) < 2:
         return Model(), {}
-    x = np.zeros((len(got), len(names) + len(patterns)), np.float32)
-    for i, r in enumerate(got):
-        x[i, r["at"]] = 1
-    toxic = np.array([r["toxic"] for r in got], float)
-    weight = np.array([r["weight"] for r in got], float)
-
-    # voters: seed lexicons, patterns, and three lexicons each of the words and of the beginnings that were induced
-    voters = {name: [place[w] for w in words] for name, words in SEEDS.items()}
-    voters |= {name: [len(place) + k] for k, name in enumerate(patterns)}
-    for kind, own in (("words", [f for f, _, _ in found if not f.endswith("*")]), ("beginnings", [f for f, _, _ in found if f.endswith("*")])):
-        voters |= {f"induced {kind} {k + 1}": [place[f] for f in own[k::3]] for k in range(3)}
-    votes = np.column_stack([x[:, own].any(axis=1) if own else np.zeros(len(x), bool) for own in voters.values()])
-    posterior, estimates = label_model(votes, toxic, weight)
+    x = Marks(len(got), len(names) + len(patterns), [r["at"] for r in got])
+    toxic, weight = np.array([r["toxic"] for r in got], float), np.array([r["weight"] for r in got], float)
+    voters = voters_of(names, induced)
+    votes = {}
+    for name, own in voters.items():
+        column = np.zeros(len(names) + len(patterns))
+        column[own] = 1
+        if (fired := x.times(column) > 0).any():
+            votes[name] = fired
+    if not votes:
+        return Model(), {}
+    posterior, found = label_model(np.column_stack(list(votes.values())), toxic, weight, prior=float((weight @ toxic) / weight.sum()))
     w, b = linear(x, posterior, weight)
-    report = {name: (float(estimates["fires_toxic"][k]), float(estimates["fires_other"][k]), float(estimates["effect"][k])) for k, name in enumerate([*voters, "given label"])}
+    rates = fitted(np.column_stack(list(votes.values())).astype(np.int64), weight, posterior, np.full(len(votes), -1), None).fires
+    report = {name: (float(rates[k, 1, 0]), float(rates[k, 0, 0]), list(votes)[p] if (p := found.parent[k]) >= 0 else None) for k, name in enumerate(votes)}
     keep = {f: float(v) for f, v in zip(names, w[: len(names)], strict=True) if abs(v) > 1e-4}
     return Model(keep, dict(zip(patterns, map(float, w[len(names) :]), strict=True)), b), report
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, rows: int = 16_000, most: int = 480) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, rows: int = 16_000) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each row of ``docs``.
 
     The classifier is fitted on a sample of about ``rows`` labelled rows (``labels``, joined by id) that are not held
-    out, with at most ``most`` induced features. Every whole text is scored; a null or empty text gets the score of no
-    feature. Rows with a null or repeated id are scored like any other. Labels that are null, not 0 or 1, or of an id
-    that ``docs`` lacks are ignored; of differing labels for an id, toxic wins. Without labels of both kinds the score
-    is a constant below ``threshold``.
+    out. Every whole text is scored, however long; a null or empty text gets the score of no feature. Rows with a null
+    or repeated id are scored like any other. Labels that are null, not 0 or 1, or of an id that ``docs`` lacks are
+    ignored; of differing labels for an id, toxic wins. Without labels of both kinds the score is a constant below
+    ``threshold``. Other columns are left out, whatever their names; an empty table of documents gives an empty result.
     """
-    model, _ = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=rows, most=most)
+    model, _ = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=rows)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.pattern_weights, model.bias))
     mark = uuid.uuid4().hex
 
@@ -224,7 +314,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns, whatever their names.
+
+    Null and empty texts stay, and so do rows with a null id unless their text is rejected; repeated rows stay or go
+    together. An empty table gives an empty result.
+    """
     model, _ = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.pattern_weights, model.bias))
     place = docs.columns.index(text_col)
