@@ -1,12 +1,15 @@
 """Quality rules: base counts, and how far a document's histograms are from its language's.
 
 Two histograms are compared with the language's reference by Jensen-Shannon distance: characters by class, and common
-words. References are sums over all documents of the language that are long enough. Short documents are not judged by
-distance. Everything is DataFrame and SQL functions, within rows but for the references.
+words. References are sums over all documents of the language that are long enough and keep the base rules. Short
+documents are not judged by distance, and of common words those of few words may be further away, by what chance alone brings:
+a text that draws n words from the reference is about sqrt(cells / (8 ln 2 n)) away from it. Everything is DataFrame
+and SQL functions, within rows but for the references.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +21,8 @@ from viewloom.llm.common import SPACE, stored
 COMMON = "the of and to in a is that for on as with le la de des et les un une que qui dans pour der die das und von den mit ist zu nicht el los las en por con del es no".split()
 #: Windows of so many words count as repeated.
 WINDOW = 5
+#: Cells of the histogram of common words that a single language fills.
+CELLS = 10
 
 
 def _hits(text: Column, pattern: str) -> Column:
@@ -89,20 +94,23 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(shares, F.lit(0.0), lambda a, s: a + halves(s))))
 
 
-def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", min_words: int = 50, most_chars: float = 0.25, most_common: float = 0.6) -> DataFrame:
+def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", min_words: int = 50, most_chars: float = 0.25, most_common: float = 0.2) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_distance, common_distance).
 
     ``kept`` is false if a base rule fails, or if the text has at least ``min_words`` words and one of its histograms
-    is further from its language's reference than ``most_chars`` or ``most_common``. A null language is a language of
-    its own. A null or empty text has counts of zero and fails the base rules. Rows with null or repeated ids are
-    judged like any other; other columns are left out. An empty table gives an empty result.
+    is further from its language's reference than ``most_chars``, or ``most_common`` and what chance adds. Texts without
+    any common word are about 0.3 away, and texts of another language 0.26 to 0.4. A null language is a language of
+    its own; one without a reference judges nothing. A null or empty text has counts of zero and fails the base rules.
+    Very long texts are read whole. Rows with null or repeated ids are judged like any other; other columns are left
+    out. An empty table gives an empty result.
     """
     rows = stored(measured(docs, id_col=id_col, text_col=text_col, lang_col=lang_col).withColumn("lang", F.coalesce("lang", F.lit(""))), "quality")
     n = {"chars": 7, "common": len(COMMON) + 1}
-    long = rows.where(F.col("n_words") >= min_words)
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    long = rows.where((F.col("n_words") >= min_words) & ~base)
     sums = long.groupBy("lang").agg(*(F.sum(F.get(h, F.lit(i))).alias(f"{h}{i}") for h, size in n.items() for i in range(size)))
     reference = sums.select("lang", *(F.array(*(f"{h}{i}" for i in range(size))).alias(f"of_{h}") for h, size in n.items()))
     judged = rows.join(reference, "lang", "left").withColumns({f"{h}_distance": F.when(F.col("n_words") >= min_words, js_distance(F.col(h), F.col(f"of_{h}"))) for h in n})
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    far = F.coalesce(F.col("chars_distance") > most_chars, F.lit(False)) | F.coalesce(F.col("common_distance") > most_common, F.lit(False))
+    chance = F.sqrt(F.lit(CELLS) / (8 * math.log(2) * F.col("n_words")))
+    far = F.coalesce(F.col("chars_distance") > most_chars, F.lit(False)) | F.coalesce(F.col("common_distance") > most_common + chance, F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~far).alias("kept"), "chars_distance", "common_distance")

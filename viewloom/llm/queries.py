@@ -56,7 +56,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(read_table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+    return pseudonymised(read_table(spark, sf_dir, "documents"), key="of this query only").select("doc_id", "n_entities", "text")
 
 
 _LINE_DEDUP = r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
@@ -86,10 +86,10 @@ m AS (SELECT w.doc_id, lang, words, CAST(len(words) AS BIGINT) AS n_words, CAST(
 c AS (SELECT doc_id, lang, n_words, 'chars' AS h, unnest(range(7)) AS k, unnest([size - word_chars, word_chars - n_symbols - upper - digits - marks - wide, upper, wide, marks, digits, n_symbols]) AS n FROM m),
 k AS (SELECT doc_id, lang, n_words, 'common' AS h, unnest(range(len(COMMON_WORDS) + 1)) AS k, unnest(list_append(list_transform(COMMON_WORDS, lambda c: len(list_filter(words, lambda x: x = c))), len(list_filter(words, lambda x: NOT list_contains(COMMON_WORDS, x))))) AS n FROM m),
 a AS (SELECT doc_id, lang, h, k, CAST(n AS DOUBLE) AS n FROM (SELECT * FROM c UNION ALL SELECT * FROM k) WHERE n_words >= 50),
-r AS (SELECT lang, h, k, sum(n) AS n FROM a GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, h, k, sum(n) AS n FROM a JOIN m ON m.doc_id = a.doc_id WHERE 100 * n_repeat_words <= 20 * n_words GROUP BY 1, 2, 3),
 p AS (SELECT doc_id, a.h, a.n / sum(a.n) OVER (PARTITION BY doc_id, a.h) AS x, r.n / sum(r.n) OVER (PARTITION BY doc_id, a.h) AS y FROM a JOIN r ON a.lang = r.lang AND a.h = r.h AND a.k = r.k),
 j AS (SELECT doc_id, h, sqrt(greatest(0, sum((CASE WHEN x > 0 THEN x * log2(x / ((x + y) / 2)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(y / ((x + y) / 2)) ELSE 0 END) / 2))) AS js FROM p GROUP BY 1, 2),
-far AS (SELECT doc_id, bool_or(js > CASE h WHEN 'chars' THEN 0.25 ELSE 0.6 END) AS far FROM j GROUP BY 1)
+far AS (SELECT j.doc_id, bool_or(js > CASE h WHEN 'chars' THEN 0.25 ELSE 0.2 + sqrt(10 / (8 * ln(2) * n_words)) END) AS far FROM j JOIN m ON m.doc_id = j.doc_id GROUP BY 1)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(far.far, false) AS kept
 FROM m LEFT JOIN far ON far.doc_id = m.doc_id""".replace("COMMON_WORDS", str(COMMON))
 
