@@ -1,11 +1,11 @@
 """Benchmark decontamination with SimHash over item-sized windows.
 
 For each benchmark item, every window of a document that has as many words as the item (of a shorter document, its whole
-text) and shares at least one word
-shingle with it (others have similarity zero) gets a SimHash fingerprint. A multi-index over blocks of the fingerprint
-finds every item fingerprint within the radius: if two differ in at most ``RADIUS`` bits, some block of 8 bits differs
-in at most RADIUS // 8 bits. Candidates that pass the full Hamming check are verified by exact weighted-shingle
-similarity: the sum of the smaller over the sum of the larger counts, each shingle weighing as many as it has characters.
+text) gets a SimHash fingerprint, unless it shares no word shingle with any item, when its similarity to all is zero. A
+multi-index over blocks of the fingerprint finds every item fingerprint within the radius: if two differ in at most
+``RADIUS`` bits, some block of 32 bits differs in at most RADIUS // BLOCKS bits, which one pair in ten of unlike ones does
+by chance. Candidates that pass the full Hamming check are verified by exact weighted-shingle similarity: the sum of the
+smaller over the sum of the larger counts, each shingle weighing as many as it has characters.
 """
 
 from __future__ import annotations
@@ -27,12 +27,11 @@ from pyspark.sql.types import StructType
 from viewloom.llm.common import stored, texts_of
 
 SHINGLE = 5
-BLOCKS = 8
-#: Texts that share four fifths of their shingles differ in about 10 of 64 bits; this leaves more than four standard deviations.
-RADIUS = 23
+BITS, BLOCKS = 128, 4
+#: Texts that share four fifths of their shingles differ in about 19 of 128 bits, with a deviation of 4; so this leaves more than five.
+RADIUS = 41
 
 _workers: dict = {}
-_near: list[np.ndarray] = []
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -55,22 +54,15 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 def _signed(shingles: list[bytes]) -> np.ndarray:
-    """The vote of each shingle on each bit, (shingles, 64)."""
-    hashes = np.array([xxhash.xxh64_intdigest(s) for s in shingles], "<u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
+    """The vote of each shingle on each bit, (shingles, BITS)."""
+    hashes = np.array([xxhash.xxh128_intdigest(s).to_bytes(16, "little") for s in shingles], "V16")
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").astype(np.int64)
     return (2 * bits - 1) * np.array([len(s) for s in shingles])[:, None]
 
 
 def _pack(votes: np.ndarray) -> np.ndarray:
-    return np.packbits(votes > 0, axis=1, bitorder="little").view("<u8").ravel()
-
-
-def _near_values() -> np.ndarray:
-    """(256, 256) whether two values of a block differ in at most RADIUS // BLOCKS bits."""
-    if not _near:
-        v = np.arange(256, dtype=np.uint8)
-        _near.append(np.bitwise_count(v[:, None] ^ v[None, :]) <= RADIUS // BLOCKS)
-    return _near[0]
+    """Fingerprints as blocks, (texts, BLOCKS)."""
+    return np.packbits(votes > 0, axis=1, bitorder="little").view("<u4")
 
 
 class Index:
@@ -93,7 +85,7 @@ class Index:
             self.ids.append(item_id)
             self.sizes.append(len(words))
             self.counts.append(Counter(shingles))
-            self.fps.append(int(_pack(_signed(shingles).sum(0, keepdims=True))[0]))
+            self.fps.append(_pack(_signed(shingles).sum(0, keepdims=True))[0])
         self.by_size: dict[int, np.ndarray] = {n: np.array([i for i, m in enumerate(self.sizes) if m == n]) for n in set(self.sizes)}
         self.codes: dict[int, np.ndarray] = {}  # sorted codes of shingles, by how many words they have
         for n in {min(m, SHINGLE) for m in self.sizes}:
@@ -145,9 +137,7 @@ class Index:
         """Windows of ``size`` words, or the whole of a shorter text, and items of that size that are near by fingerprint and similar enough."""
         span = min(size, len(words))
         items = self.by_size[size]
-        fps = np.array([self.fps[i] for i in items], np.uint64)
-        near = _near_values()
-        tables = [near[:, (fps >> np.uint64(8 * b)).astype(np.uint8)] for b in range(BLOCKS)]
+        fps = np.stack([self.fps[i] for i in items])
         for part in np.split(starts, np.nonzero(np.diff(starts) > 4 * size)[0] + 1):  # windows that lie together
             for at in range(0, len(part), 2048):
                 own = part[at : at + 2048]
@@ -155,13 +145,13 @@ class Index:
                     continue
                 first, last = int(own[0]), int(own[-1]) + span
                 local = [b" ".join(words[i : i + run]) for i in range(first, last - run + 1)]
-                sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(_signed(local), axis=0)])
+                sums = np.concatenate([np.zeros((1, BITS), np.int64), np.cumsum(_signed(local), axis=0)])
                 marks = _pack(sums[own - first + span - run + 1] - sums[own - first])
                 candidates = np.zeros((len(own), len(items)), bool)
                 for b in range(BLOCKS):
-                    candidates |= tables[b][(marks >> np.uint64(8 * b)).astype(np.uint8)]
+                    candidates |= np.bitwise_count(marks[:, b, None] ^ fps[None, :, b]) <= RADIUS // BLOCKS
                 w, i = np.nonzero(candidates)
-                bits = np.bitwise_count(marks[w] ^ fps[i])
+                bits = np.bitwise_count(marks[w] ^ fps[i]).sum(axis=1, dtype=np.int64)
                 for a, b, d in zip(w[bits <= RADIUS].tolist(), i[bits <= RADIUS].tolist(), bits[bits <= RADIUS].tolist(), strict=True):
                     start, item = int(own[a]), int(items[b])
                     score = similarity(Counter(local[start - first : start - first + span - run + 1]), self.counts[item])
@@ -227,6 +217,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, with all their columns. Rows with a null id stay."""
-    found = stored(contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
-    return docs.join(found, id_col, "left_anti")
+    """The rows of ``docs`` that contain no benchmark item, with all their columns, whatever their names.
+
+    Rows with a null id stay, and so do null and empty texts; repeated rows stay or go together. An empty table, of
+    documents or items, removes nothing.
+    """
+    found = stored(contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("of")).distinct(), "contaminated")
+    return docs.join(found, docs[id_col] == found["of"], "left_anti")
