@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -21,8 +22,8 @@ from viewloom.llm.common import held_out, over_texts, texts_of, tokenizer_file
 
 #: Starts a word in the vocabulary (fixed value of the format).
 START = "▁"
-#: Longer words are scored in stretches of this many letters.
-STRETCH = 40
+#: Sums over longer words are kept as logarithms, which no length makes too small.
+PLAIN = 40
 #: Probability of a character that the vocabulary lacks, alike in all languages.
 UNKNOWN = 1e-7
 #: Base of the hashes of substrings.
@@ -47,20 +48,26 @@ class Vocabulary:
         self.longest = max(map(len, self.ids), default=1)
         self.words = regex.compile(r"\p{L}+").findall
         # an open hash table of the pieces' hashes, to look up many substrings at once
-        self.powers = np.array([pow(_BASE, k, 1 << 64) for k in range(STRETCH + 2)], np.uint64)
-        self.inverse = np.array([pow(_BASE, -k, 1 << 64) for k in range(STRETCH + 2)], np.uint64)
+        self.powers = self.inverse = np.zeros(0, np.uint64)
+        self.reach(max(PLAIN, self.longest) + 1)
         self.keys, self.places = np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, -1, np.int32)
         for piece, n in self.ids.items():
-            if len(piece) <= STRETCH + 1:
-                key = self.hashes([piece])[0, 0, -1]
-                slot = int(key & np.uint64(_SLOTS - 1))
-                while self.places[slot] >= 0:
-                    slot = (slot + 1) % _SLOTS
-                self.keys[slot], self.places[slot] = key, n
+            key = self.hashes([piece])[0, 0, -1]
+            slot = int(key & np.uint64(_SLOTS - 1))
+            while self.places[slot] >= 0:
+                slot = (slot + 1) % _SLOTS
+            self.keys[slot], self.places[slot] = key, n
+
+    def reach(self, n: int) -> None:
+        """Sees to powers of the base, and of its inverse, for words of ``n`` letters."""
+        if len(self.powers) < n:
+            self.powers = np.array([pow(_BASE, k, 1 << 64) for k in range(2 * n)], np.uint64)
+            self.inverse = np.array([pow(_BASE, -k, 1 << 64) for k in range(2 * n)], np.uint64)
 
     def hashes(self, words: list[str]) -> np.ndarray:
         """Hashes of the substrings of words of one length: (words, start, length - 1); those beyond the end mean nothing."""
         n = len(words[0])
+        self.reach(n)
         codes = np.array(words, f"<U{n}").view("<u4").reshape(len(words), n).astype(np.uint64)
         with np.errstate(over="ignore"):
             codes = (codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
@@ -72,11 +79,8 @@ class Vocabulary:
             return (found ^ (found >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
 
     def words_of(self, text: str) -> list[str]:
-        """Lower-cased runs of letters, long ones in stretches."""
-        found = self.words(text.lower())
-        if any(len(w) > STRETCH for w in found):
-            found = [w[at : at + STRETCH] for w in found for at in range(0, len(w), STRETCH)]
-        return found
+        """Lower-cased runs of letters."""
+        return self.words(text.lower())
 
     def lattice(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
         """For words of one length, marked with START: piece ids by (end, length); -1 is none, ``size`` unknown."""
@@ -118,14 +122,36 @@ def _forward(arcs: dict, n: int, probs: np.ndarray, words: int) -> np.ndarray:
     return sums
 
 
+def _logs(probs: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(probs)
+
+
+def _log_forward(arcs: dict, n: int, logs: np.ndarray, words: int) -> np.ndarray:
+    """The same as logarithms."""
+    sums = np.full((n + 1, words, logs.shape[1]), -np.inf)
+    sums[0] = 0
+    for (end, length), ids in arcs.items():
+        sums[end] = np.logaddexp(sums[end], sums[end - length] + logs[ids])
+    return sums
+
+
+def _batches(at: list[int], n: int) -> Iterator[list[int]]:
+    """Words of ``n`` letters, so many together that tables of their substrings stay small."""
+    step = max(1, min(1024, 40_960 // n))
+    return (at[k : k + step] for k in range(0, len(at), step))
+
+
 def word_scores(vocabulary: Vocabulary, words: list[str], probs: np.ndarray) -> np.ndarray:
     """Log likelihoods of words, (words, languages)."""
     out = np.zeros((len(words), probs.shape[1]))
     for n, at in _by_length(words).items():
-        for k in range(0, len(at), 1024):
-            own = at[k : k + 1024]
+        for own in _batches(at, n):
             arcs = vocabulary.lattice([words[i] for i in own])
-            out[own] = np.log(np.maximum(_forward(arcs, n + 1, probs, len(own))[-1], 1e-300))
+            if n <= PLAIN:
+                out[own] = np.log(np.maximum(_forward(arcs, n + 1, probs, len(own))[-1], 1e-300))
+            else:
+                out[own] = _log_forward(arcs, n + 1, _logs(probs), len(own))[-1]
     return out
 
 
@@ -133,7 +159,7 @@ def fit(vocabulary: Vocabulary, counts: dict[str, dict[str, int]], languages: li
     """Piece probabilities (size + 2, languages): the row before the last is for unknown characters, the last is zero."""
     words = sorted(set(chain.from_iterable(counts[x] for x in languages)))
     weight = np.array([[counts[x].get(w, 0) for x in languages] for w in words], float)
-    lattices = [(at, n + 1, vocabulary.lattice([words[i] for i in at])) for n, at in _by_length(words).items()]
+    lattices = [(own, n + 1, vocabulary.lattice([words[i] for i in own])) for n, at in _by_length(words).items() for own in ([at] if n <= PLAIN else _batches(at, n))]
     size, width = vocabulary.size, len(languages)
     expected = np.zeros((size, width))
     for at, _, arcs in lattices:  # to begin with, each piece counts wherever it fits, longer ones more
@@ -145,6 +171,18 @@ def fit(vocabulary: Vocabulary, counts: dict[str, dict[str, int]], languages: li
         probs = np.vstack([(expected + backing * shared[:, None]) / (expected.sum(0) + backing), np.full((1, width), UNKNOWN), np.zeros((1, width))])
         expected = np.zeros((size, width))
         for at, n, arcs in lattices:
+            if n > PLAIN + 1:
+                logs = _logs(probs)
+                before = _log_forward(arcs, n, logs, len(at))
+                after = np.full_like(before, -np.inf)
+                after[n] = 0
+                for (end, length), ids in reversed(arcs.items()):
+                    after[end - length] = np.logaddexp(after[end - length], after[end] + logs[ids])
+                for (end, length), ids in arcs.items():
+                    known = (ids >= 0) & (ids < size)
+                    share = np.exp(before[end - length] + logs[ids] + after[end] - before[n])
+                    np.add.at(expected, ids[known], (share * weight[at])[known])
+                continue
             before = _forward(arcs, n, probs, len(at))
             after = np.zeros_like(before)
             after[n] = 1
@@ -157,11 +195,8 @@ def fit(vocabulary: Vocabulary, counts: dict[str, dict[str, int]], languages: li
     return probs
 
 
-def training_counts(docs: DataFrame, path: str, *, id_col: str, text_col: str, lang_col: str, rows_per_language: int, words_per_language: int) -> tuple[dict[str, dict[str, int]], dict[str, int]]:
-    """Counts of words by language, from a sample of about ``rows_per_language`` labelled rows of each; and all rows by language.
-
-    The most common ``words_per_language`` words of each language come to the driver.
-    """
+def training_counts(docs: DataFrame, path: str, *, id_col: str, text_col: str, lang_col: str, rows_per_language: int) -> tuple[dict[str, dict[str, int]], dict[str, int]]:
+    """Counts of words by language, from a sample of about ``rows_per_language`` labelled rows of each; and all rows by language."""
     known = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = {lang: n for lang, n in known.groupBy("lang").count().collect()}
@@ -187,17 +222,11 @@ def training_counts(docs: DataFrame, path: str, *, id_col: str, text_col: str, l
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words)), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
     totals = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return _most_common(totals, rows, words_per_language), rows
-
-
-def _most_common(totals: DataFrame, rows: dict[str, int], words: int) -> dict[str, dict[str, int]]:
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     counts: dict[str, dict[str, int]] = {x: {} for x in rows}
-    for lang, word, n in totals.withColumn("rank", rank).where(F.col("rank") <= words).select("lang", "word", "n").toLocalIterator():
-        counts[lang][word] = n
-    return counts
+    for batch in totals.toArrow().to_batches():  # the words of the sample
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[lang][word] = n
+    return counts, rows
 
 
 class Scorer:
@@ -240,17 +269,17 @@ class Scorer:
         return names, scores
 
 
-def language_id(docs: DataFrame, *, vocabulary: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 1_000, words_per_language: int = 20_000) -> DataFrame:
+def language_id(docs: DataFrame, *, vocabulary: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 1_000) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), a row for each row of ``docs``.
 
     Learns from a sample of about ``rows_per_language`` rows of each language that ``lang_col`` names (not null), only
-    from rows that are not held out, and keeps the ``words_per_language`` most common words of each. Every whole text
-    is scored. A text that is null or has no letter is ``und`` with score 0, and so is all if nothing can be learned.
+    from rows that are not held out. Every whole text is scored, and every word whole, however long. A text that is null or has no letter is ``und`` with score 0, and so is all if nothing can be learned.
     ``score`` is the posterior probability of the prediction; equal ones go to the name that sorts first. Rows with a
     null or repeated id are scored like any other, and a null id is not held out; other columns are left out.
+    An empty table gives an empty result.
     """
     path = tokenizer_file(vocabulary)
-    counts, rows = training_counts(docs, path, id_col=id_col, text_col=text_col, lang_col=lang_col, rows_per_language=rows_per_language, words_per_language=words_per_language)
+    counts, rows = training_counts(docs, path, id_col=id_col, text_col=text_col, lang_col=lang_col, rows_per_language=rows_per_language)
     languages = sorted(x for x in counts if counts[x])
     model = None
     if languages:
