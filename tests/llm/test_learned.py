@@ -9,7 +9,7 @@ import numpy as np
 from viewloom.llm import decontamination as D
 from viewloom.llm import language_id as L
 from viewloom.llm.surrogates import pseudonymised
-from viewloom.llm.toxicity import label_model, not_toxic, toxicity
+from viewloom.llm.toxicity import LabelModel, fitted, label_model, not_toxic, toxicity
 
 
 def test_toxicity(spark, docs_of, maker):
@@ -43,10 +43,41 @@ def test_label_model_finds_accuracies_and_correlations():
     truth = rng.random(4000) < 0.2
     good = np.where(rng.random(4000) < 0.9, truth, ~truth)
     noise = rng.random(4000) < 0.3
-    votes = np.column_stack([good, noise, noise, np.where(rng.random(4000) < 0.8, truth, rng.random(4000) < 0.1)])
-    posterior, found = label_model(votes, np.where(rng.random(4000) < 0.95, truth, ~truth), np.ones(4000))
+    other = np.where(rng.random(4000) < 0.8, truth, rng.random(4000) < 0.1)
+    votes = np.column_stack([good, noise, noise, other, np.where(rng.random(4000) < 0.85, truth, ~truth)])
+    posterior, found = label_model(votes, votes.mean(axis=1) > 0.5, np.ones(4000))
     assert ((posterior > 0.5) == truth).mean() > 0.95
-    assert found["fires_toxic"][0] > 0.8 > found["fires_toxic"][1] and found["effect"][1] < 0.6 < found["effect"][0]
+    rate = fitted(votes.astype(int), np.ones(4000), posterior, np.full(5, -1), None).fires[:, :, 0]
+    assert abs(rate[0] - [0.1, 0.9]).max() < 0.05 and abs(rate[1] - 0.3).max() < 0.06
+    assert 2 in (found.parent[1], found.parent[2]) or 1 in (found.parent[1], found.parent[2])
+    twin = 2 if found.parent[2] == 1 else 1
+    assert found.fires[twin, :, 1].min() > 0.9 and found.fires[twin, :, 0].max() < 0.1  # the copy says nothing more
+
+
+def test_label_model_equals_enumeration():
+    rng = np.random.default_rng(3)
+    m = 5
+    model = LabelModel(0.3, np.array([-1, 0, 1, 0, 3]), rng.uniform(0.05, 0.95, (m, 2, 2)))
+
+    def chance(votes, y):
+        p = model.prior if y else 1 - model.prior
+        for j, v in enumerate(votes):
+            fire = model.fires[j, y, votes[model.parent[j]] if model.parent[j] >= 0 else 0]
+            p *= fire if v else 1 - fire
+        return p
+
+    every = np.array([[k >> j & 1 for j in range(m)] for k in range(1 << m)])
+    want = [[chance(v, y) for y in (0, 1)] for v in every.tolist()]
+    assert np.allclose(np.exp(model.log_likelihoods(every)), want) and np.isclose(np.sum(want), 1)
+    assert np.allclose(model.posterior(every), [b / (a + b) for a, b in want])
+    weight, posterior, before = np.sum(want, axis=1), rng.uniform(0.2, 0.8, len(every)), -np.inf
+    for _ in range(20):  # the likelihood never falls
+        own = fitted(every, weight, posterior, model.parent, None, backing=0.0)
+        now = float(weight @ np.log(np.exp(own.log_likelihoods(every)).sum(axis=1)))
+        assert now > before - 0.02
+        before, posterior = now, own.posterior(every)
+    recovered = fitted(every, weight * 1e6, model.posterior(every), model.parent, None)
+    assert np.allclose(recovered.fires[:, :, 1][model.parent >= 0], model.fires[:, :, 1][model.parent >= 0], atol=1e-3)
 
 
 def test_languages(docs_of, maker):
@@ -85,6 +116,32 @@ def test_forward_sums_all_segmentations():
         for lang in range(2):
             assert np.isclose(row[lang], np.log(brute(L.START + w, lang)))
 
+    def by_logs(word, lang):
+        sums = [0.0]
+        for end in range(1, len(word) + 1):
+            terms = []
+            for n in range(1, min(end, vocabulary.longest) + 1):
+                piece = vocabulary.ids.get(word[end - n : end])
+                if piece is not None or n == 1:
+                    terms.append(sums[end - n] + np.log(probs[piece, lang] if piece is not None else L.UNKNOWN))
+            sums.append(float(np.logaddexp.reduce(terms)))
+        return sums[-1]
+
+    long = ["thenation" * 4, "ab日" * 13 + "c", "thenation" * 5, "überà日x" * 60]
+    for w, row in zip(long, L.word_scores(vocabulary, long, probs), strict=True):
+        assert np.allclose(row, [by_logs(L.START + w, lang) for lang in range(2)])
+
+
+def test_fit_counts_long_words_like_others():
+    vocabulary = L.Vocabulary(L.tokenizer_file("piece_bpe_32k.model"))
+    counts = {"a": {"thenation": 3, "house" * 9: 2, "river": 1}, "b": {"haus" * 12: 4, "fluss": 2, "thenation": 1}}
+    want = L.fit(vocabulary, counts, ["a", "b"])
+    plain, L.PLAIN = L.PLAIN, 4
+    try:
+        assert np.allclose(L.fit(vocabulary, counts, ["a", "b"]), want)
+    finally:
+        L.PLAIN = plain
+
 
 def test_decontamination(spark, docs_of, maker):
     items = [(k, maker.text(n)) for k, n in enumerate([15, 20, 30, 45, 60, 60, 5])] + [(50, None), (51, ""), (52, "only three words"), (0, maker.text(18))]
@@ -118,6 +175,19 @@ def test_decontamination(spark, docs_of, maker):
     assert D.contamination(docs_of(rows), bench.limit(0)).count() == 0 and D.contamination(docs_of([]), bench).count() == 0
 
 
+def test_windows_within_the_similarity_are_found(maker):
+    items = [(k, maker.text(maker.rng.randint(13, 60)).encode()) for k in range(60)]
+    index, pairs, hits = D.Index(items, 0.8), 0, 0
+    for k, item in items:
+        words = D.words_of(item)
+        for _ in range(12):
+            changed = [w if maker.rng.random() > 0.02 else b"other" for w in words]
+            if D.similarity(Counter(D.shingles_of(changed)), Counter(D.shingles_of(words))) >= 0.8:
+                pairs += 1
+                hits += any(index.ids[i] == k for i, *_ in index.matches(b"before it " + b" ".join(changed) + b" and after"))
+    assert pairs > 300 and hits >= 0.99 * pairs
+
+
 def luhn(number):
     digits = [int(c) for c in number if c.isdigit()][::-1]
     return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
@@ -132,7 +202,7 @@ def test_surrogates(docs_of):
         (5, "again John bob.smith@mail4.example.com ###4944339490429605$$$"), (6, None), (7, ""), (8, "clean 12 text 3.14"), (None, "ann@x.org"), (1, "ann@x.org"),
         *((100 + i, f"from {i % 9 + 1}.{i // 9 + 1}.7.8 on") for i in range(60)),
     ]
-    got = pseudonymised(docs_of(rows)).collect()
+    got = pseudonymised(docs_of(rows), key="k").collect()
     assert len(got) == len(rows)
     texts = {r.doc_id: r.text for r in got if r.doc_id not in (1, None)}
     first = next(r for r in got if r.doc_id == 1 and r.n_entities == 3).text
@@ -153,17 +223,26 @@ def test_surrogates(docs_of):
     addresses = [re.search(r"[\d.]+\d", texts[100 + i])[0] for i in range(60)]
     assert len(set(addresses)) == 60 and not {f"{i % 9 + 1}.{i // 9 + 1}.7.8" for i in range(60)} & set(addresses)
     assert texts[6] is None and texts[7] == "" and texts[8] == "clean 12 text 3.14"
-    assert pseudonymised(docs_of([])).count() == 0
+    assert pseudonymised(docs_of([]), key="k").count() == 0
     assert {r.text for r in pseudonymised(docs_of(rows[:1]), key="other").collect()} != {first}
 
 
+def test_surrogates_of_a_short_format(spark):
+    rows = [(26 * i + j, f"{chr(97 + i)}@{chr(97 + j)}.com or {i:02d}{j:02d}", "x", 1) for i in range(26) for j in range(26)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string, n_entities long").selectExpr("*", "'y' as `row`", "doc_id as `__version`")
+    got = pseudonymised(docs, key="k").collect()
+    mails = [re.match(r"[a-z]+@[a-z]\.com", r.text)[0] for r in got]
+    assert len(set(mails)) == 676 and not set(mails) & {t.split()[0] for _, t, *_ in rows}
+    assert all(r.n_entities == 1 and r["__id"] == "x" and r["row"] == "y" and r["__version"] == r.doc_id for r in got)
+
+
 def test_surrogates_by_entity(docs_of):
     rows = [
         (1, "4944339490429605 and 4944 3394 9042 9605; Bob@X.org, bob@x.org; +1 (386) 555-3733, +1 386 555 3733; DE89370400440532013000 DE89 3704 0044 0532 0130 00"),
         (2, "Mr John Smith came. Mr Smith left; John Smith, not Johnny Smith, and Dr Smith stayed."),
         (3, "Mr Lee met Mrs Lee and Mrs Anna Lee"), (4, "Dr. John Smith, 4944-3394-9042-9605"), (5, "Mr Smith alone"),
     ]
-    texts = {r.doc_id: (r.text, r.n_entities) for r in pseudonymised(docs_of(rows)).collect()}
+    texts = {r.doc_id: (r.text, r.n_entities) for r in pseudonymised(docs_of(rows), key="k").collect()}
     a, b, c, d, e, f, g, h = re.fullmatch(r"(\d{16}) and (\d{4} \d{4} \d{4} \d{4}); ([A-Z][a-z]{2}@[A-Z]\.org), ([a-z]{3}@[a-z]\.org); (\+1 \(\d{3}\) \d{3}-\d{4}), (\+1 \d{3} \d{3} \d{4}); (DE\d{20}) (DE\d\d(?: \d{4}){4} \d\d)", texts[1][0]).groups()
     digits = lambda t: re.sub(r"\D", "", t)
     assert a == digits(b) and luhn(a) and c.lower() == d and digits(e) == digits(f) and g == h.replace(" ", "") and texts[1][1] == 8
@@ -172,7 +251,7 @@ def test_surrogates_by_entity(docs_of):
     he, she, anna = re.fullmatch(r"Mr (\w+) met Mrs (\w+) and Mrs (\w+ \w+)", texts[3][0]).groups()
     assert he[-1] == "n" and he != she == anna.split()[1] and anna.split()[0][-1] == "a"
     assert texts[4][0] == f"Dr. {full}, {'-'.join(b.split())}" and "Smith" not in texts[5][0] and texts[5][1] == 1
-    two = {r.text for r in pseudonymised(docs_of([(1, "Mr Lee met Mrs Lee")])).collect()}.pop()
+    two = {r.text for r in pseudonymised(docs_of([(1, "Mr Lee met Mrs Lee")]), key="k").collect()}.pop()
     he, she = re.fullmatch(r"Mr (\w+) met Mrs (\w+)", two).groups()
     assert he[-1] == "n" and she[-1] == "a" and he != she
 

@@ -23,6 +23,11 @@ def test_token_counts(docs_of, maker):
     assert token_counts(docs_of([])).count() == 0
 
 
+def test_other_vocabularies_are_refused(docs_of):
+    with pytest.raises(ValueError):
+        token_counts(docs_of([(1, "a")]), tokenizer="word_bpe_49k.json")
+
+
 def test_pieces_without_dropout_equal_the_model(maker):
     sentencepiece = pytest.importorskip("sentencepiece")
     path = tokenizer_file("piece_bpe_32k.model")

@@ -13,6 +13,7 @@ not depend on it.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections import Counter
@@ -25,8 +26,6 @@ from viewloom.llm.common import over_texts, texts_of, tokenizer_file
 
 #: The pre-tokens of the byte-level vocabulary (fixed value of the format).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Special strings that the library recognises inside texts by default, each one token.
-SPECIAL = "<|endoftext|>"
 #: Pre-tokens longer than this many characters are encoded, but not kept.
 LONGEST_KEPT = 64
 
@@ -36,6 +35,19 @@ GROUPS = 64
 _workers: dict = {}
 
 
+def special_strings(path: str) -> list[str]:
+    """Special strings that the library recognises inside texts, each one token. Raises for a file whose pre-tokens are not those of PRE_TOKEN."""
+    with open(path) as file:
+        found = json.load(file)
+    split = found.get("pre_tokenizer") or {}
+    added = found.get("added_tokens") or []
+    if found.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError(f"{path} is no byte-level vocabulary with the usual pre-tokens")
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path} has special strings that depend on what stands around them")
+    return sorted((t["content"] for t in added), key=len, reverse=True)
+
+
 class Lengths:
     """Lengths in tokens of pre-tokens: the broadcast table, then a bounded cache, then the library."""
 
@@ -45,6 +57,8 @@ class Lengths:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.split = regex.compile(PRE_TOKEN).findall
+        special = special_strings(path)
+        self.parts = regex.compile("|".join(map(regex.escape, special))).split if special else lambda text: [text]
         self.encode = Tokenizer.from_file(path).encode_batch_fast
         self.table, self.kept = table, kept
         self.cache = dict(table)
@@ -62,7 +76,7 @@ class Lengths:
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
         total = 0
-        for at, part in enumerate(text.split(SPECIAL)):
+        for at, part in enumerate(self.parts(text)):
             words = self.split(part)
             lengths = list(map(self.cache.get, words))
             if None in lengths:
@@ -97,7 +111,7 @@ def frequent_lengths(docs: DataFrame, path: str, frequent: int, tracked: int) ->
 def token_counts(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", limit: int = 512, frequent: int = 5_000, tracked: int = 20_000, kept: int = 400_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), a row for each row of ``docs``.
 
-    A null text counts as empty: no bytes, no tokens, not over the limit. Rows with a null or repeated id are counted
+    ``tokenizer`` is a byte-level vocabulary; a file with other pre-tokens raises. A null text counts as empty: no bytes, no tokens, not over the limit. Rows with a null or repeated id are counted
     like any other; other columns are left out. An empty table gives an empty result. Texts of any length are counted
     whole.
     """
