@@ -6,11 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: ASCII white space: what separates words in every contract of this package.
 SPACE = " \t\n\x0b\x0c\r"
@@ -63,6 +66,37 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def ranked(df: DataFrame, group: str, order: list[str], label: str, name: str = "place") -> DataFrame:
+    """``df``, written to the shared folder, with the place of each row in its group, from 0, by ``order``; the group has no nulls.
+
+    Rows are dealt by ranges of group and order, so a group of any size is spread; a task numbers its own rows. Only a
+    group that goes on from one task to the next needs an offset: at most one for each task, so they are broadcast.
+    """
+    out = StructType([*df.schema.fields, StructField("__part", IntegerType()), StructField("__own", LongType())])
+    arrow, at = to_arrow_schema(out), df.columns.index(group)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = batch.column(at)
+            new = np.concatenate(([True], pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)))
+            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            own = np.arange(n) - first
+            if keys[0].as_py() == last:
+                own[first == 0] += seen
+            last, seen = keys[n - 1].as_py(), int(own[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(own)], schema=arrow)
+
+    held = stored(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).mapInArrow(number, out), label)
+    sizes = held.groupBy(group, "__part").agg((F.max("__own") + 1).alias("__n"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__skip", F.sum("__n").over(before)).where("__skip is not null").select(group, "__part", "__skip")
+    return held.join(F.broadcast(offsets), [group, "__part"], "left").withColumn(name, F.col("__own") + F.coalesce("__skip", F.lit(0))).select(*df.columns, name)
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just (doc_id, text): other columns, whatever their names, cannot clash with what operators add."""
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from viewloom.llm.common import read_table
+from viewloom.llm.conversation_repair import repairs
 from viewloom.llm.decontamination import contamination
 from viewloom.llm.language_id import language_id
 from viewloom.llm.line_dedup import line_dedup
+from viewloom.llm.merkle import manifest
 from viewloom.llm.piece_encoding import piece_encoding
 from viewloom.llm.quality import COMMON, quality
 from viewloom.llm.simhash_dedup import simhash_components
@@ -59,6 +61,14 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(read_table(spark, sf_dir, "documents"), key="of this query only").select("doc_id", "n_entities", "text")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(read_table(spark, sf_dir, "documents")).drop("tampered")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repairs(read_table(spark, sf_dir, "conversations"), planted=True)
+
+
 _LINE_DEDUP = r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS p, unnest(lines) AS line FROM d),
 own AS (SELECT doc_id, p, line, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS j, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
@@ -93,10 +103,27 @@ far AS (SELECT j.doc_id, bool_or(js > CASE h WHEN 'chars' THEN 0.25 ELSE 0.2 + s
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(far.far, false) AS kept
 FROM m LEFT JOIN far ON far.doc_id = m.doc_id""".replace("COMMON_WORDS", str(COMMON))
 
+_MANIFEST = r"""WITH RECURSIVE bits AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(b))),
+d AS (SELECT doc_id, lang, coalesce('=' || lang, '') AS g, text, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, a: xor(bits.t[xor(c, a) % 256 + 1], c // 256)), CAST(4294967295 AS BIGINT)) % 3 = 0 AS struck FROM documents, bits),
+l AS (SELECT doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY g) AS n, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN struck THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS other FROM d),
+nodes AS (SELECT g, 0 AS lvl, i, leaf AS digest, n FROM l UNION ALL SELECT g, lvl + 1, i // 8, sha256(string_agg(digest, '' ORDER BY i)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY g, lvl, i // 8, n),
+subs AS (SELECT g, lvl, digest, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS lvl, i, digest, n FROM subs UNION ALL SELECT lvl + 1, i // 8, sha256(string_agg(digest, '' ORDER BY i)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY lvl, i // 8, n),
+near AS (SELECT g, lvl, i, coalesce(string_agg(digest, '') OVER (PARTITION BY g, lvl, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft, coalesce(string_agg(digest, '') OVER (PARTITION BY g, lvl, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt FROM nodes WHERE n > 1),
+over_ AS (SELECT lvl, i, coalesce(string_agg(digest, '') OVER (PARTITION BY lvl, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft, coalesce(string_agg(digest, '') OVER (PARTITION BY lvl, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt FROM tops WHERE n > 1),
+path AS (SELECT l.g, l.i, near.lvl, near.lft, near.rgt FROM l JOIN near ON near.g = l.g AND near.i = l.i // CAST(8 ** near.lvl AS BIGINT) UNION ALL SELECT l.g, l.i, subs.lvl + over_.lvl, over_.lft, over_.rgt FROM l JOIN subs ON subs.g = l.g JOIN over_ ON over_.i = subs.i // CAST(8 ** over_.lvl AS BIGINT)),
+fold AS (SELECT g, i, 0 AS lvl, coalesce(other, leaf) AS digest FROM l UNION ALL SELECT fold.g, fold.i, fold.lvl + 1, sha256(path.lft || fold.digest || path.rgt) FROM fold JOIN path ON path.g = fold.g AND path.i = fold.i AND path.lvl = fold.lvl),
+ends AS (SELECT g, i, max_by(digest, lvl) AS folded_root FROM fold GROUP BY g, i),
+proof AS (SELECT g, i, sha256(string_agg(lft || rgt, '' ORDER BY lvl)) AS proof_sha256 FROM path GROUP BY g, i),
+root AS (SELECT digest AS root FROM tops WHERE n = 1)
+SELECT l.doc_id, l.leaf, subs.digest AS subroot, root.root, coalesce(proof.proof_sha256, sha256('')) AS proof_sha256, ends.folded_root, ends.folded_root = root.root AS verified
+FROM l JOIN subs ON subs.g = l.g JOIN ends ON ends.g = l.g AND ends.i = l.i LEFT JOIN proof ON proof.g = l.g AND proof.i = l.i, root"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _LINE_DEDUP, "op7_quality_rules": _QUALITY}
+    return {"op4_line_dedup": _LINE_DEDUP, "op7_quality_rules": _QUALITY, "op11_merkle_manifest": _MANIFEST}
