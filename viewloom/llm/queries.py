@@ -12,6 +12,7 @@ from viewloom.llm.decontamination import contamination
 from viewloom.llm.language_id import language_id
 from viewloom.llm.line_dedup import line_dedup
 from viewloom.llm.merkle import manifest
+from viewloom.llm.minhash_dedup import minhash_components
 from viewloom.llm.piece_encoding import piece_encoding
 from viewloom.llm.quality import COMMON, quality
 from viewloom.llm.simhash_dedup import simhash_components
@@ -65,6 +66,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(read_table(spark, sf_dir, "documents")).drop("tampered")
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(read_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repairs(read_table(spark, sf_dir, "conversations"), planted=True)
 
@@ -120,10 +125,21 @@ root AS (SELECT digest AS root FROM tops WHERE n = 1)
 SELECT l.doc_id, l.leaf, subs.digest AS subroot, root.root, coalesce(proof.proof_sha256, sha256('')) AS proof_sha256, ends.folded_root, ends.folded_root = root.root AS verified
 FROM l JOIN subs ON subs.g = l.g JOIN ends ON ends.g = l.g AND ends.i = l.i LEFT JOIN proof ON proof.g = l.g AND proof.i = l.i, root"""
 
+_MINHASH = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 OR words IS NULL THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS h FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM both_ JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 80 * (a.n + b.n - k)),
+arcs AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT u, v FROM arcs UNION SELECT reach.u, arcs.v FROM reach JOIN arcs ON arcs.u = reach.v),
+least AS (SELECT u, min(v) AS v FROM reach GROUP BY u)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(least.v, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(least.v, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.u = d.doc_id"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _LINE_DEDUP, "op7_quality_rules": _QUALITY, "op11_merkle_manifest": _MANIFEST}
+    return {"op4_line_dedup": _LINE_DEDUP, "op7_quality_rules": _QUALITY, "op11_merkle_manifest": _MANIFEST, "op12_minhash_near_dedup": _MINHASH}
