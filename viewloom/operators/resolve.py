@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +45,18 @@ def with_parent(log: DataFrame) -> DataFrame:
     return found.withColumns({"parent_kind": kind, "parent_ns": F.when(kind.isNotNull(), lookup_namespace(kind, F.col("namespace"))), "parent_name": F.when(kind.isNotNull(), F.col("__ref")["name"])}).drop("__ref")
 
 
-def _chains(owners: DataFrame, hops: int) -> DataFrame:
-    """(k, ns, n, chain): for each owner the objects from itself upwards, ``hops`` at most; the last one tells where the walk would go on.
+def owner_chains(state: DataFrame, *, hops: int = DEFAULT_HOPS, payload: Column | None = None, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """(k, ns, n, chain): for each object that some object names as its controller, the objects from itself upwards, ``hops`` at most.
 
-    Chains are doubled: those of 2^k objects go on with the chain of the object that their last one names. So eight hops
-    take three joins among owners at most, fewer if no chain goes on, and the anchors, of which there are most, are
-    joined once.
+    Each is a struct (kind, namespace, name, uid, object, parent...); ``payload`` takes the object's place, so that joins
+    carry no more than what is read of it. The last one tells where the walk would go on. Chains are doubled: those of
+    2^k objects go on with the chain of the object that their last one names. So eight hops take three joins among owners
+    at most, fewer if no chain goes on. ``keep`` writes the tables between. One table serves all rules and anchors.
     """
-    chains = written(owners.select("k", "ns", "n", F.array("self").alias("chain")), "owners")
+    hops = min(hops, MAX_HOPS)
+    named = state.where(F.col("parent_name").isNotNull()).select(F.col("parent_kind").alias("k"), F.col("parent_ns").alias("ns"), F.col("parent_name").alias("n")).distinct()
+    own = state.select(F.col("kind").alias("k"), lookup_namespace(F.col("kind"), F.col("namespace")).alias("ns"), F.col("name").alias("n"), F.array(_self(payload)).alias("chain"))
+    chains = keep(own.join(named, ["k", "ns", "n"], "left_semi"), "owners")
     length = 1
     while length < hops:
         last = F.element_at("chain", -1)
@@ -60,35 +66,38 @@ def _chains(owners: DataFrame, hops: int) -> DataFrame:
         if chains.join(more.drop("__more"), keys, "left_semi").isEmpty():
             break
         joined = chains.join(more, keys, "left")
-        chains = written(joined.select("k", "ns", "n", F.slice(F.concat("chain", F.coalesce("__more", F.slice("chain", 1, 0))), 1, hops).alias("chain")), "chains")
+        chains = keep(joined.select("k", "ns", "n", F.slice(F.concat("chain", F.coalesce("__more", F.slice("chain", 1, 0))), 1, hops).alias("chain")), "chains")
         length *= 2
     return chains
 
 
-def walked(state: DataFrame, anchor_kind: str, *, hops: int = DEFAULT_HOPS, payload: Column | None = None, only: DataFrame | None = None) -> DataFrame:
-    """(kind, namespace, name, self, chain, hops): anchors of a kind with the objects that the walk finds, nearest first.
+def _self(payload: Column | None) -> Column:
+    return F.struct("kind", "namespace", "name", "uid", (F.col("object") if payload is None else payload).alias("object"), "parent_kind", "parent_ns", "parent_name")
+
+
+def walked(state: DataFrame, anchor_kind: str, *, hops: int = DEFAULT_HOPS, payload: Column | None = None, only: DataFrame | None = None, chains: DataFrame | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """(kind, namespace, name, self, chain, hops, more...): anchors of a kind with the objects that the walk finds, nearest first.
 
-    Each is a struct (kind, namespace, name, uid, object, parent...). ``payload`` takes the object's place, so that joins
-    carry no more than what is read of it. The chains of owners are written to the shared folder first; anchors come to
-    them by one left join. Objects of the anchors' own kind are owners only if some object names that kind as its
-    controller's. ``hops`` bounds cycles, at most MAX_HOPS; ``only`` (anchor_key) leaves other anchors out. ``state`` is
-    read several times, so it had better be a table.
+    ``chains`` are those of the owners, with the same ``payload`` and ``hops``; they are made if there are none. Anchors
+    that name an owner come to them by one left join, the others by none. ``hops`` bounds cycles, at most MAX_HOPS;
+    ``only`` (anchor_key) leaves other anchors out. ``more`` are columns read of the anchors.
     """
     hops = min(hops, MAX_HOPS)
-    fields = ["kind", "namespace", "name", "uid", (F.col("object") if payload is None else payload).alias("object"), "parent_kind", "parent_ns", "parent_name"]
     anchors = state.where(F.col("kind") == anchor_kind)
     if only is not None:
         anchors = anchors.withColumn("anchor_key", object_key(F.col("namespace"), F.col("name"))).join(only, "anchor_key", "left_semi")
-    rows = anchors.select("kind", "namespace", "name", F.struct(*fields).alias("self"))
+    added = {} if more is None else more
+    rows = anchors.select("kind", "namespace", "name", _self(payload).alias("self"), *(c.alias(n) for n, c in added.items()))
     none = F.slice(F.array("self"), 1, 0)
     if not hops:
-        return rows.withColumns({"chain": none, "hops": F.lit(0)})
-    only_above = state.where(F.col("parent_kind") == anchor_kind).isEmpty()
-    owners = state.where(F.col("kind") != anchor_kind) if only_above else state
-    owners = owners.select(F.col("kind").alias("k"), lookup_namespace(F.col("kind"), F.col("namespace")).alias("ns"), F.col("name").alias("n"), F.struct(*fields).alias("self"))
+        return rows.select("kind", "namespace", "name", "self", none.alias("chain"), F.lit(0).alias("hops"), *added)
+    up = owner_chains(state, hops=hops, payload=payload) if chains is None else chains
     first = F.col("self")
-    joined = rows.join(_chains(owners, hops), (F.col("k") == first["parent_kind"]) & (F.col("ns") == first["parent_ns"]) & (F.col("n") == first["parent_name"]), "left")
-    return joined.select("kind", "namespace", "name", "self", F.coalesce("chain", none).alias("chain"), F.lit(hops).alias("hops"))
+    owned = rows.where(first["parent_name"].isNotNull())
+    found = owned.join(up, (F.col("k") == first["parent_kind"]) & (F.col("ns") == first["parent_ns"]) & (F.col("n") == first["parent_name"]), "left").withColumn("chain", F.coalesce(F.slice("chain", 1, hops), none))
+    alone = rows.where(first["parent_name"].isNull()).withColumn("chain", none)
+    columns = ["kind", "namespace", "name", "self", "chain", *added]
+    return found.select(*columns).unionByName(alone.select(*columns)).withColumn("hops", F.lit(hops))
 
 
 def bound(rows: DataFrame) -> dict[str, Column]:

@@ -28,21 +28,29 @@ def hops_of(rule: Rule, hops: int) -> int:
     return 0 if rule.sources() <= {"anchor", "item", rule.anchor} else hops
 
 
-def evaluated(rule: Rule, state: DataFrame, *, hops: int = DEFAULT_HOPS, only: DataFrame | None = None) -> DataFrame:
+def paths_of(*rules: Rule) -> list[str]:
+    """The paths that rules read of objects, each once."""
+    return list(dict.fromkeys(e.path for r in rules for n in r.label_names() for e in r.labels[n].every() if r.resolved(e.source) != "item"))
+
+
+def texts_of(paths: list[str]) -> Column:
+    """What a walk carries of each object: the texts of ``paths``."""
+    return F.struct(F.lit(True).alias("here"), *(_text(p).alias(f"t{k}") for k, p in enumerate(paths)))
+
+
+def evaluated(rule: Rule, state: DataFrame, *, hops: int = DEFAULT_HOPS, only: DataFrame | None = None, chains: DataFrame | None = None, paths: list[str] | None = None) -> DataFrame:
     """The rule's rows: anchor_key, its labels in order as non-null strings, and value 1; distinct for each anchor.
 
     An anchor whose array to expand is empty or missing has no row. Each path is read where its object is scanned: the
-    walk carries texts, not objects. ``only`` (anchor_key) restricts the anchors.
+    walk carries texts, not objects. ``only`` (anchor_key) restricts the anchors. ``chains`` are owners' chains that several
+    rules share; they carry the texts of ``paths``.
     """
-    extracts = [e for n in rule.label_names() for e in rule.labels[n].every()]
-    paths = list(dict.fromkeys(e.path for e in extracts if rule.resolved(e.source) != "item"))
-    texts = [_text(p).alias(f"t{k}") for k, p in enumerate(paths)]
-    items = matches(F.col("object"), parse_path(rule.for_each)) if rule.for_each else F.lit(None)
-    items = F.when(F.col("kind") == rule.anchor, items) if rule.for_each else items
-    rows = walked(state, rule.anchor, hops=hops_of(rule, hops), payload=F.struct(items.alias("items"), *texts), only=only)
+    paths = paths_of(rule) if paths is None else paths
+    items = {"__items": matches(F.col("object"), parse_path(rule.for_each))} if rule.for_each else {}
+    rows = walked(state, rule.anchor, hops=hops_of(rule, hops), payload=texts_of(paths), only=only, chains=chains, more=items)
     sources = bound(rows)
-    used = sorted({rule.resolved(e.source) for e in extracts} - {"item"})
-    rows = rows.select(object_key(F.col("namespace"), F.col("name")).alias("anchor_key"), sources["anchor"]["items"].alias("__items"), *(sources[s].alias(f"__{s}") for s in used))
+    used = sorted({rule.resolved(e.source) for n in rule.label_names() for e in rule.labels[n].every()} - {"item"})
+    rows = rows.select(object_key(F.col("namespace"), F.col("name")).alias("anchor_key"), *items, *(sources[s].alias(f"__{s}") for s in used))
     if rule.for_each:
         rows = rows.withColumn("__item", F.explode("__items"))
 

@@ -56,11 +56,12 @@ def selected(state: DataFrame, *watched: Watched) -> DataFrame:
 def current(log: DataFrame, config: Config | None = None) -> DataFrame:
     """Current state of a change log: its columns but op, object as VARIANT, and the key of each object's controller.
 
-    The last version of each key counts; deleted ones go, then those that are not watched.
+    The last version of each key counts; deleted ones go, then those that are not watched. A row without ``seq`` is older
+    than any with one, and rows of equal ``seq`` go by version and digest. A row without ``op`` is a change like any other.
     """
     kinds = sorted(config.watched_kinds()) if config else None
     rows = log.where(F.col("kind").isin(*kinds)) if kinds else log
-    last = latest(with_parent(rows), KEY, "seq").where("op <> 'DELETED'").withColumn("object", F.try_parse_json("object")).drop("op")
+    last = latest(with_parent(rows), KEY, "seq", "rv").where("op is null or op <> 'DELETED'").withColumn("object", F.try_parse_json("object")).drop("op")
     return selected(last, *config.watched()) if config else last
 
 

@@ -101,7 +101,7 @@ class Maintainer:
         before = self.version()
         now, manifest = before + 1, self._manifest(before)
         parsed = with_parent(log.where(F.col("kind").isin(*sorted(self.config.watched_kinds()))))
-        last = latest(parsed, KEY, "seq").withColumn("digest", F.xxhash64("object")).withColumn("object", F.when(F.col("op") != "DELETED", F.try_parse_json("object")))
+        last = latest(parsed, KEY, "seq", "rv").withColumn("digest", F.xxhash64("object")).withColumn("object", F.when(F.col("op") != "DELETED", F.try_parse_json("object")))
         last = self._kept("changes", last.select(*(c.split()[0] for c in _STATE.split(", "))))
         kind, key = F.col("kind"), object_key(F.col("namespace"), F.col("name"))
         buckets = self._touched(last, kind, key)
