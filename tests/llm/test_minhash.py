@@ -82,14 +82,15 @@ def test_signatures_tell_the_similarity():
         assert abs(gaps.mean()) < 0.006 and gaps.std() < most
 
 
-def test_links_that_proposals_miss_are_found(spark, monkeypatch):
-    """Chains in one bucket of many cells: only neighbours are similar, and no proposal is made."""
+def test_links_that_proposals_miss_are_found(docs_of, maker, monkeypatch):
+    """Chains of texts that are like the next only, in cells of a few rows, without any proposal."""
     monkeypatch.setattr(B, "LAGS", 0)
-    monkeypatch.setattr(B, "CELL", 7)
-    rows = spark.createDataFrame([(1, n, bytes([n // 10, n % 10])) for n in range(100)], "key long, node long, sketch binary")
-    near = lambda a, b: B.np.where(a[:, 0] == b[:, 0], 1, -1)
-    roots = B.linked(rows, near, lambda pairs: pairs.where("abs(u - v) = 1"))
-    assert sorted(map(tuple, roots.collect())) == [(n, n // 10 * 10) for n in range(100) if n % 10]
+    monkeypatch.setattr(B, "CELL", 3)
+    monkeypatch.setattr(B, "SET_CELL", 2)
+    rows = [(100 * chain + at, " ".join(f"c{chain}w{k}" for k in range(at, at + 43))) for chain in range(3) for at in range(0, 60, 4)] + [(1000 + k, maker.text(40)) for k in range(20)]
+    links, want = plain(rows)
+    assert links == 42
+    assert sorted(map(tuple, M.minhash_components(docs_of(rows)).collect()), key=repr) == want
 
 
 def test_buckets_of_one_are_left_out(spark):

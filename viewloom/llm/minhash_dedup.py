@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.buckets import classes, linked, set_nodes, shared_keys, verified
+from viewloom.llm.buckets import Sets, classes, linked, set_nodes, shared_keys
 from viewloom.llm.common import dropped, over_texts, stored, texts_of
 from viewloom.llm.shingles import mixed, set_name, shingle_set
 
@@ -114,7 +114,7 @@ def minhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     nodes = set_nodes(held)
     rows = shared_keys(nodes.select("node", F.explode("keys").alias("key")).select("key", "node"))
     rows = stored(rows.join(nodes.select("node", "sketch"), "node").select("key", "node", "sketch"), "buckets")
-    roots = linked(rows, agreement, lambda pairs: verified(pairs, texts, nodes, lambda t: shingle_set(t, shingle), set_name))
+    roots = linked(rows, Sets(texts, nodes, lambda t: shingle_set(t, shingle), set_name), agreement)
     dropped(rows)
     all_ = marks.select("doc_id", "name", "n").join(classes(nodes, roots), "name", "left")
     named_by = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
