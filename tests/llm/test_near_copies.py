@@ -6,7 +6,7 @@ from viewloom.llm.simhash_dedup import fingerprint_batch
 
 
 def similarity(a, b):
-    a, b = (set(N.shingle_set(x.encode()).tolist()) for x in (a, b))
+    a, b = (set(N.five_words(x.encode()).tolist()) for x in (a, b))
     return len(a & b) / len(a | b) if a | b else 1.0
 
 

@@ -2,15 +2,14 @@
 
 Two texts are near copies if the sets of their runs of five words have a Jaccard similarity of 0.8 or more.
 
-1. A pass over the texts gives each the sorted set of its shingles' 64-bit hashes and a SimHash of 128 bits over the set;
-   texts of equal sets count as one. Hashes stand in one order for all texts: those that are frequent in a sample of
-   texts come last.
-2. Sets of such similarity share an element among the first n // 5 + 1 of each, so nothing is missed, whatever the sample
-   held. Prefixes are brought together by element; the places of the element and the sizes of both sets tell some pairs
-   apart, and the pigeonring filter nearly all others: chains of consecutive segments of the fingerprints keep to
-   proportional budgets, and then the full Hamming distance to ``RADIUS``.
-3. Candidates are verified on the whole sets: first each with the first and the one before of its bucket, and then all
-   pairs that are not connected yet. So a large group of copies costs its size, not its square.
+1. A pass over all texts counts shingles that repeat: each task counts blocks of ``BLOCK`` shingles and passes on those that
+   come twice in a block. Those most often met come last in the order of all sets.
+2. A second pass gives each text the sorted set of its shingles' 64-bit hashes and a SimHash of 128 bits over the set; texts
+   of equal sets count as one. Sets of such similarity share an element among the first n // 5 + 1 of each in that order,
+   whatever the order, so nothing is missed when these prefixes are brought together by element.
+3. In a bucket the places of the element and the sizes of both sets tell some pairs apart, and the pigeonring filter nearly
+   all others: chains of consecutive segments of the fingerprints keep to proportional budgets, and then the full Hamming
+   distance to ``RADIUS``. ``buckets`` takes candidates from what is left, nearest first, and verifies them on whole sets.
 4. Stars over the links give components; documents get the least id.
 
 Sets of similarity 0.8 differ in 19 of 128 bits on average, with a standard deviation of 4 (24 and 4.4 for the smallest sets,
@@ -23,145 +22,92 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.common import dropped, over_texts, runs, stored, texts_of
-from viewloom.llm.graph import components
+from viewloom.llm.buckets import Sets, classes, linked, set_nodes, shared_keys
+from viewloom.llm.common import dropped, over_texts, stored, texts_of
+from viewloom.llm.shingles import set_name, shingle_set
 from viewloom.llm.simhash_dedup import ring_holds, wide_fingerprint
 
 SHINGLE = 5
-#: Texts in the sample that tells frequent shingles, and in how many of them one is frequent.
-SAMPLE, FREQUENT = 20_000, 20
+#: Shingles that are counted together in a task.
+BLOCK = 1 << 21
+#: How often a shingle is met to count as frequent, and how many frequent ones are told to all tasks at most: beyond, the less frequent are left out.
+FREQUENT, MOST = 20, 500_000
 #: Differing bits of 128 that near copies may have.
 RADIUS = 48
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted hashes of the distinct runs of five words; a shorter text is one run, and one without words has none."""
-    words = (text or b"").lower().split()  # bytes: A-Z only, and ASCII white space only
-    n = len(words)
-    if n <= SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if n else [], np.uint64)
-    whole = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(whole[s:e], 42) for s, e in zip(starts[: n - SHINGLE + 1].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64))
-
-
-def signature(own: np.ndarray) -> int:
-    """Names a set, as a signed long."""
-    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 1)).view(np.int64))
+def five_words(text: bytes | None) -> np.ndarray:
+    return shingle_set(text, SHINGLE)
 
 
 def frequent_shingles(texts: DataFrame) -> np.ndarray:
-    """Sorted hashes of shingles that many texts of a sample have. They only order sets; any answer is right."""
-    n = texts.count()
-    some = texts if n <= SAMPLE else texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // SAMPLE))) == 0)
-    each = over_texts(some, lambda ids, t: [[shingle_set(x).view(np.int64) for x in t]], "hs array<long>")
-    rows = each.select(F.explode("hs").alias("h")).groupBy("h").count().where(F.col("count") >= FREQUENT).select("h").toArrow()
+    """Sorted hashes of the shingles that many texts have, counted over all of them. They only order sets; any answer is right."""
+
+    def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        twice = counts > 1
+        return pa.RecordBatch.from_arrays([pa.array(values[twice].view(np.int64)), pa.array(counts[twice].astype(np.int64))], names=["h", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                held.append(five_words(text))
+                n += len(held[-1])
+                if n >= BLOCK:
+                    yield repeated(held)
+                    held, n = [], 0
+        if held:
+            yield repeated(held)
+
+    met = texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    met = stored(met, "frequent")
+    left, least = 0, 1 << 62
+    for power, n in sorted(map(tuple, met.groupBy(F.floor(F.log2("n"))).count().collect()), reverse=True):  # 63 rows at most
+        left += n
+        if left > MOST:
+            break
+        least = 1 << power
+    rows = met.where(F.col("n") >= least).select("h").toArrow()
+    dropped(met)
     return np.sort(rows.column(0).to_numpy().view(np.uint64))
 
 
-def _marks(texts: DataFrame) -> DataFrame:
-    """(doc_id, sig, n, f0, f1, prefix) of each text."""
+def marked(texts: DataFrame) -> DataFrame:
+    """(doc_id, name, keys, sketch) of each text: its set's name, prefix, and fingerprint with the set's size."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
 
     def mark(ids: list, batch: list) -> list:
         often = shared.value
-        sigs, sizes, prefixes, prints = [], [], [], []
+        names, prefixes, sketches = [], [], []
         for text in batch:
-            own = shingle_set(text)
-            sigs.append(signature(own))
-            sizes.append(len(own))
-            prints.append(wide_fingerprint(own))
+            own = five_words(text)
+            names.append(set_name(own))
+            sketches.append(np.array(wide_fingerprint(own), "<u8").tobytes() + len(own).to_bytes(4, "big"))
             last = np.isin(own, often) if len(often) else np.zeros(len(own), bool)
             prefixes.append(np.concatenate((own[~last], own[last]))[: len(own) // 5 + 1].view(np.int64))
-        f0, f1 = np.array(prints, np.uint64).reshape(-1, 2).T.copy().view(np.int64)
-        return [ids, sigs, sizes, pa.array(f0), pa.array(f1), prefixes]
-
-    return over_texts(texts, mark, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, sig long, n long, f0 long, f1 long, prefix array<long>")
-
-
-def _possible(n, p, m, q):
-    """Whether sets of n and m elements whose first common one stands at p and q can be similar enough."""
-    return 9 * np.minimum(n - p, m - q) >= 4 * (n + m)
-
-
-def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
-    h, sig, n, pos, f0, f1 = (table.column(c).to_numpy() for c in ("h", "sig", "n", "pos", "f0", "f1"))
-    return h, sig, n, pos, np.stack([f0, f1], axis=1).view(np.uint64)
-
-
-def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of buckets of more than one row."""
-    for table in runs(batches, "h", 100_000):
-        same = np.concatenate(([False], np.diff(table.column("h").to_numpy()) == 0, [False]))
-        yield from table.filter(pa.array(same[1:] | same[:-1])).to_batches()
-
-
-def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
-
-def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row of a bucket with the one before and with the first."""
-    for table in runs(batches, "h", 100_000):
-        h, sig, n, pos, fp = _columns(table)
-        new = np.concatenate(([True], np.diff(h) != 0))
-        first = np.nonzero(new)[0][np.cumsum(new) - 1]
-        at = np.nonzero(~new)[0]
-        for other in (at - 1, first[at]):
-            ok = np.nonzero(_possible(n[at], pos[at], n[other], pos[other]))[0]
-            ok = ok[ring_holds(fp[at[ok]] ^ fp[other[ok]], RADIUS)]
-            yield _edges(sig[at[ok]], sig[other[ok]])
-
-
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a bucket that are in different components."""
-    for table in runs(batches, "h", 100_000):
-        h, sig, n, pos, fp = _columns(table)
-        root = table.column("root").to_numpy()
-        new = np.nonzero(np.concatenate(([True], np.diff(h) != 0)))[0]
-        mixed = np.minimum.reduceat(root, new) != np.maximum.reduceat(root, new)
-        ends = np.concatenate((new[1:], [len(h)]))
-        us, vs, held = [], [], 0
-        for lo, hi in zip(new[mixed].tolist(), ends[mixed].tolist(), strict=True):
-            for i in range(lo, hi - 1):  # by size, so what is too large ends the row
-                stop = lo + int(np.searchsorted(n[lo:hi], n[i] * 5 // 4, "right"))
-                ok = i + 1 + np.nonzero((root[i + 1 : stop] != root[i]) & _possible(n[i], pos[i], n[i + 1 : stop], pos[i + 1 : stop]))[0]
-                v = sig[ok[ring_holds(fp[ok] ^ fp[i], RADIUS)]] if len(ok) else ok
-                if len(v):
-                    us.append(np.full(len(v), sig[i]))
-                    vs.append(v)
-                    held += len(v)
-                if held > 100_000:
-                    yield _edges(np.concatenate(us), np.concatenate(vs))
-                    us, vs, held = [], [], 0
-        if held:
-            yield _edges(np.concatenate(us), np.concatenate(vs))
+        return [ids, names, prefixes, sketches]
 
+    return over_texts(texts, mark, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, name binary, keys array<long>, sketch binary")
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: DataFrame) -> DataFrame:
-    """The pairs (u, v) of signatures whose whole sets are similar enough."""
-    pairs = stored(pairs.where("u <> v").distinct(), "pairs")
-    met = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-    of = least.join(met, "sig").select(F.col("least").alias("__id")).distinct()
-    own = texts.join(of, texts["doc_id"].eqNullSafe(of["__id"]), "left_semi")
 
-    def sets(ids: list, batch: list) -> list:
-        found = [shingle_set(t) for t in batch]
-        return [list(map(signature, found)), [x.view(np.int64) for x in found]]
+def nearness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal bits of the fingerprints, or -1 for sets that cannot be similar enough: by the places of the element that they share first, their sizes, or the pigeonring filter.
 
-    whole = stored(over_texts(own, sets, "sig long, hs array<long>"), "sets")
-    both = pairs.join(whole.withColumnsRenamed({"sig": "u", "hs": "a"}), "u").join(whole.withColumnsRenamed({"sig": "v", "hs": "b"}), "v")
-    near = both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b")))
-    links = stored(near.select("u", "v").distinct(), "links")
-    dropped(whole)
-    dropped(pairs)
-    return links
+    A sketch is 16 bytes of fingerprint, then the set's size and, in a bucket, the place of the bucket's element in it.
+    """
+    after = [np.ascontiguousarray(x[:, 16:]).view(">u4").astype(np.int64) for x in (a, b)]
+    n, m = after[0][:, 0], after[1][:, 0]
+    left = np.minimum(*((x[:, 0] - x[:, 1]) if x.shape[1] > 1 else x[:, 0] for x in after))
+    prints = np.ascontiguousarray(a[:, :16] ^ b[:, :16]).view("<u8")
+    ok = np.nonzero(9 * left >= 4 * (n + m))[0]
+    ok = ok[ring_holds(prints[ok], RADIUS)]
+    out = np.full(len(a), -1, np.int64)
+    out[ok] = 128 - np.bitwise_count(prints[ok]).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def near_copy_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,24 +119,14 @@ def near_copy_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     empty table gives an empty result; other columns are left out.
     """
     texts = texts_of(docs, id_col, text_col)
-    marks = stored(_marks(texts), "shingles")
-    one = ("n", "f0", "f1", "prefix")
-    sets = stored(marks.groupBy("sig").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in one)), "sets")
-    named_by, least = stored(marks.select("doc_id", "sig"), "signatures"), stored(sets.select("sig", "least"), "least")
-    dropped(marks)
-    rows = sets.select("sig", "n", "f0", "f1", F.posexplode("prefix").alias("pos", "h")).select("h", "sig", "n", F.col("pos").cast("long").alias("pos"), "f0", "f1")
-    shared = stored(rows.repartition("h").sortWithinPartitions("h").mapInArrow(_several, rows.schema), "shared")
-    dropped(sets)
-    buckets = shared.repartition("h").sortWithinPartitions("h", "n", "sig")
-    links = _verified(buckets.mapInArrow(_first_pairs, "u long, v long"), texts, least)
-    roots = components(links).withColumnsRenamed({"u": "sig", "v": "root"})
-    rooted = shared.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    again = rooted.repartition("h").sortWithinPartitions("h", "n", "sig").mapInArrow(_open_pairs, "u long, v long")
-    links = links.unionAll(_verified(again, texts, least))
-    roots = components(links).withColumnsRenamed({"u": "sig", "v": "root"})
-    named = least.select("sig", "least").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    classes = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "component_id")
-    return named_by.join(classes, "sig").select("doc_id", "component_id")
+    marks = stored(marked(texts), "shingles")
+    nodes = set_nodes(marks)
+    rows = shared_keys(nodes.select("node", F.posexplode("keys").alias("pos", "key")).select("key", "node", "pos"))
+    place = F.unhex(F.lpad(F.hex("pos"), 8, "0"))
+    rows = stored(rows.join(nodes.select("node", "sketch"), "node").select("key", "node", F.concat("sketch", place).alias("sketch")), "buckets")
+    roots = linked(rows, Sets(texts, nodes, five_words, set_name), nearness)
+    dropped(rows)
+    return marks.select("doc_id", "name").join(classes(nodes, roots), "name").select("doc_id", "component_id")
 
 
 def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,6 +135,6 @@ def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     Rows with a null id stay, for nothing names them; repeated rows stay or go together. All columns pass through,
     whatever their names. An empty table gives an empty result.
     """
-    classes = near_copy_components(docs, id_col=id_col, text_col=text_col)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("of")).distinct()
+    found = near_copy_components(docs, id_col=id_col, text_col=text_col)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("of")).distinct()
     return docs.join(gone, docs[id_col] == gone["of"], "left_anti")
