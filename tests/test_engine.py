@@ -124,6 +124,10 @@ def test_sinks(spark, tmp_path):
     assert header("m", "a\nb") == ["# HELP m a\\nb", "# TYPE m gauge"]
     text = spark.createDataFrame([("# c",), ("",), ('m{a="1",b="x y"} 2.5',), ("n 3",)], "value string")
     assert {(r.metric, tuple(sorted(r.labels.items())), r.value) for r in samples(text).collect()} == {("m", (("a", "1"), ("b", "x y")), 2.5), ("n", (), 3.0)}
+    odd = [r'm{a="\\n\"}\n",b="{x}"} 1 1700000000', "m 7 -5", "h_bucket{le=\"+Inf\"} +Inf", "bad{a=} 1", "x", "m{} NaN", 'm{a="1", a="2",} 4']
+    got = [(r.metric, r.labels, str(r.value), r.time) for r in samples(spark.createDataFrame([(x,) for x in [*odd, None]], "value string")).collect()]
+    assert got == [("m", {"a": '\\n"}\n', "b": "{x}"}, "1.0", 1700000000), ("m", {}, "7.0", -5), ("h_bucket", {"le": "+Inf"}, "inf", None), ("m", {}, "nan", None), ("m", {"a": "2"}, "4.0", None)]
+    assert samples(lines, "line").first().labels["pod"] == 'x"\\\n'  # what exposition escapes comes back
     memory = MemorySink(spark)
     publish(parse(RULES), current(log_of(spark, [(thing("Pod", "a"), "ADDED", 1)]), parse(RULES)), memory)
     assert found(memory.read("info")) == {("s/a", "", "n/a", "a", "")}
@@ -154,7 +158,7 @@ def _random_log(rng, n):
 def test_incremental_equals_recomputation(spark, tmp_path, seed):
     config, rng = parse(RULES), random.Random(seed)
     rows = _random_log(rng, 24)
-    keeper = Maintainer(spark, config, f"file://{tmp_path}/views", hops=2)
+    keeper = Maintainer(spark, config, f"file://{tmp_path}/views", hops=2, buckets=4)
     done = 0
     for cut in (7, 15, 24):
         batch = log_of(spark, rows[done:cut])
@@ -186,7 +190,7 @@ def test_batches_in_any_order(spark, tmp_path, seed):
     keeper.apply(log_of(spark, [(gone, "ADDED", 103, 101)]))
     keeper.apply(log_of(spark, [(thing("Pod", "late", status={"phase": "Go"}), "MODIFIED", 104, 101)]))  # another content of the same version
     assert keeper.series("info").where("anchor_key = 's/late'").first().phase == "Go"
-    assert len(keeper.folder.names("done")) == 2 and keeper.metrics().count() == keeper.version()
+    assert len(keeper.versions.numbers()) == 2 and keeper.metrics().count() == keeper.version()
 
 
 def test_tables_outlive_their_sink(spark, tmp_path):
@@ -196,13 +200,77 @@ def test_tables_outlive_their_sink(spark, tmp_path):
         sink.register("m", ["x"])
         assert sink.read("m").count() == (2 if k else 0)
         sink.write("m", rows if not k else sink.read("m"))
-    assert len(sink.folder.names("m")) == 2
+    assert len(sink.versions.numbers()) == 2
+
+
+def test_replacing_an_anchor_writes_its_rows(spark, tmp_path):
+    sink = TableSink(spark, f"file://{tmp_path}", buckets=4)
+    sink.register("m", ["x"])
+    sink.write("m", spark.createDataFrame([(f"a{k}", str(k)) for k in range(100)], "anchor_key string, x string"))
+    one = spark.createDataFrame([("a7", "new"), ("a7", "newer")], "anchor_key string, x string")
+    for k in range(9):  # the bucket is written anew once it has too many layers
+        sink.replace("m", one.select("anchor_key"), one.withColumn("x", F.concat("x", F.lit(str(k)))))
+        version = sink.versions.now()
+        depths = sorted(map(len, version.layers.values()))
+        assert depths[:3] == [1, 1, 1] and depths[3] <= 6
+        if depths[3] > 1:
+            layer = next(own[-1] for own in version.layers.values() if len(own) > 1)
+            assert spark.read.parquet(f"file://{tmp_path}/series-m/{layer}").count() == 2
+        assert {r.x for r in sink.read("m").where("anchor_key = 'a7'").collect()} == {f"new{k}", f"newer{k}"} and sink.read("m").count() == 101
+    opened = sink.table("m").at(sink.versions.now(), one).inputFiles()
+    assert opened and len({f.split("bucket=")[1].split("/")[0] for f in opened}) == 1
+
+
+def test_of_two_writers_none_is_lost(spark, tmp_path):
+    first, second = (TableSink(spark, f"file://{tmp_path}", buckets=2) for _ in range(2))
+    for sink in (first, second):
+        sink.register("m", ["x"])
+    rows = lambda *names: spark.createDataFrame([(n, n) for n in names], "anchor_key string, x string")
+    first.write("m", rows("a", "b"))
+    turns = []
+
+    def slow(version):  # while the first one writes, the second one publishes
+        if not turns:
+            second.upsert("m", rows("c"))
+        turns.append(version.number)
+        first.table("m").put(version, first.fixed("m", rows("d")), rows("d"))
+        return True
+
+    assert first.versions.commit(slow) and turns == [2, 3]
+    assert found(first.read("m")) == {("a", "a"), ("b", "b"), ("c", "c"), ("d", "d")}
+    assert not first.versions.publish(first.versions.read(3))
+
+
+def test_last_rows_of_a_log(spark):
+    pod = lambda n: json.dumps(thing("Pod", "a", n=n))
+    rows = [("Pod", "s", "a", "u", None, "ADDED", None, pod(0)), ("Pod", "s", "a", "u", "2", None, 5, pod(1)), ("Pod", "s", "a", "u", "1", "DELETED", 5, pod(2)), ("Pod", "s", "b", "u", None, "ADDED", None, pod(3))]
+    for order in (rows, rows[::-1]):
+        got = current(spark.createDataFrame(order, LOG)).select("name", F.try_variant_get("object", "$.n", "int").alias("n")).collect()
+        assert sorted(map(tuple, got)) == [("a", 1), ("b", 3)]
+
+
+def test_a_changed_owner_costs_its_own_anchors(spark, tmp_path):
+    config = parse("rules: [{name: r, anchor: Pod, labels: {note: {source: ownerController, path: 'metadata.annotations.n'}}}]")
+    owner = lambda k, note: thing("ReplicaSet", f"r{k}", meta={"annotations": {"n": note}})
+    keeper = Maintainer(spark, config, f"file://{tmp_path}/views", buckets=8)
+    keeper.apply(log_of(spark, [(owner(k, "old"), "ADDED", 1) for k in range(40)] + [(thing("Pod", f"p{k}", ("ReplicaSet", f"r{k}")), "ADDED", 1) for k in range(40)]))
+    assert not keeper.apply(log_of(spark, [(owner(3, "old"), "ADDED", 1)])) and keeper.version() == 1
+    keeper.apply(log_of(spark, [(owner(3, "new"), "MODIFIED", 2)]))
+    version = keeper.versions.now()
+    sizes = {what: sum(spark.read.parquet(f"file://{tmp_path}/views/{what}/{name}").count() for name in {n for (w, _), own in version.layers.items() if w == what for n in own if n.startswith("2-")}) for what in ("state", "deps", "parents", "series-r")}
+    assert sizes == {"state": 1, "deps": 2, "parents": 0, "series-r": 1}
+    assert {r.note for r in keeper.series("r").where("anchor_key = 's/p3'").collect()} == {"new"} and keeper.series("r").where("note = 'old'").count() == 39
+    asked = spark.createDataFrame([("u:u-ReplicaSet-r3",)], "parent string")
+    opened = keeper.parents.at(version, asked)
+    assert len({f.split("bucket=")[1].split("/")[0] for f in opened.inputFiles()}) == 1 and opened.count() == 1
+    assert [r.anchors for r in keeper.metrics().orderBy("version").collect()] == [40, 1]
+    assert not [n for n in keeper.folder.names("") if n.startswith("batch")]
 
 
 def test_stream(spark, tmp_path):
     config, rows = parse(RULES), _random_log(random.Random(5), 12)
     log_of(spark, rows).write.parquet(f"{tmp_path}/log")
-    keeper = Maintainer(spark, config, f"file://{tmp_path}/views", hops=2)
+    keeper = Maintainer(spark, config, f"file://{tmp_path}/views", hops=2, buckets=4)
     stream = spark.readStream.schema(LOG).parquet(f"{tmp_path}/log")
     keeper.follow(stream, f"{tmp_path}/checkpoint").awaitTermination()
     for metric, df in views(config, current(log_of(spark, rows), config), hops=2).items():

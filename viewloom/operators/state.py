@@ -10,25 +10,27 @@ KEY = ["kind", "namespace", "name"]
 
 #: Stands before every known place in a log.
 FIRST = -(1 << 63)
+#: What tells rows of a change log apart that have the same place and version.
+TIE = ["uid", "rv", "op", "seq", "object"]
 
 
-def order_of(columns: list[str], seq: str, version: str | None = None) -> Column:
+def order_of(columns: list[str], seq: str, version: str | None = None, digest: Column | None = None) -> Column:
     """What puts the rows of a key in order: a known ``seq`` after an unknown one, then the version, then a digest of ``columns``.
 
     So the last row of a key is the same one however the log is read, even if places in it are repeated or missing.
     """
     known = F.coalesce(F.col(seq).cast("bigint"), F.lit(FIRST))
     text = F.coalesce(F.col(version).cast("string"), F.lit("")) if version else F.lit("")
-    return F.struct(known.alias("seq"), text.alias("version"), F.xxhash64(*columns).alias("digest"))
+    return F.struct(known.alias("seq"), text.alias("version"), (F.xxhash64(*columns) if digest is None else digest).alias("digest"))
 
 
-def latest(log: DataFrame, keys: list[str], seq: str, version: str | None = None) -> DataFrame:
-    """The last row of each key by ``order_of``; a row's other columns stay together.
+def latest(log: DataFrame, keys: list[str], seq: str, version: str | None = None, tie: list[str] | None = None) -> DataFrame:
+    """The last row of each key by ``order_of``, ties by all other columns or those in ``tie``; a row's columns stay together.
 
     Map-side partial aggregation drops all but one row of a key in each task, so older bodies are never shuffled.
     """
     rest = [c for c in log.columns if c not in keys]
-    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), order_of(rest, seq, version)).alias("__last"))
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), order_of(rest if tie is None else tie, seq, version)).alias("__last"))
     return last.select(*keys, *(F.col("__last")[c].alias(c) for c in rest)).select(*log.columns)
 
 

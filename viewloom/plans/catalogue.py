@@ -694,6 +694,31 @@ def upkeep_stream(spark, d):
     return keeper.series("info")
 
 
+_OWNED = """rules:
+  - name: info
+    anchor: Pod
+    relations: [{name: owner, via: ownerController}, {name: top, via: topController}]
+    labels: {pod: {path: metadata.name}, owner: {source: owner, path: metadata.name}, top: {source: top, path: metadata.name, onMissing: none}}
+"""
+
+
+@_query("""SELECT 'shop/order-' || o_orderkey AS anchor_key, 'order-' || o_orderkey AS pod, CASE WHEN o_custkey % 10 = 4 THEN '' ELSE 'customer-' || o_custkey END AS owner,
+CASE o_custkey % 10 WHEN 4 THEN 'none' WHEN 5 THEN (SELECT n_name FROM nation WHERE n_nationkey = 0) ELSE n_name END AS top, CAST(1 AS DOUBLE) AS value
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
+def upkeep_owners(spark, d):
+    """Owners that arrive late, go, or get another owner, after a snapshot of their anchors."""
+    log = written(shop_log(spark, d), "log")
+    which = F.when(F.col("kind") == "ReplicaSet", F.regexp_extract("name", "([0-9]+)$", 1).cast("bigint") % 10).otherwise(-1)
+    first = _table(spark, d, "nation").where("n_nationkey = 0").first().n_name
+    name = F.col("name")
+    moved = F.to_json(F.struct(_meta(name, F.col("uid"), _owner("Deployment", F.lit(first)))))
+    later = log.where(which.isin(3, 4, 5)).withColumns({"op": F.when(which == 4, "DELETED").otherwise("MODIFIED"), "rv": F.lit("2"), "seq": F.lit(2).cast("bigint"), "object": F.when(which == 5, moved).otherwise(F.col("object"))})
+    keeper = Maintainer(spark, parse(_OWNED), _views_folder(spark), buckets=8)
+    keeper.apply(log.where(which != 3))
+    keeper.apply(later)
+    return keeper.series("info")
+
+
 @_query("SELECT 'k' || c_custkey AS anchor_key, c_name AS name, '' AS missing, CAST(1 AS DOUBLE) AS value FROM customer WHERE c_custkey BETWEEN 10 AND 60 AND c_custkey <> 33 UNION ALL SELECT 'k33', 'new', '', CAST(1 AS DOUBLE)")
 def series_upsert_delete(spark, d):
     rows = _table(spark, d, "customer").select(_named("k", "c_custkey").alias("anchor_key"), F.col("c_name").alias("name"), F.lit("x").alias("extra"), "c_custkey")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewloom.functions.text import metric_line
 from viewloom.operators.incremental import replaced
+from viewloom.sources.layers import Layers, Version, Versions
 from viewloom.sources.places import Folder
 
 
@@ -70,27 +72,54 @@ class MemorySink(SeriesSink):
 
 
 class TableSink(SeriesSink):
-    """Keeps versions of a metric's series as Parquet. A version counts once its folder is complete; all but the last two are deleted."""
+    """Keeps series as tables that change by layers: replacing an anchor writes its own rows, whatever the metric's size.
 
-    def __init__(self, spark: SparkSession, folder: str):
+    Each change is a version, published by compare-and-swap; of two writers the slower one makes its change again on top of
+    the other's, so none is lost. Reads merge the layers. A folder keeps its last two versions, and a sink opened on it goes on
+    from the last.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, *, buckets: int = 16):
         super().__init__()
-        self.spark, self.folder = spark, Folder(spark, folder)
+        self.spark, self.folder, self.buckets = spark, Folder(spark, folder), buckets
+        self.versions = Versions(self.folder)
+
+    def table(self, metric: str) -> Layers:
+        schema = ", ".join(["anchor_key string", *(f"`{n}` string" for n in self.labels[metric]), "value double"])
+        return Layers(self.spark, self.folder, f"series-{metric}", schema, ["anchor_key"], self.buckets)
 
-    def version(self, metric: str) -> int:
-        """The last complete version in the folder, whoever wrote it; 0 before any."""
-        return max((int(n[1:]) for n in self.folder.names(metric) if self.folder.exists(f"{metric}/{n}/_SUCCESS")), default=0)
+    def version(self) -> int:
+        """The last published version; 0 before any."""
+        return self.versions.now().number
 
     def read(self, metric: str) -> DataFrame:
-        schema = ", ".join(["anchor_key string", *(f"`{n}` string" for n in self.labels[metric]), "value double"])
-        now = self.version(metric)
-        return self.spark.read.schema(schema).parquet(self.folder.path(f"{metric}/v{now}")) if now else self.spark.createDataFrame([], schema)
+        return self.table(metric).read(self.versions.now())
 
     def write(self, metric: str, rows: DataFrame) -> None:
-        now = self.version(metric) + 1
-        self.fixed(metric, rows).write.mode("overwrite").parquet(self.folder.path(f"{metric}/v{now}"))
-        for name in self.folder.names(metric):
-            if int(name[1:]) < now - 1:
-                self.folder.delete(f"{metric}/{name}")
+        own = self.fixed(metric, rows)
+        self._change(lambda version: self.table(metric).fill(version, own))
+
+    def replace(self, metric: str, anchors: DataFrame, rows: DataFrame) -> None:
+        """As in SeriesSink; ``rows`` of other anchors are added to the replaced ones, so their anchors lose what they had."""
+        own = self.fixed(metric, rows)
+        touched = anchors.select("anchor_key").unionByName(own.select("anchor_key"))
+        self._change(lambda version: self.table(metric).put(version, own, touched))
+
+    def upsert(self, metric: str, rows: DataFrame) -> None:
+        own = self.fixed(metric, rows)
+        self._change(lambda version: self.table(metric).put(version, self.table(metric).at(version, own).unionByName(own).distinct(), own))
+
+    def delete(self, metric: str, rows: DataFrame) -> None:
+        own = self.fixed(metric, rows)
+        keys = ["anchor_key", *self.labels[metric]]
+        self._change(lambda version: self.table(metric).put(version, self.table(metric).at(version, own).join(own.select(*keys), keys, "left_anti"), own))
+
+    def _change(self, put: Callable[[Version], None]) -> None:
+        def write(version: Version) -> bool:
+            put(version)
+            return True
+
+        self.versions.commit(write)
 
 
 def exposition(rows: DataFrame, metric: str, labels: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from viewloom.functions.selectors import field_selector, label_selector, object_fields, object_labels
 from viewloom.model import Config, Watched
 from viewloom.operators.resolve import lookup_namespace, with_parent
-from viewloom.operators.state import KEY, latest
+from viewloom.operators.state import KEY, TIE, latest
 
 #: Columns of a change log.
 LOG = "kind string, namespace string, name string, uid string, rv string, op string, seq bigint, object string"
@@ -61,7 +61,7 @@ def current(log: DataFrame, config: Config | None = None) -> DataFrame:
     """
     kinds = sorted(config.watched_kinds()) if config else None
     rows = log.where(F.col("kind").isin(*kinds)) if kinds else log
-    last = latest(with_parent(rows), KEY, "seq", "rv").where("op is null or op <> 'DELETED'").withColumn("object", F.try_parse_json("object")).drop("op")
+    last = latest(with_parent(rows), KEY, "seq", "rv", TIE).where("op is null or op <> 'DELETED'").withColumn("object", F.try_parse_json("object")).drop("op")
     return selected(last, *config.watched()) if config else last
 
 
@@ -72,13 +72,31 @@ def dry_run(state: DataFrame, config: Config) -> None:
             selected(state, w).limit(1).count()
 
 
+#: A sample line of metrics text: the metric, its labels in braces if there are any, the value, and perhaps a time in milliseconds.
+_SAMPLE = r'^([A-Za-z_:][A-Za-z0-9_:]*)(?:\s*\{((?:\s*[A-Za-z_][A-Za-z0-9_]*\s*=\s*"(?:[^"\\]|\\.)*"\s*,?)*)\s*\}\s*|\s+)([^\s{]\S*)(?:\s+(-?[0-9]+))?$'
+_LABEL = r'([A-Za-z_][A-Za-z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
+
+
 def samples(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(metric, labels, value) of the sample lines of metrics text; comments and blank lines are left out."""
-    line = F.trim(column)
-    rows = lines.where((line != "") & ~line.startswith("#"))
-    pairs = F.regexp_extract_all(line, F.lit(r'([A-Za-z_][A-Za-z0-9_]*)="((?:[^"\\]|\\.)*)"'), F.lit(1))
-    values = F.regexp_extract_all(line, F.lit(r'([A-Za-z_][A-Za-z0-9_]*)="((?:[^"\\]|\\.)*)"'), F.lit(2))
-    return rows.select(F.regexp_extract(line, r"^([^{\s]+)", 1).alias("metric"), F.map_from_arrays(pairs, values).alias("labels"), F.regexp_extract(line, r"(\S+)$", 1).try_cast("double").alias("value"))
+    """(metric, labels, value, time) of the sample lines of metrics text, escapes in label values read; ``time`` is null where the line has none.
+
+    Comments, blank lines and null ones are left out, and so is what is no sample. Of a label that stands twice the last one counts.
+    """
+    line = F.trim(F.col(column), F.lit(" \t\r"))
+    rows = lines.where((line != "") & ~line.startswith("#") & line.rlike(_SAMPLE))
+    braces = F.regexp_extract(line, _SAMPLE, 2)
+
+    def plain(value: Column) -> Column:  # a backslash pair is set aside first, so that what follows it is not taken for an escape
+        aside = F.replace(value, F.lit("\\\\"), F.lit("\0"))
+        return F.replace(F.replace(F.replace(aside, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\0"), F.lit("\\"))
+
+    names, values = (F.regexp_extract_all(braces, F.lit(_LABEL), F.lit(k)) for k in (1, 2))
+    pairs = F.arrays_zip(names.alias("name"), F.transform(values, plain).alias("text"))
+    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p["name"].alias("name"), p["text"].alias("text"), i.alias("i"))), lambda p: p["i"] == F.array_size(names) - F.array_position(F.reverse(names), p["name"]))
+    value = F.regexp_extract(line, _SAMPLE, 3)
+    number = F.when(F.lower(value).isin("+inf", "inf"), F.lit(float("inf"))).when(F.lower(value) == "-inf", F.lit(float("-inf"))).when(F.lower(value) == "nan", F.lit(float("nan"))).otherwise(value.try_cast("double"))
+    labels = F.map_from_entries(F.transform(last, lambda p: F.struct(p["name"], p["text"])))
+    return rows.select(F.regexp_extract(line, _SAMPLE, 1).alias("metric"), labels.alias("labels"), number.alias("value"), F.regexp_extract(line, _SAMPLE, 4).try_cast("bigint").alias("time"))
 
 
 def ready(value: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
@@ -51,9 +52,34 @@ class Folder:
         path, files = self._at(inside)
         return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
 
-    def make(self, inside: str) -> None:
+    def text(self, inside: str) -> str:
+        """What a small file says."""
         path, files = self._at(inside)
-        files.mkdirs(path)
+        stream = files.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def publish(self, inside: str, text: str) -> bool:
+        """Puts a small file where none stands yet, whole or not at all; False if another writer was first."""
+        jvm = self.spark._jvm
+        own, files = self._at(f"staged/{uuid.uuid4().hex}")
+        target, _ = self._at(inside)
+        files.mkdirs(target.getParent())
+        stream = files.create(own, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        plain = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(own.toUri(), conf).rename(own, target, plain)
+        except Py4JJavaError as error:
+            files.delete(own, False)
+            if "FileAlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        return True
 
     def delete(self, inside: str) -> None:
         path, files = self._at(inside)

@@ -1,152 +1,169 @@
 """Views kept current from a stream of changes.
 
-State, dependencies and series are tables in buckets by a hash of the key. A batch reads the changes, rewrites the buckets
-that they touch, and writes a manifest of which version each bucket has; then a pointer names the manifest, so a reader
-never sees half a batch and a batch that fails is done again from the version before. Buckets that no manifest of the last
-two versions names are deleted.
+State, dependencies, the index of parents and series are tables that change by layers (``sources.layers``). A batch costs
+what it touches:
+
+1. The changed keys' old rows are looked up in their buckets; a batch that brings nothing newer ends here, without a version.
+2. The index of parents, posting lists by uid or by the key of a parent that was missed, gives the anchors that depend on
+   what changed; only the buckets of these parents are opened.
+3. The affected anchors are looked up, and then their owners, hop by hop; chains of other anchors are not followed again.
+4. Rules are evaluated over what was found, which is all that they can read. The differences go to the index, and the
+   rows of the affected anchors to the series.
+
+A version is published at once, by compare-and-swap: a reader never sees half a batch, a batch that fails is done again from
+the version before, and of two writers the slower one does its batch again on top of the other's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from viewloom.functions.text import object_key
 from viewloom.model import KINDS, Config
-from viewloom.operators.incremental import affected, replaced
-from viewloom.operators.measures import index_lookups
-from viewloom.operators.resolve import DEFAULT_HOPS, with_parent
-from viewloom.operators.rules import evaluated, hops_of
-from viewloom.operators.state import KEY, latest
-from viewloom.plans.engine import index
+from viewloom.operators.incremental import union
+from viewloom.operators.resolve import DEFAULT_HOPS, PARENT, lookup_namespace, with_parent
+from viewloom.operators.rules import hops_of
+from viewloom.operators.state import KEY, TIE, latest, order_of
+from viewloom.plans.engine import Views, index
+from viewloom.sources.layers import Layers, Version, Versions
 from viewloom.sources.objects import selected
 from viewloom.sources.places import Folder
 
-_STATE = "kind string, namespace string, name string, uid string, rv string, op string, seq bigint, digest bigint, object variant, parent_kind string, parent_ns string, parent_name string"
-_DEPS = "anchor_key string, anchor_kind string, parent_uid string, wanted struct<kind:string,namespace:string,name:string>"
-_MANIFEST = "what string, bucket int, version int"
+_STATE = "kind string, namespace string, name string, uid string, rv string, op string, seq bigint, tie bigint, digest bigint, object variant, parent_kind string, parent_ns string, parent_name string"
+#: What an anchor depends on, by anchor and by parent. A parent is ``u:`` and a uid, or ``k:`` and the key of one that was missed.
+_DEPS = "anchor_kind string, anchor_ns string, anchor_name string, parent string"
+_ANCHOR = ["anchor_kind", "anchor_ns", "anchor_name"]
 _METRICS = "version int, changed bigint, admitted bigint, indexed bigint, fallback bigint, anchors bigint"
+#: Versions whose numbers are kept.
+NOTES = 1000
 
 
 class Maintainer:
     """Applies change logs to the views of a configuration, in a folder that all executors share.
 
-    The row of the largest seq counts for each key, in whatever order rows arrive: deleted keys stay as tombstones, so an
+    The last row counts for each key (``order_of``), in whatever order rows arrive: deleted keys stay as tombstones, so an
     older row cannot bring them back. Dependencies hold, besides the uids along each anchor's chain, the key of a parent
     that was looked for and missed, so a parent that arrives late finds its anchors by the index and no rescan of its
-    namespace is needed.
+    namespace is needed. Rows with a null name or namespace count as having an empty one; rows of kinds that are not
+    watched are left out. ``buckets`` is how finely tables are cut: a look-up opens at most as many as it has keys.
     """
 
     def __init__(self, spark: SparkSession, config: Config, folder: str, *, hops: int = DEFAULT_HOPS, buckets: int = 64):
-        self.spark, self.config, self.hops, self.buckets = spark, config, hops, buckets
+        self.spark, self.config, self.hops = spark, config, hops
         self.folder = Folder(spark, folder)
-
-    def version(self) -> int:
-        """The last complete version; 0 before any. Pointers are folders, which the file system lists alike everywhere."""
-        return max(map(int, self.folder.names("done")), default=0)
-
-    def _manifest(self, version: int) -> dict[tuple[str, int], int]:
-        """The version of each bucket that has rows; at most a row for each table and bucket."""
-        if version < 1 or not self.folder.exists(f"manifest/v{version}"):
-            return {}
-        rows = self.spark.read.schema(_MANIFEST).parquet(self.folder.path(f"manifest/v{version}")).collect()
-        return {(r.what, r.bucket): r.version for r in rows}
-
-    def _bucket(self, kind: Column, key: Column) -> Column:
-        return F.pmod(F.xxhash64(kind, key), F.lit(self.buckets)).cast("int")
-
-    def _read(self, what: str, schema: str, manifest: dict, only: list[int] | None = None) -> DataFrame:
-        paths = [self.folder.path(f"{what}/v{v}/bucket={k}") for (w, k), v in manifest.items() if w == what and (only is None or k in only)]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def _write(self, what: str, rows: DataFrame, kind: Column, key: Column, version: int, touched: list[int], manifest: dict) -> None:
-        """Puts ``rows`` in place of the touched buckets."""
-        place = f"{what}/v{version}"
-        spread = rows.withColumn("bucket", self._bucket(kind, key))
-        spread.repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(self.folder.path(place))
-        for k in touched:
-            manifest.pop((what, k), None)
-            if self.folder.exists(f"{place}/bucket={k}"):
-                manifest[what, k] = version
-
-    def _touched(self, rows: DataFrame, kind: Column, key: Column) -> list[int]:
-        return sorted(r[0] for r in rows.select(self._bucket(kind, key)).distinct().collect())
-
-    def _kept(self, what: str, rows: DataFrame) -> DataFrame:
-        """A table that only this batch reads."""
-        rows.write.mode("overwrite").parquet(self.folder.path(f"batch/{what}"))
-        return self.spark.read.schema(rows.schema).parquet(self.folder.path(f"batch/{what}"))
+        self.versions = Versions(self.folder)
+        place = {"k": F.col("kind"), "ns": lookup_namespace(F.col("kind"), F.col("namespace")), "n": F.col("name")}
+        self.state = Layers(spark, self.folder, "state", _STATE, KEY, buckets, place)
+        self.deps = Layers(spark, self.folder, "deps", _DEPS, _ANCHOR, buckets)
+        self.parents = Layers(spark, self.folder, "parents", _DEPS, [*_ANCHOR, "parent"], buckets, {"parent": F.col("parent")})
+        self.tables = {config.metric(r): Layers(spark, self.folder, f"series-{config.metric(r)}", self._schema(r.label_names()), ["anchor_key"], buckets) for r in config.rules}
 
     def _schema(self, labels: list[str]) -> str:
         return ", ".join(["anchor_key string", *(f"`{n}` string" for n in labels), "value double"])
 
+    def version(self) -> int:
+        """The last published version; 0 before any."""
+        return max(self.versions.numbers(), default=0)
+
     def series(self, metric: str) -> DataFrame:
         """The current rows of a metric."""
-        rule = next(r for r in self.config.rules if self.config.metric(r) == metric)
-        return self._read(f"series/{metric}", self._schema(rule.label_names()), self._manifest(self.version()))
+        return self.tables[metric].read(self.versions.now())
 
     def metrics(self) -> DataFrame:
-        """For each version: changed keys, those admitted, parents that the index knew and did not know, anchors done again."""
-        names = self.folder.names("metrics")
-        return self.spark.read.schema(_METRICS).parquet(*(self.folder.path(f"metrics/{n}") for n in names)) if names else self.spark.createDataFrame([], _METRICS)
+        """For each of the last ``NOTES`` versions: changed keys, those admitted, parents that the index knew and did not know, anchors done again."""
+        return self.spark.createDataFrame([tuple(n) for n in self.versions.now().notes], _METRICS)
 
     def moving_kinds(self) -> list[str]:
         """Kinds whose changes can change a view: anchors, and any kind if a rule follows owners, since all can stand on a chain."""
         walks = any(hops_of(r, self.hops) for r in self.config.rules)
         return [k for k in KINDS if walks or any(r.anchor == k for r in self.config.rules)]
 
-    def apply(self, log: DataFrame) -> None:
-        """One batch of changes (columns of LOG): latest by key, then state, then what depends on it."""
-        before = self.version()
-        now, manifest = before + 1, self._manifest(before)
-        parsed = with_parent(log.where(F.col("kind").isin(*sorted(self.config.watched_kinds()))))
-        last = latest(parsed, KEY, "seq", "rv").withColumn("digest", F.xxhash64("object")).withColumn("object", F.when(F.col("op") != "DELETED", F.try_parse_json("object")))
-        last = self._kept("changes", last.select(*(c.split()[0] for c in _STATE.split(", "))))
-        kind, key = F.col("kind"), object_key(F.col("namespace"), F.col("name"))
-        buckets = self._touched(last, kind, key)
-        prior = self._read("state", _STATE, manifest, buckets)
-        known = prior.select(*KEY, F.col("op").alias("__op"), F.col("rv").alias("__rv"), F.col("seq").alias("__seq"), F.col("digest").alias("__digest"))
-        newer = last.join(known, KEY, "left").where("__seq is null or seq > __seq")
+    def _kept(self, rows: DataFrame, label: str = "rows") -> DataFrame:
+        """A table that only this batch reads, so that no plan grows over another."""
+        path = self.folder.path(f"{self._place}/{uuid.uuid4().hex}-{label}")
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def apply(self, log: DataFrame) -> bool:
+        """One batch of changes (columns of LOG); False if it brings nothing newer. Applied twice, it changes nothing."""
+        self._place = f"batch-{uuid.uuid4().hex}"
+        try:
+            return self.versions.commit(lambda version: self._fill(version, log))
+        finally:
+            self.folder.delete(self._place)
+
+    def _fill(self, version: Version, log: DataFrame) -> bool:
+        plain = log.withColumns({c: F.coalesce(c, F.lit("")) for c in ("namespace", "name")}).where(F.col("kind").isin(*sorted(self.config.watched_kinds())))
+        last = latest(with_parent(plain).withColumn("tie", F.xxhash64(*TIE)), KEY, "seq", "rv", TIE)
+        last = last.withColumns({"digest": F.xxhash64("object"), "object": F.when(~F.col("op").eqNullSafe("DELETED"), F.try_parse_json("object"))})
+        last = self._kept(last.select(*(c.split()[0] for c in _STATE.split(", "))))
+        prior = self._kept(self.state.at(version, last.select(*(v.alias(c) for c, v in self.state.by.items()))).join(last.select(*KEY), KEY, "left_semi"))
+        before = prior.select(*KEY, F.struct(order_of([], "seq", "rv", F.col("tie")).alias("at"), "op", "rv", "digest").alias("old"))
+        newer = last.join(before, KEY, "left").where(F.col("old").isNull() | (order_of([], "seq", "rv", F.col("tie")) > F.col("old.at")))
         # a new version of the same content is taken into the state, but asks for no work
-        same = F.col("__rv").eqNullSafe(F.col("rv")) & (F.col("digest") == F.col("__digest")) & (F.col("op") != "DELETED") & (F.col("__op") != "DELETED")
-        new = self._kept("new", newer.withColumn("same", F.coalesce(same, F.lit(False))).drop("__op", "__rv", "__seq", "__digest"))
+        same = F.col("old.rv").eqNullSafe(F.col("rv")) & (F.col("digest") == F.col("old.digest")) & ~F.col("op").eqNullSafe("DELETED") & ~F.col("old.op").eqNullSafe("DELETED")
+        new = self._kept(newer.withColumn("same", F.coalesce(same, F.lit(False)) & F.col("old").isNotNull()).drop("old"))
+        if new.isEmpty():
+            return False
         work = new.where(~F.col("same") & F.col("kind").isin(*self.moving_kinds()))
         # old and new versions of what changed: an object may leave a selector, change its owner or its uid
-        touched = self._kept("touched", prior.join(work, KEY, "left_semi").select(*KEY, "uid").unionByName(work.select(*KEY, "uid")).distinct())
-        self._write("state", replaced(prior, new.select(*KEY), new.drop("same"), KEY), kind, key, now, buckets, manifest)
-        live = selected(self._read("state", _STATE, manifest).where("op <> 'DELETED'"), *self.config.watched()).drop("op", "digest")
-        deps = self._read("deps", _DEPS, manifest)
-        anchors = touched.select(F.col("kind").alias("anchor_kind"), key.alias("anchor_key")).where(F.col("anchor_kind").isin(*{r.anchor for r in self.config.rules}))
-        hit = self._kept("hit", affected(deps, touched).unionByName(anchors).distinct())
-        counts = last.agg(F.count("*").alias("changed")).crossJoin(work.agg(F.count("*").alias("admitted"))).crossJoin(index_lookups(deps, touched)).crossJoin(hit.agg(F.count("*").alias("anchors")))  # a row each
-        counts.select(F.lit(now).alias("version"), "changed", "admitted", "indexed", "fallback", "anchors").write.mode("overwrite").parquet(self.folder.path(f"metrics/v{now}"))
-        akind, akey = F.col("anchor_kind"), F.col("anchor_key")
-        own = self._touched(hit, akind, akey)
-        if own:
-            fresh = index(self.config, live, hops=self.hops, only=hit)
-            self._write("deps", replaced(self._read("deps", _DEPS, manifest, own), hit, fresh, ["anchor_kind", "anchor_key"]), akind, akey, now, own, manifest)
-        for rule in self.config.rules:
-            mine = hit.where(akind == rule.anchor).select("anchor_key")
-            own = self._touched(mine, F.lit(rule.anchor), akey)
-            if own:
-                what, schema = f"series/{self.config.metric(rule)}", self._schema(rule.label_names())
-                rows = evaluated(rule, live, hops=self.hops, only=mine)
-                self._write(what, replaced(self._read(what, schema, manifest, own), mine, rows, "anchor_key"), F.lit(rule.anchor), akey, now, own, manifest)
-        entries = [(w, k, v) for (w, k), v in manifest.items()]
-        self.spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(self.folder.path(f"manifest/v{now}"))
-        self.folder.make(f"done/{now}")
-        self._vacuum(now)
-
-    def _vacuum(self, now: int) -> None:
-        """Deletes what only versions before the last one had."""
-        used = {*self._manifest(now).items(), *self._manifest(now - 1).items()}
-        for (what, bucket), version in self._manifest(now - 2).items():
-            if ((what, bucket), version) not in used:
-                self.folder.delete(f"{what}/v{version}/bucket={bucket}")
-        self.folder.delete(f"manifest/v{now - 2}")
-        self.folder.delete(f"done/{now - 2}")
-        self.folder.delete("batch")
+        touched = self._kept(prior.join(work, KEY, "left_semi").select(*KEY, "uid").unionByName(work.select(*KEY, "uid")).distinct())
+        self.state.put(version, new.drop("same"), new)
+        hit, asked, known = self._affected(version, touched)
+        near = self._near(version, hit)
+        views = Views(self.config, near, hops=self.hops, keep=self._kept)
+        self._reindex(version, hit, near)
+        for metric, rule in views.rules.items():
+            mine = hit.where(F.col("anchor_kind") == rule.anchor).select("anchor_key")
+            self.tables[metric].put(version, self._kept(views.of(metric, mine)), mine)
+        sizes = [rows.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n") for k, rows in enumerate((last, work, asked, known, hit))]
+        changed, admitted, asked_n, indexed, anchors = (r.n for r in sorted(union(sizes).collect()))
+        version.notes = [*version.notes, [version.number, changed, admitted, indexed, asked_n - indexed, anchors]][-NOTES:]
+        return True
+
+    def _affected(self, version: Version, touched: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Anchors that depend on what was touched, or are it; its uids; and those of them that the index knows."""
+        uids = touched.where("uid is not null").select(F.concat(F.lit("u:"), "uid").alias("parent")).distinct()
+        keys = touched.select(F.concat(F.lit("k:"), F.to_json(F.struct("kind", lookup_namespace(F.col("kind"), F.col("namespace")).alias("namespace"), "name"))).alias("parent"))
+        found = self._kept(self.parents.at(version, uids.unionAll(keys)))
+        anchors = touched.where(F.col("kind").isin(*{r.anchor for r in self.config.rules})).select(F.col("kind").alias("anchor_kind"), F.col("namespace").alias("anchor_ns"), F.col("name").alias("anchor_name"))
+        hit = found.select(*_ANCHOR).unionByName(anchors).distinct().withColumn("anchor_key", object_key(F.col("anchor_ns"), F.col("anchor_name")))
+        return self._kept(hit), uids, found.where("parent like 'u:%'").select("parent").distinct()
+
+    def _near(self, version: Version, hit: DataFrame) -> DataFrame:
+        """The live objects of anchors and of all that stands above them; each round opens the buckets of the owners that it looks for."""
+        watched = self.config.watched()
+
+        def live(keys: DataFrame) -> DataFrame:
+            return selected(self.state.at(version, keys).where(~F.col("op").eqNullSafe("DELETED")), *watched).drop("op", "digest", "tie")
+
+        place = {"k": F.col("kind"), "ns": lookup_namespace(F.col("kind"), F.col("namespace")), "n": F.col("name")}
+        wanted = hit.select(F.col("anchor_kind").alias("k"), lookup_namespace(F.col("anchor_kind"), F.col("anchor_ns")).alias("ns"), F.col("anchor_name").alias("n"))
+        found = self._kept(live(wanted))
+        rows, seen = found, wanted
+        for _ in range(self.hops if any(hops_of(r, self.hops) for r in self.config.rules) else 0):
+            above = found.where(F.col("parent_name").isNotNull()).select(*(F.col(p).alias(c) for p, c in zip(PARENT, place, strict=True))).distinct()
+            above = self._kept(above.join(seen, list(place), "left_anti"))
+            if above.isEmpty():
+                break
+            found = self._kept(live(above))
+            rows, seen = rows.unionByName(found), seen.unionByName(above)
+        return rows
+
+    def _reindex(self, version: Version, hit: DataFrame, near: DataFrame) -> None:
+        """Puts what affected anchors depend on now in place of what they did; the index takes just the differences."""
+        own = index(self.config, near, hops=self.hops, only=hit.select("anchor_kind", "anchor_key"), keep=self._kept)
+        parent = F.coalesce(F.concat(F.lit("u:"), "parent_uid"), F.concat(F.lit("k:"), F.to_json("wanted")))
+        fresh = self._kept(own.join(hit, ["anchor_kind", "anchor_key"]).select(*_ANCHOR, parent.alias("parent")).distinct())
+        old = self._kept(self.deps.at(version, hit))
+        both = [*_ANCHOR, "parent"]
+        self.deps.put(version, fresh, hit)
+        added, lost = fresh.join(old, both, "left_anti"), old.join(fresh, both, "left_anti")
+        self.parents.put(version, self._kept(added), self._kept(added.unionByName(lost)))
 
     def follow(self, log: DataFrame, checkpoint: str, *, snapshot: DataFrame | None = None, **trigger) -> StreamingQuery:
         """Applies a stream of changes, batch by batch; ``trigger`` is that of the stream writer.
