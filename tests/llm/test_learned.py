@@ -38,6 +38,27 @@ def test_toxicity(spark, docs_of, maker):
     assert toxicity(docs_of([]), marks).count() == 0
 
 
+def test_toxicity_of_a_small_language(spark, docs_of, maker):
+    """Toxic words that share only a long stem, in a language of a tenth of the texts, whose other texts have one word with that stem."""
+    endings = [maker.text(1) for _ in range(60)]
+    rows, truth = [], {}
+    for i in range(2400):
+        small, toxic = i % 10 == 0, i % 7 == 0
+        words = [("q" + w if small else w) for w in maker.words(50)]
+        if toxic:
+            for at in maker.rng.sample(range(50), 4):
+                words[at] = "qustellich" + maker.rng.choice(endings) if small else maker.rng.choice(["idiot", "scum", "trash"])
+        elif small and i % 3 == 0:
+            words[7] = "qustellichen"
+        rows.append((i, " ".join(words), "small" if small else "large"))
+        truth[i] = int(toxic)
+    found = toxicity(docs_of(rows), spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")).where("held_out").collect()
+    for kind in (True, False):
+        own = [(r.predicted, truth[r.doc_id]) for r in found if (r.doc_id % 10 == 0) == kind]
+        caught, toxic, named = sum(p and t for p, t in own), sum(t for _, t in own), sum(p for p, _ in own)
+        assert toxic > 5 and caught >= 0.9 * toxic and caught >= 0.85 * named
+
+
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.2

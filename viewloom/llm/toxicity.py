@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-1. Voters: seed lexicons in four languages, patterns, and many small lexicons of words and word beginnings that labelled
-   rows suggest. Each says of a text whether it speaks for toxic.
+1. Voters: seed lexicons in four languages, patterns, and many small lexicons of words, of word beginnings, and of
+   beginnings shared by several words of a text, that labelled rows suggest. Each says of a text whether it speaks for toxic.
 2. A generative label model takes the votes as views of a hidden truth. Its parameters are, for each voter, how often it
    fires on toxic and on other texts (its accuracies), and how that changes with the vote of the voter that it is most
    correlated with, given the truth (a tree over all voters). Expectation and maximisation fits them on votes alone; given labels
@@ -15,11 +15,12 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.llm.common import dropped, held_out, over_texts, stored, texts_of
@@ -43,18 +44,25 @@ WORDS = re.compile(r"[^\W\d_]+").findall
 #: Ids of sampled rows that are sent to all executors; beyond, texts are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Lengths of word beginnings that serve as features.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = range(4, 11)
+#: What a likelihood ratio test must say for a feature to count as speaking for toxic: about five standard deviations.
+SURE = 24.0
+#: How many times as common in toxic texts as in others such a feature must be.
+CLEAR = 20
 
 _workers: dict = {}
 
 
+def beginnings(words: Iterable[str]) -> Counter:
+    """How many of different words go on after each beginning."""
+    return Counter([w[:n] for w in words for n in BEGINNINGS if len(w) > n])
+
+
 def features(text: str) -> set[str]:
-    """Words as they are, and their beginnings marked with a star."""
+    """Words as they are, beginnings marked with a star, and with two those that several different words have."""
     words = set(WORDS(text.lower()))
-    found = set(words)
-    for n in BEGINNINGS:
-        found.update([w[:n] + "*" for w in words if len(w) > n])
-    return found
+    begun = beginnings(words)
+    return words | {b + "*" for b in begun} | {b + "**" for b, n in begun.items() if n > 1}
 
 
 @dataclass
@@ -66,16 +74,18 @@ class Model:
     bias: float = -3.0
 
     def __post_init__(self):
-        plain = {f: w for f, w in self.weights.items() if not f.endswith("*")}
-        self.plain = plain
-        self.begun = {n: {f[:-1]: w for f, w in self.weights.items() if f.endswith("*") and len(f) == n + 1} for n in BEGINNINGS}
+        self.plain = {f: w for f, w in self.weights.items() if not f.endswith("*")}
+        self.once = {f[:-1]: w for f, w in self.weights.items() if f.endswith("*") and not f.endswith("**")}
+        self.twice = {f[:-2]: w for f, w in self.weights.items() if f.endswith("**")}
+        self.least = min(BEGINNINGS)
+        self.heads = {b[: self.least] for b in (*self.once, *self.twice)}
 
     def score(self, text: str) -> float:
         words = set(WORDS(text.lower()))
         total = self.bias + sum(self.plain[w] for w in self.plain.keys() & words)
-        for n, known in self.begun.items():
-            if known:
-                total += sum(known[w] for w in known.keys() & {w[:n] for w in words if len(w) > n})
+        begun = beginnings([w for w in words if w[: self.least] in self.heads])
+        total += sum(self.once[b] for b in self.once.keys() & begun.keys())
+        total += sum(self.twice[b] for b in self.twice.keys() & begun.keys() if begun[b] > 1)
         total += sum(w for name, w in self.pattern_weights.items() if PATTERNS[name].search(text))
         return float(1 / (1 + np.exp(-np.clip(total, -50, 50))))
 
@@ -212,8 +222,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
     return stored(texts_of(docs, id_col, text_col).where(F.col("text").isNotNull()).join(chosen, "doc_id"), "toxicity-sample")
 
 
-def induce(sample: DataFrame) -> list[str]:
-    """Features that speak for toxic, strongest first: in five toxic rows or more, four times as common there as in others, by four standard deviations."""
+def induce(sample: DataFrame, most: int = 4000) -> list[str]:
+    """Features that speak for toxic, surest first: in five toxic rows or more, ``CLEAR`` times as common there as in others, and sure by a likelihood ratio test, which also suits features of few texts."""
 
     def count(batches):
         found: Counter = Counter()
@@ -234,16 +244,24 @@ def induce(sample: DataFrame) -> list[str]:
     sums = sample.select("text", "toxic").mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(both[0].alias("pos"), both[1].alias("neg")).where("pos >= 5")
     n1, n0 = max(1, size.get(1, 0)), max(1, size.get(0, 0))
     r1, r0 = F.col("pos") / n1, F.col("neg") / n0
-    sums = sums.withColumn("sure", (r1 - r0) / F.sqrt(r1 * (1 - r1) / n1 + r0 * (1 - r0) / n0 + 1e-12)).where((r1 > 4 * r0) & (F.col("sure") > 4))
-    return [r.feature for r in sums.orderBy(F.desc("sure"), "feature").select("feature").collect()]
+    both_n = n1 + n0
+    share = (F.col("pos") + F.col("neg")) / both_n
+
+    def gain(seen: Column, n: int) -> Column:
+        rest = n - seen
+        return F.when(seen > 0, seen * F.log(seen / (n * share))).otherwise(0) + F.when(rest > 0, rest * F.log(rest / (n * (1 - share)))).otherwise(0)
+
+    sums = sums.withColumn("sure", 2 * (gain(F.col("pos"), n1) + gain(F.col("neg"), n0))).where((r1 > CLEAR * r0) & (F.col("sure") > SURE))
+    return [r.feature for r in sums.orderBy(F.desc("sure"), "feature").limit(most).select("feature").collect()]
 
 
 def voters_of(names: list[str], induced: list[str]) -> dict[str, list[int]]:
-    """The columns of each voter: seed words of a topic dealt into four lexicons, patterns, and induced features dealt into lexicons of about four."""
+    """The columns of each voter: seed words of a topic dealt into four lexicons, patterns, and induced features of each kind dealt into lexicons of about four."""
     place = {f: i for i, f in enumerate(names)}
     voters = {f"{topic} {k + 1}": [place[w] for w in words[k::4]] for topic, words in SEEDS.items() for k in range(4)}
     voters |= {name: [len(place) + k] for k, name in enumerate(PATTERNS)}
-    for kind, own in (("words", [f for f in induced if not f.endswith("*")]), ("beginnings", [f for f in induced if f.endswith("*")])):
+    for stars, kind in enumerate(("words", "beginnings", "repeated beginnings")):
+        own = [f for f in induced if len(f) - len(f.rstrip("*")) == stars]
         lexicons = min(16, -(-len(own) // 4))
         voters |= {f"induced {kind} {k + 1}": [place[f] for f in own[k::lexicons]] for k in range(lexicons)}
     return voters
