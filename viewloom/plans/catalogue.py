@@ -24,6 +24,7 @@ from viewloom.plans.engine import index, readers, state_of_log, views_of_log
 from viewloom.sinks.series import MemorySink, TableSink, exposition, page, snapshot_lines
 from viewloom.sources.objects import LOG, current, dry_run, in_order, log_from_json, lookup, read_log, ready_pods, samples, selected, stream_log
 from viewloom.sources.places import shared_folder, written
+from viewloom.streaming.admission import admitted_stream
 from viewloom.streaming.maintain import Maintainer, change_lines
 
 RULES = """
@@ -387,6 +388,21 @@ def update_admission(spark, d):
     return state.admitted(_events(spark, d).select("event_id", "user_id", "event_type"), ["user_id"], "event_id", "event_type")
 
 
+@_query("SELECT event_id, user_id, event_type, old AS old_event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS old FROM events) WHERE old IS NULL OR old <> event_type")
+def admission_stream(spark, d):
+    """The same as a stream of three micro-batches, the last one after a restart."""
+    events, place = _table(spark, d, "events").select("user_id", "event_id", "event_type"), f"{shared_folder(spark)}/viewloom/admission-{uuid.uuid4().hex}"
+    ends = [r[0] for r in events.select(F.expr("explode(percentile_approx(event_id, array(0.3, 0.6)))")).collect()]
+    parts = [events.where(F.col("event_id") <= ends[0]), events.where((F.col("event_id") > ends[0]) & (F.col("event_id") <= ends[1])), events.where(F.col("event_id") > ends[1])]
+    for k, part in enumerate(parts):
+        part.write.mode("append").parquet(f"{place}/log")
+        if k:  # the first two parts come in one run, the third after a restart
+            stream = spark.readStream.schema(events.schema).parquet(f"{place}/log")
+            found = admitted_stream(stream, ["user_id"], "event_id", "event_type")
+            found.writeStream.option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start(path=f"{place}/out", format="parquet").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{place}/out")
+
+
 @_query("SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS old_event_type FROM events")
 def old_new_pairs(spark, d):
     return state.versions(_events(spark, d).select("event_id", "user_id", "event_type"), ["user_id"], "event_id", ["event_type"])
