@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.functions.text import object_key
 from viewloom.operators.resolve import DEFAULT_HOPS, parent_uids, unresolved, walked
 
 
-def dependencies(state: DataFrame, kind: str, *, hops: int = DEFAULT_HOPS, only: DataFrame | None = None, chains: DataFrame | None = None) -> DataFrame:
+def dependencies(state: DataFrame, kind: str, *, hops: int = DEFAULT_HOPS, only: DataFrame | None = None, chains: DataFrame | None = None, payload: Column | None = None) -> DataFrame:
     """(anchor_key, anchor_kind, parent_uid, wanted): a row for each object an anchor depends on, and one for a parent not there yet.
 
-    ``chains`` are the owners' chains without texts, if they are there already.
+    ``chains`` are the owners' chains, if they are there already, and ``payload`` what they carry of each object.
     """
-    rows = walked(state, kind, hops=hops, payload=F.lit(True), only=only, chains=chains)
+    rows = walked(state, kind, hops=hops, payload=F.lit(True) if payload is None else payload, only=only, chains=chains)
     key = object_key(F.col("namespace"), F.col("name")).alias("anchor_key")
     known = rows.select(key, F.explode(parent_uids(rows)).alias("parent_uid")).withColumn("wanted", F.lit(None).cast("struct<kind:string,namespace:string,name:string>"))
     missing = rows.select(key, F.lit(None).cast("string").alias("parent_uid"), unresolved(rows).alias("wanted")).where("wanted is not null") if hops else None

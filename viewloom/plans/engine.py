@@ -70,14 +70,17 @@ def publish(config: Config, state: DataFrame, sink: SeriesSink, *, hops: int = D
         sink.write(config.metric(rule), found[config.metric(rule)])
 
 
-def index(config: Config, state: DataFrame, *, hops: int = DEFAULT_HOPS, only: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
-    """What the anchors of all rules, or those of ``only`` (anchor_kind, anchor_key), depend on."""
+def index(config: Config, state: DataFrame, *, hops: int = DEFAULT_HOPS, only: DataFrame | None = None, found: Views | None = None) -> DataFrame:
+    """What the anchors of all rules, or those of ``only`` (anchor_kind, anchor_key), depend on; ``found`` lends its owners' chains."""
     deepest = {k: max(hops_of(r, hops) for r in config.rules if r.anchor == k) for k in KINDS if any(r.anchor == k for r in config.rules)}
-    chains = owner_chains(state, hops=hops, payload=F.lit(True), keep=keep) if any(deepest.values()) else None
+    payload = F.lit(True) if found is None else texts_of(found.paths)
+    chains = None
+    if any(deepest.values()):
+        chains = owner_chains(state, hops=hops, payload=payload) if found is None else found.chains()
     parts = []
     for kind, most in deepest.items():
         own = None if only is None else only.where(F.col("anchor_kind") == kind).select("anchor_key")
-        parts.append(dependencies(state, kind, hops=most, only=own, chains=chains))
+        parts.append(dependencies(state, kind, hops=most, only=own, chains=chains, payload=payload))
     return union(parts)
 
 

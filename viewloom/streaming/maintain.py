@@ -116,7 +116,7 @@ class Maintainer:
         hit, asked, known = self._affected(version, touched)
         near = self._near(version, hit)
         views = Views(self.config, near, hops=self.hops, keep=self._kept)
-        self._reindex(version, hit, near)
+        self._reindex(version, hit, near, views)
         for metric, rule in views.rules.items():
             mine = hit.where(F.col("anchor_kind") == rule.anchor).select("anchor_key")
             self.tables[metric].put(version, self._kept(views.of(metric, mine)), mine)
@@ -154,9 +154,9 @@ class Maintainer:
             rows, seen = rows.unionByName(found), seen.unionByName(above)
         return rows
 
-    def _reindex(self, version: Version, hit: DataFrame, near: DataFrame) -> None:
+    def _reindex(self, version: Version, hit: DataFrame, near: DataFrame, views: Views) -> None:
         """Puts what affected anchors depend on now in place of what they did; the index takes just the differences."""
-        own = index(self.config, near, hops=self.hops, only=hit.select("anchor_kind", "anchor_key"), keep=self._kept)
+        own = index(self.config, near, hops=self.hops, only=hit.select("anchor_kind", "anchor_key"), found=views)
         parent = F.coalesce(F.concat(F.lit("u:"), "parent_uid"), F.concat(F.lit("k:"), F.to_json("wanted")))
         fresh = self._kept(own.join(hit, ["anchor_kind", "anchor_key"]).select(*_ANCHOR, parent.alias("parent")).distinct())
         old = self._kept(self.deps.at(version, hit))
