@@ -87,7 +87,7 @@ def marked(texts: DataFrame) -> DataFrame:
             own = five_words(text)
             names.append(set_name(own))
             sketches.append(np.array(wide_fingerprint(own), "<u8").tobytes() + len(own).to_bytes(4, "big"))
-            last = np.isin(own, often) if len(often) else np.zeros(len(own), bool)
+            last = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own if len(often) else np.zeros(len(own), bool)
             prefixes.append(np.concatenate((own[~last], own[last]))[: len(own) // 5 + 1].view(np.int64))
         return [ids, names, prefixes, sketches]
 
