@@ -27,38 +27,52 @@ def _terms(text: str) -> list[str]:
     return terms
 
 
-def label_selector(text: str, label: Callable[[str], Column]) -> Column:
-    """Whether labels fit; ``label`` gives the column of a label, null where there is none.
+def label_terms(text: str) -> list[tuple[str, str, list[str]]]:
+    """A label selector as (label, test, values), joined by AND; tests are in, notin, there and missing.
 
-    Terms are joined by AND. ``!=`` and ``notin`` hold where the label is missing, too.
+    ``!=`` and ``notin`` hold where the label is missing, too.
     """
-    fits = F.lit(True)
+    found = []
     for term in _terms(text):
         if m := _SET.match(term):
-            values = [v.strip() for v in m[3].split(",")]
-            one_of = F.coalesce(label(m[1]).isin(values), F.lit(False))
-            fits &= one_of if m[2] == "in" else ~one_of
+            found.append((m[1], m[2], [v.strip() for v in m[3].split(",")]))
         elif m := _EQUALS.match(term):
-            same = label(m[1]).eqNullSafe(F.lit(m[3]))
-            fits &= ~same if m[2] == "!=" else same
+            found.append((m[1], "notin" if m[2] == "!=" else "in", [m[3]]))
         elif m := _EXISTS.match(term):
-            fits &= label(m[2]).isNull() if m[1] else label(m[2]).isNotNull()
+            found.append((m[2], "missing" if m[1] else "there", []))
         else:
             raise ValueError(f"selector {text!r}: cannot read {term!r}")
-    return fits
+    return found
 
 
-def field_selector(text: str, kind: str, field: Callable[[str], Column]) -> Column:
-    """Whether fields fit; ``field`` gives the column of a field. Missing fields count as empty."""
+def label_selector(text: str, label: Callable[[str], Column]) -> Column:
+    """Whether labels fit; ``label`` gives the column of a label, null where there is none."""
     fits = F.lit(True)
+    for name, test, values in label_terms(text):
+        one_of = F.coalesce(label(name).isin(values), F.lit(False)) if values else label(name).isNotNull()
+        fits &= one_of if test in ("in", "there") else ~one_of
+    return fits
+
+
+def field_terms(text: str, kind: str) -> list[tuple[str, bool, str]]:
+    """A field selector as (path, whether equal or not, value), joined by AND."""
+    found = []
     for term in _terms(text):
         m = _EQUALS.match(term)
         if not m:
             raise ValueError(f"selector {text!r}: cannot read {term!r}")
         if m[1] not in FIELDS.get(kind, _OTHER_FIELDS):
             raise ValueError(f"selector {text!r}: {kind} cannot be selected by {m[1]!r}")
-        same = F.coalesce(field(m[1]), F.lit("")) == m[3]
-        fits &= ~same if m[2] == "!=" else same
+        found.append((m[1], m[2] != "!=", m[3]))
+    return found
+
+
+def field_selector(text: str, kind: str, field: Callable[[str], Column]) -> Column:
+    """Whether fields fit; ``field`` gives the column of a field. Missing fields count as empty."""
+    fits = F.lit(True)
+    for path, equal, value in field_terms(text, kind):
+        same = F.coalesce(field(path), F.lit("")) == value
+        fits &= same if equal else ~same
     return fits
 
 

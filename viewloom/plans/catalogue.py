@@ -20,10 +20,13 @@ from viewloom.model import KINDS, ConfigError, Watched, load, parse
 from viewloom.operators import incremental, measures, state
 from viewloom.operators.resolve import bound, controller, lookup_namespace, parent_uids, walked, with_parent
 from viewloom.operators.rules import evaluated
+from viewloom.operators.state import KEY
 from viewloom.plans.engine import index, readers, state_of_log, views_of_log
 from viewloom.sinks.series import MemorySink, TableSink, exposition, page, snapshot_lines
 from viewloom.sources.objects import LOG, current, dry_run, in_order, log_from_json, lookup, read_log, ready_pods, samples, selected, stream_log
-from viewloom.sources.places import shared_folder, written
+from viewloom.sources.places import Folder, shared_folder, written
+from viewloom.sources.served import serve_changes, serve_list, served, since_lists
+from viewloom.sources.served import watched as watched_stream
 from viewloom.streaming.admission import admitted_stream
 from viewloom.streaming.maintain import Maintainer, change_lines
 
@@ -657,7 +660,8 @@ def _people(spark: SparkSession, d: str) -> DataFrame:
     """A change log of users as Pods: an event is a new version, an error a delete that carries the last object."""
     events = _table(spark, d, "events")
     name = _named("user-", "user_id")
-    body = F.struct(F.struct(name.alias("name")).alias("metadata"), F.struct(F.array(F.struct(F.lit("c").alias("name"), F.col("event_type").alias("image"))).alias("containers")).alias("spec"), F.struct(F.when(F.col("event_id") % 2 == 0, "Running").otherwise("Pending").alias("phase")).alias("status"))
+    meta = F.struct(name.alias("name"), F.concat(F.lit("uid-"), name).alias("uid"), F.lit("shop").alias("namespace"), F.col("event_id").cast("string").alias("resourceVersion"))
+    body = F.struct(meta.alias("metadata"), F.struct(F.array(F.struct(F.lit("c").alias("name"), F.col("event_type").alias("image"))).alias("containers")).alias("spec"), F.struct(F.when(F.col("event_id") % 2 == 0, "Running").otherwise("Pending").alias("phase")).alias("status"))
     op = F.when(F.col("event_type") == "error", "DELETED").otherwise("MODIFIED")
     return events.select(F.lit("Pod").alias("kind"), F.lit("shop").alias("namespace"), name.alias("name"), F.concat(F.lit("uid-"), name).alias("uid"), F.col("event_id").cast("string").alias("rv"), op.alias("op"), F.col("event_id").cast("bigint").alias("seq"), F.to_json(body).alias("object"))
 
@@ -710,6 +714,46 @@ def upkeep_stream(spark, d):
     return keeper.series("info")
 
 
+def _listed(log: DataFrame, path: str, version: int) -> None:
+    """Serves the objects that stand at a version."""
+    serve_list(state.latest(log.where(F.col("seq") <= version), KEY, "seq").where("op <> 'DELETED'"), path, version)
+
+
+def _ends(log: DataFrame, *shares: float) -> list[int]:
+    """Versions that cut a log into parts, and its last one."""
+    row = log.agg(F.percentile_approx("seq", F.array(*map(F.lit, shares))).alias("ends"), F.max("seq").alias("last")).first()
+    return [*row.ends, row.last]
+
+
+@_query("SELECT 'user-' || user_id AS name, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error' AND event_id % 2 = 0")
+def list_then_watch(spark, d):
+    """Users as a list and the watches after it; the kind, the namespace and a selector are applied where files are read."""
+    log, path = written(_people(spark, d), "log"), _views_folder(spark)
+    a, b, last = _ends(log, 0.3, 0.6)
+    _listed(log.unionByName(log.withColumns({"kind": F.lit("Deployment")})), path, a)
+    for low, high in ((a + 1, b), (b + 1, last)):
+        serve_changes(log, path, low, high)
+    return current(since_lists(served(spark, path, parse(_STEPS)).where("kind = 'Pod' and namespace = 'shop'"))).select("name", "seq")
+
+
+@_query(_STEPS_SQL)
+def upkeep_after_gap(spark, d):
+    """A list and a watch, then changes that nobody saw: they have gone, and only a newer list and what follows it are served."""
+    log, folder = written(_people(spark, d), "log"), _views_folder(spark)
+    path = f"{folder}-served"
+    a, b, c, last = _ends(log, 0.3, 0.5, 0.8)
+    keeper = Maintainer(spark, parse(_STEPS), folder, buckets=8)
+    _listed(log, path, a)
+    serve_changes(log, path, a + 1, b)
+    keeper.follow(watched_stream(spark, path, keeper.config), f"{folder}-checkpoint").awaitTermination()
+    Folder(spark, path).delete("lists")
+    Folder(spark, path).delete("watches")
+    _listed(log, path, c)
+    serve_changes(log, path, c + 1, last)
+    keeper.follow(watched_stream(spark, path, keeper.config), f"{folder}-checkpoint").awaitTermination()
+    return keeper.series("info")
+
+
 _OWNED = """rules:
   - name: info
     anchor: Pod

@@ -32,6 +32,7 @@ from viewloom.plans.engine import Views, index
 from viewloom.sources.layers import Layers, Version, Versions
 from viewloom.sources.objects import selected
 from viewloom.sources.places import Folder
+from viewloom.sources.served import LISTED, UNREADABLE, gone, since_lists, unreadable
 
 _STATE = "kind string, namespace string, name string, uid string, rv string, op string, seq bigint, tie bigint, digest bigint, object variant, parent_kind string, parent_ns string, parent_name string"
 #: What an anchor depends on, by anchor and by parent. A parent is ``u:`` and a uid, or ``k:`` and the key of one that was missed.
@@ -89,13 +90,33 @@ class Maintainer:
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def apply(self, log: DataFrame) -> bool:
-        """One batch of changes (columns of LOG); False if it brings nothing newer. Applied twice, it changes nothing."""
+        """One batch of changes (columns of LOG, or what ``served`` or ``watched`` give); False if it brings nothing newer. Applied twice, it changes nothing.
+
+        A list in the batch deletes what the state holds of its scope and the list lacks; this reads the whole state once.
+        Lines that could not be read are set aside (``dead``), and hold nothing up.
+        """
         self._place = f"batch-{uuid.uuid4().hex}"
         try:
-            return self.versions.commit(lambda version: self._fill(version, log))
+            if "listed" not in log.columns:
+                return self.versions.commit(lambda version: self._fill(version, log))
+            rows = self._kept(log, "served")
+            ops = {r.op for r in rows.where(F.col("op").isin(LISTED, UNREADABLE)).select("op").distinct().collect()}
+            if UNREADABLE in ops:
+                unreadable(rows).write.parquet(self.folder.path(f"dead/{uuid.uuid4().hex}"))
+            changes = since_lists(rows)
+            return self.versions.commit(lambda version: self._fill(version, changes.unionByName(self._gone(version, rows)) if LISTED in ops else changes))
         finally:
             self.folder.delete(self._place)
 
+    def _gone(self, version: Version, rows: DataFrame) -> DataFrame:
+        return gone(rows, self.state.read(version).where(~F.col("op").eqNullSafe("DELETED")).select(*KEY, "uid", "seq"))
+
+    def dead(self) -> DataFrame:
+        """(kind, namespace, line): lines that could not be read, each once."""
+        names = self.folder.names("dead")
+        schema = "kind string, namespace string, line string"
+        return self.spark.read.schema(schema).parquet(*(self.folder.path(f"dead/{n}") for n in names)).distinct() if names else self.spark.createDataFrame([], schema)
+
     def _fill(self, version: Version, log: DataFrame) -> bool:
         plain = log.withColumns({c: F.coalesce(c, F.lit("")) for c in ("namespace", "name")}).where(F.col("kind").isin(*sorted(self.config.watched_kinds())))
         last = latest(with_parent(plain).withColumn("tie", F.xxhash64(*TIE)), KEY, "seq", "rv", TIE)
