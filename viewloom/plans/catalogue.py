@@ -22,6 +22,7 @@ from viewloom.operators.resolve import bound, controller, lookup_namespace, pare
 from viewloom.operators.rules import evaluated
 from viewloom.operators.state import KEY
 from viewloom.plans.engine import index, readers, state_of_log, views_of_log
+from viewloom.sinks.pages import Pages, read_page, write_pages
 from viewloom.sinks.series import MemorySink, TableSink, exposition, page, snapshot_lines
 from viewloom.sources.objects import LOG, current, dry_run, in_order, log_from_json, lookup, read_log, ready_pods, samples, selected, stream_log
 from viewloom.sources.places import Folder, shared_folder, written
@@ -809,6 +810,20 @@ def exposition_page(spark, d):
     return page(_table(spark, d, "nation").select(F.col("n_name").alias("name")), "shop_nation", ["name"], "Nations.")
 
 
+@_query("""SELECT 'orders' AS metric, 'orders{customer="' || o_custkey || '",status="' || o_orderstatus || '"} 1' AS line FROM orders GROUP BY o_custkey, o_orderstatus
+UNION ALL SELECT 'customers', 'customers{name="' || c_name || '"} 1' FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT '', '3 ' || ((SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)) + (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0))""")
+def page_set(spark, d):
+    """Pages that many tasks write, each published by one commit; the second takes the place of the first."""
+    path, metrics = _views_folder(spark), [("orders", "Orders."), ("customers", "Customers."), ("none", "Nothing.")]
+    orders = _table(spark, d, "orders").select(F.lit("orders").alias("metric"), metric_line("orders", {"customer": F.col("o_custkey").cast("string"), "status": F.col("o_orderstatus")}).alias("line"))
+    customers = _table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.lit("customers").alias("metric"), metric_line("customers", {"name": F.col("c_name")}).alias("line"))
+    write_pages(orders, path, metrics)
+    write_pages(orders.unionByName(customers), path, metrics)
+    last = Pages(path).page()
+    told = spark.createDataFrame([("", f"{len(last)} {sum(own['lines'] for own in last)}")], "metric string, line string")
+    return read_page(spark, path).unionByName(told)
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Metrics text of nations and regions, with comments and blank lines."""
     nation = _table(spark, d, "nation").select(F.concat(metric_line("nations", {"name": F.col("n_name"), "region": F.col("n_regionkey").cast("string")}), F.col("n_nationkey").cast("string")).alias("value"))
