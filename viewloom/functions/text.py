@@ -57,7 +57,7 @@ def escaped(value: Column) -> Column:
     return F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit('"'), F.lit('\\"'))
 
 
-def metric_line(metric: str, labels: dict[str, Column]) -> Column:
-    """A sample of constant 1 in metrics text."""
+def metric_line(metric: str, labels: dict[str, Column], value: Column | None = None) -> Column:
+    """A sample in metrics text, of constant 1 if no text of a value is given."""
     pairs = [F.concat(F.lit(n + '="'), escaped(labels[n]), F.lit('"')) for n in sorted(labels)]
-    return F.concat(F.lit(metric + "{"), F.concat_ws(",", *pairs), F.lit("} 1"))
+    return F.concat(F.lit(metric + "{"), F.concat_ws(",", *pairs), F.lit("} 1") if value is None else F.concat(F.lit("} "), value))

@@ -24,6 +24,7 @@ from viewloom.operators.state import KEY
 from viewloom.plans.engine import index, readers, state_of_log, views_of_log
 from viewloom.sinks.pages import Pages, read_page, write_pages
 from viewloom.sinks.series import MemorySink, TableSink, exposition, page, snapshot_lines
+from viewloom.sources.families import families, histogram_lines, histograms, text_lines
 from viewloom.sources.objects import LOG, current, dry_run, in_order, log_from_json, lookup, read_log, ready_pods, samples, selected, stream_log
 from viewloom.sources.places import Folder, shared_folder, written
 from viewloom.sources.served import serve_changes, serve_list, served, since_lists
@@ -824,6 +825,20 @@ def page_set(spark, d):
     return read_page(spark, path).unionByName(told)
 
 
+@_query("""SELECT 'quantity' AS family, CAST(l_partkey AS VARCHAR) AS part, bound, CAST(count(*) FILTER (WHERE l_quantity <= bound) AS DOUBLE) AS n, CAST(sum(l_quantity) AS DOUBLE) AS sum, CAST(count(*) AS DOUBLE) AS count
+FROM lineitem, (VALUES (5::DOUBLE), (10::DOUBLE), (25::DOUBLE), ('Infinity'::DOUBLE)) b(bound) GROUP BY l_partkey, bound""")
+def metric_families(spark, d):
+    """Quantities of each part as a histogram, written as pages of metrics text and read again."""
+    items, path = _table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_quantity").cast("double").alias("quantity")), _views_folder(spark)
+    lines = histogram_lines(measures.histogram(items, ["part"], "quantity", (5, 10, 25)), measures.totals(items, ["part"], "quantity"), "quantity", ["part"])
+    page = F.pmod(F.col("part"), F.lit(5))
+    top = spark.range(5).select(F.col("id").cast("int").alias("page"), F.explode(F.array(F.lit("# HELP quantity Of items."), F.lit("# TYPE quantity histogram"))).alias("line"), F.lit(0).alias("at"))
+    pages = top.unionByName(lines.select(page.cast("int").alias("page"), "line", F.lit(1).alias("at")))
+    pages.repartition("page").sortWithinPartitions("page", "at", "line").select(F.col("line").alias("value")).write.text(path)
+    found = histograms(families(text_lines(spark, path))).where("whole")
+    return found.select("family", F.col("labels")["part"].alias("part"), F.inline("cells"), "sum", "count").select("family", "part", F.col("at").alias("bound"), "n", "sum", "count")
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Metrics text of nations and regions, with comments and blank lines."""
     nation = _table(spark, d, "nation").select(F.concat(metric_line("nations", {"name": F.col("n_name"), "region": F.col("n_regionkey").cast("string")}), F.col("n_nationkey").cast("string")).alias("value"))

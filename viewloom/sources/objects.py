@@ -77,10 +77,11 @@ _SAMPLE = r'^([A-Za-z_:][A-Za-z0-9_:]*)(?:\s*\{((?:\s*[A-Za-z_][A-Za-z0-9_]*\s*=
 _LABEL = r'([A-Za-z_][A-Za-z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
 
 
-def samples(lines: DataFrame, column: str = "value") -> DataFrame:
+def samples(lines: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
     """(metric, labels, value, time) of the sample lines of metrics text, escapes in label values read; ``time`` is null where the line has none.
 
     Comments, blank lines and null ones are left out, and so is what is no sample. Of a label that stands twice the last one counts.
+    Columns in ``keep`` stay.
     """
     line = F.trim(F.col(column), F.lit(" \t\r"))
     rows = lines.where((line != "") & ~line.startswith("#") & line.rlike(_SAMPLE))
@@ -96,7 +97,7 @@ def samples(lines: DataFrame, column: str = "value") -> DataFrame:
     value = F.regexp_extract(line, _SAMPLE, 3)
     number = F.when(F.lower(value).isin("+inf", "inf"), F.lit(float("inf"))).when(F.lower(value) == "-inf", F.lit(float("-inf"))).when(F.lower(value) == "nan", F.lit(float("nan"))).otherwise(value.try_cast("double"))
     labels = F.map_from_entries(F.transform(last, lambda p: F.struct(p["name"], p["text"])))
-    return rows.select(F.regexp_extract(line, _SAMPLE, 1).alias("metric"), labels.alias("labels"), number.alias("value"), F.regexp_extract(line, _SAMPLE, 4).try_cast("bigint").alias("time"))
+    return rows.select(*(keep or []), F.regexp_extract(line, _SAMPLE, 1).alias("metric"), labels.alias("labels"), number.alias("value"), F.regexp_extract(line, _SAMPLE, 4).try_cast("bigint").alias("time"))
 
 
 def ready(value: Column) -> Column:
