@@ -12,7 +12,7 @@ from viewloom.functions.selectors import field_selector, label_selector
 from viewloom.model import parse
 from viewloom.sources import served as source
 from viewloom.sources.objects import current
-from viewloom.sources.served import reach, served, since_lists, unreadable, watched
+from viewloom.sources.served import reach, served, since_lists, unreadable, watched, with_last_list
 from viewloom.streaming.maintain import Maintainer
 
 RULES = """
@@ -149,3 +149,17 @@ def test_a_gap_makes_a_stream_list_anew(spark, tmp_path, seed):
         keeper.follow(watched(spark, root, config), f"{tmp_path}/checkpoint").awaitTermination()
         want = {(b["metadata"]["name"], b["status"]["phase"]) for b in now.values() if b["metadata"]["labels"]["tier"] in "ab" and b["status"]["phase"] != "Gone"}
         assert {(r.pod, r.phase) for r in keeper.series("info").collect()} == want
+
+
+def test_lists_are_joined_without_moving_rows(spark):
+    """Scopes with and without a namespace, the last list of each; rows of one kind are not brought to one task."""
+    lists = spark.createDataFrame([("Pod", None, 3), ("Pod", "s", 5), ("Node", "", 2)], "kind string, namespace string, last long")
+    rows = spark.createDataFrame([("Pod", "s"), ("Pod", "t"), ("Pod", None), ("Node", ""), ("Node", None), ("Job", "s")], "kind string, namespace string")
+    got = with_last_list(rows, lists)
+    assert {tuple(r) for r in got.collect()} == {("Pod", "s", 5), ("Pod", "t", 3), ("Pod", None, 3), ("Node", "", 2), ("Node", None, None), ("Job", "s", None)}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a data source in Python has no statistics
+    try:
+        assert "SortMergeJoin" not in with_last_list(rows, lists)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

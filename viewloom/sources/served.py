@@ -313,10 +313,11 @@ def marks(rows: DataFrame) -> DataFrame:
 
 
 def with_last_list(rows: DataFrame, lists: DataFrame, column: str = "__last") -> DataFrame:
-    """``rows`` with the last list of ``marks`` that covers them, null where none does."""
-    whole = lists.where("namespace is null").select("kind", F.col("last").alias("__whole"))
-    own = lists.where("namespace is not null").withColumnRenamed("last", "__own")
-    return rows.join(whole, "kind", "left").join(own, ["kind", "namespace"], "left").withColumn(column, F.greatest("__whole", "__own")).drop("__whole", "__own")
+    """``rows`` with the last list of ``marks`` that covers them, null where none does. Rows stay where they are: by kind, one task would get all."""
+    own = F.map_from_entries(F.collect_list(F.when(F.col("namespace").isNotNull(), F.struct("namespace", "last"))))
+    scopes = lists.groupBy("kind").agg(F.max(F.when(F.col("namespace").isNull(), F.col("last"))).alias("__whole"), own.alias("__own"))
+    found = rows.join(F.broadcast(scopes), "kind", "left")
+    return found.withColumn(column, F.greatest("__whole", F.try_element_at("__own", F.col("namespace")))).drop("__whole", "__own")
 
 
 def since_lists(rows: DataFrame) -> DataFrame:
