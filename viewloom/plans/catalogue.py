@@ -337,7 +337,7 @@ def controller_ref_choice(spark, d):
 
 @_query("SELECT 'order-' || o_orderkey AS pod, 'uid-customer-' || o_custkey || ',uid-order-' || o_orderkey || ',uid-' || n_name AS uids FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def parent_uid_sets(spark, d):
-    rows = _walk(spark, d)
+    rows = walked(state_of_log(shop_log(spark, d)), "Pod", payload=F.lit(True))  # uids are all that is read
     uids = F.array_sort(parent_uids(rows), lambda a, b: F.when(a.startswith("uid-customer"), -1).when(b.startswith("uid-customer"), 1).when(a.startswith("uid-order"), -1).when(b.startswith("uid-order"), 1).otherwise(0))
     return rows.select(F.col("name").alias("pod"), F.array_join(uids, ",").alias("uids"))
 
