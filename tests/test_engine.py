@@ -293,3 +293,13 @@ def test_stream(spark, tmp_path):
     pod = lambda image, phase: thing("Pod", "p", spec={"containers": [{"name": "c", "image": image}]}, status={"phase": phase})
     lines = change_lines(log_of(spark, [(pod("x", "Run"), "ADDED", 1, 7), (pod("x", "Run"), "MODIFIED", 2, 7), (pod("y", "Run"), "MODIFIED", 3, 8)])).collect()
     assert {(r.seq, r.old, r.new) for r in lines} == {(1, None, "c:x Run 7"), (3, "c:x Run 7", "c:y Run 8")}
+
+
+def test_a_first_batch_keeps_objects_once(spark, tmp_path, monkeypatch):
+    """If no key is known yet, all rows are new, and they are not written once more to say so."""
+    kept, plain = [], Maintainer._kept
+    monkeypatch.setattr(Maintainer, "_kept", lambda self, rows, label="rows": kept.append(rows.columns) or plain(self, rows, label))
+    keeper = Maintainer(spark, parse(RULES), str(tmp_path / "views"), buckets=1)
+    assert keeper.apply(log_of(spark, [(thing("Pod", "a", status={"phase": "Go"}), "ADDED", 1)]))
+    assert not any("same" in columns for columns in kept)
+    assert keeper.series("info").first().phase == "Go"

@@ -123,11 +123,14 @@ class Maintainer:
         last = last.withColumns({"digest": F.xxhash64("object"), "object": F.when(~F.col("op").eqNullSafe("DELETED"), F.try_parse_json("object"))})
         last = self._kept(last.select(*(c.split()[0] for c in _STATE.split(", "))))
         prior = self._kept(self.state.at(version, last.select(*(v.alias(c) for c, v in self.state.by.items()))).join(last.select(*KEY), KEY, "left_semi"))
-        before = prior.select(*KEY, F.struct(order_of([], "seq", "rv", F.col("tie")).alias("at"), "op", "rv", "digest").alias("old"))
-        newer = last.join(before, KEY, "left").where(F.col("old").isNull() | (order_of([], "seq", "rv", F.col("tie")) > F.col("old.at")))
-        # a new version of the same content is taken into the state, but asks for no work
-        same = F.col("old.rv").eqNullSafe(F.col("rv")) & (F.col("digest") == F.col("old.digest")) & ~F.col("op").eqNullSafe("DELETED") & ~F.col("old.op").eqNullSafe("DELETED")
-        new = self._kept(newer.withColumn("same", F.coalesce(same, F.lit(False)) & F.col("old").isNotNull()).drop("old"))
+        if prior.isEmpty():  # all keys are new, as in a first batch: whole objects are neither joined nor written once more
+            new = last.withColumn("same", F.lit(False))
+        else:
+            before = prior.select(*KEY, F.struct(order_of([], "seq", "rv", F.col("tie")).alias("at"), "op", "rv", "digest").alias("old"))
+            newer = last.join(before, KEY, "left").where(F.col("old").isNull() | (order_of([], "seq", "rv", F.col("tie")) > F.col("old.at")))
+            # a new version of the same content is taken into the state, but asks for no work
+            same = F.col("old.rv").eqNullSafe(F.col("rv")) & (F.col("digest") == F.col("old.digest")) & ~F.col("op").eqNullSafe("DELETED") & ~F.col("old.op").eqNullSafe("DELETED")
+            new = self._kept(newer.withColumn("same", F.coalesce(same, F.lit(False)) & F.col("old").isNotNull()).drop("old"))
         if new.isEmpty():
             return False
         work = new.where(~F.col("same") & F.col("kind").isin(*self.moving_kinds()))
