@@ -10,7 +10,7 @@ from viewloom.functions.selectors import field_selector, label_selector
 from viewloom.model import parse
 from viewloom.operators.resolve import bound, unresolved, walked
 from viewloom.operators.rules import evaluated
-from viewloom.plans.engine import publish, views
+from viewloom.plans.engine import publish, view_of_log, views, views_of_log
 from viewloom.sinks.series import MemorySink, TableSink, exposition, header
 from viewloom.sources.objects import LOG, current, dry_run, log_from_json, ready, samples
 from viewloom.streaming.admission import admitted_stream
@@ -83,6 +83,18 @@ def test_labels_items_and_duplicates(spark):
     assert found(views(whole, state)["r"]) == {("s/a", "x"), ("s/b", "")}
 
 
+def test_a_view_alone(spark, monkeypatch):
+    """A rule without owners is a plan over objects of its kind, with nothing written, and finds the items of an anchor once."""
+    pods = [thing("Pod", n, ("ReplicaSet", "rs", True), ns=ns, spec={"containers": c}) for n, ns, c in (("a", "s", [{"name": "x"}, {"name": "x"}, None, {"name": "y"}]), ("b", "s", []), ("c", "s", {"k": {"name": "z"}}), ("a", "", [{"name": 1.5}]))]
+    log = log_of(spark, [(o, "ADDED", 1) for o in [*pods, thing("ReplicaSet", "rs")]])
+    want = {m: found(views_of_log(parse(RULES), log)[m]) for m in ("info", "box")}
+    assert found(view_of_log(parse(RULES), log, "info")) == want["info"]
+    monkeypatch.setattr("viewloom.plans.engine.written", None)
+    box = view_of_log(parse(RULES), log, "box")
+    assert found(box) == want["box"] and len(want["box"]) == 5
+    assert box._jdf.queryExecution().optimizedPlan().toString().count("ArrayType(VariantType") == 1
+
+
 def test_latest_before_selector(spark):
     pod = lambda phase: thing("Pod", "a", status={"phase": phase})
     log = log_of(spark, [(pod("Running"), "ADDED", 1), (pod("Gone"), "MODIFIED", 2)])

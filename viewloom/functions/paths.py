@@ -80,30 +80,43 @@ def _quoted(step: Step) -> str:
     return f"[{mark}{step.name}{mark}]"
 
 
+def _place(steps: list[Step]) -> str:
+    return "$" + "".join(map(_quoted, steps))
+
+
+def _none(steps: list[Step]) -> bool:
+    """Whether steps lead nowhere, since an index is negative."""
+    return any(isinstance(s, Index) and s.at < 0 for s in steps)
+
+
 def _fixed(values: Column, steps: list[Step]) -> Column:
     """Matches of steps without a wildcard, in one lookup."""
-    if any(isinstance(s, Index) and s.at < 0 for s in steps):
+    if _none(steps):
         return F.slice(values, 1, 0)
-    place = "$" + "".join(map(_quoted, steps))
+    place = _place(steps)
     found = F.transform(values, lambda v: F.try_variant_get(v, place, "variant"))
     last_is_field = isinstance(steps[-1], Field)
     return F.filter(found, lambda v: v.isNotNull() & ~F.is_variant_null(v) if last_is_field else v.isNotNull())
 
 
-def _all(values: Column) -> Column:
-    """Elements of arrays in order, and values of objects in the order of their keys."""
+def _below(value: Column, place: str = "$") -> Column:
+    """What stands in the array or object at a place: elements in order, or values in the order of their keys."""
+    entries = F.try_variant_get(value, place, "map<string,variant>")
+    in_order = F.transform(F.array_sort(F.map_keys(entries)), lambda k: F.element_at(entries, k))
+    return F.coalesce(F.try_variant_get(value, place, "array<variant>"), in_order, F.array().cast("array<variant>"))
 
-    def of(v: Column) -> Column:
-        entries = F.try_variant_get(v, "$", "map<string,variant>")
-        in_order = F.transform(F.array_sort(F.map_keys(entries)), lambda k: F.element_at(entries, k))
-        return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), in_order, F.array().cast("array<variant>"))
 
-    return F.flatten(F.transform(values, of))
+def _all(values: Column) -> Column:
+    """Elements of arrays in order, and values of objects in the order of their keys."""
+    return F.flatten(F.transform(values, lambda v: _below(v)))
 
 
 def matches(value: Column, steps: list[Step]) -> Column:
     """All matches of a path in a VARIANT column, as an array of VARIANT; null if the value is null."""
     found, run = F.when(value.isNotNull(), F.array(value)), []
+    first = next((k for k, s in enumerate(steps) if isinstance(s, Wildcard)), None)
+    if first is not None and not _none(steps[:first]):  # up to the first wildcard there is one value at most: one lookup finds it
+        found, steps = F.when(value.isNotNull(), _below(value, _place(steps[:first]))), steps[first + 1 :]
     for step in steps:
         if isinstance(step, Wildcard):
             found, run = _all(_fixed(found, run) if run else found), []
@@ -128,12 +141,13 @@ def item_matches(item: Column, steps: list[Step]) -> Column:
 def text_of(value: Column) -> Column:
     """A scalar's text; objects and arrays are JSON text; null is null."""
 
-    def text(plain: Column) -> Column:
-        # only what begins like a number can be one, and only those that have a fraction are written otherwise
-        number = F.substring(plain, 1, 1).between("-", "9") & F.schema_of_variant(value).rlike("^(DOUBLE|FLOAT|DECIMAL)")
-        return F.when(number, number_text(F.try_variant_get(value, "$", "double"))).otherwise(plain)
+    return let(F.try_variant_get(value, "$", "string"), lambda plain: _written(plain, value, F.try_variant_get(value, "$", "double")))
+
 
-    return let(F.try_variant_get(value, "$", "string"), text)
+def _written(plain: Column, value: Column, number: Column) -> Column:
+    """The text of a value. Only what begins like a number can be one, and only those that have a fraction are written otherwise."""
+    fraction = F.substring(plain, 1, 1).between("-", "9") & F.schema_of_variant(value).rlike("^(DOUBLE|FLOAT|DECIMAL)")
+    return F.when(fraction, number_text(number)).otherwise(plain)
 
 
 def first_text(found: Column) -> Column:
@@ -145,9 +159,11 @@ def first_at(value: Column, steps: list[Step]) -> Column:
     """The first non-empty text of a path. Without a wildcard there is at most one match, which one lookup finds."""
     if any(isinstance(s, Wildcard) for s in steps):
         return first_text(matches(value, steps))
-    if any(isinstance(s, Index) and s.at < 0 for s in steps):
+    if _none(steps):
         return F.lit(None).cast("string")
-    return let(F.try_variant_get(value, "$" + "".join(map(_quoted, steps)), "variant"), text_of)
+    # no ``let``: generated code computes the plain text once, and the lookups of numbers only where it begins like one
+    plain, found, number = (F.try_variant_get(value, _place(steps), t) for t in ("string", "variant", "double"))
+    return _written(plain, found, number)
 
 
 def first_in_item(item: Column, steps: list[Step]) -> Column:

@@ -52,7 +52,8 @@ def evaluated(rule: Rule, state: DataFrame, *, hops: int = DEFAULT_HOPS, only: D
     used = sorted({rule.resolved(e.source) for n in rule.label_names() for e in rule.labels[n].every()} - {"item"})
     rows = rows.select(object_key(F.col("namespace"), F.col("name")).alias("anchor_key"), *items, *(sources[s].alias(f"__{s}") for s in used))
     if rule.for_each:
-        rows = rows.withColumn("__item", F.explode("__items"))
+        # an outer explode, since a plain one adds a filter on the array, which would find its matches three times over
+        rows = rows.select("*", F.posexplode_outer("__items").alias("__at", "__item")).where("__at is not null").drop("__at", "__items")
 
     def text(extract: Extract) -> Column:
         source = rule.resolved(extract.source)

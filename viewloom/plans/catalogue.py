@@ -21,7 +21,7 @@ from viewloom.operators import incremental, measures, state
 from viewloom.operators.resolve import bound, controller, lookup_namespace, parent_uids, walked, with_parent
 from viewloom.operators.rules import evaluated
 from viewloom.operators.state import KEY
-from viewloom.plans.engine import index, readers, state_of_log, views_of_log
+from viewloom.plans.engine import index, readers, state_of_log, view_of_log, views_of_log
 from viewloom.sinks.pages import Pages, read_page, write_pages
 from viewloom.sinks.series import MemorySink, TableSink, exposition, page, snapshot_lines
 from viewloom.sources.families import families, histogram_lines, histograms, text_lines
@@ -262,7 +262,7 @@ def foreach_explode(spark, d):
 
 @_query("SELECT o_orderkey, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT o_orderkey, l_linenumber, l_returnflag, l_linestatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY 1")
 def foreach_empty_dropped(spark, d):
-    rows = views_of_log(parse(RULES), shop_log(spark, d))["shop_container"]
+    rows = view_of_log(parse(RULES), shop_log(spark, d), "shop_container")
     return rows.groupBy(F.replace("pod", F.lit("order-"), F.lit("")).cast("bigint").alias("o_orderkey")).agg(F.count("*").alias("n"))
 
 

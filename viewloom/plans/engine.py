@@ -62,6 +62,14 @@ def views_of_log(config: Config, log: DataFrame, *, hops: int = DEFAULT_HOPS) ->
     return views(config, state_of_log(log, config), hops=hops)
 
 
+def view_of_log(config: Config, log: DataFrame, metric: str, *, hops: int = DEFAULT_HOPS) -> DataFrame:
+    """The rows of one metric alone. A rule that walks to no owner reads objects of its anchor's kind only, once, so no state is written."""
+    rule = next(r for r in config.rules if config.metric(r) == metric)
+    if hops_of(rule, hops):
+        return views_of_log(config, log, hops=hops)[metric]
+    return views(config, current(log.where(F.col("kind") == rule.anchor), config), hops=hops)[metric]
+
+
 def publish(config: Config, state: DataFrame, sink: SeriesSink, *, hops: int = DEFAULT_HOPS) -> None:
     """Registers each metric and writes its series."""
     found = views(config, state, hops=hops)

@@ -61,7 +61,7 @@ def current(log: DataFrame, config: Config | None = None) -> DataFrame:
     """
     kinds = sorted(config.watched_kinds()) if config else None
     rows = log.where(F.col("kind").isin(*kinds)) if kinds else log
-    last = latest(with_parent(rows), KEY, "seq", "rv", TIE).where("op is null or op <> 'DELETED'").withColumn("object", F.try_parse_json("object")).drop("op")
+    last = with_parent(latest(rows, KEY, "seq", "rv", TIE).where("op is null or op <> 'DELETED'")).withColumn("object", F.try_parse_json("object")).drop("op")
     return selected(last, *config.watched()) if config else last
 
 
