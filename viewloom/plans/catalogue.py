@@ -126,7 +126,7 @@ def shop_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _view(metric: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: views_of_log(parse(RULES), shop_log(spark, sf_dir))[metric]
+    return lambda spark, sf_dir: view_of_log(parse(RULES), shop_log(spark, sf_dir), metric)
 
 
 def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
