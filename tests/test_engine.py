@@ -13,7 +13,7 @@ from viewloom.operators.rules import evaluated
 from viewloom.plans.engine import publish, view_of_log, views, views_of_log
 from viewloom.sinks.series import MemorySink, TableSink, exposition, header
 from viewloom.sources.objects import LOG, current, dry_run, log_from_json, ready, samples
-from viewloom.streaming.admission import admitted_stream
+from viewloom.streaming.admission import _frames, admitted_stream
 from viewloom.streaming.maintain import Maintainer, change_lines
 
 RULES = """
@@ -220,6 +220,13 @@ def test_admission_of_a_stream(spark, tmp_path):
         admitted_stream(spark.createDataFrame([], schema), ["name"], "rv", "seq")
 
 
+def test_frames_of_a_key():
+    """A key without news has no frame; places stay whole numbers beside unknown ones, whatever their size."""
+    assert not list(_frames([], ["k", "seq", "rv"]))
+    (frame,) = _frames([("a", None, None), ("a", 2**53 + 1, "x")], ["k", "seq", "rv"])
+    assert frame.values.tolist() == [["a", None, None], ["a", 2**53 + 1, "x"]]
+
+
 def test_tables_outlive_their_sink(spark, tmp_path):
     rows = spark.createDataFrame([("a", "1"), ("b", "2")], "anchor_key string, x string")
     for k in range(4):

@@ -11,6 +11,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructField, StructType
 
 
+def _frames(rows: list[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as one frame of plain objects, none if there are no rows: changing its types and masks would take most of a key's time."""
+    if rows:
+        yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+
 def admitted_stream(log: DataFrame, keys: list[str], seq: str, version: str) -> DataFrame:
     """(keys, seq, version, old_<version>): rows of a stream that change something, as ``operators.state.admitted`` has them.
 
@@ -31,16 +37,15 @@ def admitted_stream(log: DataFrame, keys: list[str], seq: str, version: str) ->
         first = not state.exists
         batch = [(s, v) for part in parts for s, v in zip(part[seq].tolist(), part[version].tolist(), strict=True)]
         batch = [(None if pd.isna(s) else int(s), None if v is None or v != v else v) for s, v in batch]
-        found = []
+        found, own = [], tuple(None if k is None or k != k else k for k in key)
         for place, now in sorted(batch, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
             if last is not None and (place is None or place <= last):
                 continue
             if first or now is None or old is None or now != old:
-                found.append((*key, place, now, old))
+                found.append((*own, place, now, old))
             first, old = False, now
             last = place if place is not None else last
         state.update((last, old))
-        frame = pd.DataFrame(found, columns=columns).astype({seq: "Int64"}).astype(object)
-        yield frame.where(frame.notna(), None)
+        yield from _frames(found, columns)
 
     return rows.groupBy(*keys).applyInPandasWithState(news, out, "last bigint, old string", "append", GroupStateTimeout.NoTimeout)
