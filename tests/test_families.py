@@ -87,3 +87,8 @@ def test_a_histogram_comes_back(spark, tmp_path):
     assert {(r.who, r.at, r.n) for r in got.select(F.col("labels")["who"].alias("who"), F.inline("cells")).collect()} == {(r.who, math.inf if r.le == "+Inf" else float(r.le), r.n) for r in cells.collect()}
     assert {(r.labels["who"], r["sum"], r["count"]) for r in got.collect()} == {(r.who, r.total, r.n) for r in sums.collect()}
     assert families(text_lines(spark, str(tmp_path)).limit(0)).count() == 0
+
+
+def test_files_are_cut_into_blocks_once(spark, tmp_path):
+    (tmp_path / "a.txt").write_text(TEXT)
+    assert "FileScan text" not in families(text_lines(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from viewloom.functions.text import metric_line, number_text
 from viewloom.sources.objects import samples
+from viewloom.sources.places import written
 
 _TYPE = r"^#[ \t]+TYPE[ \t]+([A-Za-z_:][A-Za-z0-9_:]*)[ \t]+([a-z]+)$"
 #: Endings of the samples of a family, by its type (fixed values of the metrics format).
@@ -28,7 +29,8 @@ def typed(lines: DataFrame) -> DataFrame:
     """Rows of ``text_lines`` that are no TYPE lines, with the last TYPE line before them in the file: ``type_of`` (name, type), null before any."""
     line = F.trim(F.col("value"), F.lit(" \t\r"))
     name = F.regexp_extract(line, _TYPE, 1)
-    marked = lines.where((line != "") & (~line.startswith("#") | line.rlike(_TYPE))).withColumn("mark", F.when(name != "", F.struct(name.alias("name"), F.regexp_extract(line, _TYPE, 2).alias("type"))))
+    kept = lines.where((line != "") & (~line.startswith("#") | line.rlike(_TYPE))).withColumn("mark", F.when(name != "", F.struct(name.alias("name"), F.regexp_extract(line, _TYPE, 2).alias("type"))))
+    marked = written(kept, "lines")  # read once: blocks that two scans of the files cut differently would not fit together
     ends = marked.groupBy(*_BLOCK).agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("at"))).alias("end"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*_BLOCK, F.last("end", True).over(before).alias("carried"))
