@@ -322,3 +322,20 @@ def test_a_first_batch_keeps_objects_once(spark, tmp_path, monkeypatch):
     assert keeper.apply(log_of(spark, [(thing("Pod", "a", status={"phase": "Go"}), "ADDED", 1)]))
     assert not any("same" in columns for columns in kept)
     assert keeper.series("info").first().phase == "Go"
+
+
+def test_a_batch_writes_no_object_but_its_own(spark, tmp_path, monkeypatch):
+    """A first batch keeps no table of whole objects beside the state; a later one those of its own rows, and texts of what it looks up."""
+    config = parse("rules: [{name: r, anchor: Pod, labels: {note: {source: ownerController, path: 'metadata.annotations.n'}}}]")
+    owner = lambda note: (thing("ReplicaSet", "o", meta={"annotations": {"n": note}}), "ADDED", len(note))
+    kept, plain = [], Maintainer._kept
+    monkeypatch.setattr(Maintainer, "_kept", lambda self, rows, label="rows": kept.append(rows.columns) or plain(self, rows, label))
+    keeper = Maintainer(spark, config, f"file://{tmp_path}/views", buckets=1)
+    assert not keeper.apply(log_of(spark, [owner("a")]).limit(0)) and not keeper.folder.names("state")
+    assert keeper.apply(log_of(spark, [owner("a"), (thing("Pod", "p", ("ReplicaSet", "o")), "ADDED", 1)]))
+    assert kept and not any("object" in columns for columns in kept)
+    kept.clear()
+    assert keeper.apply(log_of(spark, [owner("ab")]))
+    assert all("op" in columns for columns in kept if "object" in columns) and any("texts" in columns for columns in kept)
+    assert [(r.anchor_key, r.note) for r in keeper.series("r").collect()] == [("s/p", "ab")]
+    assert [tuple(r) for r in keeper.metrics().collect()] == [(1, 2, 2, 0, 2, 1), (2, 1, 1, 1, 0, 1)]

@@ -12,16 +12,19 @@ from viewloom.operators.resolve import DEFAULT_HOPS, parent_uids, unresolved, wa
 
 
 def dependencies(state: DataFrame, kind: str, *, hops: int = DEFAULT_HOPS, only: DataFrame | None = None, chains: DataFrame | None = None, payload: Column | None = None) -> DataFrame:
-    """(anchor_key, anchor_kind, parent_uid, wanted): a row for each object an anchor depends on, and one for a parent not there yet.
+    """(anchor_key, anchor_kind, namespace, name, parent_uid, wanted): a row for each object an anchor depends on, and one for a parent not there yet.
 
     ``chains`` are the owners' chains, if they are there already, and ``payload`` what they carry of each object.
     """
     rows = walked(state, kind, hops=hops, payload=F.lit(True) if payload is None else payload, only=only, chains=chains)
-    key = object_key(F.col("namespace"), F.col("name")).alias("anchor_key")
-    known = rows.select(key, F.explode(parent_uids(rows)).alias("parent_uid")).withColumn("wanted", F.lit(None).cast("struct<kind:string,namespace:string,name:string>"))
-    missing = rows.select(key, F.lit(None).cast("string").alias("parent_uid"), unresolved(rows).alias("wanted")).where("wanted is not null") if hops else None
-    both = known if missing is None else known.unionByName(missing)
-    return both.withColumn("anchor_kind", F.lit(kind)).select("anchor_key", "anchor_kind", "parent_uid", "wanted")
+    none = F.lit(None).cast("struct<kind:string,namespace:string,name:string>")
+    parents = F.transform(parent_uids(rows), lambda uid: F.struct(uid.alias("parent_uid"), none.alias("wanted")))
+    if hops:
+        missing = F.struct(F.lit(None).cast("string").alias("parent_uid"), unresolved(rows).alias("wanted"))
+        parents = F.concat(parents, F.filter(F.array(missing), lambda p: p["wanted"].isNotNull()))
+    # both kinds of parents from one walk; an outer explode, since a plain one adds a filter that would put them together twice
+    found = rows.select("namespace", "name", F.explode_outer(parents).alias("parent")).where("parent is not null")
+    return found.select(object_key(F.col("namespace"), F.col("name")).alias("anchor_key"), F.lit(kind).alias("anchor_kind"), "namespace", "name", "parent.parent_uid", "parent.wanted")
 
 
 def affected(deps: DataFrame, changed: DataFrame) -> DataFrame:

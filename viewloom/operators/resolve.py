@@ -121,6 +121,6 @@ def parent_uids(rows: DataFrame) -> Column:
 
 def unresolved(rows: DataFrame) -> Column:
     """The key of the parent at which the walk missed, as (kind, namespace, name); null if it ended, or went as far as it may."""
-    last = F.coalesce(F.try_element_at("chain", F.lit(-1)), F.col("self"))
-    key = F.struct(last["parent_kind"].alias("kind"), last["parent_ns"].alias("namespace"), last["parent_name"].alias("name"))
-    return F.when((F.size("chain") < F.col("hops")) & last["parent_name"].isNotNull(), key)
+    top = F.try_element_at("chain", F.lit(-1))
+    kind, namespace, name = (F.when(F.size("chain") > 0, top[p]).otherwise(F.col("self")[p]) for p in PARENT)  # by fields, so that no payload is read
+    return F.when((F.size("chain") < F.col("hops")) & name.isNotNull(), F.struct(kind.alias("kind"), namespace.alias("namespace"), name.alias("name")))

@@ -38,6 +38,11 @@ def texts_of(paths: list[str]) -> Column:
     return F.struct(F.lit(True).alias("here"), *(_text(p).alias(f"t{k}") for k, p in enumerate(paths)))
 
 
+def payload_of(state: DataFrame, paths: list[str]) -> Column:
+    """The texts of ``paths`` on a state's objects: those that it holds ready in a column ``texts``, else read from the objects."""
+    return F.col("texts") if "texts" in state.columns else texts_of(paths)
+
+
 def evaluated(rule: Rule, state: DataFrame, *, hops: int = DEFAULT_HOPS, only: DataFrame | None = None, chains: DataFrame | None = None, paths: list[str] | None = None) -> DataFrame:
     """The rule's rows: anchor_key, its labels in order as non-null strings, and value 1; distinct for each anchor.
 
@@ -47,7 +52,7 @@ def evaluated(rule: Rule, state: DataFrame, *, hops: int = DEFAULT_HOPS, only: D
     """
     paths = paths_of(rule) if paths is None else paths
     items = {"__items": matches(F.col("object"), parse_path(rule.for_each))} if rule.for_each else {}
-    rows = walked(state, rule.anchor, hops=hops_of(rule, hops), payload=texts_of(paths), only=only, chains=chains, more=items)
+    rows = walked(state, rule.anchor, hops=hops_of(rule, hops), payload=payload_of(state, paths), only=only, chains=chains, more=items)
     sources = bound(rows)
     used = sorted({rule.resolved(e.source) for n in rule.label_names() for e in rule.labels[n].every()} - {"item"})
     rows = rows.select(object_key(F.col("namespace"), F.col("name")).alias("anchor_key"), *items, *(sources[s].alias(f"__{s}") for s in used))

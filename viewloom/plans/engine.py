@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from viewloom.model import KINDS, Config
 from viewloom.operators.incremental import dependencies, union
 from viewloom.operators.resolve import DEFAULT_HOPS, owner_chains
-from viewloom.operators.rules import evaluated, hops_of, paths_of, texts_of
+from viewloom.operators.rules import evaluated, hops_of, paths_of, payload_of
 from viewloom.sinks.series import SeriesSink
 from viewloom.sources.objects import current
 from viewloom.sources.places import written
 
 
 class Views(Mapping):
-    """The rows of each rule by metric name. A view's plan is made when it is asked for; owners' chains are made once for all that walk."""
+    """The rows of each rule by metric name. A view's plan is made when it is asked for; owners' chains are made once for all that walk.
+
+    A state may hold the texts of all rules' paths ready in a column ``texts``; then it needs objects for arrays to expand only.
+    """
 
     def __init__(self, config: Config, state: DataFrame, *, hops: int = DEFAULT_HOPS, keep: Callable[[DataFrame, str], DataFrame] = written):
         self.config, self.state, self.hops, self.keep = config, state, hops, keep
@@ -28,14 +31,14 @@ class Views(Mapping):
     def chains(self) -> DataFrame:
         """Owners' chains with the texts that any rule reads."""
         if self._chains is None:
-            self._chains = owner_chains(self.state, hops=self.hops, payload=texts_of(self.paths), keep=self.keep)
+            self._chains = owner_chains(self.state, hops=self.hops, payload=payload_of(self.state, self.paths), keep=self.keep)
         return self._chains
 
     def of(self, metric: str, only: DataFrame | None = None) -> DataFrame:
         """The rows of a metric, or those of the anchors in ``only`` (anchor_key)."""
         rule = self.rules[metric]
         if not hops_of(rule, self.hops):
-            return evaluated(rule, self.state, hops=self.hops, only=only)
+            return evaluated(rule, self.state, hops=self.hops, only=only, paths=self.paths if "texts" in self.state.columns else None)
         return evaluated(rule, self.state, hops=self.hops, only=only, chains=self.chains(), paths=self.paths)
 
     def __getitem__(self, metric: str) -> DataFrame:
@@ -81,7 +84,7 @@ def publish(config: Config, state: DataFrame, sink: SeriesSink, *, hops: int = D
 def index(config: Config, state: DataFrame, *, hops: int = DEFAULT_HOPS, only: DataFrame | None = None, found: Views | None = None) -> DataFrame:
     """What the anchors of all rules, or those of ``only`` (anchor_kind, anchor_key), depend on; ``found`` lends its owners' chains."""
     deepest = {k: max(hops_of(r, hops) for r in config.rules if r.anchor == k) for k in KINDS if any(r.anchor == k for r in config.rules)}
-    payload = F.lit(True) if found is None else texts_of(found.paths)
+    payload = F.lit(True) if found is None else payload_of(state, found.paths)
     chains = None
     if any(deepest.values()):
         chains = owner_chains(state, hops=hops, payload=payload) if found is None else found.chains()

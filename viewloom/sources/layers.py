@@ -124,11 +124,17 @@ class Layers:
         fresh = layers.join(tops, self.group).where("__layer = __top and not __gone")
         return rows.join(tops, self.group, "left_anti").select(*columns).unionByName(fresh.select(*columns))
 
-    def at(self, version: Version, keys: DataFrame) -> DataFrame:
-        """The rows whose columns ``by`` stand in ``keys`` (the same names); only their buckets are opened."""
+    def at(self, version: Version, keys: DataFrame, use: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """The rows whose columns ``by`` stand in ``keys`` (the same names); only their buckets are opened.
+
+        ``use`` makes of them what is wanted and keeps the columns that ``by`` reads. An inner join with distinct keys is
+        not pushed below it, as a semi join is; so what a large look-up shuffles is what is wanted, not whole rows.
+        """
         keys = keys.select(*self.by).distinct()
-        found = self.read(version, self.asked(keys, [F.col(f"`{c}`") for c in self.by])).withColumns({f"__by_{c}": v for c, v in self.by.items()})
-        return found.join(keys.withColumnsRenamed({c: f"__by_{c}" for c in self.by}), [f"__by_{c}" for c in self.by], "left_semi").select(*(f"`{f.name}`" for f in self.fields))
+        rows = self.read(version, self.asked(keys, [F.col(f"`{c}`") for c in self.by]))
+        rows = rows if use is None else use(rows)
+        found = rows.withColumns({f"__by_{c}": v for c, v in self.by.items()})
+        return found.join(keys.withColumnsRenamed({c: f"__by_{c}" for c in self.by}), [f"__by_{c}" for c in self.by], "left_semi" if use is None else "inner").select(*(f"`{c}`" for c in rows.columns))
 
     def put(self, version: Version, rows: DataFrame, touched: DataFrame) -> None:
         """Puts ``rows`` in place of those of the groups in ``touched``, as a layer; groups without rows are gone."""
@@ -152,8 +158,11 @@ class Layers:
             return
         name = f"{version.number}-{uuid.uuid4().hex}"
         spread = rows.withColumns({"__layer": F.lit(version.number).cast("bigint"), "bucket": self.bucket()})
-        spread.repartition("bucket").write.partitionBy("bucket").parquet(self.folder.path(f"{self.what}/{name}"))
+        # a large bucket is written by several tasks, small ones by one
+        spread.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(self.folder.path(f"{self.what}/{name}"))
         there = {int(n.removeprefix("bucket=")) for n in self.folder.names(f"{self.what}/{name}") if n.startswith("bucket=")}
+        if not there:
+            self.folder.delete(f"{self.what}/{name}")
         for bucket in touched:
             before = version.layers.pop((self.what, bucket), []) if not over else version.layers.get((self.what, bucket), [])
             if bucket in there:

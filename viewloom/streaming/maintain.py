@@ -4,6 +4,7 @@ State, dependencies, the index of parents and series are tables that change by l
 what it touches:
 
 1. The changed keys' old rows are looked up in their buckets; a batch that brings nothing newer ends here, without a version.
+   Before any version there is nothing to look up: the state is written and views are made from it.
 2. The index of parents, posting lists by uid or by the key of a parent that was missed, gives the anchors that depend on
    what changed; only the buckets of these parents are opened.
 3. The affected anchors are looked up, and then their owners, hop by hop; chains of other anchors are not followed again.
@@ -26,7 +27,7 @@ from viewloom.functions.text import object_key
 from viewloom.model import KINDS, Config
 from viewloom.operators.incremental import union
 from viewloom.operators.resolve import DEFAULT_HOPS, PARENT, lookup_namespace, with_parent
-from viewloom.operators.rules import hops_of
+from viewloom.operators.rules import hops_of, paths_of, texts_of
 from viewloom.operators.state import KEY, TIE, latest, order_of
 from viewloom.plans.engine import Views, index
 from viewloom.sources.layers import Layers, Version, Versions
@@ -121,9 +122,13 @@ class Maintainer:
         plain = log.withColumns({c: F.coalesce(c, F.lit("")) for c in ("namespace", "name")}).where(F.col("kind").isin(*sorted(self.config.watched_kinds())))
         last = latest(with_parent(plain).withColumn("tie", F.xxhash64(*TIE)), KEY, "seq", "rv", TIE)
         last = last.withColumns({"digest": F.xxhash64("object"), "object": F.when(~F.col("op").eqNullSafe("DELETED"), F.try_parse_json("object"))})
-        last = self._kept(last.select(*(c.split()[0] for c in _STATE.split(", "))))
-        prior = self._kept(self.state.at(version, last.select(*(v.alias(c) for c, v in self.state.by.items()))).join(last.select(*KEY), KEY, "left_semi"))
-        if prior.isEmpty():  # all keys are new, as in a first batch: whole objects are neither joined nor written once more
+        last = last.select(*(c.split()[0] for c in _STATE.split(", ")))
+        if not version.layers:
+            return self._first(version, last)
+        last = self._kept(last)
+        prior = self.state.at(version, last.select(*(v.alias(c) for c, v in self.state.by.items()))).join(last.select(*KEY), KEY, "left_semi")
+        prior = self._kept(prior.drop("object", *PARENT))
+        if prior.isEmpty():  # all keys are new: whole objects are neither joined nor written once more
             new = last.withColumn("same", F.lit(False))
         else:
             before = prior.select(*KEY, F.struct(order_of([], "seq", "rv", F.col("tie")).alias("at"), "op", "rv", "digest").alias("old"))
@@ -140,7 +145,7 @@ class Maintainer:
         hit, asked, known = self._affected(version, touched)
         near = self._near(version, hit)
         views = Views(self.config, near, hops=self.hops, keep=self._kept)
-        self._reindex(version, hit, near, views)
+        self._reindex(version, hit, views)
         for metric, rule in views.rules.items():
             mine = hit.where(F.col("anchor_kind") == rule.anchor).select("anchor_key")
             self.tables[metric].put(version, self._kept(views.of(metric, mine)), mine)
@@ -149,6 +154,33 @@ class Maintainer:
         version.notes = [*version.notes, [version.number, changed, admitted, indexed, asked_n - indexed, anchors]][-NOTES:]
         return True
 
+    def _first(self, version: Version, last: DataFrame) -> bool:
+        """The first batch: all anchors are affected and no group is in any table, so nothing is looked up or compared, and whole objects are written once."""
+        self.state.fill(version, last)
+        if not version.layers:
+            return False
+        state, moves = self.state.read(version), F.col("kind").isin(*self.moving_kinds())
+        anchor = F.col("kind").isin(*{r.anchor for r in self.config.rules})
+        live = selected(state.where(moves & ~F.col("op").eqNullSafe("DELETED")), *self.config.watched())
+        views = Views(self.config, self._kept(self._read(live)), hops=self.hops, keep=self._kept)
+        self.deps.fill(version, self._parents(views))
+        self.parents.fill(version, self.deps.read(version))
+        for metric in views:
+            self.tables[metric].fill(version, views[metric])
+        numbers = (F.count("*"), F.count_if(moves), F.lit(0), F.countDistinct(F.when(moves, F.col("uid"))), F.count_if(anchor))
+        version.notes = [*version.notes, [version.number, *state.agg(*(n.alias(f"n{k}") for k, n in enumerate(numbers))).first()]][-NOTES:]
+        return True
+
+    def _read(self, rows: DataFrame) -> DataFrame:
+        """State rows with what rules read of their objects; whole objects stay if some rule expands an array."""
+        whole = any(r.for_each for r in self.config.rules)
+        return rows.withColumn("texts", texts_of(paths_of(*self.config.rules))).drop("op", "digest", "tie", *([] if whole else ["object"]))
+
+    def _parents(self, views: Views) -> DataFrame:
+        """What anchors depend on (_DEPS), each parent once."""
+        parent = F.coalesce(F.concat(F.lit("u:"), "parent_uid"), F.concat(F.lit("k:"), F.to_json("wanted")))
+        return index(self.config, views.state, hops=self.hops, found=views).select("anchor_kind", F.col("namespace").alias("anchor_ns"), F.col("name").alias("anchor_name"), parent.alias("parent"))
+
     def _affected(self, version: Version, touched: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Anchors that depend on what was touched, or are it; its uids; and those of them that the index knows."""
         uids = touched.where("uid is not null").select(F.concat(F.lit("u:"), "uid").alias("parent")).distinct()
@@ -162,27 +194,26 @@ class Maintainer:
         """The live objects of anchors and of all that stands above them; each round opens the buckets of the owners that it looks for."""
         watched = self.config.watched()
 
-        def live(keys: DataFrame) -> DataFrame:
-            return selected(self.state.at(version, keys).where(~F.col("op").eqNullSafe("DELETED")), *watched).drop("op", "digest", "tie")
+        def live(keys: DataFrame, kinds: set[str]) -> DataFrame:
+            return self.state.at(version, keys, lambda rows: self._read(selected(rows.where(F.col("kind").isin(*kinds) & ~F.col("op").eqNullSafe("DELETED")), *watched)))
 
         place = {"k": F.col("kind"), "ns": lookup_namespace(F.col("kind"), F.col("namespace")), "n": F.col("name")}
         wanted = hit.select(F.col("anchor_kind").alias("k"), lookup_namespace(F.col("anchor_kind"), F.col("anchor_ns")).alias("ns"), F.col("anchor_name").alias("n"))
-        found = self._kept(live(wanted))
+        found = self._kept(live(wanted, {r.anchor for r in self.config.rules}))
         rows, seen = found, wanted
         for _ in range(self.hops if any(hops_of(r, self.hops) for r in self.config.rules) else 0):
             above = found.where(F.col("parent_name").isNotNull()).select(*(F.col(p).alias(c) for p, c in zip(PARENT, place, strict=True))).distinct()
             above = self._kept(above.join(seen, list(place), "left_anti"))
-            if above.isEmpty():
+            kinds = {r.k for r in above.select("k").distinct().collect()}  # some of KINDS
+            if not kinds:
                 break
-            found = self._kept(live(above))
+            found = self._kept(live(above, kinds))
             rows, seen = rows.unionByName(found), seen.unionByName(above)
         return rows
 
-    def _reindex(self, version: Version, hit: DataFrame, near: DataFrame, views: Views) -> None:
+    def _reindex(self, version: Version, hit: DataFrame, views: Views) -> None:
         """Puts what affected anchors depend on now in place of what they did; the index takes just the differences."""
-        own = index(self.config, near, hops=self.hops, only=hit.select("anchor_kind", "anchor_key"), found=views)
-        parent = F.coalesce(F.concat(F.lit("u:"), "parent_uid"), F.concat(F.lit("k:"), F.to_json("wanted")))
-        fresh = self._kept(own.join(hit, ["anchor_kind", "anchor_key"]).select(*_ANCHOR, parent.alias("parent")).distinct())
+        fresh = self._kept(self._parents(views).join(hit.select(*_ANCHOR), _ANCHOR, "left_semi"))
         old = self._kept(self.deps.at(version, hit))
         both = [*_ANCHOR, "parent"]
         self.deps.put(version, fresh, hit)
