@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from viewloom.operators import measures
+from viewloom.plans import catalogue
 from viewloom.sinks.series import header
 from viewloom.sources.families import families, histogram_lines, histograms, summaries, text_lines
 
@@ -92,3 +93,17 @@ def test_a_histogram_comes_back(spark, tmp_path):
 def test_files_are_cut_into_blocks_once(spark, tmp_path):
     (tmp_path / "a.txt").write_text(TEXT)
     assert "FileScan text" not in families(text_lines(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_of_the_query_stay_whole(spark, tmp_path):
+    """Parts without a key, and a session that cuts files after some rows: no histogram loses its TYPE line."""
+    rows = [(None if k % 7 == 0 else k % 7, float(k % 30)) for k in range(200)]
+    spark.createDataFrame(rows, "l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 5)
+    try:
+        got = catalogue.queries()["metric_families"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    own = {p: [q for part, q in rows if part == p] for p, _ in rows}
+    want = [(None if p is None else str(p), b, float(sum(q <= b for q in qs)), sum(qs), float(len(qs))) for p, qs in own.items() for b in (5.0, 10.0, 25.0, math.inf)]
+    assert sorted(((r.part, r.bound, r.n, r["sum"], r["count"]) for r in got), key=repr) == sorted(want, key=repr)
